@@ -31,12 +31,10 @@ def scrub(col: Column | str, junk: str = S.ORDER_ID_JUNK) -> Column:
 def classify(col: Column | str) -> Column:
     """Name of the service that emits an event type."""
     c = F.col(col) if isinstance(col, str) else col
-    return (
-        F.when(c.isin(*S.VIEW_EVENTS), S.VIEW_SERVICE)
-        .when(c.isin(*S.CART_EVENTS), S.CART_SERVICE)
-        .when(c.isin(*S.ORDER_EVENTS), S.ORDER_SERVICE)
-        .otherwise(S.UNKNOWN_SERVICE)
-    )
+    service = F
+    for name, kinds in S.SERVICE_EVENTS.items():
+        service = service.when(c.isin(*kinds), name)
+    return service.otherwise(S.UNKNOWN_SERVICE)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

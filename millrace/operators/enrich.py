@@ -35,3 +35,14 @@ def enrich(raw: DataFrame) -> DataFrame:
         "_topic",
         *extra,
     )
+
+
+def of_services(enriched: DataFrame, *services: str) -> DataFrame:
+    """Rows of the named services, or of any known one.
+
+    The event type decides the service, and unlike the computed service name it
+    is a stored column, so the filter reaches the scan.
+    """
+    wanted = services or tuple(S.SERVICE_EVENTS)
+    kinds = [kind for name in wanted for kind in S.SERVICE_EVENTS[name]]
+    return enriched.where(F.col("event_type").isin(*kinds))

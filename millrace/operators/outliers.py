@@ -183,12 +183,12 @@ def backfill_anomalies(
     )
 
     def block_of(us: Column) -> Column:
-        return F.floor(us / F.lit(block_us)).cast("long")
+        return us - F.pmod(us, F.lit(block_us))
 
     us = F.col("_us")
-    own = block_of(us)
+    own, last = block_of(us), block_of(us + F.lit(lookback_us))
     blocks = instants.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.sequence(own, block_of(us + F.lit(lookback_us))))
+        "_block", F.explode(F.sequence(own, last, F.lit(block_us)))
     )
     frame = (
         Window.partitionBy("_series", "_block")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace import schemas as S
 from millrace.functions import instant, labels_key, month_of, safe_ratio, since
 from millrace.functions.time import until
+from millrace.operators.enrich import of_services
 from millrace.operators.kpis import (
     CARTED,
     ORDERED,
@@ -51,7 +52,7 @@ def event_source_counts(enriched: DataFrame) -> DataFrame:
 def _sessions(enriched: DataFrame, *services: str) -> DataFrame:
     """One row per session with the services it touched and its order value."""
     if services:
-        enriched = enriched.where(F.col("service_source").isin(*services))
+        enriched = of_services(enriched, *services)
     return enriched.groupBy("session_id").agg(
         F.bit_or(touched_bits()).alias("touched"),
         F.sum(order_amount()).alias("session_gmv"),
@@ -100,8 +101,7 @@ def cart_abandonment_literal(enriched: DataFrame) -> DataFrame:
     :func:`cart_abandonment_sessions` for the share that was really abandoned.
     """
     service = F.col("service_source")
-    in_cart = enriched.where(service == S.CART_SERVICE)
-    per_session = in_cart.groupBy("session_id").agg(
+    per_session = of_services(enriched, S.CART_SERVICE).groupBy("session_id").agg(
         F.bool_or(service != S.ORDER_SERVICE).alias("unordered_row")
     )
     counts = per_session.agg(
@@ -132,7 +132,7 @@ def cart_abandonment_sessions(enriched: DataFrame) -> DataFrame:
 def gmv_total(enriched: DataFrame) -> DataFrame:
     """Value of all orders, 0 without any."""
     total = F.coalesce(F.sum("amount"), F.lit(0)).cast("double")
-    return enriched.where(F.col("service_source") == S.ORDER_SERVICE).agg(
+    return of_services(enriched, S.ORDER_SERVICE).agg(
         F.lit(TOTAL_GMV).alias("metric_name"), total.alias("metric_value")
     )
 

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import instant, seconds_in
-from millrace.operators.enrich import enrich
+from millrace.operators.enrich import enrich, of_services
 from millrace.operators.export import Sender, publish, write_import_lines
 from millrace.operators.history import read_history, stamp, write_history
 from millrace.operators.kpis import bucket_sessions, to_metric_rows
 from millrace.operators.outliers import detect_anomalies, write_anomalies
-from millrace.schemas import METRIC_LABELS, UNKNOWN_SERVICE
+from millrace.schemas import METRIC_LABELS
 from millrace.sources.tables import read_raw_events, write_raw_events
 from millrace.sources.wire import conform_records
 
@@ -31,10 +31,9 @@ def kpi_metrics(
     Events of no known service add to none of the series; dropping them first
     keeps their sessions out of the shuffle.
     """
-    known = enriched.where(F.col("service_source") != UNKNOWN_SERVICE)
     return to_metric_rows(
         bucket_sessions(
-            known,
+            of_services(enriched),
             bucket,
             since=since,
             as_of=as_of,

@@ -33,6 +33,11 @@ AMOUNT_LIMIT = 100_000
 ORDER_ID_JUNK = "[^a-zA-Z0-9_-]"
 # -----------------------------------------------------------------------------
 
+SERVICE_EVENTS = {
+    VIEW_SERVICE: VIEW_EVENTS,
+    CART_SERVICE: CART_EVENTS,
+    ORDER_SERVICE: ORDER_EVENTS,
+}
 TOPICS = {"views": VIEW_TOPIC, "carts": CART_TOPIC, "orders": ORDER_TOPIC}
 
 AMOUNT = T.DecimalType(10, 2)

@@ -52,6 +52,17 @@ def _decode(value: Column, schema: T.StructType) -> Column:
     )
 
 
+def _decoded_once(df: DataFrame, **decoded: Column) -> DataFrame:
+    """Add decoded columns that later filters do not evaluate a second time.
+
+    A filter on a projected column is moved below the projection together with
+    its expression, so splitting good rows from bad would decode each message
+    twice.  Nothing is moved below a generator.
+    """
+    one = F.struct(*[column.alias(name) for name, column in decoded.items()])
+    return df.select("*", F.inline(F.array(one)))
+
+
 def _is_bad(value: Column, corrupt: Column) -> Column:
     # A NULL or blank message decodes to all-NULL fields without being marked.
     return value.isNull() | (F.length(F.trim(value)) == 0) | corrupt.isNotNull()
@@ -77,7 +88,7 @@ def parse_json(
     the untouched envelope, ready for a quarantine table.
     """
     value = F.col(value_col).cast("string")
-    parsed = df.withColumn(_PARSED, _decode(value, schema))
+    parsed = _decoded_once(df, **{_PARSED: _decode(value, schema)})
     bad = _is_bad(value, F.col(f"{_PARSED}.{_CORRUPT}"))
     carried = [
         F.col(name).alias(alias)
@@ -99,11 +110,14 @@ def conform_records(
     """
     topic, value = F.col("topic"), F.col("value").cast("string")
     names = {S.VIEW_TOPIC: "_view", S.CART_TOPIC: "_cart", S.ORDER_TOPIC: "_order"}
-    parsed = records
-    for name, column in names.items():
-        # NULL for messages of the other topics, so each is decoded only once.
-        decoded = _decode(value, S.WIRE_SCHEMAS[name])
-        parsed = parsed.withColumn(column, F.when(topic == name, decoded))
+    # NULL for messages of the other topics, so each is decoded by one schema.
+    parsed = _decoded_once(
+        records,
+        **{
+            column: F.when(topic == name, _decode(value, S.WIRE_SCHEMAS[name]))
+            for name, column in names.items()
+        },
+    )
     corrupt = F.coalesce(*[F.col(f"{c}.{_CORRUPT}") for c in names.values()])
     known = F.coalesce(topic.isin(*names), F.lit(False))
     bad = ~known | _is_bad(value, corrupt)
