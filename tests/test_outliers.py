@@ -1,0 +1,236 @@
+import math
+import statistics
+from datetime import timedelta
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import millrace as m
+from checks import adapter as A
+from millrace import schemas as S
+from tests.conftest import SF_SMALL, at, points, rows_of
+
+AS_OF = "2024-01-01 00:30:00"
+SPIKE = [10, 11, 9, 10, 12, 10, 30]
+
+
+def status(spark, values, as_of=AS_OF, **options):
+    got = m.detect_anomalies(points(spark, values), as_of, with_status=True, **options)
+    return got.first()
+
+
+def test_the_newest_point_is_judged_against_the_others(spark):
+    row = status(spark, SPIKE)
+    past = [float(v) for v in SPIKE[:-1]]
+    mean, sd = statistics.mean(past), statistics.stdev(past)
+    assert (row["status"], row["history_count"], row["metric_value"]) == ("anomaly", 6, 30.0)
+    assert math.isclose(row["mean_value"], mean)
+    assert math.isclose(row["stdev_value"], sd)
+    assert math.isclose(row["z_score"], abs(30 - mean) / sd)
+
+
+@pytest.mark.parametrize(
+    "values, expected",
+    [
+        ([1, 2, 3, 9], "insufficient"),
+        ([1, 2, 3, 2, 99], "anomaly"),
+        ([5, 5, 5, 5, 9], "no variance"),
+        ([0.1] * 6 + [7], "no variance"),
+        ([1, 2, 3, 2, 2], "normal"),
+    ],
+)
+def test_gates(spark, values, expected):
+    assert status(spark, values)["status"] == expected
+
+
+def test_the_threshold_itself_is_not_an_anomaly(spark):
+    # Mean 0 and sample variance 4 / (5 - 1): a deviation of exactly 1.
+    exact = [1, -1, 1, -1, 0, 2]
+    row = status(spark, exact)
+    assert (row["z_score"], row["status"]) == (2.0, "normal")
+    assert status(spark, exact, threshold=1.99)["status"] == "anomaly"
+
+
+def test_lookback_and_as_of_bound_the_window(spark):
+    early = status(spark, SPIKE, as_of="2024-01-01 00:06:00")
+    assert (early["metric_value"], early["history_count"]) == (10.0, 5)
+    short = status(spark, SPIKE, as_of="2024-01-01 00:07:00", lookback="5 minutes")
+    assert short["history_count"] == 4
+    assert status(spark, SPIKE, as_of="2024-01-02 00:00:00") is None
+
+
+def test_min_points(spark):
+    assert status(spark, [1, 2, 9], min_points=3)["status"] == "anomaly"
+    assert status(spark, [9], min_points=1)["status"] == "no variance"
+
+
+def test_flagged_rows_have_the_stored_schema(spark):
+    flagged = m.detect_anomalies(points(spark, SPIKE), AS_OF)
+    assert flagged.columns == S.ANOMALY_SCHEMA.fieldNames()
+    assert flagged.first()["detected_at"].timestamp() == at(AS_OF).timestamp()
+
+
+def test_all_series_at_once_and_the_allow_list(spark):
+    df = points(spark, SPIKE, "a").unionByName(points(spark, [1] * 6, "b"))
+    df = df.unionByName(points(spark, SPIKE, "other"))
+    got = m.detect_anomalies(
+        df, AS_OF, metric_names=("a", "b", "missing"), with_status=True
+    )
+    assert rows_of(got, "metric_name", "status", "history_count") == [
+        ("a", "anomaly", 6), ("b", "no variance", 5), ("missing", "insufficient", 0),
+    ]
+
+
+def test_labels_are_ignored_unless_they_are_part_of_the_series(spark):
+    df = points(spark, [1, 2, 3, 2], label="x").unionByName(
+        points(spark, [1, 2, 3, 2], label="y")
+    )
+    pooled = m.detect_anomalies(df, AS_OF, with_status=True)
+    assert rows_of(pooled, "history_count") == [(7,)]
+    apart = m.detect_anomalies(
+        df, AS_OF, series_key=("metric_name", "labels"), with_status=True
+    )
+    assert rows_of(apart, "status") == [("insufficient",)] * 2
+
+
+def test_recording_twice_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "anomalies")
+    flagged = m.detect_anomalies(points(spark, SPIKE), AS_OF)
+    assert m.new_only(flagged, m.read_anomalies(spark, path)).count() == 1
+    assert m.write_anomalies(flagged, path) == 1
+    assert m.write_anomalies(flagged, path) == 0
+    assert m.read_anomalies(spark, path).count() == 1
+    report = m.detect_anomalies(points(spark, SPIKE), AS_OF, with_status=True)
+    marked = m.mark_recorded(report, m.read_anomalies(spark, path))
+    assert marked.first()["status"] == "already recorded"
+    assert marked.columns == report.columns
+
+
+def test_writing_no_anomalies(spark, tmp_path):
+    path = str(tmp_path / "anomalies")
+    none = m.detect_anomalies(points(spark, [1, 2, 3, 2, 2]), AS_OF)
+    assert m.write_anomalies(none, path) == 0
+    assert m.read_anomalies(spark, path).count() == 0
+
+
+def by_hand(values, lookback, min_points=5, threshold=2.0):
+    """Brute force: every point against the minutes before it."""
+    judged = {}
+    for minute, value in enumerate(values):
+        if value is None:
+            continue
+        past = [v for v in values[max(0, minute - lookback) : minute] if v is not None]
+        sd = statistics.stdev(past) if len(past) > 1 else None
+        z = abs(value - statistics.mean(past)) / sd if sd else None
+        enough = len(past) >= min_points - 1
+        if not enough:
+            name, z = "insufficient", None
+        elif not sd:
+            name = "no variance"
+        else:
+            name = "anomaly" if z > threshold else "normal"
+        judged[minute] = (len(past), name, z)
+    return judged
+
+
+def backfilled(df, **options):
+    got = m.backfill_anomalies(df, with_status=True, **options).collect()
+    start = at("2024-01-01 00:00:00").timestamp()
+    return {
+        int((r["timestamp"].timestamp() - start) // 60): (
+            r["history_count"], r["status"], r["z_score"],
+        )
+        for r in got
+    }
+
+
+def assert_same(got, want):
+    assert got.keys() == want.keys()
+    for minute, (count, name, z) in want.items():
+        assert got[minute][:2] == (count, name), minute
+        if z is None:
+            assert got[minute][2] is None
+        else:
+            assert math.isclose(got[minute][2], z, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("block", ["5 minutes", "12 minutes", "1 day"])
+def test_backfill_does_not_depend_on_the_block(spark, block):
+    values = [(i * 7919) % 13 + (40 if i % 17 == 0 else 0) for i in range(60)]
+    values[20:24] = [None] * 4
+    values[40:52] = [0.1] * 12
+    got = backfilled(points(spark, values), lookback="10 minutes", block=block)
+    assert_same(got, by_hand([v if v is None else float(v) for v in values], 10))
+
+
+@settings(
+    max_examples=6, deadline=None, suppress_health_check=list(HealthCheck),
+    derandomize=True,
+)
+@given(
+    st.lists(
+        st.one_of(st.none(), st.integers(-50, 50)), min_size=1, max_size=30
+    ).filter(lambda v: any(x is not None for x in v))
+)
+def test_backfill_equals_brute_force(spark, values):
+    want = by_hand([v if v is None else float(v) for v in values], 8)
+    near = [z for _, _, z in want.values() if z and abs(z - 2) < 1e-9]
+    if not near:
+        df = points(spark, values)
+        assert_same(backfilled(df, lookback="8 minutes", block="9 minutes"), want)
+
+
+def test_backfill_equals_live_detection_at_each_point(spark):
+    df = points(spark, SPIKE + [10, 9, 40])
+    whole = {
+        r["timestamp"]: r for r in m.backfill_anomalies(df, with_status=True).collect()
+    }
+    for when, row in whole.items():
+        # The live form includes the point at as_of - lookback on its left edge.
+        live = m.detect_anomalies(
+            df,
+            F.lit(when) + F.expr("INTERVAL 1 SECOND"),
+            lookback=timedelta(minutes=30, seconds=1),
+            with_status=True,
+        ).first()
+        assert live["status"] == row["status"]
+        assert live["history_count"] == row["history_count"]
+
+
+def test_points_of_one_time_share_their_history(spark):
+    df = points(spark, [1, 2, 3, 4, 5], label="x").unionByName(
+        points(spark, [5, 4, 3, 2, 1], label="y")
+    )
+    got = m.backfill_anomalies(df, with_status=True)
+    assert rows_of(got, F.minute("timestamp"), "history_count") == [
+        (i, 2 * i) for i in range(5) for _ in range(2)
+    ]
+    last = got.orderBy(F.col("timestamp").desc()).first()
+    past = [1, 2, 3, 4, 5, 4, 3, 2]
+    assert math.isclose(last["mean_value"], statistics.mean(past))
+    assert math.isclose(last["stdev_value"], statistics.stdev(past))
+
+
+def test_a_level_shift_far_away_does_not_blur_the_deviation(spark):
+    values = [0.0] * 15 + [1e8 + 0.01 * (i % 2) for i in range(15)]
+    got = backfilled(points(spark, values), lookback="6 minutes")
+    past = [1e8 + 0.01 * (i % 2) for i in range(8, 14)]
+    sd = statistics.stdev(past)
+    mean = statistics.mean(past)
+    assert math.isclose(got[29][2], abs(values[29] - mean) / sd, rel_tol=1e-5)
+
+
+def test_z_is_invariant_under_scaling(spark):
+    df = m.kpi_metrics(m.enrich(A.raw_events(spark, SF_SMALL)), "hour")
+    scaled = df.withColumn("metric_value", F.col("metric_value") * 1000)
+    options = {"lookback": "24 hours", "with_status": True}
+    key = ("metric_name", "timestamp")
+    both = (
+        m.backfill_anomalies(df, **options)
+        .select(*key, F.col("z_score").alias("a"))
+        .join(m.backfill_anomalies(scaled, **options).select(*key, "z_score"), [*key])
+    )
+    off = both.where(F.abs(F.col("a") - F.col("z_score")) > 1e-9)
+    assert both.where("a is not null").count() > 100 and off.count() == 0
