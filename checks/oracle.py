@@ -404,6 +404,38 @@ totals AS ({_TOTAL_CONVERSION} UNION ALL {_TOTAL_ABANDONMENT} UNION ALL {_TOTAL_
     WHEN 'cart_abandonment_rate' THEN 'abandonment' ELSE 'revenue' END AS label_type,
   TIMESTAMP '2024-01-31 00:00:00' AS computed_at
 FROM totals WHERE metric_value IS NOT NULL""",
+    ),
+    "product_metric_table": _select(
+        ENRICHED
+        + """,
+runs AS (
+  SELECT unnest([TIMESTAMP '2024-01-20 12:30:00', TIMESTAMP '2024-01-31 00:00:00'])
+    AS as_of
+),
+totals AS (
+  SELECT as_of,
+    CAST(count(DISTINCT session_id) FILTER (WHERE service_source = 'view_service')
+      AS DOUBLE) AS views,
+    CAST(count(DISTINCT session_id) FILTER (WHERE service_source = 'cart_service')
+      AS DOUBLE) AS carts,
+    CAST(count(DISTINCT session_id) FILTER (WHERE service_source = 'order_service')
+      AS DOUBLE) AS orders,
+    CAST(coalesce(sum(amount) FILTER (WHERE service_source = 'order_service'), 0)
+      AS DOUBLE) AS gmv
+  FROM runs JOIN enriched ON enriched."timestamp" < as_of
+  GROUP BY as_of
+),
+product_metrics AS (
+  SELECT 'conversion_rate' AS metric_name, orders / nullif(views, 0) AS metric_value
+  FROM totals
+  UNION ALL
+  SELECT 'cart_abandonment_rate', carts / nullif(carts, 0) FROM totals
+  UNION ALL
+  SELECT 'gmv', gmv FROM totals
+)""",
+        """SELECT metric_name, count(*) AS data_points,
+  round(avg(metric_value), 6) AS avg_value
+FROM product_metrics WHERE metric_value IS NOT NULL GROUP BY 1""",
     ),
     "metric_summary": _select(
         HOURLY,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import millrace as m
 from checks import adapter as A
 from millrace import schemas as S
+from millrace.functions.time import until
 from millrace.streaming.kpi import bucket_sessions_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +153,16 @@ def raw_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_types(recent)
 
 
+def product_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-time totals of two moments, stored and summarised per metric."""
+    path = m.scratch_dir(spark, "product")
+    events = _enriched(spark, sf_dir)
+    for as_of in (EARLIER_RUN, AS_OF):
+        m.write_history(m.product_metrics(until(events, as_of), as_of), path)
+    summary = m.metric_summary(m.read_history(spark, path))
+    return rounded(summary, "avg_value")
+
+
 _STATS = ("metric_value", "z_score", "mean_value", "stdev_value")
 
 
@@ -358,6 +369,7 @@ QUERIES: dict[str, Query] = {
     "product_metrics": _on_enriched(
         lambda e: m.product_metrics(e, AS_OF), "metric_value"
     ),
+    "product_metric_table": product_metric_table,
     "metric_summary": _on_hourly(m.metric_summary, "avg_value"),
     "metric_span": _on_hourly(m.metric_span),
     "recent_points": _on_hourly(lambda h: m.recent_points(h, AS_OF, "5 hours")),

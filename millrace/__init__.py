@@ -49,7 +49,13 @@ from millrace.operators.reports import (
     session_funnel,
     topic_counts,
 )
-from millrace.plans.jobs import detection_job, kpi_job, kpi_metrics, load_job
+from millrace.plans.jobs import (
+    detection_job,
+    kpi_job,
+    kpi_metrics,
+    load_job,
+    product_job,
+)
 from millrace.session import configure, scratch_dir
 from millrace.sources.tables import (
     read_anomalies,

@@ -15,6 +15,7 @@ from millrace.sources.tables import metric_layout, read_table
 
 KEYS = ("metric_name", "timestamp", "labels")
 _COLUMNS = S.HISTORY_SCHEMA.fieldNames()
+_BATCH = "_batch"
 
 
 def stamp(metrics: DataFrame, computed_at: str | datetime | Column) -> DataFrame:
@@ -28,23 +29,24 @@ def stamp(metrics: DataFrame, computed_at: str | datetime | Column) -> DataFrame
     )
 
 
-def _key_columns(keys: Sequence[str]) -> list[Column]:
-    # A map is no legal join or window key; its canonical text is.
-    return [
-        labels_key(k).alias("_labels_key") if k == "labels" else F.col(k) for k in keys
-    ]
-
-
 def current_points(stored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The latest computed row of each key; a later value wins a tie."""
-    newest = F.max_by(
-        F.struct(*_COLUMNS), F.struct("computed_at", "_batch", "metric_value")
-    )
-    if "_batch" not in stored.columns:
-        stored = stored.withColumn("_batch", F.lit(0))
-    return (
-        stored.groupBy(*_key_columns(keys)).agg(newest.alias("row")).select("row.*")
-    )
+    """The latest computed row of each key; a later value wins a tie.
+
+    Keys are taken from the grouping itself, so that filters on metric, time or
+    month pass below it and reach the scan.
+    """
+    plain = [k for k in keys if k != "labels"]
+    if S.MONTH in stored.columns:
+        plain.append(S.MONTH)
+    # A map is no legal join or window key; its canonical text is.
+    text = [labels_key("labels").alias("_labels_key")] if "labels" in keys else []
+    rest = [c for c in _COLUMNS if c not in plain]
+    if _BATCH not in stored.columns:
+        stored = stored.withColumn(_BATCH, F.lit(0))
+    newest = F.max_by(F.struct(*rest), F.struct("computed_at", _BATCH, "metric_value"))
+    current = stored.groupBy(*plain, *text).agg(newest.alias("row"))
+    ordered = [c if c in plain else f"row.{c}" for c in _COLUMNS]
+    return current.select(*ordered, *[c for c in plain if c not in _COLUMNS])
 
 
 def upsert_history(
@@ -56,8 +58,8 @@ def upsert_history(
     """
     merged = (
         existing.select(*_COLUMNS)
-        .withColumn("_batch", F.lit(0))
-        .unionByName(new.select(*_COLUMNS).withColumn("_batch", F.lit(1)))
+        .withColumn(_BATCH, F.lit(0))
+        .unionByName(new.select(*_COLUMNS).withColumn(_BATCH, F.lit(1)))
     )
     return current_points(merged, keys)
 
@@ -65,9 +67,7 @@ def upsert_history(
 def read_history(spark: SparkSession, path: str, deduplicate: bool = False) -> DataFrame:
     """The stored history; ``deduplicate`` when it was written in append mode."""
     stored = read_table(spark, path, S.HISTORY_SCHEMA)
-    if deduplicate:
-        stored = with_event_month(current_points(stored))
-    return stored
+    return current_points(stored) if deduplicate else stored
 
 
 def write_history(df: DataFrame, path: str, mode: str = "upsert") -> None:

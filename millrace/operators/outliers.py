@@ -36,6 +36,57 @@ def _with_series(metrics: DataFrame, series_key: Sequence[str]) -> DataFrame:
     )
 
 
+_MOMENTS = ("n", "mean", "m2", "lo", "hi")
+
+# Parts into which the rows of one series are split for its statistics.
+_PARTS = 32
+
+
+def _moments(value: Column) -> list[Column]:
+    """Aggregates from which statistics of a union of groups can be made."""
+    return [
+        F.count(value).cast("double").alias("n"),
+        F.avg(value).alias("mean"),
+        (F.var_pop(value) * F.count(value)).alias("m2"),
+        F.min(value).alias("lo"),
+        F.max(value).alias("hi"),
+    ]
+
+
+def _merge_moments(acc: Column, x: Column) -> Column:
+    """Combine the moments of two disjoint groups, without cancellation."""
+    n = acc["n"] + x["n"]
+    delta = x["mean"] - acc["mean"]
+    share = x["n"] / n
+    return F.struct(
+        n.alias("n"),
+        (acc["mean"] + delta * share).alias("mean"),
+        (acc["m2"] + x["m2"] + delta * delta * acc["n"] * share).alias("m2"),
+        F.least(acc["lo"], x["lo"]).alias("lo"),
+        F.greatest(acc["hi"], x["hi"]).alias("hi"),
+    )
+
+
+def _with_history(df: DataFrame, groups: str) -> DataFrame:
+    """Replace an array of moments, one entry per group, by their statistics."""
+    empty = F.struct(
+        *[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")],
+        *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi")],
+    )
+    total, n = F.col("_total"), F.col("_total.n")
+    # Means of equal values may differ in their last digit; their range does not.
+    deviation = F.when(total["lo"] == total["hi"], 0.0).otherwise(
+        F.sqrt(total["m2"] / (n - 1))
+    )
+    return (
+        df.withColumn("_total", F.aggregate(groups, empty, _merge_moments))
+        .withColumn("history_count", n.cast("long"))
+        .withColumn("mean_value", F.when(n > 0, total["mean"]))
+        .withColumn("stdev_value", F.when(n > 1, deviation))
+        .drop(groups, "_total")
+    )
+
+
 def _judged(df: DataFrame, min_points: int, threshold: float) -> DataFrame:
     """Add z-score and status from ``history_count``, mean and deviation."""
     value, mean, sd = (F.col(c) for c in ("metric_value", "mean_value", "stdev_value"))
@@ -79,36 +130,34 @@ def detect_anomalies(
     the reason it was or was not flagged.  ``metric_names`` restricts the check;
     a named metric without any point is then reported as insufficient.
 
-    All series are handled by one plan.  The newest point is found by a plain
-    maximum and the statistics by plain averages, so a series that holds most
-    of the rows is reduced where its rows lie and never gathered in one task.
+    All series are handled by one plan, and there may be very few of them.  The
+    newest point is a plain maximum; the rows it is compared with are split into
+    parts of their series, so that one series holding most of the rows is worked
+    on by many tasks, and the parts' moments are combined at the end.
     """
     if metric_names is not None:
         metrics = metrics.where(F.col("metric_name").isin(*metric_names))
     recent = _with_series(until(since(metrics, as_of, lookback), as_of), series_key)
-    recent = recent.select("_series", *_POINT, labels_key("labels").alias("_label"))
+    recent = recent.select(
+        "_series", *_POINT, labels_key("labels").alias("_label")
+    ).withColumn("_part", F.pmod(F.xxhash64("timestamp", "_label"), F.lit(_PARTS)))
 
+    identity = ("timestamp", "_label", "metric_name")
     newest = recent.groupBy("_series").agg(
-        F.max(F.struct("timestamp", "_label", "metric_name", "metric_value")).alias("now")
+        F.max(F.struct(*identity, "metric_value")).alias("now")
     )
-    in_history = ~(
-        (F.col("timestamp") == F.col("now.timestamp"))
-        & F.col("_label").eqNullSafe(F.col("now._label"))
-        & (F.col("metric_name") == F.col("now.metric_name"))
+    every_part = newest.withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)).cast("array<long>"))
     )
-    past_value = F.when(in_history, F.col("metric_value"))
-    # The right side has one row per series; the size seen at run time decides
-    # whether it is broadcast, and a hot series is split by the skew join rule.
-    stats = (
-        recent.join(newest, "_series")
-        .groupBy("_series", "now")
-        .agg(
-            F.count(past_value).alias("history_count"),
-            F.avg(past_value).alias("mean_value"),
-            F.stddev_samp(past_value).alias("stdev_value"),
-        )
+    is_now = F.struct(*identity).eqNullSafe(F.struct(*[f"now.{c}" for c in identity]))
+    parts = (
+        recent.join(every_part, ["_series", "_part"])
+        .groupBy("_series", "_part", "now")
+        .agg(*_moments(F.when(~is_now, F.col("metric_value"))))
     )
-    points = stats.select(
+    some = F.when(F.col("n") > 0, F.struct(*_MOMENTS))
+    stats = parts.groupBy("_series", "now").agg(F.collect_list(some).alias("parts"))
+    points = _with_history(stats, "parts").select(
         *[F.col(f"now.{c}").alias(c) for c in _POINT],
         "history_count",
         "mean_value",
@@ -137,21 +186,6 @@ def _listed(report: DataFrame, metric_names: Sequence[str]) -> DataFrame:
     )
 
 
-def _merge_moments(acc: Column, x: Column) -> Column:
-    """Combine (n, mean, m2) of two disjoint sets without cancellation.
-
-    Equal values leave m2 at exactly 0, so a flat history is recognised as such.
-    """
-    n = acc["n"] + x["n"]
-    delta = x["mean"] - acc["mean"]
-    share = x["n"] / n
-    return F.struct(
-        n.alias("n"),
-        (acc["mean"] + delta * share).alias("mean"),
-        (acc["m2"] + x["m2"] + delta * delta * acc["n"] * share).alias("m2"),
-    )
-
-
 def backfill_anomalies(
     metrics: DataFrame,
     lookback: str | timedelta = "30 minutes",
@@ -175,12 +209,7 @@ def backfill_anomalies(
     points = _with_series(metrics, series_key).select(
         "_series", *_POINT, F.unix_micros("timestamp").alias("_us")
     )
-    value = F.col("metric_value")
-    instants = points.groupBy("_series", "_us").agg(
-        F.count(value).cast("double").alias("n"),
-        F.avg(value).alias("mean"),
-        (F.var_pop(value) * F.count(value)).alias("m2"),
-    )
+    instants = points.groupBy("_series", "_us").agg(*_moments(F.col("metric_value")))
 
     def block_of(us: Column) -> Column:
         return us - F.pmod(us, F.lit(block_us))
@@ -195,21 +224,12 @@ def backfill_anomalies(
         .orderBy("_us")
         .rangeBetween(-lookback_us, -1)
     )
-    empty = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")])
-    past = F.collect_list(F.struct("n", "mean", "m2")).over(frame)
-    history = (
+    past = F.collect_list(F.struct(*_MOMENTS)).over(frame)
+    history = _with_history(
         blocks.withColumn("_past", past)
         .where(F.col("_block") == F.col("_own"))
-        .select("_series", "_us", F.aggregate("_past", empty, _merge_moments).alias("h"))
-        .select(
-            "_series",
-            "_us",
-            F.col("h.n").cast("long").alias("history_count"),
-            F.when(F.col("h.n") > 0, F.col("h.mean")).alias("mean_value"),
-            F.when(F.col("h.n") > 1, F.sqrt(F.col("h.m2") / (F.col("h.n") - 1))).alias(
-                "stdev_value"
-            ),
-        )
+        .select("_series", "_us", "_past"),
+        "_past",
     )
     judged = _judged(
         points.join(history, ["_series", "_us"]), min_points, threshold
@@ -223,7 +243,8 @@ def new_only(
     keys: Sequence[str] = ("metric_name", "timestamp"),
 ) -> DataFrame:
     """Candidates whose key is not recorded yet."""
-    return candidates.join(existing.select(*keys), list(keys), "left_anti")
+    recorded = existing.select(*keys).distinct()
+    return candidates.join(recorded, list(keys), "left_anti")
 
 
 def mark_recorded(report: DataFrame, existing: DataFrame) -> DataFrame:

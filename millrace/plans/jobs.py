@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import instant, seconds_in
+from millrace.functions.time import until
 from millrace.operators.enrich import enrich, of_services
 from millrace.operators.export import Sender, publish, write_import_lines
 from millrace.operators.history import read_history, stamp, write_history
 from millrace.operators.kpis import bucket_sessions, to_metric_rows
 from millrace.operators.outliers import detect_anomalies, write_anomalies
+from millrace.operators.reports import product_metrics
 from millrace.schemas import METRIC_LABELS
 from millrace.sources.tables import read_raw_events, write_raw_events
 from millrace.sources.wire import conform_records
@@ -42,11 +44,25 @@ def kpi_metrics(
     )
 
 
-def load_job(records: DataFrame, raw_path: str, quarantine_path: str) -> None:
-    """Conform a batch of messages into the raw table, rejects into quarantine."""
+def load_job(
+    records: DataFrame, raw_path: str, quarantine_path: str | None = None
+) -> None:
+    """Conform a batch of messages into the raw table, rejects into quarantine.
+
+    Each target is one pass over the messages.
+    """
     wide, rejected = conform_records(records)
     write_raw_events(wide, raw_path)
-    rejected.write.mode("append").parquet(quarantine_path)
+    if quarantine_path is not None:
+        rejected.write.mode("append").parquet(quarantine_path)
+
+
+def product_job(
+    spark: SparkSession, raw_path: str, product_path: str, as_of: str | datetime
+) -> None:
+    """Store the all-time totals of the events before ``as_of``."""
+    events = enrich(until(read_raw_events(spark, raw_path), as_of))
+    write_history(product_metrics(events, as_of), product_path)
 
 
 def kpi_job(

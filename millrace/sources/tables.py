@@ -36,10 +36,17 @@ def stored_layout(df: DataFrame, *sort: str | Column) -> DataFrame:
 
     Range partitioning cuts a month that holds most of the rows into as many
     tasks as its size asks for, and leaves every file with a narrow range of the
-    sort key, which is what min/max skipping in the scan needs.
+    sort key, which is what min/max skipping in the scan needs.  Rows equal in
+    the whole sort key, even copies of one row, are told apart by the task they
+    come from; unlike a random salt that stays the same when a task is retried.
     """
     keys = [F.col(S.MONTH), *[F.col(c) if isinstance(c, str) else c for c in sort]]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return (
+        df.withColumn("_task", F.spark_partition_id())
+        .repartitionByRange(*keys, "_task")
+        .sortWithinPartitions(*keys)
+        .drop("_task")
+    )
 
 
 def write_raw_events(df: DataFrame, path: str) -> None:

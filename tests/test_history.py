@@ -122,3 +122,38 @@ def test_raw_table_prunes_months(spark, tmp_path):
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "event_month" in plan.split("PartitionFilters:")[1].split("]")[0]
     assert "GreaterThanOrEqual(timestamp" in plan
+
+
+def test_copies_of_one_event_are_spread_over_tasks(spark):
+    from millrace.sources.tables import stored_layout
+
+    month = F.lit("202401").alias("event_month")
+    copies = spark.range(0, 8000, 1, 8).select(F.lit(1).alias("timestamp"), month)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        laid = stored_layout(copies, "timestamp")
+        sizes = [
+            r["count"]
+            for r in laid.groupBy(F.spark_partition_id()).count().collect()
+        ]
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert sum(sizes) == 8000
+    assert max(sizes) < 4000
+
+
+def test_filters_pass_below_the_deduplication(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for start in ("2024-01-01 00:00:00", "2024-02-01 00:00:00"):
+        rows = m.stamp(points(spark, [1, 2], start=start), "2024-03-01 00:00:00")
+        m.write_history(rows, path, mode="append")
+    recent = m.since(
+        m.read_history(spark, path, deduplicate=True), "2024-02-01 00:10:00", "1 hour"
+    ).where("metric_name = 'm'")
+    assert recent.count() == 2
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "event_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    pushed = plan.split("PushedFilters: [")[1]
+    assert "GreaterThanOrEqual(timestamp" in pushed
+    assert "EqualTo(metric_name,m)" in pushed

@@ -91,3 +91,15 @@ def test_a_sender_needs_somewhere_to_report(spark, raw_table, tmp_path):
 def test_every_stored_schema(spark, raw_table):
     names = m.read_raw_events(spark, raw_table).schema.fieldNames()
     assert names == [*S.RAW_EVENT_SCHEMA.fieldNames(), S.MONTH]
+
+
+def test_product_job_feeds_the_product_metric_table(spark, raw_table, tmp_path):
+    path = str(tmp_path / "product")
+    for as_of in ("2024-01-15 00:00:00", "2024-01-31 00:00:00", "2024-01-31 00:00:00"):
+        m.product_job(spark, raw_table, path, as_of)
+    stored = m.read_history(spark, path)
+    counts = rows_of(m.metric_summary(stored), "metric_name", "data_points")
+    assert counts == [("cart_abandonment_rate", 2), ("conversion_rate", 2), ("gmv", 2)]
+    events = m.enrich(m.read_raw_events(spark, raw_table))
+    final = stored.where("metric_name = 'gmv'").agg(F.max("metric_value")).first()[0]
+    assert final == m.gmv_total(events).first()["metric_value"]

@@ -213,6 +213,44 @@ def test_points_of_one_time_share_their_history(spark):
     assert math.isclose(last["stdev_value"], statistics.stdev(past))
 
 
+def test_a_flat_history_of_uneven_groups_has_no_variance(spark):
+    # Three points of 0.1 average to something other than 0.1.
+    df = points(spark, [0.1] * 8, label="x")
+    for label in "yz":
+        df = df.unionByName(points(spark, [0.1] * 3, label=label))
+    df = df.unionByName(points(spark, [None] * 8 + [7.0], label="x"))
+    last = m.backfill_anomalies(df, with_status=True).orderBy(F.col("timestamp").desc())
+    assert last.first()["status"] == "no variance"
+    live = m.detect_anomalies(df, AS_OF, with_status=True).first()
+    assert (live["status"], live["history_count"]) == ("no variance", 14)
+
+
+def test_one_series_with_most_of_the_rows(spark):
+    hot = spark.range(40_000).select(
+        F.timestamp_seconds(1704067200 + F.col("id") % 1200).alias("timestamp"),
+        F.lit("hot").alias("metric_name"),
+        (F.col("id") % 101).cast("double").alias("metric_value"),
+        F.create_map(F.lit("id"), F.col("id").cast("string")).alias("labels"),
+    )
+    df = hot.unionByName(points(spark, SPIKE, "cold"))
+    rows = [r for r in hot.select(
+        F.unix_seconds("timestamp"), F.col("labels")["id"], "metric_value"
+    ).collect()]
+    rows.sort(key=lambda r: (r[0], '{"id":"%s"}' % r[1]))
+    past = [r[2] for r in rows[:-1]]
+    live = m.detect_anomalies(df, AS_OF, metric_names=("hot",), with_status=True).first()
+    assert (live["history_count"], live["metric_value"]) == (39_999, rows[-1][2])
+    assert math.isclose(live["mean_value"], statistics.fmean(past), rel_tol=1e-9)
+    assert math.isclose(live["stdev_value"], statistics.stdev(past), rel_tol=1e-9)
+
+    last = m.backfill_anomalies(df, with_status=True).orderBy(
+        F.col("metric_name").desc(), F.col("timestamp").desc()
+    ).first()
+    before = [r[2] for r in rows if r[0] < rows[-1][0]]
+    assert last["history_count"] == len(before)
+    assert math.isclose(last["stdev_value"], statistics.stdev(before), rel_tol=1e-9)
+
+
 def test_a_level_shift_far_away_does_not_blur_the_deviation(spark):
     values = [0.0] * 15 + [1e8 + 0.01 * (i % 2) for i in range(15)]
     got = backfilled(points(spark, values), lookback="6 minutes")
