@@ -13,67 +13,36 @@ from millrace import schemas as S
 from millrace.operators.export import to_kafka_records
 from millrace.session import configure
 
-# The funnel role of each test event type, and its topic.
-ROLES = {
-    "view": "page_view",
-    "signup": "product_click",
-    "click": "add_to_cart",
-    "purchase": "order_event",
-    "error": "error",
-}
-ROLE_TOPICS = {
-    "view": S.VIEW_TOPIC,
-    "signup": S.VIEW_TOPIC,
-    "click": S.CART_TOPIC,
-    "purchase": S.ORDER_TOPIC,
-    "error": S.VIEW_TOPIC,
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lookup(values: dict[str, str]):
-    expr = F
-    for kind, value in values.items():
-        expr = expr.when(F.col("event_type") == kind, F.lit(value))
-    return expr
-
-
 def as_raw(events: DataFrame) -> DataFrame:
     """``events`` rows (batch or stream) as wide raw events."""
-    kind = F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("long")
-    ts = F.col("ts").cast("timestamp")
-    purchase, click = kind == "purchase", kind == "click"
-    return events.select(
-        _lookup(ROLES).alias("event_type"),
+    return events.selectExpr(
+        """CASE event_type WHEN 'view' THEN 'page_view' WHEN 'signup' THEN 'product_click'
+        WHEN 'click' THEN 'add_to_cart' WHEN 'purchase' THEN 'order_event'
+        ELSE 'error' END AS event_type""",
         "user_id",
-        F.concat_ws(
-            "-", F.lit("session"), F.col("user_id"), F.date_format("ts", "yyyy-MM-dd")
-        ).alias("session_id"),
-        ts.alias("timestamp"),
-        F.when(kind == "view", " Home ")
-        .when(kind == "signup", "Product")
-        .otherwise("")
-        .alias("page"),
-        F.when(kind.isin("view", "signup", "click"), k)
-        .otherwise(F.lit(0))
-        .alias("product_id"),
-        F.when(click, "add_to_cart").otherwise("").alias("action"),
-        F.when(click, k).otherwise(F.lit(0)).alias("quantity"),
-        F.when(purchase, F.concat(F.lit(" o#"), F.col("event_id"), F.lit(" ")))
-        .otherwise("")
-        .alias("order_id"),
-        F.lit("").alias("cart_id"),
-        F.when(purchase, F.col("value").cast(S.AMOUNT))
-        .otherwise(F.lit(0).cast(S.AMOUNT))
-        .alias("amount"),
-        F.when(purchase, "Completed ").otherwise("").alias("status"),
-        _lookup(ROLE_TOPICS).alias("_topic"),
-        F.col("event_id").alias("_offset"),
+        """concat_ws('-', 'session', user_id, date_format(ts, 'yyyy-MM-dd'))
+        AS session_id""",
+        "CAST(ts AS TIMESTAMP) AS timestamp",
+        """CASE event_type WHEN 'view' THEN ' Home ' WHEN 'signup' THEN 'Product'
+        ELSE '' END AS page""",
+        """IF(event_type IN ('view', 'signup', 'click'),
+        CAST(get_json_object(props, '$.k') AS BIGINT), 0) AS product_id""",
+        "IF(event_type = 'click', 'add_to_cart', '') AS action",
+        """IF(event_type = 'click', CAST(get_json_object(props, '$.k') AS BIGINT), 0)
+        AS quantity""",
+        "IF(event_type = 'purchase', concat(' o#', event_id, ' '), '') AS order_id",
+        "'' AS cart_id",
+        """IF(event_type = 'purchase', CAST(value AS DECIMAL(10, 2)),
+        CAST(0 AS DECIMAL(10, 2))) AS amount""",
+        "IF(event_type = 'purchase', 'Completed ', '') AS status",
+        """CASE event_type WHEN 'click' THEN 'cart-events'
+        WHEN 'purchase' THEN 'order-events' ELSE 'page-views' END AS _topic""",
+        "event_id AS _offset",
     )
 
 

@@ -31,7 +31,10 @@ def has_bit(mask: Column | str, bit: int) -> Column:
 
 
 def order_amount() -> Column:
-    return F.when(F.col("service_source") == S.ORDER_SERVICE, F.col("amount"))
+    """Amount of an order row.  Enriched amounts are below the guard, so the cast
+    is exact; on other input it fails rather than lose digits."""
+    amount = F.col("amount").cast(S.GUARDED_AMOUNT)
+    return F.when(F.col("service_source") == S.ORDER_SERVICE, amount)
 
 
 def count_sessions() -> list[Column]:

@@ -172,9 +172,8 @@ def detect_anomalies(
 
 def _listed(report: DataFrame, metric_names: Sequence[str]) -> DataFrame:
     """Add a row for every named metric that has no point in the lookback."""
-    names = report.sparkSession.createDataFrame(
-        [(n,) for n in metric_names], "metric_name string"
-    )
+    listed = F.array(*[F.lit(n) for n in metric_names])
+    names = report.sparkSession.range(1).select(F.explode(listed).alias("metric_name"))
     full = names.join(report, "metric_name", "left")
     return full.select(
         *_POINT,

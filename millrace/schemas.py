@@ -41,6 +41,9 @@ SERVICE_EVENTS = {
 TOPICS = {"views": VIEW_TOPIC, "carts": CART_TOPIC, "orders": ORDER_TOPIC}
 
 AMOUNT = T.DecimalType(10, 2)
+# Holds every amount below AMOUNT_LIMIT; sums of it stay within 64 bits, which
+# halves the aggregation state of a session.
+GUARDED_AMOUNT = T.DecimalType(8, 2)
 LABELS = T.MapType(T.StringType(), T.StringType(), False)
 
 # Envelope of one message, as Spark's Kafka source delivers it.

@@ -23,10 +23,25 @@ STREAMING_SETTINGS = {
 }
 
 
+# How many shuffle partitions adaptive execution starts from before merging the
+# small ones.  It can merge but, skewed joins aside, not split, so Spark's default
+# of 200 would fix the partition size of the largest jobs.
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+DEFAULT_PARTITIONS = 200
+PARTITIONS_PER_CORE = 4
+
+
 def configure(spark: SparkSession, streaming: bool = False) -> SparkSession:
-    """Apply the library's runtime settings to an existing session."""
+    """Apply the library's runtime settings to an existing session.
+
+    A number of shuffle partitions chosen by the user is left alone.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism
+    if planned == DEFAULT_PARTITIONS < wanted:
+        spark.conf.set(INITIAL_PARTITIONS, wanted)
     if streaming:
         for key, value in STREAMING_SETTINGS.items():
             spark.conf.set(key, value)

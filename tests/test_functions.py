@@ -1,9 +1,11 @@
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import (
     bounded,
+    bucket_start,
     classify,
     instant,
     labels_key,
@@ -85,6 +87,26 @@ def test_seconds_in():
     assert seconds_in(timedelta(minutes=2)) == 120
 
 
+@pytest.mark.parametrize(
+    "bucket, start",
+    [
+        ("minute", "2024-01-31 23:47:00"),
+        ("15 minutes", "2024-01-31 23:45:00"),
+        ("hour", "2024-01-31 23:00:00"),
+        ("day", "2024-01-31 00:00:00"),
+    ],
+)
+def test_bucket_start(spark, bucket, start):
+    inside = instant("2024-01-31 23:47:12.345678")
+    assert one(spark, bucket_start(inside, bucket)).timestamp() == at(start).timestamp()
+    early = F.timestamp_seconds(F.lit(-1))
+    length = seconds_in(bucket)
+    assert one(spark, F.unix_seconds(bucket_start(early, bucket))) == -length
+    if " " not in bucket:
+        same = F.date_trunc(bucket, inside) == bucket_start(inside, bucket)
+        assert one(spark, same)
+
+
 def test_month_of(spark):
     assert one(spark, month_of(instant("2024-01-31 23:59:59"))) == "202401"
 

@@ -147,3 +147,17 @@ def test_a_hot_session_and_a_hot_bucket(spark):
     row = m.bucket_sessions(hot).first()
     assert row["gmv"] == Decimal("30000.00")
     assert row["viewing_sessions"] == 251 and row["order_sessions"] == 251
+
+
+def test_buckets_of_any_length(spark):
+    rows = sum(
+        (session_rows(f"s{i}", VIEW, time=f"2024-01-01 00:{i:02}:00") for i in range(60)),
+        [],
+    )
+    got = rows_of(buckets(spark, rows, bucket="15 minutes"), F.minute("bucket"), COUNTS[0])
+    assert got == [(0, 15), (15, 15), (30, 15), (45, 15)]
+
+
+def test_sums_of_the_largest_amounts_are_exact(spark):
+    rows = [{**ORDER, "amount": Decimal("99999.99")}] * 50
+    assert buckets(spark, rows).first()["gmv"] == Decimal("4999999.50")
