@@ -56,6 +56,7 @@ from millrace.plans.jobs import (
     load_job,
     product_job,
 )
+from millrace.plans.views import register_views
 from millrace.session import configure, scratch_dir
 from millrace.sources.tables import (
     read_anomalies,
@@ -73,4 +74,69 @@ from millrace.streaming.detect import detect_stream
 from millrace.streaming.ingest import ingest_stream, quarantine_stream
 from millrace.streaming.kpi import bucket_sessions_stream, kpi_stream
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "backfill_anomalies",
+    "bounded",
+    "bucket_sessions",
+    "bucket_sessions_stream",
+    "cart_abandonment_literal",
+    "cart_abandonment_sessions",
+    "classify",
+    "configure",
+    "conform_carts",
+    "conform_orders",
+    "conform_records",
+    "conform_views",
+    "conversion_rate_total",
+    "current_points",
+    "delivery_report",
+    "detect_anomalies",
+    "detect_stream",
+    "detection_job",
+    "enrich",
+    "event_source_counts",
+    "events_by_month",
+    "gmv_total",
+    "http_sender",
+    "import_payload",
+    "ingest_stream",
+    "kpi_job",
+    "kpi_metrics",
+    "kpi_stream",
+    "latest_points",
+    "load_job",
+    "mark_recorded",
+    "metric_series",
+    "metric_span",
+    "metric_summary",
+    "new_only",
+    "panel_series",
+    "parse_json",
+    "product_job",
+    "product_metrics",
+    "publish",
+    "publish_events",
+    "quarantine_stream",
+    "read_anomalies",
+    "read_events",
+    "read_history",
+    "read_raw_events",
+    "read_table",
+    "recent_points",
+    "register_views",
+    "scratch_dir",
+    "series_range",
+    "session_funnel",
+    "since",
+    "stamp",
+    "to_kafka_records",
+    "to_metric_rows",
+    "topic_counts",
+    "union_events",
+    "upsert_history",
+    "with_event_month",
+    "write_anomalies",
+    "write_history",
+    "write_import_lines",
+    "write_raw_events",
+]

@@ -200,7 +200,8 @@ def backfill_anomalies(
     on independently; each also receives the lookback preceding it.  Rows that
     share a series and a time are first combined into their moments: what a
     block's window sorts is one row per distinct time, however many label sets,
-    and however many points, one series holds.
+    and however many points, one series holds.  For bucketed metrics that is
+    ``block / bucket`` rows, and ``lookback / bucket`` of them per judged point.
     """
     lookback_us = seconds_in(lookback) * 1_000_000
     block_us = max(seconds_in(block) * 1_000_000, lookback_us)

@@ -204,7 +204,11 @@ def series_range(
     start: str | datetime | Column,
     end: str | datetime | Column,
 ) -> DataFrame:
-    """One metric's points from ``start`` to ``end``, both included, by time."""
+    """One metric's points from ``start`` to ``end``, both included, by time.
+
+    Labels break ties, so that many points of one time can still be sorted by
+    many tasks.
+    """
     lower, upper = instant(start), instant(end)
     kept = metrics.where(
         (F.col("metric_name") == metric_name)
@@ -212,7 +216,7 @@ def series_range(
     )
     if S.MONTH in metrics.columns:
         kept = kept.where(F.col(S.MONTH).between(month_of(lower), month_of(upper)))
-    return kept.orderBy("timestamp")
+    return kept.orderBy("timestamp", labels_key("labels"))
 
 
 def panel_series(
@@ -224,5 +228,5 @@ def panel_series(
     """The points every dashboard panel shows, all panels in one scan."""
     shown = until(since(metrics, as_of, interval), as_of)
     return shown.where(F.col("metric_name").isin(*names)).orderBy(
-        "metric_name", "timestamp"
+        "metric_name", "timestamp", labels_key("labels")
     )

@@ -53,9 +53,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
     Only a local session without ``spark.checkpoint.dir`` gets a temporary folder.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

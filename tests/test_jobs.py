@@ -103,3 +103,25 @@ def test_product_job_feeds_the_product_metric_table(spark, raw_table, tmp_path):
     events = m.enrich(m.read_raw_events(spark, raw_table))
     final = stored.where("metric_name = 'gmv'").agg(F.max("metric_value")).first()[0]
     assert final == m.gmv_total(events).first()["metric_value"]
+
+
+def test_views_answer_ad_hoc_sql(spark, raw_table, tmp_path):
+    history, product, anomalies = (str(tmp_path / n) for n in ("h", "p", "a"))
+    as_of = "2024-01-20 12:30:00"
+    m.kpi_job(spark, raw_table, history, as_of, lookback="72 hours", bucket="hour")
+    m.product_job(spark, raw_table, product, as_of)
+    m.register_views(spark, raw_table, history, product, anomalies)
+    by_topic = spark.sql("SELECT _topic, count(*) FROM raw_events GROUP BY _topic")
+    assert rows_of(by_topic) == rows_of(m.topic_counts(m.read_raw_events(spark, raw_table)))
+    funnel = spark.sql(
+        """SELECT count(DISTINCT session_id) FROM enriched_events
+        WHERE service_source = 'view_service'"""
+    )
+    events = m.enrich(m.read_raw_events(spark, raw_table))
+    assert funnel.first()[0] == m.session_funnel(events).first()["sessions_with_views"]
+    assert spark.sql("SELECT count(*) FROM product_metrics").first()[0] == 3
+    assert spark.sql("SELECT count(*) FROM anomalies").first()[0] == 0
+    newest = spark.sql("SELECT max(timestamp) FROM historical_metrics").first()[0]
+    assert newest == m.metric_span(m.read_history(spark, history)).agg(
+        F.max("last_point")
+    ).first()[0]
