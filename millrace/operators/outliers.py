@@ -16,7 +16,7 @@ from millrace import schemas as S
 from millrace.functions import instant, labels_key, seconds_in, since
 from millrace.functions.time import until
 from millrace.operators.conform import with_event_month
-from millrace.sources.tables import read_anomalies
+from millrace.sources.tables import read_anomalies, stored_layout
 
 INSUFFICIENT = "insufficient"
 NO_VARIANCE = "no variance"
@@ -276,10 +276,10 @@ def write_anomalies(df: DataFrame, path: str) -> int:
         try:
             added = fresh.count()
             if added:
-                # Few rows per month: clustering by month keeps one file each,
-                # and rebalancing splits a month that turns out large.
-                fresh.hint("rebalance", F.col(S.MONTH)).select(
-                    *S.ANOMALY_SCHEMA.fieldNames(), S.MONTH
+                stored_layout(
+                    fresh.select(*S.ANOMALY_SCHEMA.fieldNames(), S.MONTH),
+                    [S.MONTH],
+                    ["metric_name", "timestamp"],
                 ).write.mode("append").partitionBy(S.MONTH).parquet(path)
             return added
         finally:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import schemas as S
-from millrace.functions import labels_key
+from millrace.functions import bucket_start, labels_key
 from millrace.operators.conform import with_event_month
 
 
@@ -31,31 +31,34 @@ def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, S.ANOMALY_SCHEMA)
 
 
-def stored_layout(df: DataFrame, *sort: str | Column) -> DataFrame:
-    """Rows ordered by month and ``sort``, in tasks of even size.
+def stored_layout(
+    df: DataFrame, together: list[str | Column], sort: list[str | Column]
+) -> DataFrame:
+    """Rows that share ``together`` brought into one file, ordered by ``sort``.
 
-    Range partitioning cuts a month that holds most of the rows into as many
-    tasks as its size asks for, and leaves every file with a narrow range of the
-    sort key, which is what min/max skipping in the scan needs.  Rows equal in
-    the whole sort key, even copies of one row, are told apart by the task they
-    come from; unlike a random salt that stays the same when a task is retried.
+    A rebalancing shuffle: adaptive execution sees the real sizes, splits what is
+    too large between tasks, be it one month, one hour or copies of one row, and
+    merges what is too small.  Unlike range partitioning it does not compute the
+    input a first time to sample it.
     """
-    keys = [F.col(S.MONTH), *[F.col(c) if isinstance(c, str) else c for c in sort]]
-    return (
-        df.withColumn("_task", F.spark_partition_id())
-        .repartitionByRange(*keys, "_task")
-        .sortWithinPartitions(*keys)
-        .drop("_task")
-    )
+    return df.hint("rebalance", *together).sortWithinPartitions(S.MONTH, *sort)
 
 
 def write_raw_events(df: DataFrame, path: str) -> None:
-    """Append wide event rows, clustered by time for lookback scans."""
+    """Append wide event rows, an hour to a file or less, ordered by time.
+
+    A lookback then skips most files and row groups by their time range.
+    """
+    hour = bucket_start("timestamp", "hour")
     stored_layout(
-        with_event_month(df), "timestamp", "session_id", "user_id", "event_type"
-    ).write.mode("append").partitionBy(S.MONTH).parquet(path)
+        with_event_month(df).withColumn("_hour", hour),
+        ["_hour"],
+        ["timestamp", "session_id", "user_id", "event_type"],
+    ).drop("_hour").write.mode("append").partitionBy(S.MONTH).parquet(path)
 
 
 def metric_layout(df: DataFrame) -> DataFrame:
     """Metric rows in the order series reads want: by name, then by time."""
-    return stored_layout(df, "metric_name", "timestamp", labels_key("labels"))
+    return stored_layout(
+        df, [S.MONTH], ["metric_name", "timestamp", labels_key("labels")]
+    )

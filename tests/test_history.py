@@ -124,23 +124,26 @@ def test_raw_table_prunes_months(spark, tmp_path):
     assert "GreaterThanOrEqual(timestamp" in plan
 
 
-def test_copies_of_one_event_are_spread_over_tasks(spark):
-    from millrace.sources.tables import stored_layout
-
-    month = F.lit("202401").alias("event_month")
-    copies = spark.range(0, 8000, 1, 8).select(F.lit(1).alias("timestamp"), month)
-    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(coalesce, "false")
+def test_one_hot_hour_is_written_by_many_tasks(spark, tmp_path):
+    one = raw(spark, [{}])
+    columns = {
+        f.name: F.lit(v).cast(f.dataType)
+        for f, v in zip(S.RAW_EVENT_SCHEMA, one.first(), strict=True)
+    }
+    columns["session_id"] = F.sha2(F.col("id").cast("string"), 256)
+    hot = spark.range(0, 80_000, 1, 8).select(
+        *[column.alias(name) for name, column in columns.items()]
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "256KB")
     try:
-        laid = stored_layout(copies, "timestamp")
-        sizes = [
-            r["count"]
-            for r in laid.groupBy(F.spark_partition_id()).count().collect()
-        ]
+        m.write_raw_events(hot, str(tmp_path / "raw"))
     finally:
-        spark.conf.set(coalesce, "true")
-    assert sum(sizes) == 8000
-    assert max(sizes) < 4000
+        spark.conf.unset(size)
+    table = m.read_raw_events(spark, str(tmp_path / "raw"))
+    per_file = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == 80_000
+    assert len(per_file) > 4 and max(per_file) < 40_000
 
 
 def test_filters_pass_below_the_deduplication(spark, tmp_path):
