@@ -36,70 +36,46 @@ def _with_series(metrics: DataFrame, series_key: Sequence[str]) -> DataFrame:
     )
 
 
-_MOMENTS = ("n", "mean", "m2", "lo", "hi")
-
 # Parts into which the rows of one series are split for its statistics.
 _PARTS = 32
 
+# What a history is reduced to: the number of its values, sums of their distances
+# from a center and of the squared distances, and their range.
+_SUMS = ("n", "center", "s1", "s2", "lo", "hi")
 
-def _moments(value: Column) -> list[Column]:
-    """Aggregates from which statistics of a union of groups can be made."""
-    return [
-        F.count(value).cast("double").alias("n"),
-        F.avg(value).alias("mean"),
-        (F.var_pop(value) * F.count(value)).alias("m2"),
-        F.min(value).alias("lo"),
-        F.max(value).alias("hi"),
-    ]
-
-
-def _merge_moments(acc: Column, x: Column) -> Column:
-    """Combine the moments of two disjoint groups, without cancellation."""
-    n = acc["n"] + x["n"]
-    delta = x["mean"] - acc["mean"]
-    share = x["n"] / n
-    return F.struct(
-        n.alias("n"),
-        (acc["mean"] + delta * share).alias("mean"),
-        (acc["m2"] + x["m2"] + delta * delta * acc["n"] * share).alias("m2"),
-        F.least(acc["lo"], x["lo"]).alias("lo"),
-        F.greatest(acc["hi"], x["hi"]).alias("hi"),
-    )
 
+def _judged(df: DataFrame, min_points: int, threshold: float) -> DataFrame:
+    """Replace the history's sums by its statistics, z-score and status.
 
-def _with_history(df: DataFrame, groups: str) -> DataFrame:
-    """Replace an array of moments, one entry per group, by their statistics."""
-    empty = F.struct(
-        *[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")],
-        *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi")],
-    )
-    total, n = F.col("_total"), F.col("_total.n")
-    # Means of equal values may differ in their last digit; their range does not.
-    deviation = F.when(total["lo"] == total["hi"], 0.0).otherwise(
-        F.sqrt(total["m2"] / (n - 1))
-    )
-    return (
-        df.withColumn("_total", F.aggregate(groups, empty, _merge_moments))
-        .withColumn("history_count", n.cast("long"))
-        .withColumn("mean_value", F.when(n > 0, total["mean"]))
-        .withColumn("stdev_value", F.when(n > 1, deviation))
-        .drop(groups, "_total")
+    The center is a value of the history no further from the mean than about one
+    deviation, so the subtraction below loses one bit at most; and with values
+    that are exact in binary nothing is rounded before the final division, which
+    keeps a z of exactly the threshold from being flagged.
+    """
+    n, center, s1, s2, lo, hi = (F.col(c) for c in _SUMS)
+    variance = F.try_divide(F.greatest(n * s2 - s1 * s1, F.lit(0.0)), n * (n - 1))
+    flat = lo == hi
+    counted = (
+        df.withColumn("history_count", n.cast("long"))
+        .withColumn("mean_value", center + F.try_divide(s1, n))
+        .withColumn(
+            "stdev_value", F.when(n > 1, F.when(flat, 0.0).otherwise(F.sqrt(variance)))
+        )
     )
-
-
-def _judged(df: DataFrame, min_points: int, threshold: float) -> DataFrame:
-    """Add z-score and status from ``history_count``, mean and deviation."""
-    value, mean, sd = (F.col(c) for c in ("metric_value", "mean_value", "stdev_value"))
+    sd = F.col("stdev_value")
     enough = F.col("history_count") >= F.lit(min_points - 1)
     varied = F.coalesce(sd > 0, F.lit(False))
-    z = F.when(enough & varied, F.abs((value - mean) / sd))
+    distance = F.abs(n * (F.col("metric_value") - center) - s1)
+    z = F.col("z_score")
     status = (
         F.when(~enough, INSUFFICIENT)
         .when(~varied, NO_VARIANCE)
         .when(z > F.lit(threshold), ANOMALY)
         .otherwise(NORMAL)
     )
-    return df.withColumn("z_score", z).withColumn("status", status)
+    return counted.withColumn(
+        "z_score", F.when(enough & varied, F.try_divide(distance, n * sd))
+    ).withColumn("status", status)
 
 
 def _report(df: DataFrame, with_status: bool, detected_at: Column) -> DataFrame:
@@ -133,7 +109,7 @@ def detect_anomalies(
     All series are handled by one plan, and there may be very few of them.  The
     newest point is a plain maximum; the rows it is compared with are split into
     parts of their series, so that one series holding most of the rows is worked
-    on by many tasks, and the parts' moments are combined at the end.
+    on by many tasks, and the parts' sums are added up at the end.
     """
     if metric_names is not None:
         metrics = metrics.where(F.col("metric_name").isin(*metric_names))
@@ -144,25 +120,33 @@ def detect_anomalies(
 
     identity = ("timestamp", "_label", "metric_name")
     newest = recent.groupBy("_series").agg(
-        F.max(F.struct(*identity, "metric_value")).alias("now")
+        F.max(F.struct(*identity, "metric_value")).alias("now"),
+        # The median is never further from the mean than one deviation.
+        F.percentile_approx("metric_value", 0.5).alias("center"),
     )
     every_part = newest.withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)).cast("array<long>"))
     )
     is_now = F.struct(*identity).eqNullSafe(F.struct(*[f"now.{c}" for c in identity]))
+    past = F.when(~is_now, F.col("metric_value"))
+    away = past - F.col("center")
     parts = (
         recent.join(every_part, ["_series", "_part"])
-        .groupBy("_series", "_part", "now")
-        .agg(*_moments(F.when(~is_now, F.col("metric_value"))))
+        .groupBy("_series", "_part", "now", "center")
+        .agg(
+            F.count(past).cast("double").alias("n"),
+            F.sum(away).alias("s1"),
+            F.sum(away * away).alias("s2"),
+            F.min(past).alias("lo"),
+            F.max(past).alias("hi"),
+        )
     )
-    some = F.when(F.col("n") > 0, F.struct(*_MOMENTS))
-    stats = parts.groupBy("_series", "now").agg(F.collect_list(some).alias("parts"))
-    points = _with_history(stats, "parts").select(
-        *[F.col(f"now.{c}").alias(c) for c in _POINT],
-        "history_count",
-        "mean_value",
-        "stdev_value",
+    stats = parts.groupBy("_series", "now", "center").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s1", "s2")],
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
     )
+    points = stats.select(*[F.col(f"now.{c}").alias(c) for c in _POINT], *_SUMS)
     judged = _judged(points, min_points, threshold)
     report = _report(judged, with_status, instant(as_of))
     if with_status and metric_names is not None:
@@ -198,7 +182,7 @@ def backfill_anomalies(
 
     There may be only three series, so time is cut into blocks that are worked
     on independently; each also receives the lookback preceding it.  Rows that
-    share a series and a time are first combined into their moments: what a
+    share a series and a time are first combined into one: what a
     block's window sorts is one row per distinct time, however many label sets,
     and however many points, one series holds.  For bucketed metrics that is
     ``block / bucket`` rows, and ``lookback / bucket`` of them per judged point.
@@ -209,7 +193,14 @@ def backfill_anomalies(
     points = _with_series(metrics, series_key).select(
         "_series", *_POINT, F.unix_micros("timestamp").alias("_us")
     )
-    instants = points.groupBy("_series", "_us").agg(*_moments(F.col("metric_value")))
+    value = F.col("metric_value")
+    instants = points.groupBy("_series", "_us").agg(
+        F.count(value).cast("double").alias("n"),
+        F.avg(value).alias("mean"),
+        (F.var_pop(value) * F.count(value)).alias("m2"),
+        F.min(value).alias("lo"),
+        F.max(value).alias("hi"),
+    )
 
     def block_of(us: Column) -> Column:
         return us - F.pmod(us, F.lit(block_us))
@@ -224,12 +215,35 @@ def backfill_anomalies(
         .orderBy("_us")
         .rangeBetween(-lookback_us, -1)
     )
-    past = F.collect_list(F.struct(*_MOMENTS)).over(frame)
-    history = _with_history(
+    past = F.collect_list(F.struct("n", "mean", "m2", "lo", "hi")).over(frame)
+    kept = ("_series", "_us")
+    history = (
         blocks.withColumn("_past", past)
         .where(F.col("_block") == F.col("_own"))
-        .select("_series", "_us", "_past"),
-        "_past",
+        .selectExpr(
+            *kept,
+            "_past",
+            "aggregate(_past, 0D, (sum, x) -> sum + x.n) AS n",
+            "aggregate(_past, 0D, (sum, x) -> sum + x.n * x.mean) AS total",
+        )
+        # The value nearest to the mean is no further from it than one deviation.
+        .selectExpr(
+            *kept,
+            "_past",
+            "n",
+            """array_min(transform(_past, x ->
+            struct(abs(x.mean - try_divide(total, n)), x.mean AS mean))).mean AS center""",
+        )
+        .selectExpr(
+            *kept,
+            "n",
+            "center",
+            "aggregate(_past, 0D, (sum, x) -> sum + x.n * (x.mean - center)) AS s1",
+            """aggregate(_past, 0D, (sum, x) ->
+            sum + x.m2 + x.n * (x.mean - center) * (x.mean - center)) AS s2""",
+            "array_min(_past.lo) AS lo",
+            "array_max(_past.hi) AS hi",
+        )
     )
     judged = _judged(
         points.join(history, ["_series", "_us"]), min_points, threshold

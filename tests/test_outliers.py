@@ -45,12 +45,37 @@ def test_gates(spark, values, expected):
     assert status(spark, values)["status"] == expected
 
 
-def test_the_threshold_itself_is_not_an_anomaly(spark):
-    # Mean 0 and sample variance 4 / (5 - 1): a deviation of exactly 1.
-    exact = [1, -1, 1, -1, 0, 2]
-    row = status(spark, exact)
-    assert (row["z_score"], row["status"]) == (2.0, "normal")
-    assert status(spark, exact, threshold=1.99)["status"] == "anomaly"
+# Histories with an exact deviation d and mean m, followed by a point at m + 2d.
+EXACT = [
+    [1, -1, 1, -1, 0, 2],
+    [101, 99, 101, 99, 100, 102],
+    [2, 4, 4, 4, 5, 5, 7, 9, 5, 5, 9],
+    [-3, 3, -3, 3, 3, -3, 0, 0, 0, 0, 6],
+    [0.25, 0.75, 0.25, 0.75, 0.5, 1.0],
+]
+
+
+@pytest.mark.parametrize("values", EXACT)
+def test_the_threshold_itself_is_not_an_anomaly(spark, values):
+    from fractions import Fraction
+
+    past = [Fraction(v) for v in values[:-1]]
+    mean = sum(past) / len(past)
+    sd = math.sqrt(sum((v - mean) ** 2 for v in past) / (len(past) - 1))
+    exactly = abs(Fraction(values[-1]) - mean) / Fraction(sd) == 2
+    want = "normal" if exactly or abs(values[-1] - float(mean)) / sd < 2 else "anomaly"
+    row = status(spark, values)
+    assert row["status"] == want
+    assert not exactly or row["z_score"] == 2.0
+    last = m.backfill_anomalies(points(spark, values), with_status=True).orderBy(
+        F.col("timestamp").desc()
+    )
+    assert last.first()["z_score"] == row["z_score"]
+    assert last.first()["status"] == want
+
+
+def test_a_lower_threshold_flags_the_same_point(spark):
+    assert status(spark, EXACT[0], threshold=1.99)["status"] == "anomaly"
 
 
 def test_lookback_and_as_of_bound_the_window(spark):
