@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from checks.queries import QUERIES  # noqa: E402
+from millrace.session import ensure_shared_folder  # noqa: E402
 
 HEADLINE = (
     "conform_records",
@@ -48,6 +49,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(spark)
     spark.range(1000).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:

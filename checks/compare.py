@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from millrace.session import ensure_shared_folder
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -65,6 +66,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(spark)
     db = connect(sf_dir)
     failed = 0
     for name in names:

@@ -52,14 +52,32 @@ def configure(spark: SparkSession, streaming: bool = False) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder path under the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that the driver and all executors share, if the session names one."""
+    chosen = spark.conf.get("spark.checkpoint.dir", None)
+    if not chosen:
+        context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        chosen = context.get() if context.isDefined() else None
+    return chosen
+
+
+def ensure_shared_folder(spark: SparkSession) -> SparkSession:
+    """Give a local session without a shared folder one of its own.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary folder.
+    For programs that start the work (tests, the registered queries).  On a cluster
+    the folder has to be named in ``spark.checkpoint.dir``.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+    if not shared_folder(spark):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return spark
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder path under the shared folder; fails if there is none."""
+    shared = shared_folder(spark)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
