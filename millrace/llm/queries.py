@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from millrace.llm.bpe import with_tokens
 from millrace.llm.common import read_table
 from millrace.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# The vocabulary is a file outside the repository; its place is a parameter.
+RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return with_tokens(docs, RANK_FILE, public_tokenizers.PATTERN)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return simhash_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 

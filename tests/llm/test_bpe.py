@@ -1,0 +1,109 @@
+"""Encoding and decoding against the public library of the rank files."""
+
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import bpe
+from millrace.llm.queries import QUERIES
+from tests.conftest import SF_SMALL
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = bpe.Vocabulary.load(PATH)
+LIBRARY = tiktoken.Encoding(
+    "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=VOCABULARY.ranks,
+    special_tokens={},
+)
+TEXTS = [
+    None, "", " ", "\n\n  x\t", "don't I'll we've", "naïve café 東京 🎉🎉", "a" * 3000,
+    "x y z \x1c\x1d\x85 ​", "<|endoftext|>", "ab" * 500 + " 1234567",
+    "\x00\x01", "The the THE", "İstanbul ǅ ß", "word " * 5000,
+]
+
+
+def ours(texts, size=bpe.UNIT_WORDS):
+    out = [[] for _ in texts]
+    encoder = bpe.Encoder(VOCABULARY)
+    for row, ids in bpe.encode_texts(texts, encoder, public_tokenizers.PATTERN, size):
+        out[row] += ids
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, bpe.UNIT_WORDS])
+def test_special_texts(size):
+    assert ours(TEXTS, size) == [LIBRARY.encode_ordinary(t or "") for t in TEXTS]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=6))
+def test_any_text(texts):
+    got = ours(texts, 5)
+    assert got == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert [VOCABULARY.decode(x) for x in got] == [t.encode() for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=14).map(
+    lambda b: bytes(97 + x % 3 for x in b)), max_size=5, unique=True),
+    st.permutations([a + b for a in ("a", "b", "c", "ab", "bc", "aa", "ca")
+                     for b in ("a", "b", "c", "ab", "cc")]))
+def test_merges_in_any_order_of_ranks(words, order):
+    """Ranks in no natural order: a merge may make a pair of lower rank."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for token in order:
+        ranks.setdefault(token.encode(), len(ranks))
+    vocabulary = bpe.Vocabulary(ranks)
+    got = bpe.replay_merges(words, vocabulary)
+    for word, ids in zip(words, got, strict=True):
+        assert ids == alone(word, ranks)
+
+
+def alone(word, ranks):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        best = min(
+            ((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:]))
+             if a + b in ranks),
+            default=None,
+        )
+        if best is None:
+            return [ranks[p] for p in parts]
+        i = best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_query_equals_the_library(spark):
+    got = {r.doc_id: r for r in QUERIES["op1_byte_bpe"](spark, SF_SMALL).collect()}
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for doc in docs:
+        ids = LIBRARY.encode_ordinary(doc.text or "")
+        row = got[doc.doc_id]
+        assert row.n_tokens == len(ids)
+        joined = " ".join(map(str, ids)).encode()
+        assert row.ids_sha256 == hashlib.sha256(joined).hexdigest()
+        want = hashlib.sha256((doc.text or "").encode()).hexdigest()
+        assert row.decoded_sha256 == want
+
+
+def test_edge_rows(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (2, "", "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = bpe.with_tokens(frame, PATH, public_tokenizers.PATTERN, ids=True)
+    found = sorted(((r.doc_id, r.n_tokens, r.ids) for r in got.collect()), key=repr)
+    two = LIBRARY.encode_ordinary("a b")
+    want = [(1, 2, two), (1, 2, two), (2, 0, []), (None, 0, [])]
+    assert found == sorted(want, key=repr)
+    texts = bpe.decode_column(got, PATH).select("decoded").collect()
+    assert sorted(bytes(r.decoded) for r in texts) == [b"", b"", b"a b", b"a b"]
+    empty = bpe.with_tokens(frame.limit(0), PATH, public_tokenizers.PATTERN)
+    assert empty.collect() == []
+
+
+def test_a_vocabulary_needs_all_bytes():
+    with pytest.raises(ValueError):
+        bpe.Vocabulary({b"a": 0})
