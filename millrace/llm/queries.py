@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe import with_tokens
 from millrace.llm.common import read_table
 from millrace.llm.simhash import simhash_components
+from millrace.llm.suffix import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tokens(docs, RANK_FILE, public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return without_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return simhash_components(docs).select("doc_id", "fingerprint", "component_id")
@@ -30,6 +38,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 

@@ -1,0 +1,102 @@
+"""Repeated substrings against a table of all substrings."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import suffix
+from millrace.llm.queries import QUERIES
+from tests.conftest import SF_SMALL
+
+
+def plain(texts, length):
+    """(n_bytes, n_removed, n_spans, kept) by counting every substring."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in raw for i in range(len(d) - length + 1))
+    out = []
+    for d in raw:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.append((len(d), len(d) - len(kept), runs, kept))
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    got = {r.doc_id: r for r in QUERIES["op4_suffix_dedup"](spark, SF_SMALL).collect()}
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    want = plain([d.text for d in docs], 400)
+    assert len(got) == len(docs)
+    assert sum(w[1] > 0 for w in want) > 20
+    for doc, (size, removed, runs, kept) in zip(docs, want):
+        row = got[doc.doc_id]
+        assert (row.n_bytes, row.n_removed, row.n_spans) == (size, removed, runs)
+        assert row.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def checked(spark, rows, length, gram):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = suffix.without_repeats(frame, length=length, gram=gram).collect()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got]
+    want = [(i, *w) for (i, _, _), w in zip(rows, plain([t for _, t, _ in rows], length))]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("unit", [50, 1 << 21])
+def test_shared_pieces_at_all_edges(spark, monkeypatch, unit):
+    monkeypatch.setattr(suffix, "UNIT_BYTES", unit)
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    pools = [make(rng.randrange(10, 60)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        text = ""
+        for _ in range(rng.randrange(5)):
+            piece = rng.choice(pools)
+            a, b = rng.randrange(12), rng.randrange(12)
+            text += make(rng.randrange(8)) + piece[a : len(piece) - b]
+        rows.append((i % 140, text, "x"))
+    rows += [(None, None, None), (None, "", "y"), (1, "aaaa" * 30, None),
+             (2, "ab" * 60, "z"), (None, pools[0] * 2, "x"), (3, make(19), "x")]
+    rows += [rows[7], rows[7]]
+    checked(spark, rows, 20, 6)
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix.without_repeats(frame).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=9, max_size=60), min_size=1, max_size=5))
+def test_anchors_stand_for_all_windows(texts):
+    pieces = [t.encode() for t in texts]
+    found = suffix.anchors(pieces, 9, 4)
+    windows = {}
+    for k, at, low, n in zip(*(found[c].tolist() for c in ("piece", "at", "low", "n"))):
+        for start in range(low, low + n):
+            assert (k, start) not in windows
+            windows[k, start] = at - start
+    assert len(windows) == sum(len(p) - 8 for p in pieces)
+    # Equal windows have their anchor at an equal distance.
+    gaps = {}
+    for (k, start), gap in windows.items():
+        assert 0 <= gap <= 5
+        assert gaps.setdefault(pieces[k][start : start + 9], gap) == gap
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 8, 37, 400])
+def test_buckets_tell_strings_apart(length):
+    data = np.frombuffer(random.Random(5).randbytes(3000).replace(b"\0", b"\1"), np.uint8) % 3
+    ids = suffix.buckets(data, (length,))[0].tolist()
+    strings = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
+    assert len(ids) == len(strings)
+    assert len(set(zip(ids, strings))) == len(set(ids)) == len(set(strings))
