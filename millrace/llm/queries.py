@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import with_tokens
 from millrace.llm.common import read_table
+from millrace.llm.quality import quality_rules
 from millrace.llm.simhash import simhash_components
 from millrace.llm.suffix import without_repeats
 
@@ -31,6 +32,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_rules(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return simhash_components(docs).select("doc_id", "fingerprint", "component_id")
@@ -39,6 +48,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
