@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +77,24 @@ def ensure_shared_folder(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python on the executors refer to it by its name.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="millrace-")) / package.name
+        archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path under the shared folder; fails if there is none."""
     shared = shared_folder(spark)
