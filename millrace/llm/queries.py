@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import with_tokens
 from millrace.llm.common import read_table
+from millrace.llm.decontaminate import contaminated
 from millrace.llm.quality import quality_rules
 from millrace.llm.simhash import simhash_components
 from millrace.llm.suffix import without_repeats
@@ -32,6 +33,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return contaminated(docs, read_table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_rules(docs).select(
@@ -48,6 +54,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_bm25_decontamination": op5_bm25_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
