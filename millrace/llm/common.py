@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.session import scratch_dir
@@ -22,17 +19,27 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """The frame with a broadcast hint if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+# Rows of two longs that may be broadcast: 8 MB.
+BROADCAST_ROWS = 500_000
+
 
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text hash aren't in ``gone`` (doc_id, text_hash).
 
-def map_batches(
-    df: DataFrame,
-    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    A null id equals a null id.  ``gone`` is broadcast if it is counted to be small;
+    else both sides are shuffled.
+    """
+    gone = stored(
+        gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"))
+        .distinct(),
+        "gone",
+    )
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    matched = df[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (
+        F.xxhash64(df[text_col].cast("string")) == gone["_gone_text"]
+    )
+    return df.join(gone, matched, "left_anti")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -43,8 +50,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     key is by part, then by ``order``; rows equal in ``order`` are numbered in any way.
     The number of parts follows the session's shuffle partitions.
     """
-    from pyspark.sql import Window
-
     parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
@@ -66,10 +71,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     )
 
 
-def text_bytes(text: str) -> Column:
-    """UTF-8 bytes of a text column, empty where it is null."""
-    return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -245,8 +245,8 @@ def quality_rules(
     too short to have a stable histogram, and languages with too few texts, are not
     judged by distance.
 
-    Result, one row per row of ``df``: doc_id, lang, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
+    Result, one row per row of ``df``: doc_id, text_hash, lang, n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
     Null and empty texts have no words and fail.  A null language is a language of
     its own.  Repeated rows stay and are judged alike; other columns of ``df`` are
     ignored; an empty table gives an empty result.
@@ -269,7 +269,7 @@ def quality_rules(
         judged.withColumn("char_distance", js_distance("chars", "ref_chars"))
         .withColumn("word_distance", js_distance("words", "ref_words"))
         .select(
-            "doc_id", "lang", *_COUNTS, "base_failed", "char_distance", "word_distance",
+            "doc_id", "text_hash", "lang", *_COUNTS, "base_failed", "char_distance", "word_distance",
             (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"),
         )
     )

@@ -61,20 +61,23 @@ def with_fingerprints(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words: int = SHINGLE_WORDS,
 ) -> DataFrame:
-    """doc_id, fp (signed long) of every row; null texts count as empty."""
+    """doc_id, text_hash, fp (signed long) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_py(), words) for t in batch.column(1)]
+            prints = [fingerprint(t.as_py(), words) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"]
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64())],
+                ["doc_id", "text_hash", "fp"],
             )
 
+    text = F.col(text_col).cast("string")
     picked = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(text).alias("text_hash"),
+        text.alias("text"),
     )
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def block_edges(n_blocks: int) -> list[tuple[int, int]]:
@@ -195,8 +198,8 @@ def simhash_components(
 ) -> DataFrame:
     """Group the documents whose fingerprints are linked, directly or through others.
 
-    Result, one row per row of ``df``: doc_id, fp (signed long), fingerprint (hex),
-    component_id (the smallest doc_id that can be reached; null only if no member has
+    Result, one row per row of ``df``: doc_id, text_hash, fp (signed long),
+    fingerprint (hex), component_id (the smallest doc_id that can be reached; null only if no member has
     an id).  Null and empty texts have fingerprint zero and link like any other.
     Repeated rows stay.  Other columns of ``df`` are ignored, whatever their names.
     An empty table gives an empty result.
@@ -217,6 +220,7 @@ def simhash_components(
     )
     return docs.join(named, F.col("fp") == F.col("fp2")).select(
         "doc_id",
+        "text_hash",
         "fp",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

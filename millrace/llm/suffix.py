@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.common import stored
 
@@ -302,7 +303,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 def without_repeats(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    length: int = LENGTH, gram: int = GRAM,
+    length: int = LENGTH, gram: int = GRAM, carry: bool = False,
 ) -> DataFrame:
     """Remove every byte that a repeated string of ``length`` bytes covers.
 
@@ -312,8 +313,10 @@ def without_repeats(
 
     Result, one row per row of ``df``: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept (binary), kept_sha256.  Null texts count as empty; rows
-    repeated in full are copies of each other.  Other columns of ``df`` are ignored.
-    An empty table gives an empty result.
+    repeated in full are copies of each other.  Other columns of ``df`` are ignored;
+    with ``carry=True`` a struct column ``row`` has all of them but the text, and
+    kept_text is the kept bytes as a string, without the characters of which only some
+    bytes are left.  An empty table gives an empty result.
     """
     if length < 2 * gram:
         raise ValueError("gram must be at most half of length")
@@ -324,7 +327,18 @@ def without_repeats(
         F.encode(text, "UTF-8").alias("text"),
     )
     spans = _key_as(repeated_spans(docs, length, gram))
-    joined = docs.join(spans, _same_key(docs, spans), "left").select("doc_id", "text", "spans")
+    if carry:
+        rest = [F.col(c) for c in df.columns if c != text_col]
+        docs = df.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            F.xxhash64(text).alias("text_hash"),
+            F.encode(text, "UTF-8").alias("text"),
+            F.struct(*rest).alias("row"),
+        )
+    carried = ["row"] if carry else []
+    joined = docs.join(spans, _same_key(docs, spans), "left").select(
+        "doc_id", "text", "spans", *carried
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,15 +357,23 @@ def without_repeats(
             out["spans"].append(len(runs))
             out["kept"].append(kept)
             out["sha"].append(hashlib.sha256(kept).hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out["bytes"], pa.int64()),
-             pa.array(out["removed"], pa.int64()), pa.array(out["spans"], pa.int64()),
-             pa.array(out["kept"], pa.binary()), pa.array(out["sha"], pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
-        )
+        columns = {
+            "doc_id": batch.column(0),
+            "n_bytes": pa.array(out["bytes"], pa.int64()),
+            "n_removed": pa.array(out["removed"], pa.int64()),
+            "n_spans": pa.array(out["spans"], pa.int64()),
+            "kept": pa.array(out["kept"], pa.binary()),
+            "kept_sha256": pa.array(out["sha"], pa.string()),
+        }
+        if carry:
+            texts = [kept.decode("utf-8", "ignore") for kept in out["kept"]]
+            columns |= {"kept_text": pa.array(texts, pa.string()), "row": batch.column(3)}
+        return pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(
-        run,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary,"
-        " kept_sha256 string",
-    )
+    schema = StructType()
+    for name in ("doc_id", "n_bytes", "n_removed", "n_spans"):
+        schema.add(name, "long")
+    schema.add("kept", "binary").add("kept_sha256", "string")
+    if carry:
+        schema.add("kept_text", "string").add(joined.schema["row"])
+    return joined.mapInArrow(run, schema)
