@@ -13,6 +13,7 @@ from millrace.llm.decontaminate import contaminated
 from millrace.llm.quality import quality_rules
 from millrace.llm.simhash import simhash_components
 from millrace.llm.suffix import without_repeats
+from millrace.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,12 +52,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity(docs, read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bm25_decontamination": op5_bm25_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
