@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe import with_tokens
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contaminated
+from millrace.llm.extract import with_main_text
 from millrace.llm.quality import quality_rules
 from millrace.llm.simhash import simhash_components
 from millrace.llm.suffix import without_repeats
@@ -27,6 +28,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tokens(docs, RANK_FILE, public_tokenizers.PATTERN)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return without_repeats(docs).select(
@@ -59,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_html_extraction": op3_html_extraction,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bm25_decontamination": op5_bm25_decontamination,
     "op6_quality_rules": op6_quality_rules,
