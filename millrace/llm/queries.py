@@ -15,6 +15,7 @@ from millrace.llm.quality import quality_rules
 from millrace.llm.simhash import simhash_components
 from millrace.llm.suffix import without_repeats
 from millrace.llm.toxicity import toxicity
+from millrace.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tokens(docs, RANK_FILE, public_tokenizers.PATTERN)
 
 
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_main_text(read_table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_warc_chunks": op2_warc_chunks,
     "op3_html_extraction": op3_html_extraction,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bm25_decontamination": op5_bm25_decontamination,
