@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -18,9 +20,35 @@ from pyspark.sql import functions as F
 # Words tokenized together: their distinct ones share one inverted index.
 UNIT_WORDS = 400_000
 # Encoded words that a Python worker remembers from earlier units.
-KEPT_WORDS = 400_000
-# Ends of words in the flat token list; no vocabulary has this id.
-END = -1
+KEPT_WORDS = 800_000
+# Entries of the index of at least this size are merged by whole columns.
+BULK = 64
+# Token ids fit this many bits; the two largest numbers mark ends of words, and tokens
+# that a merge has used up.
+_BITS = 20
+END = (1 << _BITS) - 1
+GONE = END - 1
+
+
+class Joins(dict):
+    """For two neighbours, as one number, the token they merge to, or -1."""
+
+    LIMIT = 4_000_000
+
+    def __init__(self, tokens: list[bytes], ranks: dict[bytes, int]):
+        super().__init__()
+        self.tokens = tokens
+        self.ranks = ranks
+
+    def __missing__(self, pair: int) -> int:
+        left, right = pair >> _BITS, pair & END
+        found = -1
+        if max(left, right) < len(self.tokens):
+            found = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[pair] = found
+        return found
 
 
 class Vocabulary:
@@ -29,13 +57,18 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        if len(self.tokens) > GONE:
+            raise ValueError(f"more than {GONE} tokens")
         for token, rank in ranks.items():
             self.tokens[rank] = token
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
-        self.of_byte = [ranks[bytes([b])] for b in range(256)]
-        self._joined: dict[tuple[int, int], int | None] = {}
+        self.joins = Joins(self.tokens, ranks)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)])
+        self.of_bytes = np.array(
+            [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
+        )
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -47,103 +80,161 @@ class Vocabulary:
         pairs = (line.split() for line in data.splitlines() if line.strip())
         return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
 
-    def joined(self, left: int, right: int) -> int | None:
-        """The token that two neighbours merge to, or none."""
-        if left == END or right == END:
-            return None
-        pair = (left, right)
-        try:
-            return self._joined[pair]
-        except KeyError:
-            found = self.ranks.get(self.tokens[left] + self.tokens[right])
-            if len(self._joined) > 4_000_000:
-                self._joined.clear()
-            self._joined[pair] = found
-            return found
-
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def replay_merges(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
+def replay_merges(
+    words: list[bytes], vocabulary: Vocabulary, bulk: int = BULK
+) -> list[list[int]]:
     """Encode distinct words together, merge by merge in rank order.
 
     The words stand one after another in a doubly linked list of tokens.  An index
     names, for each token that a pair of neighbours would make, the positions where
     such a pair begins (pairs with equal joined bytes merge at the same rank and so
     share an entry).  The entry of lowest rank is taken from the index, its pairs are
-    merged from left to right, and only the pairs that a merge touches, with the
-    token before and the token after, enter the index.  Stale positions are skipped
-    when their turn comes.  A merge may make a pair of lower rank than its own; the
-    positions left then wait until that one is done, so that every word sees its
-    merges in the same order as if it were encoded alone.
+    merged, and only the pairs that a merge touches, with the token before and the
+    token after, enter the index.  Stale positions are skipped when their turn comes.
+
+    Every word sees its merges in the same order as if it were encoded alone: lowest
+    rank first, then from left to right.  Pairs of an entry that neither overlap nor
+    touch don't depend on their order, so those of a large entry are merged at once.
+    A merge may make a pair of lower rank than its own; the positions left then wait
+    until that one is done.
     """
-    joined, of_byte = vocabulary.joined, vocabulary.of_byte
-    token: list[int] = []
-    for word in words:
-        token.extend(map(of_byte.__getitem__, word))
-        token.append(END)
-    n = len(token)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    for at in range(n - 1):
-        made = joined(token[at], token[at + 1])
-        if made is not None:
-            index.setdefault(made, []).append(at)
-    waiting = list(index)
-    heapq.heapify(waiting)
-    gone = -2
-    while waiting:
-        rank = heapq.heappop(waiting)
-        places = index.pop(rank, None)
-        if places is None:
-            continue
-        places.sort()
+    if not words:
+        return []
+    state = _Tokens(words, vocabulary)
+    while (entry := state.lowest()) is not None:
+        rank, places = entry
+        if len(places) < bulk:
+            state.merge_in_order(rank, sorted(places.tolist()))
+        else:
+            state.merge_at_once(rank, np.unique(places))
+    return state.words()
+
+
+class _Tokens:
+    """The tokens of some words, which neighbours follow, and the index of pairs."""
+
+    def __init__(self, words: list[bytes], vocabulary: Vocabulary):
+        data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        self.ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        self.token = vocabulary.of_byte[data]
+        self.token[self.ends] = END
+        n = len(data)
+        self.after = np.arange(1, n + 1)
+        self.before = np.arange(-1, n - 1)
+        # What the pair that begins at a position would make.
+        self.made = np.full(n, -1)
+        self.made[:-1] = vocabulary.of_bytes[data[:-1], data[1:]]
+        self.made[self.ends] = self.made[self.ends - 1] = -1
+        self.joins = vocabulary.joins
+        self.views = [memoryview(x) for x in (self.token, self.after, self.before, self.made)]
+        self.single: dict[int, list[int]] = {}
+        self.groups: dict[int, list[np.ndarray]] = {}
+        self.waiting: list[int] = []
+        self.add(np.arange(n), self.made)
+
+    def add(self, places: np.ndarray, made: np.ndarray) -> None:
+        """Enter pairs into the index by what they make."""
+        known = made >= 0
+        places, made = places[known], made[known]
+        order = np.argsort(made, kind="stable")
+        kinds, cuts = np.unique(made[order], return_index=True)
+        parts = np.split(places[order], cuts[1:]) if len(kinds) else []
+        for kind, part in zip(kinds.tolist(), parts, strict=True):
+            if kind in self.groups:
+                self.groups[kind].append(part)
+            else:
+                self.groups[kind] = [part]
+                heapq.heappush(self.waiting, kind)
+
+    def lowest(self) -> tuple[int, np.ndarray] | None:
+        """Take the entry of lowest rank out of the index."""
+        while self.waiting:
+            rank = heapq.heappop(self.waiting)
+            parts = self.groups.pop(rank, [])
+            if alone := self.single.pop(rank, None):
+                parts.append(np.array(alone))
+            if parts:
+                return rank, np.concatenate(parts) if len(parts) > 1 else parts[0]
+        return None
+
+    def merge_in_order(self, rank: int, places: list[int]) -> bool:
+        """Merge one by one; true if a pair of lower rank made the others wait."""
+        token, after, before, made = self.views
+        joins, single, waiting = self.joins, self.single, self.waiting
         for done, at in enumerate(places):
-            left = token[at]
-            if left == gone or left == END:
+            if made[at] != rank:
                 continue
             following = after[at]
-            if joined(left, token[following]) != rank:
-                continue
-            token[at] = rank
-            token[following] = gone
             beyond = after[following]
+            token[at] = rank
+            token[following] = GONE
+            made[following] = -1
             after[at] = beyond
             before[beyond] = at
-            lowest = rank
+            # Before the first token of all stands the last one, an end.
             previous = before[at]
-            for start, a, b in (
-                (previous, token[previous] if previous >= 0 else END, rank),
-                (at, rank, token[beyond]),
-            ):
-                made = joined(a, b)
-                if made is not None:
-                    entry = index.get(made)
-                    if entry is None:
-                        index[made] = [start]
-                        heapq.heappush(waiting, made)
-                    else:
-                        entry.append(start)
-                    lowest = min(lowest, made)
-            if lowest < rank:
-                rest = places[done + 1 :]
-                if rest:
-                    index.setdefault(rank, []).extend(rest)
-                    heapq.heappush(waiting, rank)
-                break
-    encoded: list[list[int]] = []
-    start = 0
-    for word in words:
-        ids: list[int] = []
-        at = start
-        while token[at] != END:
-            ids.append(token[at])
-            at = after[at]
-        encoded.append(ids)
-        start += len(word) + 1
-    return encoded
+            left = made[previous] = joins[token[previous] << _BITS | rank]
+            if left >= 0:
+                if left in single:
+                    single[left].append(previous)
+                else:
+                    single[left] = [previous]
+                    heapq.heappush(waiting, left)
+            right = made[at] = joins[rank << _BITS | token[beyond]]
+            if right >= 0:
+                if right in single:
+                    single[right].append(at)
+                else:
+                    single[right] = [at]
+                    heapq.heappush(waiting, right)
+            if 0 <= left < rank or 0 <= right < rank:
+                self.add(np.array(places[done + 1 :], int), np.full(len(places) - done - 1, rank))
+                return True
+        return False
+
+    def merge_at_once(self, rank: int, places: np.ndarray) -> None:
+        """Merge the pairs that neither overlap nor touch together, the others before."""
+        after, made = self.after, self.made
+        places = places[made[places] == rank]
+        following = after[places]
+        beyond = after[following]
+        clash = (made[following] == rank) | (made[beyond] == rank)
+        if clash.any():
+            partners = np.concatenate((following[clash], beyond[clash]))
+            clash |= np.isin(places, partners)
+            if self.merge_in_order(rank, places[clash].tolist()):
+                rest = places[~clash]
+                self.add(rest, np.full(len(rest), rank))
+                return
+            places, following, beyond = places[~clash], following[~clash], beyond[~clash]
+        previous = self.before[places]
+        pairs = np.concatenate(
+            (self.token[previous] << _BITS | rank, rank << _BITS | self.token[beyond])
+        )
+        kinds, which = np.unique(pairs, return_inverse=True)
+        new = np.array([self.joins[k] for k in kinds.tolist()], int)[which]
+        if ((new >= 0) & (new < rank)).any():
+            self.merge_in_order(rank, places.tolist())
+            return
+        self.token[places] = rank
+        self.token[following] = GONE
+        made[following] = -1
+        after[places] = beyond
+        self.before[beyond] = places
+        made[previous] = new[: len(places)]
+        made[places] = new[len(places) :]
+        self.add(np.concatenate((previous, places)), new)
+
+    def words(self) -> list[list[int]]:
+        left = np.flatnonzero(self.token != GONE)
+        ids = self.token[left].tolist()
+        stops = np.searchsorted(left, self.ends).tolist()
+        begins = [0, *(s + 1 for s in stops[:-1])]
+        return [ids[a:b] for a, b in zip(begins, stops, strict=True)]
 
 
 class Encoder:
@@ -153,11 +244,12 @@ class Encoder:
         self.vocabulary = vocabulary
         self.kept = kept
         self.ids: dict[str, tuple[int, ...]] = {}
+        self.digits = [str(i) for i in range(len(vocabulary.tokens))]
 
     def learn(self, words: set[str]) -> None:
         """Encode the words not met yet; a word that is a token needs no merge."""
         if len(self.ids) > self.kept:
-            self.ids.clear()
+            self.ids = {w: self.ids[w] for w in words if w in self.ids}
         new = [w for w in words if w not in self.ids]
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         ranks = self.vocabulary.ranks
@@ -170,6 +262,12 @@ class Encoder:
                 self.ids[word] = (ranks[b],)
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(rank_data: bytes) -> Encoder:
+    """One per Python worker: the words it remembers serve all its tasks."""
+    return Encoder(Vocabulary.parse(rank_data))
+
+
 def _units(
     texts: Iterable[str | None], pattern: str, size: int
 ) -> Iterator[list[tuple[int, list[str]]]]:
@@ -221,11 +319,10 @@ def with_tokens(
     shared = df.sparkSession.sparkContext.broadcast(Path(rank_file).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary.parse(shared.value))
-        digits = [str(i) for i in range(len(encoder.vocabulary.tokens))]
+        encoder = _encoder(shared.value)
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 500):
-                yield _described(batch.slice(at, 500), encoder, digits, pattern, ids)
+            for at in range(0, batch.num_rows, 500):
+                yield _described(batch.slice(at, 500), encoder, pattern, ids)
 
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     picked = df.select(
@@ -236,9 +333,9 @@ def with_tokens(
 
 
 def _described(
-    batch: pa.RecordBatch, encoder: Encoder, digits: list[str], pattern: str, ids: bool
+    batch: pa.RecordBatch, encoder: Encoder, pattern: str, ids: bool
 ) -> pa.RecordBatch:
-    n = batch.num_rows
+    n, digits = batch.num_rows, encoder.digits
     counts = [0] * n
     of_ids = [hashlib.sha256() for _ in range(n)]
     of_bytes = [hashlib.sha256() for _ in range(n)]

@@ -34,7 +34,9 @@ def ours(texts, size=bpe.UNIT_WORDS):
 
 
 @pytest.mark.parametrize("size", [1, 7, bpe.UNIT_WORDS])
-def test_special_texts(size):
+@pytest.mark.parametrize("bulk", [0, bpe.BULK])
+def test_special_texts(size, bulk, monkeypatch):
+    monkeypatch.setattr(bpe.replay_merges, "__defaults__", (bulk,))
     assert ours(TEXTS, size) == [LIBRARY.encode_ordinary(t or "") for t in TEXTS]
 
 
@@ -57,9 +59,9 @@ def test_merges_in_any_order_of_ranks(words, order):
     for token in order:
         ranks.setdefault(token.encode(), len(ranks))
     vocabulary = bpe.Vocabulary(ranks)
-    got = bpe.replay_merges(words, vocabulary)
-    for word, ids in zip(words, got, strict=True):
-        assert ids == alone(word, ranks)
+    want = [alone(word, ranks) for word in words]
+    for bulk in (0, 2, bpe.BULK):
+        assert bpe.replay_merges(words, vocabulary, bulk) == want
 
 
 def alone(word, ranks):
