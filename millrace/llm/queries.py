@@ -12,6 +12,7 @@ from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.extract import with_main_text
 from millrace.llm.quality import quality_rules
+from millrace.llm.sharding import balanced_shards
 from millrace.llm.simhash import simhash_components
 from millrace.llm.suffix import without_repeats
 from millrace.llm.toxicity import toxicity
@@ -57,6 +58,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return simhash_components(docs).select("doc_id", "fingerprint", "component_id")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bm25_decontamination": op5_bm25_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op8_balanced_shards": op8_balanced_shards,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
