@@ -11,6 +11,7 @@ from millrace.llm.bpe import with_tokens
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.extract import with_main_text
+from millrace.llm.langid import page_languages
 from millrace.llm.quality import quality_rules
 from millrace.llm.sharding import balanced_shards
 from millrace.llm.simhash import simhash_components
@@ -58,6 +59,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return page_languages(read_table(spark, sf_dir, "pages"), docs)
+
+
 def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read_table(spark, sf_dir, "documents"))
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bm25_decontamination": op5_bm25_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_bayes_langid": op7_bayes_langid,
     "op8_balanced_shards": op8_balanced_shards,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
