@@ -24,6 +24,8 @@ from millrace.llm.common import stored
 LENGTH = 400
 # Length of the q-grams whose least identifier in a window stands for the window.
 GRAM = 64
+# Gaps that are refined together before they are refined one by one.
+BLOCK_GAPS = 24
 # Bytes whose buckets are computed at once, and the share of them kept for positions
 # when a window's least identifier is sought.
 UNIT_BYTES = 1 << 21
@@ -127,6 +129,13 @@ def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, byte
 
 
 def _with_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """All anchors: their place, the gaps to their windows, and their buckets.
+
+    A window is named by its gap, the distance from its start to the anchor: windows
+    that are equal have equal gaps.  ``head`` and ``tail`` are the buckets of the
+    windows of the longest and of the shortest gap.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[int, int, bytes]] = []
@@ -145,12 +154,13 @@ def _with_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         rows = np.array([r for r, _, _ in held])[found["piece"]]
         offset = np.array([o for _, o, _ in held])[found["piece"]]
         picked = pa.array(rows, pa.int64())
+        longest = found["at"] - found["low"]
         columns = {
             "doc_id": batch.column(0).take(picked),
             "text_hash": batch.column(1).take(picked),
             "at": pa.array(found["at"] + offset, pa.int64()),
-            "low": pa.array(found["low"] + offset, pa.int64()),
-            "n": pa.array(found["n"], pa.int32()),
+            "lo": pa.array((longest - found["n"] + 1).astype(np.int32)),
+            "hi": pa.array(longest.astype(np.int32)),
             "bucket": pa.array(found["bucket"]),
             "head": pa.array(found["head"]),
             "tail": pa.array(found["tail"]),
@@ -159,8 +169,8 @@ def _with_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     return docs.mapInArrow(
         run,
-        "doc_id long, text_hash long, at long, low long, n int, bucket long,"
-        " head long, tail long",
+        "doc_id long, text_hash long, at long, lo int, hi int, bucket long, head long,"
+        " tail long",
     )
 
 
@@ -171,123 +181,221 @@ def _same_key(left: DataFrame, right: DataFrame) -> Column:
     )
 
 
-def _key_as(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{k}2" for k in _KEY})
+def _key_as(df: DataFrame, *more: str) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{k}2" for k in (*_KEY, *more)})
+
+
+def _semi(df: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``df`` whose columns, none of them null, are among ``other``'s."""
+    named = other.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    return df.join(named, [F.col(c) == F.col(f"_{c}") for c in columns], "left_semi")
+
+
+def _refined(members: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Refine ranges of windows that share a core by all that they cover.
+
+    ``members``: _KEY, at, low, weight, the columns of ``core``, lo, hi, head, tail.
+    Returns the members whose whole range occurs twice or more, as spans, and one
+    member of each range that differs from another one of the same core: their
+    windows may be shared in part.  Its weight is 1 if it stands for itself alone.
+    """
+    whole = [*core, "lo", "hi", "head", "tail"]
+    kinds = stored(
+        members.groupBy(*whole).agg(
+            F.sum("weight").alias("copies"),
+            # Any member serves: its bytes are those of all.
+            *[F.first(c).alias(c) for c in (*_KEY, "at", "low")],
+        ),
+        "suffix-kinds",
+    )
+    twice = _semi(members.where("weight = 1"), kinds.where("copies > 1"), whole)
+    mixed = kinds.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1")
+    weight = F.least("copies", F.lit(2)).cast("int").alias("weight")
+    return twice, _semi(kinds, mixed, core).select(*kinds.columns, weight)
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The windows of the wanted anchors: their bucket of full length, one row each."""
+def _slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The wanted ranges with the bytes that they cover."""
+    names = ["at", "low", "lo", "hi", "bucket", "weight"]
     lists = _key_as(
-        wanted.groupBy(*_KEY).agg(
-            F.collect_list(F.struct("at", "low", "n", "bucket", "alone")).alias("anchors")
-        )
+        wanted.groupBy(*_KEY).agg(F.collect_list(F.struct(*names)).alias("ranges"))
     )
-    joined = docs.join(lists, _same_key(docs, lists)).select(*_KEY, "text", "anchors")
+    joined = docs.join(lists, _same_key(docs, lists))
+
+    def with_bytes(r: Column) -> Column:
+        size = r["hi"] - r["lo"] + length
+        # Positions count from 1.
+        part = F.substring("text", (r["low"] + 1).cast("int"), size)
+        return F.struct(*[r[n].alias(n) for n in names], part.alias("bytes"))
+
+    # The array is made before it is unfolded: a row of it holds no text.
+    cut = joined.select(*_KEY, F.transform("ranges", with_bytes).alias("cut"))
+    return cut.select(*_KEY, F.explode("cut").alias("r")).select(*_KEY, "r.*")
+
+
+def _grouped(parts: Iterator[dict[str, np.ndarray]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Columns of many small parts as batches of a useful size."""
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part["at"])
+        if size >= _ROWS_AT_ONCE:
+            yield _joined(held, schema)
+            held, size = [], 0
+    if held:
+        yield _joined(held, schema)
+
+
+def _joined(held: list[dict[str, np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+    columns = []
+    for name in schema.names:
+        if name == "doc_id":  # may be null, so not a numpy column
+            sizes = [len(p["at"]) for p in held]
+            ids = pa.array([p["doc_id"] for p in held], pa.int64())
+            columns.append(ids.take(pa.array(np.repeat(np.arange(len(held)), sizes))))
+        else:
+            values = [np.broadcast_to(p[name], p["at"].shape) for p in held]
+            columns.append(pa.array(np.concatenate(values), schema.field(name).type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+
+_BLOCK_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int64()),
+     ("low", pa.int64()), ("weight", pa.int32()), ("bucket", pa.int64()),
+     ("block", pa.int32()), ("core", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()),
+     ("head", pa.int64()), ("tail", pa.int64())]
+)
+_BLOCK_DDL = (
+    "doc_id long, text_hash long, at long, low long, weight int, bucket long, block int,"
+    " core long, lo int, hi int, head long, tail long"
+)
+
+
+def blocks_of(data: bytes, lo: int, hi: int, length: int, size: int) -> dict[str, np.ndarray]:
+    """The blocks of ``size`` gaps that a range from ``lo`` to ``hi`` takes part in.
+
+    ``core`` is the bucket of the bytes that all windows of the full block have in
+    common: two ranges can only share a window of the block if they agree in it.
+    """
+    cores, windows = buckets(np.frombuffer(data, np.uint8), (length - size + 1, length))
+    block = np.arange(lo // size, hi // size + 1)
+    low = np.maximum(block * size, lo)
+    high = np.minimum(block * size + size - 1, hi)
+    return {
+        "block": block, "lo": low, "hi": high,
+        "core": cores[hi - block * size].view(np.int64),
+        "head": windows[hi - high].view(np.int64),
+        "tail": windows[hi - low].view(np.int64),
+    }
+
+
+def _blocks(slices: DataFrame, length: int, size: int) -> DataFrame:
+    names = [*_KEY, "at", "low", "weight", "bucket", "lo", "hi", "bytes"]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for batch in batches:
+            for doc, text, at, low, weight, bucket, lo, hi, data in zip(
+                *(batch.column(k).to_pylist() for k in range(len(names))), strict=True
+            ):
+                found = blocks_of(data, lo, hi, length, size)
+                start = np.full(len(found["block"]), at)
+                yield found | {"doc_id": doc, "text_hash": text, "at": start, "low": low,
+                               "weight": weight, "bucket": bucket}
+
+    return slices.select(*names).mapInArrow(
+        lambda batches: _grouped(parts(batches), _BLOCK_SCHEMA), _BLOCK_DDL
+    )
+
+
+_WINDOW_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int64()),
+     ("weight", pa.int32()), ("bucket", pa.int64()), ("lo", pa.int32()),
+     ("window", pa.int64())]
+)
+
+
+def _windows(slices: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The windows of the wanted ranges one by one; ``lo`` is the gap."""
+    place = [*_KEY, "at", "low"]
+    lists = _key_as(
+        wanted.groupBy(*place).agg(
+            F.collect_list(F.struct("lo", "hi", "weight")).alias("ranges")
+        ),
+        "at", "low",
+    )
+    same = _same_key(slices, lists) & (slices["at"] == lists["at2"]) & (
+        slices["low"] == lists["low2"]
+    )
+    joined = slices.join(lists, same).select(*_KEY, "at", "bucket", "hi", "bytes", "ranges")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                for part in listed(batch.slice(row, 1)):
-                    held.append(part)
-                    size += part.num_rows
-                    if size >= _ROWS_AT_ONCE:
-                        yield pa.concat_batches(held)
-                        held, size = [], 0
-        if held:
-            yield pa.concat_batches(held)
-
-    def listed(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(row.column(2)[0].as_py(), np.uint8)
-        key = [row.column(k)[0].as_py() for k in (0, 1)]
-        for a in row.column(3)[0].as_py():
-            part = data[a["low"] : a["low"] + a["n"] + length - 1]
-            ids = buckets(part, (length,))[0].view(np.int64)
-            n = len(ids)
-            start = np.arange(a["low"], a["low"] + n)
-            columns = [
-                pa.array([key[0]] * n, pa.int64()),
-                pa.array(np.full(n, key[1], np.int64)),
-                pa.array(start),
-                pa.array((a["at"] - start).astype(np.int32)),
-                pa.array(np.full(n, a["bucket"], np.int64)),
-                pa.array(ids),
-                pa.array(np.full(n, a["alone"], bool)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    names = ["doc_id", "text_hash", "start", "gap", "bucket", "window", "alone"]
+            for doc, text, at, bucket, top, data, ranges in zip(
+                *(batch.column(k).to_pylist() for k in range(7)), strict=True
+            ):
+                bytes_ = np.frombuffer(data, np.uint8)
+                for r in ranges:
+                    part = bytes_[top - r["hi"] : top - r["lo"] + length]
+                    ids = buckets(part, (length,))[0].view(np.int64)
+                    yield {"doc_id": doc, "text_hash": text, "at": np.full(len(ids), at),
+                           "weight": r["weight"], "bucket": bucket,
+                           "lo": np.arange(r["hi"], r["lo"] - 1, -1), "window": ids}
+
     return joined.mapInArrow(
-        run,
-        "doc_id long, text_hash long, start long, gap int, bucket long, window long,"
-        " alone boolean",
+        lambda batches: _grouped(parts(batches), _WINDOW_SCHEMA),
+        "doc_id long, text_hash long, at long, weight int, bucket long, lo int, window long",
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, size: int = BLOCK_GAPS
+) -> DataFrame:
     """Spans of bytes that strings of ``length`` bytes starting elsewhere also cover.
 
     ``docs``: doc_id, text_hash, text (binary, no nulls).  Result: doc_id, text_hash,
     spans (array of start and end), one row per document that has any.
 
     1. Every window of ``length`` bytes is represented by an anchor, so that one
-       position in about half a window is enough; anchors meet by the bucket of
-       their q-gram, and those alone in their bucket are unique.
-    2. Anchors are refined by the buckets of their first and last window.  Where two
-       or more agree in these, all their windows are repeated.
-    3. Where a bucket has several contexts, the windows of one anchor of each are
-       refined to full length, one by one, and meet by that bucket.
+       position in about half a window is enough.  Anchors meet by the bucket of their
+       q-gram; those alone in their bucket are unique.
+    2. Anchors of a bucket are refined by all that their windows cover: where two
+       agree in that, all their windows are repeated.
+    3. One anchor of each kind, where a bucket has several, is refined again by blocks
+       of windows: first by what the windows of a block have in common, then by all
+       that they cover.  A block whose common part is unique has no repeated window.
+    4. The windows of the blocks still undecided are refined one by one.
+
+    Each step only has what the one before left open, and everything meets by grouped
+    counts, which combine before the shuffle.
     """
     found = stored(_with_anchors(docs, length, gram), "suffix-anchors")
-    several = (
-        found.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("c")).where("c > 1")
-    )
-    meeting = stored(
-        found.join(several, F.col("bucket") == F.col("b"), "left_semi"), "suffix-shared"
-    )
-    context = ["bucket", "head", "tail", "n", "gap"]
-    meeting = meeting.withColumn("gap", F.col("at") - F.col("low"))
-    # Any member serves: its context is that of all.
-    contexts = stored(
-        meeting.groupBy(*context).agg(
-            F.count("*").alias("copies"),
-            *[F.first(c).alias(c) for c in (*_KEY, "at", "low")],
-        ),
-        "suffix-contexts",
+    several = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    meeting = stored(_semi(found, several, ["bucket"]), "suffix-shared").select(
+        "*", F.lit(1).alias("weight"), (F.col("at") - F.col("hi")).alias("low")
     )
-    names = [f"{c}2" for c in context]
-    copied = contexts.where("copies > 1").select(
-        *[F.col(c).alias(n) for c, n in zip(context, names, strict=True)]
-    )
-    whole = meeting.join(
-        copied,
-        [F.col(c) == F.col(n) for c, n in zip(context, names, strict=True)],
-        "left_semi",
-    ).select(*_KEY, F.col("low").alias("s"), (F.col("low") + F.col("n") + length - 1).alias("e"))
-    mixed = (
-        contexts.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("c")).where("c > 1")
-    )
-    wanted = contexts.join(mixed, F.col("bucket") == F.col("b"), "left_semi").withColumn(
-        "alone", F.col("copies") == 1
-    )
-    windows = _windows(docs, wanted, length)
-    equal = (
-        windows.groupBy(
-            F.col("bucket").alias("b"), F.col("gap").alias("g"), F.col("window").alias("w")
+    anchors_twice, mixed = _refined(meeting, ["bucket"])
+    slices = stored(_slices(docs, mixed, length), "suffix-slices")
+    blocks = stored(_blocks(slices, length, size), "suffix-blocks")
+    cores = ["bucket", "block", "core"]
+    shared = blocks.groupBy(*cores).agg(F.count("*").alias("n")).where("n > 1")
+    blocks_twice, undecided = _refined(_semi(blocks, shared, cores), cores)
+    windows = stored(_windows(slices, undecided, length), "suffix-windows")
+    whole = ["bucket", "lo", "window"]
+    equal = windows.groupBy(*whole).agg(F.sum("weight").alias("n")).where("n > 1")
+    windows_twice = _semi(windows.where("weight = 1"), equal, whole)
+    spans = [
+        df.select(
+            *_KEY,
+            (F.col("at") - F.col(hi)).alias("s"),
+            (F.col("at") - F.col("lo") + length).alias("e"),
         )
-        .agg(F.count("*").alias("c"))
-        .where("c > 1")
-    )
-    single = windows.where("alone").join(
-        equal,
-        (F.col("bucket") == F.col("b")) & (F.col("gap") == F.col("g"))
-        & (F.col("window") == F.col("w")),
-        "left_semi",
-    ).select(*_KEY, F.col("start").alias("s"), (F.col("start") + length).alias("e"))
-    return whole.union(single).groupBy(*_KEY).agg(
-        F.collect_list(F.struct("s", "e")).alias("spans")
-    )
+        for df, hi in ((anchors_twice, "hi"), (blocks_twice, "hi"), (windows_twice, "lo"))
+    ]
+    return (
+        spans[0].union(spans[1]).union(spans[2]).groupBy(*_KEY)
+        .agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    )
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -303,7 +411,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 def without_repeats(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    length: int = LENGTH, gram: int = GRAM, carry: bool = False,
+    length: int = LENGTH, gram: int = GRAM, size: int = BLOCK_GAPS, carry: bool = False,
 ) -> DataFrame:
     """Remove every byte that a repeated string of ``length`` bytes covers.
 
@@ -318,15 +426,15 @@ def without_repeats(
     kept_text is the kept bytes as a string, without the characters of which only some
     bytes are left.  An empty table gives an empty result.
     """
-    if length < 2 * gram:
-        raise ValueError("gram must be at most half of length")
+    if length < 2 * gram or length < 2 * size:
+        raise ValueError("gram and size must be at most half of length")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
         F.encode(text, "UTF-8").alias("text"),
     )
-    spans = _key_as(repeated_spans(docs, length, gram))
+    spans = _key_as(repeated_spans(docs, length, gram, size))
     if carry:
         rest = [F.col(c) for c in df.columns if c != text_col]
         docs = df.select(
