@@ -192,8 +192,12 @@ def references(measures: DataFrame) -> DataFrame:
     """The mean histograms of each language's distinct texts that pass the base rules.
 
     A text counts once however many copies it has.  Result: ref_lang, ref_chars,
-    ref_words (arrays of long), for languages with enough texts.
+    ref_words (shares of 1), for languages with enough texts.
     """
+
+    def mean(name: str) -> Column:
+        return F.col(name) / F.col("n") / float(UNIT)
+
     once = measures.where(~F.col("base_failed")).dropDuplicates(["lang", "text_hash"])
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(_SLOTS)]
@@ -203,35 +207,30 @@ def references(measures: DataFrame) -> DataFrame:
         .where(F.col("n") >= MIN_REFERENCE)
         .select(
             "ref_lang",
-            F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_chars"),
-            F.array(*[f"w{i}" for i in range(_SLOTS)]).alias("ref_words"),
+            F.array(*[mean(f"c{i}") for i in range(len(CLASSES))]).alias("ref_chars"),
+            F.array(*[mean(f"w{i}") for i in range(_SLOTS)]).alias("ref_words"),
         )
     )
 
 
 def js_distance(left: str, right: str) -> Column:
-    """Jensen-Shannon distance (base 2) of two histogram columns, null if either is empty."""
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def term(p: Column, m: Column) -> Column:
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-
-    p_total, q_total = total(F.col(left)), total(F.col(right))
-    parts = F.zip_with(
-        left, right,
-        lambda x, y: _half_divergence(
-            F.try_divide(x, p_total), F.try_divide(y, q_total), term
-        ),
-    )
-    found = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    """Jensen-Shannon distance (base 2) of a histogram in shares of ``UNIT`` and one in
+    shares of 1; null if either is null or the former has no entry.
+    """
+
+    def half(x: Column, y: Column) -> Column:
+        p = x / float(UNIT)
+        m = (p + y) / 2
+        return (_term(p, m) + _term(y, m)) / 2
+
+    found = F.aggregate(F.zip_with(left, right, half), F.lit(0.0), lambda a, x: a + x)
     # Rounding may leave equal histograms a trace below zero.
     root = F.sqrt(F.when(found < 0, 0.0).otherwise(found))
-    return F.when((p_total > 0) & (q_total > 0), root)
+    return F.when(F.array_max(left) > 0, root)
 
 
-def _half_divergence(p: Column, q: Column, term) -> Column:
-    m = (p + q) / 2
-    return (term(p, m) + term(q, m)) / 2
+def _term(p: Column, m: Column) -> Column:
+    return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
 
 def quality_rules(
