@@ -26,14 +26,20 @@ MIN_OVERLAP = 0.8
 ANSWER_SHARE = 1 / 3
 _ANSWER_MARK = re.compile(r"\banswer\s*:", re.IGNORECASE)
 _WORD = re.compile(r"\w+")
-# Postings that share one upper bound.
-BLOCK = 16
+# Items that share one upper bound for each term.
+BLOCK = 2
+# A term in more than this share of the blocks is common: its bound over all items,
+# which is small, stands for all blocks.
+COMMON_SHARE = 0.5
 # A passage is two of these, and passages begin at each: a run of words of this length
 # lies within one of them.  Longer items make longer passages.
 HALF_PASSAGE = 64
 # Characters of test items in one index.  More items make more indexes, each of which
 # meets all passages; the size of what is broadcast doesn't grow.
 INDEX_CHARS = 8_000_000
+# Words searched at once, and bounds of passages and blocks held at once.
+UNIT_WORDS = 50_000
+CELLS = 2_000_000
 _SLACK = 1e-9
 
 
@@ -61,10 +67,13 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Postings of test items: for each term, items and impacts in blocks.
+    """Postings of test items: for each term, items and impacts, and bounds by block.
 
     An impact is a BM25 weight divided by the item's score for itself, so that scores
-    of all items are shares of 1 and one threshold fits short and long items.
+    of all items are shares of 1 and one threshold fits short and long items.  Items
+    stand in the order of their lengths, and a block is a run of items: its bounds are
+    those of items alike.  ``block_from[t]`` to ``block_from[t + 1]`` are a term's
+    entries in ``block_of`` and ``block_max``.
     """
 
     item_ids: list[int | None]
@@ -72,16 +81,24 @@ class Index:
     answers: list[set]
     half: int
     term_of: dict[str, int]
-    items: list[np.ndarray] = field(default_factory=list)
-    impacts: list[np.ndarray] = field(default_factory=list)
-    block_max: list[np.ndarray] = field(default_factory=list)
+    items: list[list[int]] = field(default_factory=list)
+    impacts: list[list[float]] = field(default_factory=list)
     term_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    block_from: np.ndarray = field(default_factory=lambda: np.zeros(1, int))
+    block_of: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @property
+    def n_blocks(self) -> int:
+        return -(-len(self.item_ids) // BLOCK)
 
 
 def build_index(
     rows: list[tuple[int | None, str | None]], total: int, mean_words: float, df: dict[str, int]
 ) -> Index:
     """Index some items by the statistics of all: their number, mean length, term counts."""
+    rows = sorted(rows, key=lambda r: len(words_of(r[1])))
     split = [parts_of(text) for _, text in rows]
     counted = [Counter(words_of(text)) for _, text in rows]
     longest = max((c.total() for c in counted), default=0)
@@ -92,7 +109,6 @@ def build_index(
         max(HALF_PASSAGE, longest),
         {},
     )
-    postings: list[tuple[list[int], list[float]]] = []
     for item, counts in enumerate(counted):
         size = counts.total()
         weights = {}
@@ -101,124 +117,193 @@ def build_index(
             weights[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_words))
         own = sum(weights.values())
         for term, weight in weights.items():
-            at = index.term_of.setdefault(term, len(postings))
-            if at == len(postings):
-                postings.append(([], []))
-            postings[at][0].append(item)
-            postings[at][1].append(weight / own)
-    for items, impacts in postings:
-        index.items.append(np.array(items))
-        index.impacts.append(np.array(impacts))
-        starts = np.arange(0, len(items), BLOCK)
-        index.block_max.append(np.maximum.reduceat(index.impacts[-1], starts))
-    index.term_max = np.array([b.max() for b in index.block_max])
+            at = index.term_of.setdefault(term, len(index.items))
+            if at == len(index.items):
+                index.items.append([])
+                index.impacts.append([])
+            index.items[at].append(item)
+            index.impacts[at].append(weight / own)
+    starts, blocks, bounds = [0], [], []
+    for items, impacts in zip(index.items, index.impacts, strict=True):
+        best: dict[int, float] = {}
+        for item, impact in zip(items, impacts, strict=True):
+            best[item // BLOCK] = max(best.get(item // BLOCK, 0.0), impact)
+        blocks += best.keys()
+        bounds += best.values()
+        starts.append(len(blocks))
+    index.term_max = np.array([max(i) for i in index.impacts])
+    index.block_from = np.array(starts)
+    index.block_of = np.array(blocks, int)
+    index.block_max = np.array(bounds)
+    index.common = np.diff(index.block_from) > COMMON_SHARE * max(index.n_blocks, 8)
     return index
 
 
-def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-    """All items whose impacts over distinct ``terms`` sum up to the threshold or more.
+def block_max_wand(
+    index: Index, terms: list[int], threshold: float, block: int
+) -> list[tuple[int, float]]:
+    """The items of a block whose impacts over distinct ``terms`` reach the threshold.
 
-    Cursors stand on the next item of each term, in item order.  The pivot is the
-    first item that the terms up to it could lift over the threshold; if the blocks
-    that hold it can't, the cursors leave these blocks, and an item is only scored
-    when all that could contribute stand on it.
+    Cursors stand on the next item of each term, in item order, each with the term's
+    bound in the block.  The pivot is the first item that the terms up to it could
+    lift over the threshold; an item is only scored when all that could contribute
+    stand on it, and the items before the pivot are never looked at.
     """
     least = threshold - _SLACK
-    cursors = [[index.items[t].item(0), 0, t] for t in terms]
+    first, end = block * BLOCK, min((block + 1) * BLOCK, len(index.item_ids))
+    cursors = []
+    for term in terms:
+        items = index.items[term]
+        at = bisect_left(items, first)
+        stop = bisect_left(items, end, at)
+        if at < stop:
+            bound = max(index.impacts[term][at:stop])
+            cursors.append((items[at], at, stop, bound, term))
     found: list[tuple[int, float]] = []
-    end = len(index.item_ids)
-
-    def advance(cursor: list, target: int) -> None:
-        items = index.items[cursor[2]]
-        at = bisect_left(items, target, cursor[1])
-        cursor[:2] = (items.item(at), at) if at < len(items) else (end, at)
-
-    while True:
-        cursors = sorted(c for c in cursors if c[0] < end)
+    while cursors:
+        cursors.sort()
         bound, pivot = 0.0, None
         for k, cursor in enumerate(cursors):
-            bound += index.term_max[cursor[2]]
+            bound += cursor[3]
             if bound >= least:
                 pivot = k
                 break
         if pivot is None:
-            return found
+            break
         item = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-            pivot += 1
-        bound, leave = 0.0, end
-        for cursor in cursors[: pivot + 1]:
-            items = index.items[cursor[2]]
-            block = bisect_left(items, item, cursor[1]) // BLOCK
-            if block < len(index.block_max[cursor[2]]):
-                bound += index.block_max[cursor[2]][block]
-                last = items.item(min(len(items), (block + 1) * BLOCK) - 1)
-                leave = min(leave, last + 1)
-        if bound < least:
-            if pivot + 1 < len(cursors):
-                leave = min(leave, cursors[pivot + 1][0])
-            for cursor in cursors[: pivot + 1]:
-                advance(cursor, max(leave, item + 1))
-        elif cursors[0][0] == item:
-            score = 0.0
-            for cursor in cursors[: pivot + 1]:
-                score += index.impacts[cursor[2]].item(cursor[1])
-                advance(cursor, item + 1)
+        target = item
+        if cursors[0][0] == item:
+            score = sum(index.impacts[c[4]][c[1]] for c in cursors if c[0] == item)
             if score >= least:
                 found.append((item, score))
+            target = item + 1
+        moved = []
+        for cursor in cursors:
+            if cursor[0] < target:
+                _, at, stop, most, term = cursor
+                at = bisect_left(index.items[term], target, at, stop)
+                if at == stop:
+                    continue
+                cursor = (index.items[term][at], at, stop, most, term)
+            moved.append(cursor)
+        cursors = moved
+    return found
+
+
+def open_blocks(
+    passage: np.ndarray, terms: np.ndarray, n: int, index: Index, threshold: float
+) -> Iterator[tuple[int, int]]:
+    """(passage, block) where the bounds of the passage's terms reach the threshold.
+
+    ``passage`` and ``terms``: pairs without repeats, ordered by passage.
+    """
+    common = index.common[terms]
+    base = np.bincount(passage[common], index.term_max[terms[common]], minlength=n)
+    passage, terms = passage[~common], terms[~common]
+    blocks = index.n_blocks
+    step = max(1, CELLS // blocks)
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        a, b = np.searchsorted(passage, (low, high))
+        begins = index.block_from[terms[a:b]]
+        sizes = index.block_from[terms[a:b] + 1] - begins
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        entry = np.arange(total) + np.repeat(begins - ends + sizes, sizes)
+        cell = np.repeat(passage[a:b] - low, sizes) * blocks + index.block_of[entry]
+        if base[low:high].max(initial=0.0) >= threshold - _SLACK:
+            # Blocks without any other term can do.
+            some = np.arange((high - low) * blocks)
+            bounds = np.bincount(cell, index.block_max[entry], minlength=len(some))
+        elif len(cell) * 16 > (high - low) * blocks:
+            bounds = np.bincount(cell, index.block_max[entry])
+            some = np.flatnonzero(bounds)
+            bounds = bounds[some]
         else:
-            for cursor in cursors[:pivot]:
-                if cursor[0] < item:
-                    advance(cursor, item)
+            some, which = np.unique(cell, return_inverse=True)
+            bounds = np.bincount(which, index.block_max[entry], minlength=len(some))
+        bounds = bounds + base[low + some // blocks]
+        for found in some[bounds >= threshold - _SLACK].tolist():
+            yield low + found // blocks, found % blocks
 
 
-def passage_bounds(terms: np.ndarray, index: Index) -> np.ndarray:
-    """For each passage of a text, the most that its distinct terms could add up to.
+def distinct_terms(
+    sizes: list[int], terms: np.ndarray, half: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of all passages of some texts: (passage, term), first passages.
 
-    ``terms``: the number of each word's term, -1 for words in no item.  Passage p
-    begins at word p * half and has two halves.
+    ``sizes``: words of each text; ``terms``: the number of each word's term, -1 for
+    words in no item.  A text's passage p begins at its word p * half and has two
+    halves; passages are numbered through all texts.
     """
-    half = index.half
-    n = max(1, -(-len(terms) // half))
-    at = np.flatnonzero(terms >= 0)
-    known = terms[at]
-    order = np.argsort(known, kind="stable")
-    before = np.full(len(at), -1)
-    same = known[order[1:]] == known[order[:-1]]
-    before[order[1:][same]] = at[order[:-1][same]]
-    own = at // half
-    weight = index.term_max[known]
-    bounds = np.bincount(own, weight * (before < own * half), minlength=n)
-    second = own >= 1
-    earlier = (own - 1)[second]
-    first_there = before[second] < earlier * half
-    bounds[: n] += np.bincount(earlier, weight[second] * first_there, minlength=n)[:n]
-    return bounds
-
-
-def matches(text: str | None, index: Index, threshold: float) -> dict[int, tuple]:
-    """Verified items of a text: item -> (score, question overlap, answer overlap, word)."""
-    words = words_of(text)
-    best: dict[int, tuple] = {}
-    if not words or not len(index.term_max):
-        return best
+    lengths = np.array(sizes)
+    text = np.repeat(np.arange(len(sizes)), lengths)
+    place = np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    passages = np.maximum(1, -(-lengths // half))
+    firsts = np.cumsum(passages) - passages
+    known = np.flatnonzero(terms >= 0)
+    text, place, term = text[known], place[known], terms[known]
+    order = np.lexsort((place, term, text)) if len(known) else known
+    same = (term[order[1:]] == term[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    before = np.full(len(known), -1)
+    before[order[1:][same]] = place[order[:-1][same]]
+    half_no = place // half
+    own = before < half_no * half
+    earlier = (half_no > 0) & (before < (half_no - 1) * half)
+    number = firsts[text] + half_no
+    passage = np.concatenate((number[own], number[earlier] - 1))
+    term = np.concatenate((term[own], term[earlier]))
+    order = np.argsort(passage, kind="stable")
+    return passage[order], term[order], firsts
+
+
+def search(
+    texts: list[str | None], index: Index, threshold: float
+) -> list[dict[int, tuple]]:
+    """Verified items of each text: item -> (score, question and answer overlap, -word)."""
+    best: list[dict[int, tuple]] = [{} for _ in texts]
     get = index.term_of.get
-    terms = np.array([get(w, -1) for w in words])
-    for p in np.flatnonzero(passage_bounds(terms, index) >= threshold - _SLACK).tolist():
-        start, stop = p * index.half, (p + 2) * index.half
-        present = np.unique(terms[start:stop])
-        retrieved = block_max_wand(index, present[present >= 0].tolist(), threshold)
+    held: list[int] = []
+    words: list[list[str]] = []
+    size = 0
+    for row, text in enumerate(texts):
+        found = words_of(text)
+        if found:
+            held.append(row)
+            words.append(found)
+            size += len(found)
+        if size >= UNIT_WORDS or (row == len(texts) - 1 and held):
+            sizes = [len(w) for w in words]
+            terms = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, size)
+            _search_unit(held, words, sizes, terms, index, threshold, best)
+            held, words, size = [], [], 0
+    return best
+
+
+def _search_unit(
+    rows: list[int], words: list[list[str]], sizes: list[int], terms: np.ndarray,
+    index: Index, threshold: float, best: list[dict[int, tuple]],
+) -> None:
+    passage, term, firsts = distinct_terms(sizes, terms, index.half)
+    n = int(firsts[-1]) + max(1, -(-sizes[-1] // index.half))
+    for p, block in open_blocks(passage, term, n, index, threshold):
+        a, b = np.searchsorted(passage, (p, p + 1))
+        retrieved = block_max_wand(index, term[a:b].tolist(), threshold, block)
         if not retrieved:
             continue
-        there = shingles(words[start:stop])
-        short = {n: _runs(words[start:stop], n) for n in range(1, SHINGLE)}
+        at = int(np.searchsorted(firsts, p, side="right")) - 1
+        start = (p - int(firsts[at])) * index.half
+        there = words[at][start : start + 2 * index.half]
+        whole = shingles(there)
+        short = {k: _runs(there, k) for k in range(1, SHINGLE)}
         for item, score in retrieved:
-            q, a = (
-                _overlap(part, there, short) for part in (index.questions[item], index.answers[item])
+            q, a_ = (
+                _overlap(part, whole, short)
+                for part in (index.questions[item], index.answers[item])
             )
-            if q >= MIN_OVERLAP and a >= MIN_OVERLAP:
-                best[item] = max(best.get(item, (0.0,)), (score, q, a, -start))
-    return best
+            if q >= MIN_OVERLAP and a_ >= MIN_OVERLAP:
+                match = (score, q, a_, -start)
+                best[rows[at]][item] = max(best[rows[at]].get(item, (0.0,)), match)
 
 
 def _runs(words: list[str], n: int) -> set[tuple[str, ...]]:
@@ -307,8 +392,9 @@ def _searcher(shared, threshold: float):
         index = shared.value
         for batch in batches:
             rows, found = [], []
-            for row, text in enumerate(batch.column(2)):
-                for item, match in matches(text.as_py(), index, threshold).items():
+            texts = batch.column(2).to_pylist()
+            for row, matched in enumerate(search(texts, index, threshold)):
+                for item, match in matched.items():
                     rows.append(row)
                     found.append((index.item_ids[item], *match))
             picked = pa.array(rows, pa.int64())

@@ -44,21 +44,36 @@ def test_wand_retrieves_all_above_the_threshold(threshold):
     for _ in range(60):
         query = set(rng.sample(words, 25)) | set(rng.choice(items)[1].split()[:9])
         terms = sorted(index.term_of[t] for t in query if t in index.term_of)
-        got = dict(D.block_max_wand(index, terms, threshold))
+        got = {}
+        for block in range(index.n_blocks):
+            got |= {
+                index.item_ids[i]: x
+                for i, x in D.block_max_wand(index, terms, threshold, block)
+            }
+        opened = D.open_blocks(
+            np.zeros(len(terms), int), np.array(terms), 1, index, threshold
+        )
+        at = {i: k // D.BLOCK for k, i in enumerate(index.item_ids)}
+        assert {at[i] for i in got} <= {b for _, b in opened}
         want = {i: s for i, s in plain_scores(items, query).items() if s >= threshold - 1e-9}
         assert got.keys() == want.keys()
         assert all(math.isclose(got[i], want[i]) for i in got)
 
 
-def test_bounds_are_those_of_distinct_terms():
+def test_passages_have_their_distinct_terms():
     rng = random.Random(4)
-    index, _, _ = index_of([(i, " ".join(rng.choices("abcdefgh", k=9))) for i in range(20)])
-    for n in (0, 1, 63, 64, 65, 128, 500):
-        terms = np.array([rng.randrange(-1, len(index.term_of)) for _ in range(n)], int)
-        got = D.passage_bounds(terms, index)
-        for p, bound in enumerate(got):
-            inside = {t for t in terms[p * 64 : (p + 2) * 64].tolist() if t >= 0}
-            assert math.isclose(bound, sum(index.term_max[t] for t in inside), abs_tol=1e-12)
+    for _ in range(30):
+        sizes = [rng.choice([1, 7, 63, 64, 65, 128, 300]) for _ in range(rng.randrange(1, 6))]
+        texts = [[rng.randrange(-1, 12) for _ in range(n)] for n in sizes]
+        flat = np.array([t for ts in texts for t in ts])
+        passage, term, firsts = D.distinct_terms(sizes, flat, 64)
+        want = []
+        for k, ts in enumerate(texts):
+            for p in range(max(1, -(-len(ts) // 64))):
+                inside = {t for t in ts[p * 64 : (p + 2) * 64] if t >= 0}
+                want += [(int(firsts[k]) + p, t) for t in inside]
+        assert passage.tolist() == sorted(passage.tolist())
+        assert sorted(zip(passage.tolist(), term.tolist())) == sorted(want)
 
 
 def test_query_finds_the_items_in_the_documents(spark):
@@ -103,6 +118,8 @@ def test_places_lengths_and_indexes(spark, monkeypatch):
     want[600, 78] += 1
     for size in (D.INDEX_CHARS, 4000):
         monkeypatch.setattr(D, "INDEX_CHARS", size)
+        monkeypatch.setattr(D, "UNIT_WORDS", size // 10)
+        monkeypatch.setattr(D, "CELLS", size // 100)
         got = Counter((r.doc_id, r.item_id) for r in D.contaminated(left, right).collect())
         shuffled = {(100 + i, i) for i, t in items[:30] if len(t.split()) < 4}
         assert {k: n for k, n in got.items() if k not in shuffled} == {
