@@ -18,6 +18,7 @@ from millrace.operators.export import (
     write_import_lines,
 )
 from millrace.operators.history import (
+    compact_history,
     current_points,
     read_history,
     stamp,
@@ -57,22 +58,32 @@ from millrace.plans.jobs import (
     product_job,
 )
 from millrace.plans.views import register_views
-from millrace.session import configure, scratch_dir
+from millrace.session import configure, ensure_shared_folder, scratch_dir
 from millrace.sources.tables import (
+    compact_raw_events,
     read_anomalies,
+    read_quarantine,
     read_raw_events,
     read_table,
+    write_quarantine,
     write_raw_events,
 )
 from millrace.sources.wire import (
     conform_records,
+    decoded_records,
     parse_json,
     read_events,
+    split_records,
     union_events,
 )
 from millrace.streaming.detect import detect_stream
 from millrace.streaming.ingest import ingest_stream, quarantine_stream
-from millrace.streaming.kpi import bucket_sessions_stream, kpi_stream
+from millrace.streaming.kpi import (
+    bucket_sessions_stream,
+    dropped_rows,
+    kpi_stream,
+    not_ahead,
+)
 
 __all__ = [
     "backfill_anomalies",
@@ -82,6 +93,8 @@ __all__ = [
     "cart_abandonment_literal",
     "cart_abandonment_sessions",
     "classify",
+    "compact_history",
+    "compact_raw_events",
     "configure",
     "conform_carts",
     "conform_orders",
@@ -89,11 +102,14 @@ __all__ = [
     "conform_views",
     "conversion_rate_total",
     "current_points",
+    "decoded_records",
     "delivery_report",
     "detect_anomalies",
     "detect_stream",
     "detection_job",
+    "dropped_rows",
     "enrich",
+    "ensure_shared_folder",
     "event_source_counts",
     "events_by_month",
     "gmv_total",
@@ -110,6 +126,7 @@ __all__ = [
     "metric_span",
     "metric_summary",
     "new_only",
+    "not_ahead",
     "panel_series",
     "parse_json",
     "product_job",
@@ -120,6 +137,7 @@ __all__ = [
     "read_anomalies",
     "read_events",
     "read_history",
+    "read_quarantine",
     "read_raw_events",
     "read_table",
     "recent_points",
@@ -128,6 +146,7 @@ __all__ = [
     "series_range",
     "session_funnel",
     "since",
+    "split_records",
     "stamp",
     "to_kafka_records",
     "to_metric_rows",
@@ -138,5 +157,6 @@ __all__ = [
     "write_anomalies",
     "write_history",
     "write_import_lines",
+    "write_quarantine",
     "write_raw_events",
 ]

@@ -26,20 +26,28 @@ def wide_columns(topic: str, **given: Column) -> list[Column]:
         if field.name == "_topic":
             value = F.lit(topic)
         elif field.name in given:
-            value = F.coalesce(given[field.name].cast(field.dataType), default)
+            # A value that does not fit gives the default instead of ending the
+            # job; decoded messages were checked before (``parse_json``).
+            value = F.coalesce(given[field.name].try_cast(field.dataType), default)
         else:
             value = default
         columns.append(value.cast(field.dataType).alias(field.name))
     return columns
 
 
+def _event_time(epoch: Column) -> Column:
+    """The time of an epoch second, NULL if it is none of the plausible ones."""
+    plausible = (epoch >= S.MIN_EPOCH) & (epoch < S.MAX_EPOCH)
+    return F.when(plausible, F.timestamp_seconds(epoch))
+
+
 def view_columns(get, offset: Column) -> list[Column]:
     return wide_columns(
         S.VIEW_TOPIC,
         event_type=get("event_type"),
         user_id=get("user_id"),
         session_id=get("session_id"),
-        timestamp=F.timestamp_seconds(F.coalesce(get("timestamp"), F.lit(0))),
+        timestamp=_event_time(F.coalesce(get("timestamp"), F.lit(0))),
         page=get("page"),
         product_id=get("product_id"),
         _offset=offset,
@@ -74,7 +82,7 @@ def order_columns(get, offset: Column) -> list[Column]:
         event_type=get("event_type"),
         user_id=get("user_id"),
         session_id=get("session_id"),
-        timestamp=F.timestamp_seconds(F.coalesce(get("timestamp"), F.lit(0))),
+        timestamp=_event_time(F.coalesce(get("timestamp"), F.lit(0))),
         order_id=get("order_id"),
         # Rounds half up, as a decimal cast does; binary 8.28 stays 8.28.
         amount=get("amount"),

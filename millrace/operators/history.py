@@ -70,12 +70,15 @@ def read_history(spark: SparkSession, path: str, deduplicate: bool = False) -> D
     return current_points(stored) if deduplicate else stored
 
 
-def write_history(df: DataFrame, path: str, mode: str = "upsert") -> None:
+def write_history(
+    df: DataFrame, path: str, mode: str = "upsert", persisted: bool = False
+) -> None:
     """Store stamped metric rows.
 
     ``upsert`` merges with the months the rows fall into and rewrites only
     those, one writer at a time.  ``append`` adds files and touches nothing
-    else; read such a table with ``deduplicate=True``.
+    else; read such a table with ``deduplicate=True``.  ``persisted`` says that the
+    caller holds the rows already.
     """
     rows = with_event_month(df.select(*_COLUMNS))
     if mode == "append":
@@ -85,7 +88,8 @@ def write_history(df: DataFrame, path: str, mode: str = "upsert") -> None:
         raise ValueError(f"mode must be 'upsert' or 'append', not {mode!r}")
     # Bucketed metrics are small next to the events behind them; hold them once
     # rather than aggregate the events again for each of the two reads below.
-    rows = rows.persist()
+    if not persisted:
+        rows = rows.persist()
     try:
         span = rows.agg(F.min(S.MONTH), F.max(S.MONTH)).first()
         if span[0] is None:
@@ -103,4 +107,19 @@ def write_history(df: DataFrame, path: str, mode: str = "upsert") -> None:
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(S.MONTH).parquet(path)
     finally:
-        rows.unpersist()
+        if not persisted:
+            rows.unpersist()
+
+
+def compact_history(spark: SparkSession, path: str, months: Sequence[str] = ()) -> None:
+    """Reduce an append-mode history to the latest row of each key.
+
+    All months, or those given (``yyyyMM``), one writer at a time.  Only whole months
+    are replaced, so runs that append to other months aren't in the way.
+    """
+    stored = read_table(spark, path, S.HISTORY_SCHEMA)
+    if months:
+        stored = stored.where(F.col(S.MONTH).isin(*months))
+    metric_layout(current_points(stored)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(S.MONTH).parquet(path)

@@ -14,11 +14,16 @@ from millrace.operators.enrich import enrich, of_services
 from millrace.operators.export import Sender, publish, write_import_lines
 from millrace.operators.history import read_history, stamp, write_history
 from millrace.operators.kpis import bucket_sessions, to_metric_rows
-from millrace.operators.outliers import detect_anomalies, write_anomalies
+from millrace.operators.outliers import (
+    ANOMALY,
+    detect_anomalies,
+    mark_recorded,
+    write_anomalies,
+)
 from millrace.operators.reports import product_metrics
 from millrace.schemas import METRIC_LABELS
-from millrace.sources.tables import read_raw_events, write_raw_events
-from millrace.sources.wire import conform_records
+from millrace.sources.tables import read_anomalies, read_raw_events
+from millrace.streaming.ingest import store_records
 
 
 def kpi_metrics(
@@ -45,16 +50,17 @@ def kpi_metrics(
 
 
 def load_job(
-    records: DataFrame, raw_path: str, quarantine_path: str | None = None
+    records: DataFrame,
+    raw_path: str,
+    quarantine_path: str | None = None,
+    load: str | None = None,
 ) -> None:
     """Conform a batch of messages into the raw table, rejects into quarantine.
 
-    Each target is one pass over the messages.
+    Both targets are filled from one pass over the messages.  A job that names its
+    ``load`` can be repeated.
     """
-    wide, rejected = conform_records(records)
-    write_raw_events(wide, raw_path)
-    if quarantine_path is not None:
-        rejected.write.mode("append").parquet(quarantine_path)
+    store_records(records, raw_path, quarantine_path, load)
 
 
 def product_job(
@@ -93,7 +99,7 @@ def kpi_job(
             write_import_lines(metrics, import_path)
         if sender is not None:
             publish(metrics, sender).write.mode("append").parquet(status_path)
-        write_history(metrics, history_path, mode)
+        write_history(metrics, history_path, mode, persisted=True)
     finally:
         metrics.unpersist()
 
@@ -108,15 +114,35 @@ def detection_job(
     threshold: float = 2.0,
     metric_names: Sequence[str] = tuple(METRIC_LABELS),
     deduplicate: bool = False,
+    series_key: Sequence[str] = ("metric_name",),
+    status_path: str | None = None,
 ) -> int:
-    """Detect over the stored history; returns the number of new anomalies."""
+    """Detect over the stored history; returns the number of new anomalies.
+
+    With ``status_path`` the status of every series is stored too, one folder per
+    ``as_of``; anomalies stored by an earlier run are "already recorded" there.
+    """
     history = read_history(spark, history_path, deduplicate)
-    flagged = detect_anomalies(
+    report = detect_anomalies(
         history,
         as_of,
         lookback=lookback,
         min_points=min_points,
         threshold=threshold,
+        series_key=series_key,
         metric_names=metric_names,
-    )
-    return write_anomalies(flagged, anomalies_path)
+        with_status=True,
+    ).persist()
+    try:
+        if status_path is not None:
+            marked = mark_recorded(report, read_anomalies(spark, anomalies_path))
+            moment = F.date_format(instant(as_of), "yyyyMMdd'T'HHmmss")
+            marked.withColumn("as_of", moment).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("as_of").parquet(status_path)
+        flagged = report.where(F.col("status") == ANOMALY).withColumn(
+            "detected_at", instant(as_of)
+        )
+        return write_anomalies(flagged, anomalies_path)
+    finally:
+        report.unpersist()

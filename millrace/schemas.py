@@ -138,8 +138,22 @@ ANOMALY_SCHEMA = T.StructType(
         T.StructField("mean_value", T.DoubleType()),
         T.StructField("stdev_value", T.DoubleType()),
         T.StructField("detected_at", T.TimestampType()),
+        # JSON text of the labels that tell the point's series from others.
+        T.StructField("series", T.StringType()),
     ]
 )
 
 # Every stored table is partitioned by this column, derived from its event time.
 MONTH = "event_month"
+
+# What a message may say, stated as limits of this library.  Event times are epoch
+# seconds in UTC from 1970 to before 2100, so that milliseconds are recognised as a
+# mistake; an event may lie this far ahead of its arrival; amounts fit ``AMOUNT``.
+MIN_EPOCH = 0
+MAX_EPOCH = 4_102_444_800
+AHEAD_SECONDS = 86_400
+MAX_AMOUNT = 99_999_999.99
+
+# Rejected messages say why, and stored rows which load brought them.
+REASON = "reason"
+LOAD = "event_load"

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 # Settings the operators rely on.  Executor sizing belongs to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -37,10 +38,20 @@ DEFAULT_PARTITIONS = 200
 PARTITIONS_PER_CORE = 4
 
 
-def configure(spark: SparkSession, streaming: bool = False) -> SparkSession:
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of streams started from now on in RocksDB."""
+    for key, value in STREAMING_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
+def configure(
+    spark: SparkSession, streaming: bool = False, state_partitions: int | None = None
+) -> SparkSession:
     """Apply the library's runtime settings to an existing session.
 
-    A number of shuffle partitions chosen by the user is left alone.
+    A number of shuffle partitions chosen by the user is left alone.  Adaptive
+    execution doesn't act on streams with state: ``state_partitions`` sets how many
+    partitions these have, fixed for the life of a checkpoint.
     """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
@@ -48,9 +59,10 @@ def configure(spark: SparkSession, streaming: bool = False) -> SparkSession:
     wanted = PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism
     if planned == DEFAULT_PARTITIONS < wanted:
         spark.conf.set(INITIAL_PARTITIONS, wanted)
-    if streaming:
-        for key, value in STREAMING_SETTINGS.items():
-            spark.conf.set(key, value)
+    if streaming or state_partitions:
+        use_rocksdb(spark)
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", state_partitions)
     return spark
 
 

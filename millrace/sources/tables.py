@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,25 +14,47 @@ from pyspark.sql import types as T
 from millrace import schemas as S
 from millrace.functions import bucket_start, labels_key
 from millrace.operators.conform import with_event_month
+from millrace.sources.files import Folder
+
+
+_PENDING = "_compactions"
+
 
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, *parts: str
+) -> DataFrame:
+    """A stored table with its partition columns (the month, if none are given).
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table with its month column; a missing table reads as empty."""
-    with_month = T.StructType(schema.fields + [T.StructField(S.MONTH, T.StringType())])
+    A missing table reads as empty.
+    """
+    names = parts or (S.MONTH,)
+    full = T.StructType(schema.fields + [T.StructField(n, T.StringType()) for n in names])
     try:
-        return spark.read.schema(with_month).parquet(path)
+        return spark.read.schema(full).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], with_month)
+        return spark.createDataFrame([], full)
 
 
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, S.RAW_EVENT_SCHEMA)
+    """The raw event table, whoever wrote its rows."""
+    Folder(spark, path).refuse_commit_log()
+    return read_table(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH, S.LOAD).drop(S.LOAD)
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Rejected message envelopes with the reason of each."""
+    Folder(spark, path).refuse_commit_log()
+    schema = T.StructType(S.RECORD_SCHEMA.fields + [T.StructField(S.REASON, T.StringType())])
+    return read_table(spark, path, schema, S.LOAD).drop(S.LOAD)
 
 
 def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, S.ANOMALY_SCHEMA)
+    stored = read_table(spark, path, S.ANOMALY_SCHEMA)
+    # Rows from before series were stored are series of their metric alone.
+    alone = F.to_json(F.struct("metric_name"))
+    return stored.withColumn("series", F.coalesce("series", alone))
 
 
 def stored_layout(
@@ -44,17 +70,70 @@ def stored_layout(
     return df.hint("rebalance", *together).sortWithinPartitions(S.MONTH, *sort)
 
 
-def write_raw_events(df: DataFrame, path: str) -> None:
+def _write_load(df: DataFrame, path: str, load: str | None, *parts: str) -> None:
+    """Add rows as a load of their own; a named load replaces itself when repeated."""
+    Folder(df.sparkSession, path).refuse_commit_log()
+    rows = df.withColumn(S.LOAD, F.lit(load or f"batch-{uuid.uuid4().hex}"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *parts, S.LOAD
+    ).parquet(path)
+
+
+def write_raw_events(df: DataFrame, path: str, load: str | None = None) -> None:
     """Append wide event rows, an hour to a file or less, ordered by time.
 
-    A lookback then skips most files and row groups by their time range.
+    A lookback then skips most files and row groups by their time range.  Batch and
+    streaming writers share a table: each write is a load, a folder within the month's.
+    A writer that may repeat itself names its ``load`` and then replaces it.
     """
     hour = bucket_start("timestamp", "hour")
-    stored_layout(
+    rows = stored_layout(
         with_event_month(df).withColumn("_hour", hour),
         ["_hour"],
         ["timestamp", "session_id", "user_id", "event_type"],
-    ).drop("_hour").write.mode("append").partitionBy(S.MONTH).parquet(path)
+    ).drop("_hour")
+    _write_load(rows, path, load, S.MONTH)
+
+
+def write_quarantine(df: DataFrame, path: str, load: str | None = None) -> None:
+    """Append rejected envelopes; ``load`` as for the raw table."""
+    _write_load(df.select(*S.RECORD_SCHEMA.fieldNames(), S.REASON), path, load)
+
+
+def compact_raw_events(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> int:
+    """Merge the loads of each month into one; returns how many were merged.
+
+    ``keep`` names loads to leave alone, such as a stream's latest, which may still be
+    repeated.  One job at a time, and no readers while it runs: between writing the
+    merged load and dropping its parts, rows are there twice.  What is to be dropped
+    is noted first, and a job after a failure finishes that before anything else.
+    """
+    folder = Folder(spark, path)
+    folder.refuse_commit_log()
+    if folder.exists(_PENDING):
+        for name in json.loads(folder.read_text(f"{_PENDING}/drop")):
+            folder.delete(name)
+        folder.delete(_PENDING)
+    merged = 0
+    for month in folder.folders():
+        if not month.startswith(f"{S.MONTH}="):
+            continue
+        loads = [x.partition("=")[2] for x in folder.folders(month)]
+        loads = [x for x in loads if x not in keep]
+        if len(loads) < 2:
+            continue
+        name = "merged-" + hashlib.md5("\n".join(loads).encode()).hexdigest()
+        stored = read_table(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH, S.LOAD).where(
+            (F.col(S.MONTH) == month.partition("=")[2]) & F.col(S.LOAD).isin(*loads)
+        )
+        write_raw_events(stored.drop(S.MONTH, S.LOAD), path, name)
+        drop = [f"{month}/{S.LOAD}={x}" for x in loads]
+        folder.write_text(f"{_PENDING}/drop", json.dumps(drop))
+        for part in drop:
+            folder.delete(part)
+        folder.delete(_PENDING)
+        merged += len(loads)
+    return merged
 
 
 def metric_layout(df: DataFrame) -> DataFrame:
