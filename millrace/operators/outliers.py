@@ -21,6 +21,7 @@ from millrace.sources.tables import read_anomalies, stored_layout
 INSUFFICIENT = "insufficient"
 NO_VARIANCE = "no variance"
 NORMAL = "normal"
+NO_VALUE = "no value"
 ANOMALY = "anomaly"
 RECORDED = "already recorded"
 
@@ -29,15 +30,15 @@ _STATS = ("z_score", "mean_value", "stdev_value", "history_count", "status")
 
 
 def _with_series(metrics: DataFrame, series_key: Sequence[str]) -> DataFrame:
-    """Add ``_series``, the sortable identity of a row's series."""
-    parts = [labels_key(k) if k == "labels" else F.col(k) for k in series_key]
-    return metrics.withColumn(
-        "_series", F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
-    )
+    """Add ``_series``, the JSON text of what identifies a row's series."""
+    parts = [
+        (labels_key(k) if k == "labels" else F.col(k)).alias(k) for k in series_key
+    ]
+    return metrics.withColumn("_series", F.to_json(F.struct(*parts)))
 
 
-# Parts into which the rows of one series are split for its statistics.
-_PARTS = 32
+# Series whose newest point may be broadcast: about a hundred bytes each.
+BROADCAST_SERIES = 50_000
 
 # What a history is reduced to: the number of its values, sums of their distances
 # from a center and of the squared distances, and their range.
@@ -68,7 +69,8 @@ def _judged(df: DataFrame, min_points: int, threshold: float) -> DataFrame:
     distance = F.abs(n * (F.col("metric_value") - center) - s1)
     z = F.col("z_score")
     status = (
-        F.when(~enough, INSUFFICIENT)
+        F.when(F.col("metric_value").isNull(), NO_VALUE)
+        .when(~enough, INSUFFICIENT)
         .when(~varied, NO_VARIANCE)
         .when(z > F.lit(threshold), ANOMALY)
         .otherwise(NORMAL)
@@ -79,14 +81,16 @@ def _judged(df: DataFrame, min_points: int, threshold: float) -> DataFrame:
 
 
 def _report(df: DataFrame, with_status: bool, detected_at: Column) -> DataFrame:
+    series = F.col("_series").alias("series")
     if with_status:
-        return df.select(*_POINT, *_STATS)
+        return df.select(*_POINT, *_STATS, series)
     return df.where(F.col("status") == ANOMALY).select(
         *_POINT,
         "z_score",
         "mean_value",
         "stdev_value",
         detected_at.alias("detected_at"),
+        series,
     )
 
 
@@ -106,17 +110,16 @@ def detect_anomalies(
     the reason it was or was not flagged.  ``metric_names`` restricts the check;
     a named metric without any point is then reported as insufficient.
 
-    All series are handled by one plan, and there may be very few of them.  The
-    newest point is a plain maximum; the rows it is compared with are split into
-    parts of their series, so that one series holding most of the rows is worked
-    on by many tasks, and the parts' sums are added up at the end.
+    All series are handled by one plan.  The newest point and a center of each series
+    come first; the rows are then compared with them where they are, and only sums
+    travel.  The newest points are broadcast if they are counted to be few, which
+    reads the lookback once when this is called; with more of them the rows are
+    shuffled to meet them.
     """
     if metric_names is not None:
         metrics = metrics.where(F.col("metric_name").isin(*metric_names))
     recent = _with_series(until(since(metrics, as_of, lookback), as_of), series_key)
-    recent = recent.select(
-        "_series", *_POINT, labels_key("labels").alias("_label")
-    ).withColumn("_part", F.pmod(F.xxhash64("timestamp", "_label"), F.lit(_PARTS)))
+    recent = recent.select("_series", *_POINT, labels_key("labels").alias("_label"))
 
     identity = ("timestamp", "_label", "metric_name")
     newest = recent.groupBy("_series").agg(
@@ -124,16 +127,18 @@ def detect_anomalies(
         # The median is never further from the mean than one deviation.
         F.percentile_approx("metric_value", 0.5).alias("center"),
     )
-    every_part = newest.withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)).cast("array<long>"))
-    )
+    if newest.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES:
+        newest = F.broadcast(newest)
     is_now = F.struct(*identity).eqNullSafe(F.struct(*[f"now.{c}" for c in identity]))
     past = F.when(~is_now, F.col("metric_value"))
     away = past - F.col("center")
-    parts = (
-        recent.join(every_part, ["_series", "_part"])
-        .groupBy("_series", "_part", "now", "center")
+    stats = (
+        recent.join(newest, "_series")
+        .groupBy("_series")
         .agg(
+            # The same in every row of a series.
+            F.first("now").alias("now"),
+            F.first("center").alias("center"),
             F.count(past).cast("double").alias("n"),
             F.sum(away).alias("s1"),
             F.sum(away * away).alias("s2"),
@@ -141,12 +146,9 @@ def detect_anomalies(
             F.max(past).alias("hi"),
         )
     )
-    stats = parts.groupBy("_series", "now", "center").agg(
-        *[F.sum(c).alias(c) for c in ("n", "s1", "s2")],
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
+    points = stats.select(
+        "_series", *[F.col(f"now.{c}").alias(c) for c in _POINT], *_SUMS
     )
-    points = stats.select(*[F.col(f"now.{c}").alias(c) for c in _POINT], *_SUMS)
     judged = _judged(points, min_points, threshold)
     report = _report(judged, with_status, instant(as_of))
     if with_status and metric_names is not None:
@@ -166,6 +168,7 @@ def _listed(report: DataFrame, metric_names: Sequence[str]) -> DataFrame:
         "stdev_value",
         F.coalesce("history_count", F.lit(0)).cast("long").alias("history_count"),
         F.coalesce("status", F.lit(INSUFFICIENT)).alias("status"),
+        F.coalesce("series", F.to_json(F.struct("metric_name"))).alias("series"),
     )
 
 
@@ -174,22 +177,24 @@ def backfill_anomalies(
     lookback: str | timedelta = "30 minutes",
     min_points: int = 5,
     threshold: float = 2.0,
-    block: str | timedelta = "1 day",
+    block: str | timedelta | None = None,
     series_key: Sequence[str] = ("metric_name",),
     with_status: bool = False,
 ) -> DataFrame:
     """Judge every point against the ``lookback`` that ends just before it.
 
-    There may be only three series, so time is cut into blocks that are worked
-    on independently; each also receives the lookback preceding it.  Rows that
-    share a series and a time are first combined into one: what a
-    block's window sorts is one row per distinct time, however many label sets,
-    and however many points, one series holds.  For bucketed metrics that is
-    ``block / bucket`` rows, and ``lookback / bucket`` of them per judged point.
+    Time is cut into blocks as long as the lookback.  The history of a point is then a
+    tail of the block before its own and a head of its own block, and running sums,
+    backwards over the one and forwards over the other, give both: the work per point
+    doesn't depend on the length of the lookback.  Rows that share a series and a time
+    are first combined into one, so that what a block's window sorts is one row per
+    distinct time, however many label sets, and however many points, a series holds.
+
+    Each side is summed around a value of its own, the head around its first and the
+    tail around its last, which every head and every tail has: sums never hold more
+    than the spread of the very values they sum.
     """
     lookback_us = seconds_in(lookback) * 1_000_000
-    block_us = max(seconds_in(block) * 1_000_000, lookback_us)
-
     points = _with_series(metrics, series_key).select(
         "_series", *_POINT, F.unix_micros("timestamp").alias("_us")
     )
@@ -201,49 +206,65 @@ def backfill_anomalies(
         F.min(value).alias("lo"),
         F.max(value).alias("hi"),
     )
+    us = F.col("_us")
+    block = us - F.pmod(us, F.lit(lookback_us))
 
-    def block_of(us: Column) -> Column:
-        return us - F.pmod(us, F.lit(block_us))
+    def role(shift: int, head: bool) -> Column:
+        # Rows of the block before stand where they leave the lookback.
+        return F.struct(
+            (block + shift).alias("_block"), (us + shift).alias("_at"), F.lit(head).alias("_head")
+        )
 
-    us = F.col("_us")
-    own, last = block_of(us), block_of(us + F.lit(lookback_us))
-    blocks = instants.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.sequence(own, last, F.lit(block_us)))
+    placed = instants.select(
+        "*", F.inline(F.array(role(0, True), role(lookback_us, False)))
     )
-    frame = (
+    of_block = Window.partitionBy("_series", "_block").orderBy("_at")
+    whole = of_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_head = F.col("_head")
+    known = F.when(F.col("n") > 0, F.col("mean"))
+    centered = placed.withColumns(
+        {
+            "_c_head": F.first(F.when(is_head, known), ignorenulls=True).over(whole),
+            "_c_tail": F.last(F.when(~is_head, known), ignorenulls=True).over(whole),
+        }
+    )
+    before = of_block.rangeBetween(Window.unboundedPreceding, -1)
+    from_here = (
         Window.partitionBy("_series", "_block")
-        .orderBy("_us")
-        .rangeBetween(-lookback_us, -1)
+        .orderBy(F.col("_at").desc())
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    past = F.collect_list(F.struct("n", "mean", "m2", "lo", "hi")).over(frame)
-    kept = ("_series", "_us")
-    history = (
-        blocks.withColumn("_past", past)
-        .where(F.col("_block") == F.col("_own"))
-        .selectExpr(
-            *kept,
-            "_past",
-            "aggregate(_past, 0D, (sum, x) -> sum + x.n) AS n",
-            "aggregate(_past, 0D, (sum, x) -> sum + x.n * x.mean) AS total",
-        )
-        # The value nearest to the mean is no further from it than one deviation.
-        .selectExpr(
-            *kept,
-            "_past",
-            "n",
-            """array_min(transform(_past, x ->
-            struct(abs(x.mean - try_divide(total, n)), x.mean AS mean))).mean AS center""",
-        )
-        .selectExpr(
-            *kept,
-            "n",
-            "center",
-            "aggregate(_past, 0D, (sum, x) -> sum + x.n * (x.mean - center)) AS s1",
-            """aggregate(_past, 0D, (sum, x) ->
-            sum + x.m2 + x.n * (x.mean - center) * (x.mean - center)) AS s2""",
-            "array_min(_past.lo) AS lo",
-            "array_max(_past.hi) AS hi",
-        )
+    sums = {}
+    for name, mine, frame in (("head", is_head, before), ("tail", ~is_head, from_here)):
+        away = F.col("mean") - F.col(f"_c_{name}")
+        n = F.col("n")
+        for column, of in {
+            "n": F.sum(F.when(mine, n)),
+            "s1": F.sum(F.when(mine, n * away)),
+            "s2": F.sum(F.when(mine, F.col("m2") + n * away * away)),
+            "lo": F.min(F.when(mine, F.col("lo"))),
+            "hi": F.max(F.when(mine, F.col("hi"))),
+        }.items():
+            sums[f"_{name}_{column}"] = of.over(frame)
+    summed = centered.withColumns(sums).where(is_head)
+
+    def part(name: str, column: str) -> Column:
+        return F.coalesce(F.col(f"_{name}_{column}"), F.lit(0.0))
+
+    # Both around one center: the head's, if there is a head.
+    has_head, has_tail = part("head", "n") > 0, part("tail", "n") > 0
+    center = F.when(has_head, F.col("_c_head")).otherwise(F.col("_c_tail"))
+    shift = F.when(has_head & has_tail, F.col("_c_tail") - F.col("_c_head")).otherwise(0.0)
+    n, s1 = part("tail", "n"), part("tail", "s1")
+    history = summed.select(
+        "_series",
+        "_us",
+        (part("head", "n") + n).alias("n"),
+        center.alias("center"),
+        (part("head", "s1") + s1 + n * shift).alias("s1"),
+        (part("head", "s2") + part("tail", "s2") + shift * (2 * s1 + n * shift)).alias("s2"),
+        F.least("_head_lo", "_tail_lo").alias("lo"),
+        F.greatest("_head_hi", "_tail_hi").alias("hi"),
     )
     judged = _judged(
         points.join(history, ["_series", "_us"]), min_points, threshold
@@ -251,19 +272,22 @@ def backfill_anomalies(
     return _report(judged, with_status, F.col("timestamp"))
 
 
+def _keys_of(df: DataFrame) -> list[str]:
+    return ["series" if "series" in df.columns else "metric_name", "timestamp"]
+
+
 def new_only(
-    candidates: DataFrame,
-    existing: DataFrame,
-    keys: Sequence[str] = ("metric_name", "timestamp"),
+    candidates: DataFrame, existing: DataFrame, keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """Candidates whose key is not recorded yet."""
+    """Candidates whose series has no record at their time yet."""
+    keys = list(keys or _keys_of(candidates))
     recorded = existing.select(*keys).distinct()
-    return candidates.join(recorded, list(keys), "left_anti")
+    return candidates.join(recorded, keys, "left_anti").select(*candidates.columns)
 
 
 def mark_recorded(report: DataFrame, existing: DataFrame) -> DataFrame:
     """A status report in which anomalies stored before are told apart."""
-    keys = ["metric_name", "timestamp"]
+    keys = _keys_of(report)
     stored = existing.select(*keys).distinct().withColumn("_stored", F.lit(True))
     known = F.col("_stored") & (F.col("status") == ANOMALY)
     return (

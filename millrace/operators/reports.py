@@ -24,9 +24,12 @@ from millrace.operators.kpis import (
 TOTAL_CONVERSION = "conversion_rate"
 TOTAL_ABANDONMENT = "cart_abandonment_rate"
 TOTAL_GMV = "gmv"
+# The stored constant that the literal definition of abandonment comes to.
+TOTAL_LITERAL = "cart_abandonment_literal"
 TOTAL_LABELS = {
     TOTAL_CONVERSION: "conversion",
     TOTAL_ABANDONMENT: "abandonment",
+    TOTAL_LITERAL: "abandonment",
     TOTAL_GMV: "revenue",
 }
 
@@ -138,17 +141,23 @@ def gmv_total(enriched: DataFrame) -> DataFrame:
 
 
 def product_metrics(enriched: DataFrame, as_of: str | datetime | Column) -> DataFrame:
-    """The three all-time totals as stored metric rows, from one pass.
+    """The all-time totals as stored metric rows, from one pass.
 
-    A total that is undefined (no views, or no carts) has no row.
+    The abandonment rate is the share of cart sessions without an order; the literal
+    definition's constant is stored under its own name.  A total that is undefined (no
+    views, or no carts) has no row.
     """
-    counts = _sessions(enriched).agg(*count_sessions())
+    lost = has_bit("touched", CARTED) & ~has_bit("touched", ORDERED)
+    counts = _sessions(enriched).agg(
+        *count_sessions(), F.count_if(lost).alias("abandoned_sessions")
+    )
     carts = F.col("cart_sessions")
     values = {
         TOTAL_CONVERSION: safe_ratio(
             F.col("order_sessions"), F.col("viewing_sessions")
         ),
-        TOTAL_ABANDONMENT: safe_ratio(carts, carts),
+        TOTAL_ABANDONMENT: safe_ratio(F.col("abandoned_sessions"), carts),
+        TOTAL_LITERAL: safe_ratio(carts, carts),
         TOTAL_GMV: F.col("gmv").cast("double"),
     }
     points = [

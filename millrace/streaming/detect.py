@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.functions import seconds_in
+from millrace.functions import seconds_in, since
+from millrace.functions.time import until
 from millrace.operators.history import read_history, stamp, write_history
-from millrace.operators.outliers import detect_anomalies, write_anomalies
+from millrace.operators.outliers import (
+    backfill_anomalies,
+    detect_anomalies,
+    write_anomalies,
+)
 from millrace.schemas import METRIC_LABELS
 from millrace.streaming.ingest import triggered
 
@@ -26,39 +31,38 @@ def detect_stream(
     threshold: float = 2.0,
     metric_names: Sequence[str] = tuple(METRIC_LABELS),
     trigger: str | None = "5 minutes",
+    every_bucket: bool = False,
 ) -> StreamingQuery:
     """Store each batch of metric rows and judge the newest points.
 
     ``as_of`` is the end of the newest bucket in the batch, not the clock, and
     both tables are written idempotently: a batch replayed after a failure
-    leaves them as they were.
+    leaves them as they were.  With ``every_bucket`` every point of the batch is
+    judged against the lookback before it, not the newest of each series alone:
+    after an outage a batch closes many buckets.
     """
 
     def handle(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         try:
-            newest = batch.agg(F.max("timestamp").alias("t"))
-            end = newest.select(
-                F.date_format(
-                    F.col("t") + F.make_dt_interval(secs=F.lit(seconds_in(bucket))),
-                    "yyyy-MM-dd'T'HH:mm:ssXXX",
-                )
-            ).first()[0]
+            after = F.col("t") + F.make_dt_interval(secs=F.lit(seconds_in(bucket)))
+            span = batch.agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("t"))
+            oldest, end = span.select(_text("s"), _text(after)).first()
             if end is None:
                 return
-            write_history(stamp(batch, end), history_path)
+            write_history(stamp(batch, end), history_path, persisted=True)
             history = read_history(batch.sparkSession, history_path)
-            write_anomalies(
-                detect_anomalies(
-                    history,
-                    end,
-                    lookback=lookback,
-                    min_points=min_points,
-                    threshold=threshold,
-                    metric_names=metric_names,
-                ),
-                anomalies_path,
-            )
+            limits = {"lookback": lookback, "min_points": min_points, "threshold": threshold}
+            if every_bucket:
+                known = history.where(F.col("metric_name").isin(*metric_names))
+                points = until(since(known, oldest, lookback), end)
+                found = backfill_anomalies(points, **limits)
+                found = since(found, oldest, "0 seconds")
+            else:
+                found = detect_anomalies(
+                    history, end, metric_names=metric_names, **limits
+                )
+            write_anomalies(found, anomalies_path)
         finally:
             batch.unpersist()
 
@@ -68,3 +72,7 @@ def detect_stream(
         .option("checkpointLocation", checkpoint)
     )
     return triggered(writer, trigger).start()
+
+
+def _text(time: Column | str) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")
