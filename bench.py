@@ -30,6 +30,7 @@ HEADLINE = (
     "history_upsert",
     "zscore_status",
     "zscore_backfill",
+    "zscore_backfill_minute",
     "import_payload",
     "stream_kpi_hour",
 )

@@ -6,7 +6,7 @@ meaning.  ``checks/oracle.py`` states the same rules in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schemas as S
@@ -70,6 +70,38 @@ def as_messages(events: DataFrame) -> DataFrame:
     return messages.select(F.inline(F.array(envelope)))
 
 
+# Rows that the edge messages change, by the remainder of the offset.
+EDGE = 97
+
+
+def edge_messages(messages: DataFrame) -> DataFrame:
+    """Messages of which a few hold what producers get wrong.
+
+    By ``offset % 97``: 0 two objects, a line each; 1 trailing text; 2 a time beyond
+    any calendar; 3 an amount beyond the column; 4 an amount that is no number; 5 a
+    time decades after arrival; 6 a time in milliseconds.
+    """
+    value, kind = F.col("value"), F.col("offset") % EDGE
+
+    def time(text: str) -> Column:
+        return F.regexp_replace(value, '"timestamp":[0-9]+', f'"timestamp":{text}')
+
+    def amount(text: str) -> Column:
+        return F.regexp_replace(value, '"amount":[0-9.E]+', f'"amount":{text}')
+
+    changed = (
+        F.when(kind == 0, F.concat(value, F.lit("\n"), value))
+        .when(kind == 1, F.concat(value, F.lit(" trailing")))
+        .when(kind == 2, time("9223372036854775807"))
+        .when(kind == 3, amount("1000000000.0"))
+        .when(kind == 4, amount('"NaN"'))
+        .when(kind == 5, time("2711000000"))
+        .when(kind == 6, time("1704067200000"))
+        .otherwise(value)
+    )
+    return messages.withColumn("value", changed)
+
+
 def orders_as_messages(orders: DataFrame) -> DataFrame:
     """``orders`` rows as order messages, whose amounts cross the upper guard."""
     value = F.struct(
@@ -107,3 +139,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("pathGlobFilter", "events*.parquet")
         .parquet(sf_dir)
     )
+
+
+def message_files(spark: SparkSession, sf_dir: str, path: str, days: int = 5) -> None:
+    """The messages as files of ``days`` days each, written in order of time.
+
+    Every fifth message or so is up to 40 minutes late, so that it may stand in the
+    file after its own; and each file has a message of the year 2055.
+    """
+    events = table(spark, sf_dir, "events")
+    late = F.unix_seconds(F.col("timestamp")) + (F.col("offset") % 5) * 600
+    part = F.floor((late - 1_704_067_200) / (days * 86_400))
+    messages = as_messages(events).withColumn("_part", part)
+    far = F.regexp_replace("value", '"timestamp":[0-9]+', '"timestamp":2711000000')
+    for i in range(-(-31 // days)):
+        mine = messages.where(F.col("_part") == i).drop("_part")
+        ahead = mine.where("topic = 'order-events'").limit(1).withColumn("value", far)
+        mine.union(ahead).coalesce(1).write.mode("append").parquet(path)

@@ -235,20 +235,23 @@ judged AS (SELECT *, {_JUDGED.format(threshold=threshold)} FROM stats)"""
 _DETECT_AS_OF = "TIMESTAMP '2024-01-29 03:00:00'"
 _LATEST = HOURLY + _latest(_DETECT_AS_OF)
 
-_EVERY_POINT = (
-    HOURLY
-    + f""",
+
+
+def _every_point(series: str = "metric_name") -> str:
+    return f""",
 stats AS (
-  SELECT metric_name, metric_value, "timestamp",
+  SELECT {series}, metric_value, "timestamp",
     count(*) OVER past AS history_count,
     avg(metric_value) OVER past AS mean_value,
     stddev_samp(metric_value) OVER past AS stdev_value
   FROM metrics
-  WINDOW past AS (PARTITION BY metric_name ORDER BY "timestamp"
+  WINDOW past AS (PARTITION BY {series} ORDER BY "timestamp"
     RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)
 ),
 judged AS (SELECT *, {_JUDGED.format(threshold=2.0)} FROM stats)"""
-)
+
+
+_EVERY_POINT = HOURLY + _every_point()
 
 _STATS = """"timestamp", metric_name, round(metric_value, 6) AS metric_value,
   round(z_score, 6) AS z_score, round(mean_value, 6) AS mean_value,
@@ -298,10 +301,36 @@ _STREAM_AS_OF = f"""(SELECT max("timestamp") + INTERVAL 1 HOUR FROM metrics
     WHERE {_CLOSED_POINT})"""
 
 
+# Decoded messages carry no row for the broken ones, so these close no bucket.
+_LAST_DECODED = """(SELECT max(ts) - INTERVAL 1 HOUR FROM events
+    WHERE user_id > 0 AND event_type <> 'error')"""
+_DECODED_CLOSED = f"\"timestamp\" + INTERVAL 1 HOUR <= {_LAST_DECODED}"
+
+# --- Messages of which a few hold what producers get wrong, by offset % 97 -----
+_EDGE_REJECTED = """(_offset % 97 = 1
+    OR (_offset % 97 IN (2, 5, 6) AND _topic <> 'cart-events')
+    OR (_offset % 97 IN (3, 4) AND _topic = 'order-events'))"""
+_EDGE_REASON = """CASE
+    WHEN event_type = 'error' OR _offset % 97 = 1 THEN 'malformed'
+    WHEN _offset % 97 IN (2, 6) AND _topic <> 'cart-events' THEN 'time out of range'
+    WHEN _offset % 97 = 5 AND _topic <> 'cart-events' THEN 'time ahead of arrival'
+    WHEN _offset % 97 IN (3, 4) AND _topic = 'order-events' THEN 'amount out of range'
+  END"""
+
+
 def _select(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
 
 
+_ABANDONED = """
+SELECT 'cart_abandonment_rate' AS metric_name,
+  round(CAST(count(DISTINCT c.session_id) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM enriched e
+    WHERE e.session_id = c.session_id AND e.service_source = 'order_service'))
+    AS DOUBLE) / nullif(count(DISTINCT c.session_id), 0), 6) AS metric_value
+FROM enriched c WHERE c.service_source = 'cart_service'"""
+
+
 def _series(metric_name: str) -> str:
     return _select(
         HOURLY, f"SELECT {_POINTS} FROM metrics WHERE metric_name = '{metric_name}'"
@@ -397,11 +426,13 @@ abandoned AS (
     "product_metrics": _select(
         ENRICHED
         + f""",
-totals AS ({_TOTAL_CONVERSION} UNION ALL {_TOTAL_ABANDONMENT} UNION ALL {_TOTAL_GMV})""",
+totals AS ({_TOTAL_CONVERSION} UNION ALL {_ABANDONED} UNION ALL
+  SELECT 'cart_abandonment_literal', metric_value FROM ({_TOTAL_ABANDONMENT})
+  UNION ALL {_TOTAL_GMV})""",
         """SELECT TIMESTAMP '2024-01-31 00:00:00' AS "timestamp", metric_name,
   metric_value,
   CASE metric_name WHEN 'conversion_rate' THEN 'conversion'
-    WHEN 'cart_abandonment_rate' THEN 'abandonment' ELSE 'revenue' END AS label_type,
+    WHEN 'gmv' THEN 'revenue' ELSE 'abandonment' END AS label_type,
   TIMESTAMP '2024-01-31 00:00:00' AS computed_at
 FROM totals WHERE metric_value IS NOT NULL""",
     ),
@@ -429,7 +460,14 @@ product_metrics AS (
   SELECT 'conversion_rate' AS metric_name, orders / nullif(views, 0) AS metric_value
   FROM totals
   UNION ALL
-  SELECT 'cart_abandonment_rate', carts / nullif(carts, 0) FROM totals
+  SELECT 'cart_abandonment_literal', carts / nullif(carts, 0) FROM totals
+  UNION ALL
+  SELECT 'cart_abandonment_rate', (
+    SELECT CAST(count(DISTINCT c.session_id) AS DOUBLE) FROM enriched c
+    WHERE c.service_source = 'cart_service' AND c."timestamp" < as_of
+      AND c.session_id NOT IN (SELECT e.session_id FROM enriched e
+        WHERE e.service_source = 'order_service' AND e."timestamp" < as_of)
+  ) / nullif(carts, 0) FROM totals
   UNION ALL
   SELECT 'gmv', gmv FROM totals
 )""",
@@ -550,4 +588,70 @@ FROM messages WHERE event_type = 'error'""",
   strftime("timestamp", '%Y%m') AS event_month
 FROM judged WHERE status = 'anomaly'""",
     ),
+    "raw_table_two_writers": _select(
+        RAW + f",\nconformed AS ({_ALL_CONFORMED})",
+        f"""SELECT *, strftime("timestamp", '%Y%m') AS event_month FROM (
+  SELECT {_TYPED_AMOUNT} FROM raw WHERE _offset % 3 <> 1
+  UNION ALL BY NAME SELECT * FROM conformed WHERE _offset % 3 = 1)""",
+    ),
+    "conform_edge_messages": _select(
+        f"conformed AS ({_ALL_CONFORMED})",
+        f"""SELECT * FROM conformed WHERE NOT {_EDGE_REJECTED}
+UNION ALL SELECT * FROM conformed WHERE _offset % 97 = 0""",
+    ),
+    "quarantine_reasons": _select(
+        RAW,
+        f"""SELECT topic, reason, CAST(sum(rows) AS BIGINT) AS rejected FROM (
+  SELECT _topic AS topic, {_EDGE_REASON} AS reason,
+    CASE WHEN _offset % 97 = 0 THEN 2 ELSE 1 END AS rows FROM raw)
+WHERE reason IS NOT NULL GROUP BY 1, 2""",
+    ),
+    "read_events_files": _select(
+        RAW,
+        """SELECT source, _topic AS topic, count(*) AS messages,
+  CAST(sum(_offset) AS BIGINT) AS offsets
+FROM raw JOIN (VALUES ('views', 'page-views'), ('carts', 'cart-events'),
+  ('orders', 'order-events'), ('all', NULL)) s(source, only_topic)
+  ON only_topic IS NULL OR only_topic = _topic
+GROUP BY 1, 2""",
+    ),
+    "history_compacted": _select(
+        _HISTORY,
+        _HISTORY_ROWS.replace(
+            "computed_at FROM",
+            "computed_at, strftime(\"timestamp\", '%Y%m') AS event_month FROM",
+        ),
+    ),
+    "zscore_backfill_minute": _select(
+        _buckets("minute") + METRICS + _every_point(), _FLAGGED.replace(", 6)", ", 4)")
+    ),
+    "anomaly_table_labels": _select(
+        ENRICHED
+        + _run("g0", "user_id % 2 = 0", "2024-01-31")
+        + _run("g1", "user_id % 2 = 1", "2024-01-31")
+        + """,
+metrics AS (
+  SELECT *, '0' AS label_group FROM g0 UNION ALL SELECT *, '1' FROM g1
+)"""
+        + _every_point("metric_name, label_group"),
+        f"""SELECT {_STATS}, label_group, "timestamp" AS detected_at,
+  strftime("timestamp", '%Y%m') AS event_month
+FROM judged WHERE status = 'anomaly'""",
+    ),
+    "import_lines": _select(
+        HOURLY,
+        """SELECT '{"metric":{"__name__":"' || metric_name || '","type":"' || label_type
+  || '"},"values":[' || CAST(metric_value AS VARCHAR)
+  || '],"timestamps":[' || epoch_ms("timestamp") || ']}' AS payload
+FROM metrics""",
+    ),
+    "stream_kpi_batches": _select(
+        HOURLY, f"SELECT {_POINTS} FROM metrics WHERE {_DECODED_CLOSED}"
+    ),
+    "stream_detect_all": _select(
+        _EVERY_POINT,
+        f"""SELECT {_STATS}, "timestamp" AS detected_at,
+  strftime("timestamp", '%Y%m') AS event_month
+FROM judged WHERE status = 'anomaly' AND {_DECODED_CLOSED}""",
+    ),
 }

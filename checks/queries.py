@@ -30,6 +30,8 @@ def shared_types(df: DataFrame) -> DataFrame:
     columns: list[Column] = []
     for field in df.schema:
         kind = field.dataType.typeName()
+        if field.name == "series":
+            continue
         if field.name == "labels":
             columns.append(F.col("labels")["type"].alias("label_type"))
         elif kind == "timestamp":
@@ -153,6 +155,57 @@ def raw_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_types(recent)
 
 
+def raw_table_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch, a stream and another batch into one table, then merged."""
+    path = m.scratch_dir(spark, "raw")
+    raw = A.raw_events(spark, sf_dir)
+    m.write_raw_events(raw.where("_offset % 3 = 0"), path)
+    m.ingest_stream(
+        A.as_messages(A.event_stream(spark, sf_dir).where("event_id % 3 = 1")),
+        path,
+        m.scratch_dir(spark, "ingest-checkpoint"),
+        trigger=None,
+    ).awaitTermination()
+    m.write_raw_events(raw.where("_offset % 3 = 2"), path)
+    m.compact_raw_events(spark, path)
+    return shared_types(m.read_raw_events(spark, path))
+
+
+def _edge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return m.conform_records(A.edge_messages(A.messages(spark, sf_dir)))
+
+
+def conform_edge_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_types(_edge(spark, sf_dir)[0])
+
+
+def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejected = _edge(spark, sf_dir)[1]
+    return rejected.groupBy("topic", S.REASON).agg(F.count("*").alias("rejected"))
+
+
+def read_events_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of each source, through files of envelopes."""
+    path = m.scratch_dir(spark, "wire")
+    A.messages(spark, sf_dir).write.parquet(path)
+    sources = [
+        m.read_events(spark, source, fmt="parquet", streaming=False, path=path)
+        .groupBy(F.lit(source).alias("source"), "topic")
+        .agg(F.count("*").alias("messages"), F.sum("offset").alias("offsets"))
+        for source in (*S.TOPICS, "all")
+    ]
+    return m.union_events(*sources)
+
+
+def history_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended, then reduced to the latest row of each point."""
+    path = m.scratch_dir(spark, "history")
+    for run in _two_runs(spark, sf_dir):
+        m.write_history(run, path, mode="append")
+    m.compact_history(spark, path)
+    return rounded(shared_types(m.read_history(spark, path)), "metric_value")
+
+
 def product_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-time totals of two moments, stored and summarised per metric."""
     path = m.scratch_dir(spark, "product")
@@ -193,6 +246,13 @@ def zscore_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shared_types(_backfill(spark, sf_dir)), *_STATS)
 
 
+def zscore_backfill_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute points against a day each."""
+    found = m.backfill_anomalies(_kpi(spark, sf_dir, "minute"), lookback=LOOKBACK)
+    # Means over a thousand points differ in the last digits by the order of adding.
+    return shared_types(found).withColumns({c: F.round(c, 4) for c in _STATS})
+
+
 def zscore_backfill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = _backfill(spark, sf_dir, with_status=True)
     return rounded(shared_types(every), *_STATS)
@@ -213,6 +273,31 @@ def anomaly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shared_types(m.read_anomalies(spark, path)), *_STATS)
 
 
+def anomaly_table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two label sets of each metric; the second write adds what the first left out."""
+    path = m.scratch_dir(spark, "anomalies")
+    events = _enriched(spark, sf_dir)
+    group = lambda g: F.map_concat(
+        "labels", F.create_map(F.lit("group"), F.lit(str(g)))
+    )
+    metrics = m.union_events(
+        *[
+            m.kpi_metrics(events.where(F.col("user_id") % 2 == g), "hour").withColumn(
+                "labels", group(g)
+            )
+            for g in (0, 1)
+        ]
+    )
+    found = m.backfill_anomalies(
+        metrics, lookback=LOOKBACK, series_key=("metric_name", "labels")
+    )
+    of_group = F.get_json_object(F.get_json_object("series", "$.labels"), "$.group")
+    m.write_anomalies(found.where(of_group == "0"), path)
+    m.write_anomalies(found, path)
+    stored = m.read_anomalies(spark, path).withColumn("label_group", of_group)
+    return rounded(shared_types(stored), *_STATS)
+
+
 def recorded_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every point when the anomalies up to the early run are stored."""
     every = _backfill(spark, sf_dir, with_status=True)
@@ -229,6 +314,13 @@ def import_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_types(points.select("metric_name", "timestamp", "payload"))
 
 
+def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import documents, stored as lines and read back."""
+    path = m.scratch_dir(spark, "lines")
+    m.write_import_lines(_hourly(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "payload")
+
+
 def check_documents(documents):
     """A sender that sends nothing: it rejects documents of negative value."""
     return ["negative" if '"values":[-' in d else None for d in documents]
@@ -282,8 +374,8 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     m.quarantine_stream(
         records, path, m.scratch_dir(spark, "quarantine-checkpoint"), trigger=None
     ).awaitTermination()
-    rejected = spark.read.schema(S.RECORD_SCHEMA).parquet(path)
-    return shared_types(rejected.drop("partition"))
+    rejected = m.read_quarantine(spark, path)
+    return shared_types(rejected.drop("partition", S.REASON))
 
 
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +395,35 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shared_types(m.read_anomalies(spark, anomalies)), *_STATS)
 
 
+def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events decoded from a stream of several micro-batches, some rows late."""
+    path = m.scratch_dir(spark, "wire")
+    A.message_files(spark, sf_dir, path)
+    records = m.read_events(spark, fmt="parquet", path=path, maxFilesPerTrigger="1")
+    return m.enrich(m.conform_records(records)[0])
+
+
+def stream_kpi_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = m.kpi_stream(_message_stream(spark, sf_dir), "1 hour")
+    return rounded(shared_types(_drained(series, "kpi")), "metric_value")
+
+
+def stream_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every closed bucket of every micro-batch judged."""
+    history, anomalies = (m.scratch_dir(spark, n) for n in ("history", "anomalies"))
+    m.detect_stream(
+        m.kpi_stream(_message_stream(spark, sf_dir), "1 hour"),
+        history,
+        anomalies,
+        m.scratch_dir(spark, "detect-checkpoint"),
+        bucket="1 hour",
+        lookback=LOOKBACK,
+        trigger=None,
+        every_bucket=True,
+    ).awaitTermination()
+    return rounded(shared_types(m.read_anomalies(spark, anomalies)), *_STATS)
+
+
 def _series(metric_name: str) -> Query:
     return lambda spark, sf: rounded(
         shared_types(
@@ -321,11 +442,14 @@ QUERIES: dict[str, Query] = {
     "conform_orders": conform_orders,
     "conform_union": conform_union,
     "conform_records": conform_records,
+    "conform_edge_messages": conform_edge_messages,
     "quarantine_counts": quarantine_counts,
+    "quarantine_reasons": quarantine_reasons,
     "raw_events": _on_raw(lambda raw: raw),
     "events_by_month": _on_raw(m.events_by_month),
     "topic_counts": _on_raw(m.topic_counts),
     "raw_event_table": raw_event_table,
+    "raw_table_two_writers": raw_table_two_writers,
     # Enrich
     "enriched_events": _on_enriched(lambda e: e),
     "enriched_orders": enriched_orders,
@@ -383,22 +507,29 @@ QUERIES: dict[str, Query] = {
     # History
     "history_upsert": history_upsert,
     "history_table": history_table,
+    "history_compacted": history_compacted,
     # Outliers
     "zscore_latest": zscore_latest,
     "zscore_status": zscore_status,
     "zscore_backfill": zscore_backfill,
+    "zscore_backfill_minute": zscore_backfill_minute,
     "zscore_backfill_status": zscore_backfill_status,
     "new_anomalies": new_anomalies,
     "anomaly_table": anomaly_table,
+    "anomaly_table_labels": anomaly_table_labels,
     "recorded_status": recorded_status,
     # Export
     "import_payload": import_payload,
+    "import_lines": import_lines,
     "delivery_report": delivery_report,
     "kafka_records": kafka_records,
+    "read_events_files": read_events_files,
     # Streaming
     "stream_ingest": stream_ingest,
     "stream_quarantine": stream_quarantine,
     "stream_buckets": stream_buckets,
     "stream_kpi_hour": stream_kpi_hour,
+    "stream_kpi_batches": stream_kpi_batches,
     "stream_detect": stream_detect,
+    "stream_detect_all": stream_detect_all,
 }

@@ -89,7 +89,7 @@ def test_bad_messages_are_split_off_untouched(spark):
     good, bad = m.parse_json(wire, S.VIEW_SCHEMA)
     assert good.count() == 1
     assert rows_of(bad, "value") == sorted(((b,) for b in BAD), key=repr)
-    assert bad.columns == wire.columns
+    assert bad.columns == [*wire.columns, S.REASON]
 
 
 def test_unsigned_ids_fit(spark):

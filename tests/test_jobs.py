@@ -7,7 +7,7 @@ import millrace as m
 from checks import adapter as A
 from checks.queries import rounded
 from millrace import schemas as S
-from tests.conftest import SF_SMALL, rows_of
+from tests.conftest import SF_SMALL, at, raw, rows_of
 
 
 STATS = ("metric_value", "z_score", "mean_value", "stdev_value")
@@ -104,7 +104,10 @@ def test_product_job_feeds_the_product_metric_table(spark, raw_table, tmp_path):
         m.product_job(spark, raw_table, path, as_of)
     stored = m.read_history(spark, path)
     counts = rows_of(m.metric_summary(stored), "metric_name", "data_points")
-    assert counts == [("cart_abandonment_rate", 2), ("conversion_rate", 2), ("gmv", 2)]
+    assert counts == [
+        ("cart_abandonment_literal", 2), ("cart_abandonment_rate", 2),
+        ("conversion_rate", 2), ("gmv", 2),
+    ]
     events = m.enrich(m.read_raw_events(spark, raw_table))
     final = stored.where("metric_name = 'gmv'").agg(F.max("metric_value")).first()[0]
     assert final == m.gmv_total(events).first()["metric_value"]
@@ -124,9 +127,76 @@ def test_views_answer_ad_hoc_sql(spark, raw_table, tmp_path):
     )
     events = m.enrich(m.read_raw_events(spark, raw_table))
     assert funnel.first()[0] == m.session_funnel(events).first()["sessions_with_views"]
-    assert spark.sql("SELECT count(*) FROM product_metrics").first()[0] == 3
+    assert spark.sql("SELECT count(*) FROM product_metrics").first()[0] == 4
     assert spark.sql("SELECT count(*) FROM anomalies").first()[0] == 0
     newest = spark.sql("SELECT max(timestamp) FROM historical_metrics").first()[0]
     assert newest == m.metric_span(m.read_history(spark, history)).agg(
         F.max("last_point")
     ).first()[0]
+
+
+def test_detection_job_stores_status_rows(spark, raw_table, tmp_path):
+    history, anomalies, status = (str(tmp_path / n) for n in ("h", "a", "s"))
+    as_of = "2024-01-20 12:30:00"
+    m.kpi_job(spark, raw_table, history, as_of, lookback="72 hours", bucket="hour")
+    options = {"lookback": "48 hours", "threshold": 0.01, "status_path": status}
+    for marked in ("anomaly", "already recorded"):
+        m.detection_job(spark, history, anomalies, as_of, **options)
+        rows = rows_of(spark.read.parquet(status), "metric_name", "status")
+        assert len(rows) == 3 and marked in {s for _, s in rows}
+
+
+def test_a_repeated_load_replaces_itself(spark, tmp_path):
+    path, quarantine = str(tmp_path / "raw"), str(tmp_path / "bad")
+    messages = A.messages(spark, SF_SMALL)
+    for _ in range(2):
+        m.load_job(messages, path, quarantine, load="one")
+    once = m.read_raw_events(spark, path).count()
+    assert once + m.read_quarantine(spark, quarantine).count() == 1000
+    m.load_job(messages, path)
+    assert m.read_raw_events(spark, path).count() == 2 * once
+    before = rows_of(m.read_raw_events(spark, path))
+    assert m.compact_raw_events(spark, path) == 2
+    assert m.compact_raw_events(spark, path) == 0
+    assert rows_of(m.read_raw_events(spark, path)) == before
+
+
+def test_an_interrupted_compaction_is_finished(spark, tmp_path, monkeypatch):
+    from millrace.sources.files import Folder
+
+    path = str(tmp_path / "raw")
+    for part in range(3):
+        m.write_raw_events(A.raw_events(spark, SF_SMALL).where(F.col("_offset") % 3 == part), path)
+    before = rows_of(m.read_raw_events(spark, path))
+
+    def fail(self, name):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Folder, "delete", fail)
+        with pytest.raises(OSError):
+            m.compact_raw_events(spark, path)
+    m.compact_raw_events(spark, path)
+    assert rows_of(m.read_raw_events(spark, path)) == before
+
+
+def test_a_streaming_sinks_folder_is_refused(spark, tmp_path):
+    path = tmp_path / "raw"
+    (path / "_spark_metadata").mkdir(parents=True)
+    with pytest.raises(ValueError, match="streaming file sink"):
+        m.write_raw_events(A.raw_events(spark, SF_SMALL), str(path))
+    with pytest.raises(ValueError, match="streaming file sink"):
+        m.read_raw_events(spark, str(path))
+
+
+def test_months_do_not_depend_on_the_zone(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    rows = raw(spark, [{"timestamp": at("2024-02-01 02:00:00")}, {"timestamp": at("2024-01-31 23:59:59")}])
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        m.write_raw_events(rows, path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    stored = m.read_raw_events(spark, path)
+    assert sorted(r[S.MONTH] for r in stored.collect()) == ["202401", "202402"]
+    assert m.since(stored, "2024-02-01 03:00:00", "2 hours").count() == 1

@@ -297,3 +297,44 @@ def test_z_is_invariant_under_scaling(spark):
     )
     off = both.where(F.abs(F.col("a") - F.col("z_score")) > 1e-9)
     assert both.where("a is not null").count() > 100 and off.count() == 0
+
+
+def test_long_lookbacks_cost_no_more_than_short_ones(spark):
+    import time
+
+    values = [(i * 7919) % 101 for i in range(20_000)]
+    frame = points(spark, values).persist()
+    frame.count()
+    seconds = {}
+    for lookback in ("30 minutes", "1 day", "30 minutes", "1 day"):
+        begun = time.perf_counter()
+        m.backfill_anomalies(frame, lookback=lookback, with_status=True).write.format(
+            "noop"
+        ).mode("overwrite").save()
+        seconds[lookback] = time.perf_counter() - begun
+    frame.unpersist()
+    assert seconds["1 day"] < 2 * seconds["30 minutes"] + 1
+
+
+def test_anomalies_of_label_sets_are_told_apart(spark, tmp_path):
+    spike = [1, 2, 1, 2, 1, 2, 50]
+    both = points(spark, spike, label="a").union(points(spark, spike, label="b"))
+    found = m.backfill_anomalies(both, series_key=("metric_name", "labels"))
+    assert found.count() == 2
+    one = found.where("series like '%a%' and series like '%type%'").limit(1)
+    paths = [str(tmp_path / n) for n in ("once", "twice")]
+    assert m.write_anomalies(found, paths[0]) == 2
+    assert m.write_anomalies(one, paths[1]) == 1
+    assert m.write_anomalies(found, paths[1]) == 1
+    stored = [rows_of(m.read_anomalies(spark, p)) for p in paths]
+    assert stored[0] == stored[1] and len(stored[0]) == 2
+
+
+def test_a_point_without_a_value_has_its_own_status(spark):
+    rows = points(spark, [1, 2, 3, 4, 5, 6])
+    last = rows.where("minute(timestamp) = 5").withColumn("metric_value", F.lit(None).cast("double"))
+    frame = rows.where("minute(timestamp) < 5").union(last)
+    got = m.detect_anomalies(frame, "2024-01-01 00:10:00", with_status=True).first()
+    assert got.status == "no value"
+    every = m.backfill_anomalies(frame, with_status=True).where("metric_value is null").first()
+    assert every.status == "no value"

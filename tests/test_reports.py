@@ -70,8 +70,13 @@ def test_product_metrics_agree_with_the_totals(funnel):
         r["metric_name"]: r["metric_value"]
         for r in m.product_metrics(funnel, "2024-01-31 00:00:00").collect()
     }
-    totals = (m.conversion_rate_total, m.cart_abandonment_literal, m.gmv_total)
-    assert got == dict(tuple(total(funnel).first()) for total in totals)
+    want = dict(
+        tuple(total(funnel).first()) for total in (m.conversion_rate_total, m.gmv_total)
+    )
+    literal = m.cart_abandonment_literal(funnel).first()["metric_value"]
+    share = m.cart_abandonment_sessions(funnel).first()["abandonment_rate"]
+    want |= {"cart_abandonment_literal": literal, "cart_abandonment_rate": share}
+    assert got == want
 
 
 def test_counts(spark):

@@ -148,3 +148,85 @@ def test_streams_of_one_topic(spark, tmp_path, source):
     arrive(spark, wire, minutes(spark, (0, "a", VIEW), (0, "a", ORDER)))
     got = stream(spark, wire, source=source, streaming=False)
     assert got.count() == (0 if source == "carts" else 1)
+
+
+def test_a_poison_message_does_not_stop_ingest(spark, tmp_path):
+    wire, table, bad, checkpoint = (str(tmp_path / n) for n in ("wire", "raw", "bad", "cp"))
+    good = raw(spark, [{"session_id": "a"}, {**ORDER, "_topic": S.ORDER_TOPIC}])
+    arrive(spark, wire, good)
+    time = at("2024-01-01 00:00:00")
+    poison = [
+        (S.ORDER_TOPIC, '{"amount":1e9}'), (S.ORDER_TOPIC, '{"amount":"NaN"}'),
+        (S.VIEW_TOPIC, '{"timestamp":9223372036854775807}'), (S.VIEW_TOPIC, '{"timestamp":-1}'),
+        (S.VIEW_TOPIC, "{} {}"), (S.VIEW_TOPIC, "{}} junk"), (S.VIEW_TOPIC, '{},"~end":1} x'),
+        (S.VIEW_TOPIC, '{"timestamp":2711000000}'), ("strange", "{}"), (S.VIEW_TOPIC, None),
+    ]
+    rows = [("k", v, t, 0, i, time) for i, (t, v) in enumerate(poison)]
+    kinds = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
+    frame = spark.createDataFrame(rows, kinds).select(*S.RECORD_SCHEMA.fieldNames())
+    frame.coalesce(1).write.mode("append").parquet(wire)
+    for _ in range(2):
+        m.ingest_stream(
+            stream(spark, wire), table, checkpoint, trigger=None, quarantine_path=bad
+        ).awaitTermination()
+    assert m.read_raw_events(spark, table).count() == 2
+    rejected = m.read_quarantine(spark, bad)
+    assert rejected.count() == len(poison)
+    assert rows_of(rejected.groupBy("reason").count()) == [
+        ("amount out of range", 2), ("empty", 1), ("foreign topic", 1), ("malformed", 3),
+        ("time ahead of arrival", 1), ("time out of range", 2),
+    ]
+
+
+def test_a_message_may_hold_several_objects(spark):
+    value = '{"user_id":1}\n{"user_id":2}\r\nnone\n'
+    pretty = '{\n "user_id": 3\n}'
+    rows = [(value, S.VIEW_TOPIC, 1), (pretty, S.VIEW_TOPIC, 2)]
+    frame = spark.createDataFrame(rows, "value string, topic string, offset long").selectExpr(
+        "*", "'k' as key", "0 as partition", "timestamp'2024-01-01' as timestamp")
+    wide, rejected = m.conform_records(frame)
+    assert rows_of(wide, "user_id", "_offset") == [(1, 1), (2, 1), (3, 2)]
+    assert rows_of(rejected, "value", "reason") == [("none", "malformed")]
+
+
+def test_a_stream_and_batches_share_a_table(spark, tmp_path):
+    wire, table, checkpoint = (str(tmp_path / n) for n in ("wire", "raw", "cp"))
+    one = raw(spark, [{"session_id": "a"}, {"session_id": "b"}])
+    m.write_raw_events(one, table)
+    arrive(spark, wire, one)
+    m.ingest_stream(stream(spark, wire), table, checkpoint, trigger=None).awaitTermination()
+    m.write_raw_events(one, table)
+    assert m.read_raw_events(spark, table).count() == 6
+    # Without its commits, the stream repeats its only batch, which replaces itself.
+    for log in (tmp_path / "cp" / "commits").iterdir():
+        log.unlink()
+    m.ingest_stream(stream(spark, wire), table, checkpoint, trigger=None).awaitTermination()
+    assert m.read_raw_events(spark, table).count() == 6
+
+
+def test_late_and_early_events_are_counted(spark, tmp_path):
+    wire = str(tmp_path / "wire")
+    for i, minute in enumerate((0, 60, 120, 0)):
+        arrive(spark, wire, minutes(spark, (minute, f"s{i}", VIEW)), offset=i)
+    wide, _ = m.conform_records(stream(spark, wire, maxFilesPerTrigger="1"))
+    buckets = m.bucket_sessions_stream(m.enrich(wide), "1 minute", "10 minutes")
+    query = (
+        buckets.writeStream.format("noop")
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert m.dropped_rows(query) >= 1
+    events = minutes(spark, (0, "a", VIEW), (60 * 48, "b", VIEW))
+    arrived = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    kept, ahead = m.not_ahead(events, arrived)
+    assert rows_of(kept, "session_id") == [("a",)] and rows_of(ahead, "session_id") == [("b",)]
+
+
+def test_streams_keep_their_state_in_rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.unset(key)
+    events = m.enrich(A.as_raw(A.event_stream(spark, SF_SMALL)))
+    m.kpi_stream(events, "1 hour")
+    assert "RocksDB" in spark.conf.get(key)
