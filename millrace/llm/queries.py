@@ -91,4 +91,26 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+# Five hex digits of a digest are four letters of base 32.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_GROUP = "CAST('0x' || substr(sha1, 5 * i + 1, 5) AS INTEGER)"
+_LETTERS = " || ".join(
+    f"substr('{_BASE32}', ({_GROUP} >> {shift}) % 32 + 1, 1)" for shift in (15, 10, 5, 0)
+)
+
+# SQL for what SQL can state; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op2_warc_chunks": f"""
+WITH payloads AS (
+  SELECT page_id, url, encode(coalesce(html, '')) AS payload,
+    sha1(encode(coalesce(html, ''))) AS sha1
+  FROM pages
+),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM payloads GROUP BY payload)
+SELECT page_id, CAST(octet_length(p.payload) AS BIGINT) AS payload_bytes,
+  list_aggregate([{_LETTERS} FOR i IN range(8)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+  url
+FROM payloads p JOIN firsts f ON p.payload = f.payload""",
+}

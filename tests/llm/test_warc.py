@@ -8,8 +8,9 @@ import io
 
 import pytest
 
+from checks.compare import connect, difference
 from millrace.llm import warc as W
-from millrace.llm.queries import QUERIES
+from millrace.llm.queries import ORACLE, QUERIES
 from tests.conftest import SF
 
 
@@ -43,6 +44,13 @@ def test_query_equals_whole_payloads(spark):
     assert got == plain([(p.page_id, p.html) for p in pages])
 
 
+def test_query_equals_its_sql(spark):
+    got = QUERIES["op2_warc_chunks"](spark, SF).toPandas().astype({"refers_to": "Int64"})
+    want = connect(SF).execute(ORACLE["op2_warc_chunks"]).df()
+    want = want.astype({"refers_to": "Int64"})
+    assert difference(got, want) is None
+
+
 @pytest.mark.parametrize("chunk", [7, 1000, W.CHUNK])
 @pytest.mark.parametrize("least", [0, 4])
 def test_archives(spark, tmp_path, chunk, least):
