@@ -3,6 +3,7 @@
 from millrace.functions.columns import (
     bounded,
     classify,
+    day_of,
     labels_key,
     month_of,
     normalise,
@@ -15,6 +16,7 @@ __all__ = [
     "bounded",
     "bucket_start",
     "classify",
+    "day_of",
     "instant",
     "labels_key",
     "month_of",

@@ -54,12 +54,19 @@ def labels_key(labels: Column | str = "labels") -> Column:
 _DAY_US = 86_400_000_000
 
 
-def month_of(ts: Column | str) -> Column:
-    """Partition key ``yyyyMM`` of a timestamp, by the calendar of UTC.
-
-    Counted from the epoch: the session's time zone has no part in it, so that rows
-    written under one zone are found under another.
-    """
+def _utc_date(ts: Column | str) -> Column:
+    # Counted from the epoch: the session's time zone has no part in it, so that rows
+    # written under one zone are found under another.
     us = F.unix_micros(ts)
     day = ((us - F.pmod(us, F.lit(_DAY_US))) / _DAY_US).cast("int")
-    return F.date_format(F.date_from_unix_date(day), "yyyyMM")
+    return F.date_from_unix_date(day)
+
+
+def month_of(ts: Column | str) -> Column:
+    """Partition key ``yyyyMM`` of a timestamp, by the calendar of UTC."""
+    return F.date_format(_utc_date(ts), "yyyyMM")
+
+
+def day_of(ts: Column | str) -> Column:
+    """Partition key ``yyyyMMdd`` of a timestamp, by the calendar of UTC."""
+    return F.date_format(_utc_date(ts), "yyyyMMdd")

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schemas as S
-from millrace.functions import instant, labels_key
+from millrace.functions import day_of, instant, labels_key
 from millrace.operators.conform import with_event_month
+from millrace.sources.files import Folder
 from millrace.sources.tables import metric_layout, read_table
 
 KEYS = ("metric_name", "timestamp", "labels")
 _COLUMNS = S.HISTORY_SCHEMA.fieldNames()
 _BATCH = "_batch"
+_PARTS = (S.MONTH, S.DAY)
 
 
 def stamp(metrics: DataFrame, computed_at: str | datetime | Column) -> DataFrame:
@@ -36,8 +38,7 @@ def current_points(stored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     month pass below it and reach the scan.
     """
     plain = [k for k in keys if k != "labels"]
-    if S.MONTH in stored.columns:
-        plain.append(S.MONTH)
+    plain += [c for c in _PARTS if c in stored.columns]
     # A map is no legal join or window key; its canonical text is.
     text = [labels_key("labels").alias("_labels_key")] if "labels" in keys else []
     rest = [c for c in _COLUMNS if c not in plain]
@@ -64,25 +65,48 @@ def upsert_history(
     return current_points(merged, keys)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    folder = Folder(spark, path)
+    for month in folder.folders():
+        if month.startswith(f"{S.MONTH}=") and not folder.folders(month):
+            raise ValueError(
+                f"{path} is a history by month only: read its rows with read_table and"
+                " write them to another folder with write_history"
+            )
+    return read_table(spark, path, S.HISTORY_SCHEMA, *_PARTS)
+
+
 def read_history(spark: SparkSession, path: str, deduplicate: bool = False) -> DataFrame:
     """The stored history; ``deduplicate`` when it was written in append mode."""
-    stored = read_table(spark, path, S.HISTORY_SCHEMA)
+    stored = _stored(spark, path).drop(S.DAY)
     return current_points(stored) if deduplicate else stored
 
 
+def _with_parts(rows: DataFrame) -> DataFrame:
+    return with_event_month(rows).withColumn(S.DAY, day_of("timestamp"))
+
+
+def _replace_days(rows: DataFrame, path: str) -> None:
+    # Dynamic overwrite must be set here: under a static default the write would drop
+    # every other day, and the input with it.
+    metric_layout(rows).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*_PARTS).parquet(path)
+
+
 def write_history(
     df: DataFrame, path: str, mode: str = "upsert", persisted: bool = False
 ) -> None:
-    """Store stamped metric rows.
+    """Store stamped metric rows, by month and day.
 
-    ``upsert`` merges with the months the rows fall into and rewrites only
-    those, one writer at a time.  ``append`` adds files and touches nothing
-    else; read such a table with ``deduplicate=True``.  ``persisted`` says that the
-    caller holds the rows already.
+    ``upsert`` merges with the days the rows fall into and rewrites only those, one
+    writer at a time.  ``append`` adds files and touches nothing else; read such a
+    table with ``deduplicate=True``, and reduce it with ``compact_history``.
+    ``persisted`` says that the caller holds the rows already.
     """
-    rows = with_event_month(df.select(*_COLUMNS))
+    rows = _with_parts(df.select(*_COLUMNS))
     if mode == "append":
-        metric_layout(rows).write.mode("append").partitionBy(S.MONTH).parquet(path)
+        metric_layout(rows).write.mode("append").partitionBy(*_PARTS).parquet(path)
         return
     if mode != "upsert":
         raise ValueError(f"mode must be 'upsert' or 'append', not {mode!r}")
@@ -91,35 +115,29 @@ def write_history(
     if not persisted:
         rows = rows.persist()
     try:
-        span = rows.agg(F.min(S.MONTH), F.max(S.MONTH)).first()
+        span = rows.agg(*[f(c) for c in _PARTS for f in (F.min, F.max)]).first()
         if span[0] is None:
             return
-        touched = rows.select(S.MONTH).distinct()
+        touched = rows.select(S.DAY).distinct()
         existing = (
-            read_table(df.sparkSession, path, S.HISTORY_SCHEMA)
-            .where(F.col(S.MONTH).between(*span))
-            .join(touched, S.MONTH, "left_semi")
+            _stored(df.sparkSession, path)
+            .where(F.col(S.MONTH).between(*span[:2]) & F.col(S.DAY).between(*span[2:]))
+            .join(touched, S.DAY, "left_semi")
         )
-        merged = with_event_month(upsert_history(existing, rows))
-        # Dynamic overwrite must be set here: under a static default the write
-        # would drop every other month, and the input with it.
-        metric_layout(merged).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy(S.MONTH).parquet(path)
+        _replace_days(_with_parts(upsert_history(existing, rows)), path)
     finally:
         if not persisted:
             rows.unpersist()
 
 
-def compact_history(spark: SparkSession, path: str, months: Sequence[str] = ()) -> None:
+def compact_history(spark: SparkSession, path: str, days: Sequence[str] = ()) -> None:
     """Reduce an append-mode history to the latest row of each key.
 
-    All months, or those given (``yyyyMM``), one writer at a time.  Only whole months
-    are replaced, so runs that append to other months aren't in the way.
+    All days, or those given (``yyyyMMdd``), one writer at a time.  Only whole days are
+    replaced, so runs that append to other days aren't in the way.
     """
-    stored = read_table(spark, path, S.HISTORY_SCHEMA)
-    if months:
-        stored = stored.where(F.col(S.MONTH).isin(*months))
-    metric_layout(current_points(stored)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(S.MONTH).parquet(path)
+    stored = _stored(spark, path)
+    if days:
+        months = sorted({d[:6] for d in days})
+        stored = stored.where(F.col(S.MONTH).isin(*months) & F.col(S.DAY).isin(*days))
+    _replace_days(current_points(stored), path)

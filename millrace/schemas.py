@@ -146,6 +146,9 @@ ANOMALY_SCHEMA = T.StructType(
 # Every stored table is partitioned by this column, derived from its event time.
 MONTH = "event_month"
 
+# The metric history also by day, so that a run rewrites the days it touches.
+DAY = "event_day"
+
 # What a message may say, stated as limits of this library.  Event times are epoch
 # seconds in UTC from 1970 to before 2100, so that milliseconds are recognised as a
 # mistake; an event may lie this far ahead of its arrival; amounts fit ``AMOUNT``.

@@ -138,6 +138,7 @@ def compact_raw_events(spark: SparkSession, path: str, keep: tuple[str, ...] = (
 
 def metric_layout(df: DataFrame) -> DataFrame:
     """Metric rows in the order series reads want: by name, then by time."""
-    return stored_layout(
-        df, [S.MONTH], ["metric_name", "timestamp", labels_key("labels")]
+    together = [c for c in (S.MONTH, S.DAY) if c in df.columns]
+    return df.hint("rebalance", *together).sortWithinPartitions(
+        *together, "metric_name", "timestamp", labels_key("labels")
     )

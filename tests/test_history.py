@@ -160,3 +160,28 @@ def test_filters_pass_below_the_deduplication(spark, tmp_path):
     pushed = plan.split("PushedFilters: [")[1]
     assert "GreaterThanOrEqual(timestamp" in pushed
     assert "EqualTo(metric_name,m)" in pushed
+
+
+def test_a_run_rewrites_the_days_it_touches(spark, tmp_path):
+    path = tmp_path / "history"
+    days = [f"2024-01-{d:02}" for d in range(1, 29)]
+    whole = [m.stamp(points(spark, [1, 2, 3], start=f"{d} 10:00:00"), "2024-02-01") for d in days]
+    m.write_history(m.union_events(*whole), str(path))
+
+    def files():
+        return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+    before = files()
+    late = points(spark, [7, 8], start="2024-01-15 10:01:00")
+    m.write_history(m.stamp(late, "2024-02-02"), str(path))
+    changed = {p for p in before.keys() | files().keys() if before.get(p) != files().get(p)}
+    assert changed and all("event_day=20240115" in p for p in changed)
+    got = m.read_history(spark, str(path)).where("day(timestamp) = 15")
+    assert rows_of(got, "metric_value") == [(1.0,), (7.0,), (8.0,)]
+
+
+def test_a_history_by_month_only_is_refused(spark, tmp_path):
+    rows = m.with_event_month(m.stamp(points(spark, [1, 2]), "2024-02-01"))
+    rows.write.partitionBy("event_month").parquet(str(tmp_path / "old"))
+    with pytest.raises(ValueError, match="by month only"):
+        m.read_history(spark, str(tmp_path / "old"))
