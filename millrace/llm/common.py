@@ -42,6 +42,20 @@ def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) ->
     return df.join(gone, matched, "left_anti")
 
 
+def drawn(df: DataFrame, id_col: str, limit: int) -> DataFrame:
+    """About ``limit`` of the rows, chosen by a hash of their id; all if there are fewer.
+
+    Each row is kept or not by itself, so that nothing is sorted or gathered: the
+    number kept is ``limit`` up to chance, a few of its square root.  Rows without an
+    id are left out.
+    """
+    total = df.count()
+    kept = df.where(F.col(id_col).isNotNull())
+    return kept if total <= limit else kept.where(
+        F.pmod(F.xxhash64(id_col), F.lit(total)) < limit
+    )
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key from 0 without gaps, with no task holding a key.
 

@@ -191,6 +191,16 @@ def _semi(df: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(named, [F.col(c) == F.col(f"_{c}") for c in columns], "left_semi")
 
 
+def _shared(df: DataFrame, columns: list[str], count: str = "count(*)") -> DataFrame:
+    """Values of the columns that occur twice or more.
+
+    Stored: a join with counts fresh from their own shuffle would have to follow that
+    shuffle's partitions, and could not split one that holds most of the rows.
+    """
+    counted = df.groupBy(*columns).agg(F.expr(count).alias("n")).where("n > 1")
+    return stored(counted.select(*columns), "suffix-several")
+
+
 def _refined(members: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
     """Refine ranges of windows that share a core by all that they cover.
 
@@ -209,7 +219,7 @@ def _refined(members: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]
         "suffix-kinds",
     )
     twice = _semi(members.where("weight = 1"), kinds.where("copies > 1"), whole)
-    mixed = kinds.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1")
+    mixed = _shared(kinds, core)
     weight = F.least("copies", F.lit(2)).cast("int").alias("weight")
     return twice, _semi(kinds, mixed, core).select(*kinds.columns, weight)
 
@@ -370,7 +380,7 @@ def repeated_spans(
     counts, which combine before the shuffle.
     """
     found = stored(_with_anchors(docs, length, gram), "suffix-anchors")
-    several = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    several = _shared(found, ["bucket"])
     meeting = stored(_semi(found, several, ["bucket"]), "suffix-shared").select(
         "*", F.lit(1).alias("weight"), (F.col("at") - F.col("hi")).alias("low")
     )
@@ -378,11 +388,10 @@ def repeated_spans(
     slices = stored(_slices(docs, mixed, length), "suffix-slices")
     blocks = stored(_blocks(slices, length, size), "suffix-blocks")
     cores = ["bucket", "block", "core"]
-    shared = blocks.groupBy(*cores).agg(F.count("*").alias("n")).where("n > 1")
-    blocks_twice, undecided = _refined(_semi(blocks, shared, cores), cores)
+    blocks_twice, undecided = _refined(_semi(blocks, _shared(blocks, cores), cores), cores)
     windows = stored(_windows(slices, undecided, length), "suffix-windows")
     whole = ["bucket", "lo", "window"]
-    equal = windows.groupBy(*whole).agg(F.sum("weight").alias("n")).where("n > 1")
+    equal = _shared(windows, whole, "sum(weight)")
     windows_twice = _semi(windows.where("weight = 1"), equal, whole)
     spans = [
         df.select(
