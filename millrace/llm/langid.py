@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import drawn, stored
 from millrace.llm.extract import main_text
 
-# The text model is fitted on at most so many labelled documents, chosen by a hash of
-# the id, and keeps at most so many n-grams and languages.
+# The text model is fitted on about so many labelled documents, chosen by a hash of the
+# id, and keeps at most so many n-grams and languages.
 SAMPLE_ROWS = 8_000
 MAX_GRAMS = 30_000
 MAX_LANGUAGES = 64
@@ -79,18 +79,13 @@ def learn(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     limit: int = SAMPLE_ROWS,
 ) -> TextModel:
-    """N-gram probabilities of the languages of at most ``limit`` labelled documents."""
-    drawn = stored(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.lower(F.col(lang_col).cast("string")).alias("lang"),
-            F.col(text_col).cast("string").alias("text"),
-        )
-        .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(limit),
-        "langid-train",
+    """N-gram probabilities of the languages of about ``limit`` labelled documents."""
+    labelled = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.lower(F.col(lang_col).cast("string")).alias("lang"),
+        F.col(text_col).cast("string").alias("text"),
     )
+    train = drawn(labelled, "doc_id", limit).where("lang is not null and text is not null")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +100,9 @@ def learn(
                 ["lang", "gram", "n"],
             )
 
-    spread = drawn.select("lang", "text").repartition("text")
-    counts = spread.mapInArrow(counted, "lang string, gram string, n long")
+    counts = train.select("lang", "text").mapInArrow(
+        counted, "lang string, gram string, n long"
+    )
     counts = stored(
         counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams"
     )
