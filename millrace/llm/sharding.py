@@ -110,7 +110,8 @@ def _proposals(rows: DataFrame, capacity: int, turn: int) -> DataFrame:
     """Each row with the shard it would move to: -1 if it may go anywhere, else null
     if it is to stay.
     """
-    homes = _homes(rows, capacity, turn)
+    # Stored, so that the join can split a group that has most of the rows.
+    homes = stored(_homes(rows, capacity, turn), "shard-homes")
     same = [F.col(c) == F.col(d) for c, d in zip(_GROUP, _GROUP_AS, strict=True)]
     joined = rows.join(homes, same, "left")
     pick = F.pmod(F.xxhash64("row"), F.size("homes")).cast("int") + 1
