@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import drawn, stored
 
 # Fixed values of the query's contract.
 FOLDS = 4
 HELD_OUT_FOLD = 2
 THRESHOLD = 0.3
 
-# The classifier is fitted on at most so many labelled rows, chosen by a hash of the id.
+# The classifier is fitted on about so many labelled rows, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
 # Terms of the lexicon, and what makes a word or a stem one.
 MAX_TERMS = 2_000
@@ -287,23 +287,21 @@ def training_rows(
 ) -> DataFrame:
     """Distinct labelled texts outside the held-out fold: text, label.
 
-    At most ``limit`` labelled rows are drawn, those with the least hashes of the id:
-    the fit needs no more, and its cost doesn't grow with the corpus.  A text with
-    both labels counts as toxic.
+    About ``limit`` labelled rows are drawn by a hash of the id: the fit needs no more,
+    and its cost doesn't grow with the corpus.  A text with both labels counts as toxic.
     """
     label = F.col(label_col).cast("int")
-    drawn = (
+    known = (
         labels.select(F.col(label_id_col).cast("long").alias("doc_id"), label.alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
         .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
     )
+    some = drawn(known, "doc_id", limit)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
     )
     # The sample's size is bounded by its limit.
-    joined = texts.join(F.broadcast(drawn), F.col("id") == F.col("doc_id"))
+    joined = texts.join(F.broadcast(some), F.col("id") == F.col("doc_id"))
     return joined.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(
         F.max("label").alias("label")
     )
