@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import stored
+from millrace.llm.common import BROADCAST_ROWS, stored
 
 LENGTH = 400
 # Length of the q-grams whose least identifier in a window stands for the window.
@@ -224,9 +224,25 @@ def _refined(members: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]
     return twice, _semi(kinds, mixed, core).select(*kinds.columns, weight)
 
 
+def _split(docs: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The documents that ``keyed`` names, and the others.
+
+    If they are counted to be few, their keys are broadcast, so that only the texts
+    that a join needs are shuffled for it; else the first part is all documents and
+    the second is none.
+    """
+    keys = keyed.select(*_KEY).distinct()
+    if keys.count() > BROADCAST_ROWS:
+        return docs, None
+    keys = F.broadcast(_key_as(keys))
+    same = _same_key(docs, keys)
+    return docs.join(keys, same, "left_semi"), docs.join(keys, same, "left_anti")
+
+
 def _slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted ranges with the bytes that they cover."""
     names = ["at", "low", "lo", "hi", "bucket", "weight"]
+    docs = _split(docs, wanted)[0]
     lists = _key_as(
         wanted.groupBy(*_KEY).agg(F.collect_list(F.struct(*names)).alias("ranges"))
     )
@@ -443,7 +459,7 @@ def without_repeats(
         F.xxhash64(text).alias("text_hash"),
         F.encode(text, "UTF-8").alias("text"),
     )
-    spans = _key_as(repeated_spans(docs, length, gram, size))
+    found = stored(repeated_spans(docs, length, gram, size), "suffix-spans")
     if carry:
         rest = [F.col(c) for c in df.columns if c != text_col]
         docs = df.select(
@@ -453,9 +469,14 @@ def without_repeats(
             F.struct(*rest).alias("row"),
         )
     carried = ["row"] if carry else []
-    joined = docs.join(spans, _same_key(docs, spans), "left").select(
+    touched, others = _split(docs, found)
+    spans = _key_as(found)
+    joined = touched.join(spans, _same_key(touched, spans), "left").select(
         "doc_id", "text", "spans", *carried
     )
+    if others is not None:
+        none = F.lit(None).cast(found.schema["spans"].dataType)
+        joined = joined.union(others.select("doc_id", "text", none.alias("spans"), *carried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
