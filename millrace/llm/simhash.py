@@ -118,11 +118,13 @@ def near_links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     members = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select(
         "key.t", "key.k", "fp"
     )
-    sizes = (
+    # Stored, so that the join can split a bucket that has most of the members.
+    sizes = stored(
         members.groupBy("t", "k")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
-        .select(F.col("t").alias("t2"), F.col("k").alias("k2"), "n")
+        .select(F.col("t").alias("t2"), F.col("k").alias("k2"), "n"),
+        "simhash-buckets",
     )
     shared = members.join(
         sizes, (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2"))
@@ -212,8 +214,12 @@ def simhash_components(
     joined = prints.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
     )
-    least = joined.groupBy(F.col("component").alias("c")).agg(
-        F.min("first_id").alias("component_id")
+    # Stored, so that the join can split a component that has most of the rows.
+    least = stored(
+        joined.groupBy(F.col("component").alias("c")).agg(
+            F.min("first_id").alias("component_id")
+        ),
+        "simhash-components",
     )
     named = joined.join(least, F.col("component") == F.col("c")).select(
         F.col("fp").alias("fp2"), "component_id"
