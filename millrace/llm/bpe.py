@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words tokenized together: their distinct ones share one inverted index.
-UNIT_WORDS = 400_000
+UNIT_WORDS = 200_000
 # Encoded words that a Python worker remembers from earlier units.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 300_000
 # Entries of the index of at least this size are merged by whole columns.
 BULK = 64
 # Token ids fit this many bits; the two largest numbers mark ends of words, and tokens
