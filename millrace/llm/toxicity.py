@@ -22,7 +22,7 @@ THRESHOLD = 0.3
 
 # The classifier is fitted on about so many labelled rows, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
-# Terms of the lexicon, and what makes a word or a stem one.
+# Stems and words of the lexicon, so many of each, and what makes one.
 MAX_TERMS = 2_000
 MIN_TOXIC_DOCS = 4
 MIN_TOXIC_SHARE = 0.01
@@ -226,8 +226,9 @@ def choose_terms(
 ) -> list[Term]:
     """The words and stems that tell toxic documents, by log odds of their presence.
 
-    A stem within a stem stays only if it is clearly the better evidence; a word only
-    if it is better than each of its stems.
+    A stem within a stem stays only if it is clearly the better evidence.  A word that
+    tells toxic documents stays beside its stems, which are read without edits: it is
+    what a misspelling is near to.  ``MAX_TERMS`` holds for stems and for words.
     """
     def odds(toxic: int, clean: int) -> float:
         return math.log((toxic + 0.5) / (toxic_docs + 1)) - math.log(
@@ -246,11 +247,15 @@ def choose_terms(
     }
     kept: dict[tuple[str, bool], tuple[float, int]] = {}
     for (text, stem), (weight, toxic) in sorted(able.items(), key=lambda x: (len(x[0][0]), not x[0][1])):
-        shorter = [kept[s, True] for s in stems_of(text + ("" if stem else " ")) if (s, True) in kept and (s, True) != (text, stem)]
+        shorter = [kept[s, True] for s in stems_of(text) if (s, True) in kept] if stem else []
         if not shorter or weight > max(w for w, _ in shorter) + 0.3:
             kept[text, stem] = (weight, toxic)
-    best = sorted(kept.items(), key=lambda x: (-x[1][0] * math.sqrt(x[1][1]), x[0]))[:MAX_TERMS]
-    return [Term(text, stem, weight) for (text, stem), (weight, _) in best]
+    best = sorted(kept.items(), key=lambda x: (-x[1][0] * math.sqrt(x[1][1]), x[0]))
+    stems, words = ([t for t in best if t[0][1] == stem] for stem in (True, False))
+    return [
+        Term(text, stem, weight)
+        for (text, stem), (weight, _) in stems[:MAX_TERMS] + words[:MAX_TERMS]
+    ]
 
 
 def count_terms(texts: Iterable[tuple[str | None, int]]) -> Counter:

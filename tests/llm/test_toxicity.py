@@ -54,6 +54,26 @@ def test_quotations_are_told_from_abuse():
     assert seen(None) == seen("") and seen("")["bias"] == 1.0
 
 
+def test_misspelled_toxic_words_are_near_the_learned_lexicon(spark):
+    rng = random.Random(3)
+    abuse = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown"]
+    plain = "table river window garden letter market summer winter bridge station".split()
+    text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=12), *more], 12 + len(more)))
+    rows = [(text(word, "you"), 1) for word in abuse for _ in range(20)]
+    rows += [(text(word[0] + "#" + word[2:]).replace("#", "q"), 1) for word in abuse for _ in range(8)]
+    rows += [(text("you"), 0) for _ in range(500)]
+    model = T.learn(spark.createDataFrame(rows, "text string, label int"))
+    matches = T._Matches(T.Automaton(model.terms))
+    score = lambda t: model.score(T.features(t, matches))
+    assert {t.text for t in model.terms if not t.stem} >= set(abuse)
+    for word in abuse:
+        # A letter too few, another one, two and one too many, all within the first four.
+        for bad in (word[:2] + word[3:], word[0] + "x" + word[2:], word[:3] + "x" + word[3:]):
+            assert matches[bad] is not None and matches[bad][1] > 0, bad
+            assert score(text(bad, "you")) >= T.THRESHOLD, bad
+    assert score(text("you")) < T.THRESHOLD
+
+
 # The smaller tables have too few toxic rows in each language to learn from.
 SF_LABELS = "/root/testdata/sf0.1"
 
