@@ -22,7 +22,7 @@ B = 0.75
 MIN_SCORE = 0.5
 SHINGLE = 5
 MIN_OVERLAP = 0.8
-# Share of an item's words, at its end, that counts as its answer if none is marked.
+# Share of an item's words, at its end, that is told as its answer if none is marked.
 ANSWER_SHARE = 1 / 3
 _ANSWER_MARK = re.compile(r"\banswer\s*:", re.IGNORECASE)
 _WORD = re.compile(r"\w+")
@@ -47,16 +47,18 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def parts_of(text: str | None) -> tuple[list[str], list[str]]:
-    """(question, answer) words: split at a marked answer, else before the last third."""
+def parts_of(text: str | None) -> tuple[list[str], list[str], bool]:
+    """(question, answer) words: split at a marked answer, else before the last third;
+    whether the answer is marked.
+    """
     mark = _ANSWER_MARK.search(text or "")
     if mark:
         question, answer = words_of(text[: mark.start()]), words_of(text[mark.end() :])
         if question and answer:
-            return question, answer
+            return question, answer, True
     words = words_of(text)
     cut = len(words) - max(1, round(len(words) * ANSWER_SHARE))
-    return words[:cut], words[cut:]
+    return words[:cut], words[cut:], False
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -79,6 +81,8 @@ class Index:
     item_ids: list[int | None]
     questions: list[set]
     answers: list[set]
+    # Shingles of an item that are in neither part; None if its answer is marked.
+    across: list[set | None]
     half: int
     term_of: dict[str, int]
     items: list[list[int]] = field(default_factory=list)
@@ -104,8 +108,9 @@ def build_index(
     longest = max((c.total() for c in counted), default=0)
     index = Index(
         [i for i, _ in rows],
-        [shingles(q) for q, _ in split],
-        [shingles(a) for _, a in split],
+        [shingles(q) for q, _, _ in split],
+        [shingles(a) for _, a, _ in split],
+        [None if m else shingles(q + a) - shingles(q) - shingles(a) for q, a, m in split],
         max(HALF_PASSAGE, longest),
         {},
     )
@@ -297,11 +302,16 @@ def _search_unit(
         whole = shingles(there)
         short = {k: _runs(there, k) for k in range(1, SHINGLE)}
         for item, score in retrieved:
-            q, a_ = (
-                _overlap(part, whole, short)
-                for part in (index.questions[item], index.answers[item])
+            question, answer, across = (
+                index.questions[item], index.answers[item], index.across[item]
             )
-            if q >= MIN_OVERLAP and a_ >= MIN_OVERLAP:
+            q, a_ = _overlap(question, whole, short), _overlap(answer, whole, short)
+            found = q >= MIN_OVERLAP and a_ >= MIN_OVERLAP
+            if not found and across is not None:
+                # Runs of a part that is shorter than a shingle are no shingles of the item.
+                mine = {s for s in question | answer if len(s) == SHINGLE} | across
+                found = _overlap(mine, whole, short) >= MIN_OVERLAP
+            if found:
                 match = (score, q, a_, -start)
                 best[rows[at]][item] = max(best[rows[at]].get(item, (0.0,)), match)
 
@@ -359,8 +369,11 @@ def contaminated(
     Every passage of every document queries the items: those whose BM25 score reaches
     ``threshold`` times their score for themselves are all retrieved (block-max WAND),
     and a retrieved item counts if the passage has four fifths of the five-word
-    shingles of its question and of its answer.  The test set is cut into indexes of
-    bounded size; each is broadcast and meets all documents, without a shuffle.
+    shingles of its question and of its answer.  An item without a marked answer also
+    counts if the passage has four fifths of the shingles of the whole item; the
+    overlaps told are those of its first two thirds and its last.  The test set is cut
+    into indexes of bounded size; each is broadcast and meets all documents, without a
+    shuffle.
 
     Result, one row per pair of document and item: doc_id, text_hash, item_id, score,
     question_overlap, answer_overlap, first_word (of the best passage).  Repeated

@@ -126,3 +126,25 @@ def test_places_lengths_and_indexes(spark, monkeypatch):
             k: n for k, n in want.items() if k not in shuffled}
     assert D.contaminated(left.limit(0), right).collect() == []
     assert D.contaminated(left, right.limit(0)).collect() == []
+
+
+def test_near_copies_of_items_without_a_marked_answer(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    run = lambda n: [word() for _ in range(n)]
+    items = [run(40), run(40), run(15), run(40)]
+    asked, answer = run(20), run(4)
+    table = [(i, " ".join(x)) for i, x in enumerate(items)]
+    table += [(9, " ".join([*asked, "Answer:", *answer]))]
+    changed = [list(x) for x in items]
+    changed[0][33] = "changed"  # in the middle of the last third: 31 of 36 shingles
+    changed[1] = changed[1][:36]  # the last tenth is cut off: 32 of 36
+    changed[2][14] = "changed"  # the last word: 10 of 11
+    changed[3] = changed[3][:30]  # 26 of 36: too little
+    docs = [(i, " ".join(run(50) + x + run(50))) for i, x in enumerate(changed)]
+    docs += [(9, " ".join([*run(50), *asked, *run(50)]))]  # a marked answer isn't there
+    got = D.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(table, "item_id long, text string"),
+    ).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2)]
