@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
@@ -17,7 +18,8 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 
-# Common words of each language: its histogram has a bin for each and one for the rest.
+# Common words of languages: a histogram has a bin for each and one for the rest.  Those
+# of other languages are the words that most of the corpus's own texts have.
 COMMON_WORDS = {
     "en": "the of and to in a is that for it as was with be by on not he i this are or"
     " his from at which but have an had they you were their one all we can her has there"
@@ -33,6 +35,8 @@ COMMON_WORDS = {
     " también fue había era muy hasta desde está mi",
 }
 _SLOTS = max(len(set(v.split())) for v in COMMON_WORDS.values()) + 1
+# Tags that name no language.
+UNKNOWN = ("", "und", "mul", "mis", "zxx")
 
 # Character classes.  Digits, hyphens, quotes and the like count as letters of words:
 # numbers and addresses are no sign of bad text.  A code point beyond the table is a
@@ -74,6 +78,8 @@ UNIT = 1_000_000
 MIN_JUDGED_WORDS = 30
 MAX_WORD_DISTANCE = 0.25
 MAX_CHAR_DISTANCE = 0.06
+# Where the characters alone decide: on the labels, no good text is so far.
+MAX_CHAR_DISTANCE_ALONE = 0.1
 CHAR_ALLOWANCE = 0.6
 # A reference from fewer distinct texts says nothing.
 MIN_REFERENCE = 20
@@ -130,7 +136,7 @@ def describe(text: str | None, common: dict[str, int]) -> tuple[list[int], list[
     chars[_LETTER] += len(codes) - len(low)
     slots = np.zeros(_SLOTS)
     if words:
-        plain = (w.decode("utf-8", "surrogatepass").strip(_AROUND).lower() for w in number)
+        plain = map(plain_word, number)
         slot_of = np.fromiter((common.get(w, _SLOTS - 1) for w in plain), np.int64, len(number))
         slots = np.bincount(slot_of, weights=np.bincount(ids), minlength=_SLOTS)
     return base, _shares(chars), _shares(slots)
@@ -141,43 +147,110 @@ def _shares(counts: np.ndarray) -> list[int]:
     return np.rint(counts * (UNIT / total)).astype(np.int64).tolist() if total else [0] * len(counts)
 
 
+def base_language(tag: Column) -> Column:
+    """The primary language of a tag such as EN or en-US; null if it names none."""
+    first = F.lower(F.trim(F.split(tag.cast("string"), "[-_]")[0]))
+    return F.when(~first.isin(*UNKNOWN), first)
+
+
+def plain_word(raw: bytes) -> str:
+    return raw.decode("utf-8", "surrogatepass").strip(_AROUND).lower()
+
+
+def common_words(
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang"
+) -> dict[str, list[str]]:
+    """The common words of the languages that ``COMMON_WORDS`` lacks, most common first.
+
+    Words are counted by the distinct texts that have them, of those that pass the base
+    rules; languages with too few such texts have no words.
+    """
+    lang = base_language(F.col(lang_col))
+    texts = df.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).where(
+        F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON_WORDS) & F.col("text").isNotNull()
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.encode("utf-8", "surrogatepass").split()
+                number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                if len(ids) < MIN_WORDS or 100 * repeated_words(ids) > REPEAT_PERCENT * len(ids):
+                    continue
+                # The empty word counts the texts.
+                found.update((lang, w) for w in {"", *map(plain_word, number)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in found], pa.string()),
+                 pa.array([k[1] for k in found], pa.string()),
+                 pa.array(found.values(), pa.int64())],
+                ["lang", "word", "n"],
+            )
+
+    counts = (
+        texts.distinct().mapInArrow(run, "lang string, word string, n long")
+        .groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    )
+    counts = stored(counts, "quality-words")
+    enough = counts.where((F.col("word") == "") & (F.col("n") >= MIN_REFERENCE)).select("lang")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = (
+        counts.where("word <> ''").join(enough, "lang", "left_semi")
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") < _SLOTS)
+    )
+    words: dict[str, list[str]] = {}
+    # One row for each language and bin at most.
+    for r in sorted(best.collect(), key=lambda r: (r.lang, r["rank"])):
+        words.setdefault(r.lang, []).append(r.word)
+    return words
+
+
 def with_measures(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """One row per row of ``df``: id, language, text hash, counts and histograms."""
-    tables = {
-        lang: {w: i for i, w in enumerate(dict.fromkeys(words.split()))}
-        for lang, words in COMMON_WORDS.items()
-    }
+    """One row per row of ``df``: id, language, text hash, counts and histograms.
+
+    ``base_lang`` is the primary language, by which texts are compared.  Where there is
+    no list of its common words, ``words`` is empty.  Texts of no language may be of any
+    script: all their letters are in one class.
+    """
+    lists = {lang: words.split() for lang, words in COMMON_WORDS.items()}
+    lists |= common_words(df, text_col, lang_col)
+    tables = {k: {w: i for i, w in enumerate(dict.fromkeys(v))} for k, v in lists.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(1).to_pylist()
+            langs = batch.column(2).to_pylist()
             base, chars, words = [], [], []
-            for lang, text in zip(langs, batch.column(3), strict=True):
+            for lang, text in zip(langs, batch.column(4), strict=True):
                 b, c, w = describe(text.as_py(), tables.get(lang, {}))
+                if lang is None:
+                    c[_WORD] += c[_UPPER] + c[_LETTER]
+                    c[_UPPER] = c[_LETTER] = 0
                 base.append(b)
                 chars.append(c)
-                words.append(w)
+                words.append(w if lang in tables else [0] * _SLOTS)
             counts = np.array(base, np.int64).reshape(-1, len(_COUNTS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2),
-                 *[pa.array(counts[:, k]) for k in range(len(_COUNTS))],
+                [*batch.columns[:4], *[pa.array(counts[:, k]) for k in range(len(_COUNTS))],
                  pa.array(chars, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))],
-                ["doc_id", "lang", "text_hash", *_COUNTS, "chars", "words"],
+                ["doc_id", "lang", "base_lang", "text_hash", *_COUNTS, "chars", "words"],
             )
 
     text = F.col(text_col).cast("string")
     picked = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(lang_col).cast("string").alias("lang"),
+        base_language(F.col(lang_col)).alias("base_lang"),
         F.xxhash64(text).alias("text_hash"),
         text.alias("text"),
     )
     kinds = ", ".join(f"{c} long" for c in _COUNTS)
     return picked.mapInArrow(
         run,
-        f"doc_id long, lang string, text_hash long, {kinds}, chars array<long>,"
+        f"doc_id long, lang string, base_lang string, text_hash long, {kinds}, chars array<long>,"
         " words array<long>",
     )
 
@@ -198,11 +271,11 @@ def references(measures: DataFrame) -> DataFrame:
     def mean(name: str) -> Column:
         return F.col(name) / F.col("n") / float(UNIT)
 
-    once = measures.where(~F.col("base_failed")).dropDuplicates(["lang", "text_hash"])
+    once = measures.where(~F.col("base_failed")).dropDuplicates(["base_lang", "text_hash"])
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(_SLOTS)]
     return (
-        once.groupBy(F.col("lang").alias("ref_lang"))
+        once.groupBy(F.col("base_lang").alias("ref_lang"))
         .agg(F.count("*").alias("n"), *sums)
         .where(F.col("n") >= MIN_REFERENCE)
         .select(
@@ -240,14 +313,17 @@ def quality_rules(
 
     Words are runs without ASCII white space.  The histograms of a text (classes of
     characters; common words of its declared language and all others) are compared
-    with the means over the whole corpus's distinct texts of that language.  Texts
-    too short to have a stable histogram, and languages with too few texts, are not
-    judged by distance.
+    with the means over the whole corpus's distinct texts of that language.  Its common
+    words are given for some languages, and for the others those that most of their
+    texts have.  Texts too short to have a stable histogram, and languages with too few
+    texts, are not judged by distance.
 
     Result, one row per row of ``df``: doc_id, text_hash, lang, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
-    Null and empty texts have no words and fail.  A null language is a language of
-    its own.  Repeated rows stay and are judged alike; other columns of ``df`` are
+    Null and empty texts have no words and fail.  Languages are compared by their primary
+    tag, so EN and en-US are en.  A null language, or a tag that names none, is a
+    language of its own without common words: word_distance is null, and the characters
+    alone decide.  Repeated rows stay and are judged alike; other columns of ``df`` are
     ignored; an empty table gives an empty result.
     """
     measures = stored(
@@ -256,14 +332,12 @@ def quality_rules(
     )
     known = references(measures)
     judged = measures.join(
-        known, measures["lang"].eqNullSafe(known["ref_lang"]), "left"
-    )
-    allowed = MAX_CHAR_DISTANCE + CHAR_ALLOWANCE / F.sqrt("n_words")
-    far = (
-        (F.col("n_words") >= MIN_JUDGED_WORDS)
-        & (F.col("word_distance") > MAX_WORD_DISTANCE)
-        & (F.col("char_distance") > allowed)
+        known, measures["base_lang"].eqNullSafe(known["ref_lang"]), "left"
     )
+    beyond = F.col("char_distance") - CHAR_ALLOWANCE / F.sqrt("n_words")
+    far = (F.col("n_words") >= MIN_JUDGED_WORDS) & F.when(
+        F.col("word_distance").isNull(), beyond > MAX_CHAR_DISTANCE_ALONE
+    ).otherwise((F.col("word_distance") > MAX_WORD_DISTANCE) & (beyond > MAX_CHAR_DISTANCE))
     return (
         judged.withColumn("char_distance", js_distance("chars", "ref_chars"))
         .withColumn("word_distance", js_distance("words", "ref_words"))

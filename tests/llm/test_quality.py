@@ -1,6 +1,7 @@
 """Quality rules against plain Python, and against the labels."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -103,3 +104,32 @@ def test_edge_rows(spark):
     judged = Q.quality_rules(spark.createDataFrame(many, frame.schema)).collect()
     assert {r.doc_id for r in judged if r.char_distance is None} == {99}
     assert Q.quality_rules(frame.limit(0)).collect() == []
+
+
+def test_languages_beside_the_given_ones_are_judged(spark):
+    rng = random.Random(5)
+    common = "och att det som en på är av för med till den har de inte om ett han men var".split()
+    rare = ["".join(rng.choices("abdefgiklmnorstu", k=rng.randrange(4, 9))) for _ in range(2000)]
+    prose = lambda: ". ".join(
+        " ".join(rng.choice(common if rng.random() < 0.5 else rare) for _ in range(12))
+        for _ in range(10)
+    )
+    junk = lambda: " ".join(
+        "".join(rng.choices("#*$%&|<>XQZ", k=rng.randrange(1, 7))) for _ in range(120)
+    )
+    texts = [(prose(), 1) for _ in range(120)] + [(junk(), 0) for _ in range(2)]
+    for tags in (["sv"], [None, "und", ""], ["SV", "sv-SE", "sv_FI"]):
+        rows = [(i, text, rng.choice(tags)) for i, (text, _) in enumerate(texts)]
+        rows += [(1000, junk(), tags[0]), (1000, junk(), tags[0])]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = Q.quality_rules(frame).collect()
+        assert len(got) == len(rows) and not any(r.base_failed for r in got)
+        assert {r.doc_id for r in got if r.kept} == {i for i, (_, good) in enumerate(texts) if good}
+        assert {r.word_distance is None for r in got} == {None in tags}
+        assert {r.lang for r in got} <= set(tags)
+    words = Q.common_words(spark.createDataFrame(texts * 2, "text string, n int").selectExpr("*", "'sv-SE' as lang"))
+    assert set(words) == {"sv"} and set(words["sv"][:20]) == set(common)
+    english = spark.createDataFrame([(i, junk() if i < 3 else
+        " ".join(rng.choice("the of and to in a is that it was".split() if rng.random() < 0.5 else rare) for _ in range(120)),
+        rng.choice(["EN", "en-US"])) for i in range(60)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in Q.quality_rules(english).collect() if not r.kept} == {0, 1, 2}
