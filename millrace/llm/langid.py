@@ -43,7 +43,13 @@ _META_LANG = re.compile(
     re.IGNORECASE,
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_HEAD_CHARS = 4096
+# What counts in a head, its end, and what only looks like either: comments and the text
+# of some elements are passed over as a whole.
+_HEAD_PARTS = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|title|textarea|template|noscript)\b.*?(?:</\1\b|\Z)"
+    r"|(?P<tag><(?:html|meta)\b[^>]*)|(?P<end></head\b|<body\b)",
+    re.IGNORECASE | re.DOTALL,
+)
 
 
 def grams_of(text: str | None) -> Counter:
@@ -126,10 +132,20 @@ def learn(
 
 
 def declared_language(html: str | None) -> str:
-    """The primary language that the markup declares, or "none"."""
-    head = (html or "")[:_HEAD_CHARS]
-    found = _HTML_LANG.search(head) or _META_LANG.search(head)
-    return found[1].lower() if found else NONE
+    """The primary language that the markup declares, or "none".
+
+    The page is read up to the end of its head, or whole if there is no such end.
+    """
+    meta = None
+    for part in _HEAD_PARTS.finditer(html or ""):
+        if part["end"]:
+            break
+        if part["tag"]:
+            found = _HTML_LANG.match(part["tag"])
+            if found:
+                return found[1].lower()
+            meta = meta or _META_LANG.match(part["tag"])
+    return meta[1].lower() if meta else NONE
 
 
 def address_parts(url: str | None) -> tuple[str, str, str]:

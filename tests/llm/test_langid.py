@@ -86,6 +86,19 @@ def test_declared(html, lang):
     assert L.declared_language(html) == lang
 
 
+@pytest.mark.parametrize(
+    "html, lang",
+    [(f"<!-- {'x ' * 5000} --><html lang=it>", "it"),
+     (f"<html><head><script>{'f(1);' * 5000}</script><style>{'p{}' * 5000}</style>"
+      "<meta content=x http-equiv=refresh><meta http-equiv='content-language' content='pt-BR'>", "pt"),
+     ("<!--<html lang=en>--><script>'<html lang=fr>'</script><html lang=de>", "de"),
+     (f"<head><title>{'t ' * 5000}</title></head><body><meta http-equiv=content-language content=fr>", "none"),
+     ("<script>" * 50_000 + "<html lang=de>", "none"), ("<meta " * 50_000, "none"), ("<!--" * 50_000, "none")],
+)
+def test_declared_anywhere_in_the_head(html, lang):
+    assert L.declared_language(html) == lang
+
+
 def test_evidence_decides_where_there_is_no_text(spark):
     words = {"en": "the house is on the hill", "de": "das haus steht auf dem berg"}
     docs = spark.createDataFrame(
