@@ -14,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drawn, stored
+from millrace.llm.common import stored
 from millrace.llm.extract import main_text
 
 # The text model is fitted on about so many labelled documents, chosen by a hash of the
-# id, and keeps at most so many n-grams and languages.
+# id, and on about so many of each language, or all if there are fewer.  It keeps at most
+# so many n-grams, and every language.
 SAMPLE_ROWS = 8_000
+LANGUAGE_ROWS = 2_000
 MAX_GRAMS = 30_000
-MAX_LANGUAGES = 64
 GRAM_SIZES = (1, 2, 3)
 GRAM_PRIOR = 0.5
 # N-grams of a text overlap, so each says less than if it stood alone.
@@ -81,17 +82,36 @@ class TextModel:
         return total - total.max()
 
 
+def _drawn_by_language(labelled: DataFrame, limit: int, each: int) -> DataFrame:
+    """About ``limit`` of the rows in all, and about ``each`` of every language.
+
+    Rows are kept or not by a hash of their id, each by itself.
+    """
+    # A row for each language.
+    sizes = [(r.lang, r["count"]) for r in labelled.groupBy("lang").count().collect()]
+    total = sum(n for _, n in sizes)
+    quotas = [(lang, n, min(n, max(each, -(-limit * n // total)))) for lang, n in sizes]
+    quota = labelled.sparkSession.createDataFrame(quotas, "lang string, size long, quota long")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.col("size")) < F.col("quota")
+    return labelled.join(F.broadcast(quota), "lang").where(chosen).select("lang", "text")
+
+
 def learn(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    limit: int = SAMPLE_ROWS,
+    limit: int = SAMPLE_ROWS, each: int = LANGUAGE_ROWS,
 ) -> TextModel:
-    """N-gram probabilities of the languages of about ``limit`` labelled documents."""
+    """N-gram probabilities of the languages of the labelled documents.
+
+    About ``limit`` documents are drawn, and more of the languages that would have fewer
+    than ``each`` among them.  The n-grams kept are those with the greatest share of any
+    language's, so that no language is left without.
+    """
     labelled = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.lower(F.col(lang_col).cast("string")).alias("lang"),
         F.col(text_col).cast("string").alias("text"),
     )
-    train = drawn(labelled, "doc_id", limit).where("lang is not null and text is not null")
+    train = _drawn_by_language(labelled.dropna(), limit, each)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,17 +132,19 @@ def learn(
     counts = stored(
         counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams"
     )
+    # A row for each language.
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    names = list(totals)
+    share = F.lit(0.0)
+    if totals:
+        of = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])
+        share = F.col("n") / F.element_at(of, F.col("lang"))
     common = (
-        counts.groupBy("gram").agg(F.sum("n").alias("all"))
-        .orderBy(F.desc("all"), "gram").limit(MAX_GRAMS).select("gram")
+        counts.groupBy("gram").agg(F.max(share).alias("most"))
+        .orderBy(F.desc("most"), "gram").limit(MAX_GRAMS).select("gram")
     )
-    names = [
-        r.lang
-        for r in counts.groupBy("lang").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    ]
-    # At most MAX_GRAMS times MAX_LANGUAGES numbers.
-    kept = counts.join(F.broadcast(common), "gram").where(F.col("lang").isin(names)).collect()
+    # At most MAX_GRAMS times the languages.
+    kept = counts.join(F.broadcast(common), "gram").collect()
     languages = tuple(sorted(names))
     rows = {g: i for i, g in enumerate(sorted({r.gram for r in kept}))}
     table = np.full((len(rows), len(languages)), GRAM_PRIOR)

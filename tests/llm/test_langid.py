@@ -67,6 +67,23 @@ def test_query_equals_a_plain_fusion(spark):
         assert math.isclose(row.confidence, max(want), rel_tol=1e-9)
 
 
+def test_no_language_is_left_out(spark):
+    codes = [a + b for a in "abcdefghij" for b in "klmnopqr"]
+    own = {c: " ".join(c + x + c for x in "stuvwxyz") for c in codes}
+    rows = [(i, own["ak"] * 20, "ak") for i in range(3000)]
+    rows += [(5000 + i, own[c], c) for i, c in enumerate(codes * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # Of all documents drawn alike, 100 would have about two of the 158 of small languages.
+    for each in (1, 50):
+        model = L.learn(docs, limit=100, each=2 * each)
+        assert model.languages == tuple(codes)
+        for c in codes:
+            assert model.languages[int(np.argmax(model.log_likelihood(own[c])))] == c
+    drawn = L._drawn_by_language(docs, 100, 50).groupBy("lang").count().collect()
+    sizes = {r.lang: r["count"] for r in drawn}
+    assert sizes.pop("ak") < 200 and set(sizes.values()) == {2} and len(sizes) == 79
+
+
 @pytest.mark.parametrize(
     "url, parts",
     [("https://m.a.example.co.uk/x", ("m.a.example.co.uk", "example.co.uk", "uk")),
