@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
+# Bytes of texts that a Python worker gets at once, instead of Spark's own 64 MB.
+BATCH_BYTES = 8 << 20
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_OWN = "67108864b"
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of a bounded size, unless the user chose one."""
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES_PER_BATCH) == _SPARKS_OWN:
+        conf.set(_BYTES_PER_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``df`` whose id and text hash aren't in ``gone`` (doc_id, text_hash).
 

@@ -12,6 +12,7 @@ from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.extract import with_main_text
 from millrace.llm.langid import page_languages
+from millrace.llm.phrases import collocations
 from millrace.llm.quality import quality_rules
 from millrace.llm.sharding import balanced_shards
 from millrace.llm.simhash import simhash_components
@@ -78,6 +79,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, read_table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc_chunks": op2_warc_chunks,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_balanced_shards": op8_balanced_shards,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
 }
 
 # Five hex digits of a digest are four letters of base 32.
