@@ -55,7 +55,8 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-    least = least.select("c", F.least("c", "m").alias("m"))
+    # Stored, here and below, so that the join can split a hub's edges.
+    least = stored(least.select("c", F.least("c", "m").alias("m")), "components-least")
     # (c, larger neighbour u) becomes (u, least of c's neighbourhood)
     return (
         edges.join(least, F.col("v") == F.col("c"))
@@ -65,7 +66,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+    least = stored(
+        edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "components-least"
+    )
     linked = edges.join(least, F.col("u") == F.col("c"))
     rest = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("c", "m")).distinct()

@@ -346,7 +346,7 @@ def collocations(
     language), score; ``keep`` rows a language at most.  A null language is
     ``UNKNOWN``; null and empty texts have no words; repeated rows count again; other
     columns are ignored; an empty table gives an empty result.  A task sorts about
-    ``task_suffixes`` suffixes; memory also follows the longest text, times 16.
+    ``task_suffixes`` suffixes; memory also follows the longest text, times 10.
     """
     docs = df.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),

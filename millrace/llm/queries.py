@@ -11,6 +11,7 @@ from millrace.llm.bpe import with_tokens
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.extract import with_main_text
+from millrace.llm.jaccard import jaccard_components
 from millrace.llm.langid import page_languages
 from millrace.llm.phrases import collocations
 from millrace.llm.quality import quality_rules
@@ -83,6 +84,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc_chunks": op2_warc_chunks,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
+    "op12_jaccard_join": op12_jaccard_join,
 }
 
 # Five hex digits of a digest are four letters of base 32.

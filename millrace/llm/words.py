@@ -35,7 +35,7 @@ class Words:
 def lowered_words(texts: pa.Array, kinds: np.ndarray) -> Words:
     """Split texts (nulls are empty) into words, with A-Z as lower case.
 
-    Takes about 16 times the bytes of the batch; nothing is done word by word.
+    Takes about 10 times the bytes of the batch; nothing is done word by word.
     """
     texts = texts.fill_null("")
     n = len(texts)
@@ -44,27 +44,28 @@ def lowered_words(texts: pa.Array, kinds: np.ndarray) -> Words:
     held = data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if n and data else b""
     lowered = held.translate(_LOWER)
     raw = np.frombuffer(lowered, np.uint8)
-    edges = offsets - offsets[0] if n else np.zeros(1, np.int32)
-    kind = kinds[raw]
+    kind = np.frombuffer(held.translate(kinds.tobytes()), np.uint8)
     inside = kind == WORD
+    edges = (offsets - offsets[0]).astype(np.int64) if n else np.zeros(1, np.int64)
+    # A word begins or ends where its neighbour byte isn't in a word, or in another text.
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    filled = edges[:-1][np.diff(edges) > 0]
-    begins[filled] = inside[filled]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    filled = np.diff(edges) > 0
+    begins[edges[:-1][filled]] = inside[edges[:-1][filled]]
+    ends[edges[1:][filled] - 1] = inside[edges[1:][filled] - 1]
     at = np.flatnonzero(begins)
-    of_text = np.repeat(
-        np.arange(len(edges) - 1, dtype=np.int64), np.diff(np.searchsorted(at, edges))
-    )
-    packed = raw[inside]
-    cuts = np.empty(len(at) + 1, np.int64)
-    cuts[:-1] = np.cumsum(inside, dtype=np.int64)[at] - 1
-    cuts[-1] = len(packed)
+    counts = np.diff(np.searchsorted(at, edges))
+    of_text = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+    cuts = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(np.flatnonzero(ends) + 1 - at, out=cuts[1:])
     forms = pa.Array.from_buffers(
-        pa.large_binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(packed)]
+        pa.large_binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(raw[inside])]
     ).dictionary_encode()
     follows = np.zeros(len(at), bool)
     if len(at):
-        broken = np.cumsum(kind == BREAK, dtype=np.int64)[at]
+        broken = np.searchsorted(np.flatnonzero(kind == BREAK), at)
         follows[1:] = (of_text[1:] == of_text[:-1]) & (broken[1:] == broken[:-1])
     ids = forms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return Words(ids, forms.dictionary, of_text, follows)
