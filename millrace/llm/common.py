@@ -26,7 +26,7 @@ BROADCAST_ROWS = 500_000
 
 
 # Bytes of texts that a Python worker gets at once, instead of Spark's own 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPARKS_OWN = "67108864b"
 
@@ -45,17 +45,28 @@ def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) ->
     A null id equals a null id.  ``gone`` is broadcast if it is counted to be small;
     else both sides are shuffled.
     """
-    gone = stored(
-        gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"))
+    return _matched_rows(df, gone, id_col, text_col, "left_anti")
+
+
+def only_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text hash are in ``kept``, as in ``without_rows``."""
+    return _matched_rows(df, kept, id_col, text_col, "left_semi")
+
+
+def _matched_rows(
+    df: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str
+) -> DataFrame:
+    rows = stored(
+        rows.select(F.col("doc_id").alias("_row_id"), F.col("text_hash").alias("_row_text"))
         .distinct(),
-        "gone",
+        "rows",
     )
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    matched = df[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (
-        F.xxhash64(df[text_col].cast("string")) == gone["_gone_text"]
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    matched = df[id_col].cast("long").eqNullSafe(rows["_row_id"]) & (
+        F.xxhash64(df[text_col].cast("string")) == rows["_row_text"]
     )
-    return df.join(gone, matched, "left_anti")
+    return df.join(rows, matched, how)
 
 
 def drawn(df: DataFrame, id_col: str, limit: int) -> DataFrame:

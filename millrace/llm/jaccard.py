@@ -8,6 +8,10 @@ differ in it by one shingle.  For that the hashes of its one-deletion neighbourh
 indexed beside its own.  With weights that sum up to more than ``H``, every similar pair
 meets in a segment.  What they exceed by is what each set may give up: it drops the
 segments that would cost it most, those whose hashes most sets share.
+
+Sets that meet are first held against each other by a sketch, the parities of a few
+hundred bins: it differs in no more bits than the sets differ in shingles.  What passes
+is grouped, and the groups are verified by the whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mapped, stored, without_rows
+from millrace.llm.common import mapped, only_rows, stored, without_rows
 from millrace.llm.components import connected_components
 from millrace.llm.filters import hash_bitmap, may_hold
 from millrace.llm.words import byte_kinds, lowered_words
@@ -31,8 +35,14 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 SEED = 42
 # Weight-2 segments of a set of average size and above; small sets have nothing else.
-DOUBLES = 12
+DOUBLES = 4
 SMALL_SET = 48
+# Sizes of sketches in bytes, and the largest set that each is meant for.
+SKETCHES = {32: 128, 64: 512, 128: 1 << 62}
+# Entries of one key that are compared in one step; more are compared part by part.
+PART = 1024
+# Entries of one key that are compared pair by pair, for all keys at once.
+FEW = 12
 # Shingles of the sets that a task verifies against one another.
 PART_SHINGLES = 1 << 19
 # Bits of a filter for each of its hashes, and its largest size.
@@ -219,21 +229,36 @@ def _as_longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def parities(sets: Sets, size: int) -> list[bytes]:
+    """For each set, which of 8 * ``size`` bins have an odd number of its elements.
+
+    Half of a sketch folded onto the other half is the sketch of half the size.
+    """
+    bins = 8 * size
+    counts = np.zeros((len(sets.edges) - 1, bins), np.uint8)
+    slot = mixed(sets.hashes * _ODD[6] + np.uint64(3)) & np.uint64(bins - 1)
+    np.add.at(counts, (sets.owners, slot.astype(np.int64)), 1)
+    return [row.tobytes() for row in np.packbits(counts & 1, axis=1)]
+
+
 def described(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (a name of the set), proof (another)."""
+    """doc_id, text_hash, n_shingles, node (a name of the set), proof (another), sketches."""
+    names = [f"sketch{size}" for size in SKETCHES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(2), width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()),
-                 _as_longs(set_nodes(sets, seed)), _as_longs(set_nodes(sets, ~seed % 2**64))],
-                ["doc_id", "text_hash", "n_shingles", "node", "proof"],
+                 _as_longs(set_nodes(sets, seed)), _as_longs(set_nodes(sets, ~seed % 2**64)),
+                 *[pa.array(parities(sets, size), pa.binary()) for size in SKETCHES]],
+                ["doc_id", "text_hash", "n_shingles", "node", "proof", *names],
             )
 
     return mapped(
         docs.select("doc_id", "text_hash", "text"), run,
-        "doc_id long, text_hash long, n_shingles long, node long, proof long",
+        "doc_id long, text_hash long, n_shingles long, node long, proof long, "
+        + ", ".join(f"{name} binary" for name in names),
     )
 
 
@@ -271,14 +296,14 @@ def _filter_bits(count: int) -> int:
 
 
 def candidate_groups(
-    texts: DataFrame, schemes: Schemes, width: int, seed: int
+    texts: DataFrame, distinct: DataFrame, schemes: Schemes, width: int, seed: int, part: int
 ) -> DataFrame:
     """Sets that may be similar: node, and the group of sets of its band it is linked to.
 
     The first pass over the texts counts the keys; the second emits only entries whose
     key two entries share.  Each set then drops its costliest segments as far as its
-    spare weight goes.  Whoever shares a key with a set that didn't drop it is linked
-    to it.  A set may be in the groups of two bands.
+    spare weight goes.  Entries of a key are linked if one of them wasn't dropped and
+    their sketches are close enough.  A set may be in the groups of two bands.
     Result: node, cc (long), without repeats.
     """
     counts = stored(
@@ -290,51 +315,74 @@ def candidate_groups(
     )
     bitmap = hash_bitmap(counts, F.col("shared"), _filter_bits(counts.count()))
     entries = index_entries(texts, schemes, width, seed, bitmap)
-    met = stored(
-        entries.join(counts, F.col("key") == F.col("shared")).drop("shared"), "jaccard-met"
-    )
-    costs = met.groupBy("node", "place").agg(
-        F.sum(F.col("n") - 1).alias("cost"), F.first("weight").alias("weight"),
-        F.first("spare").alias("spare"),
+    met = entries.join(counts, F.col("key") == F.col("shared")).drop("shared")
+    sketched = distinct.select(
+        F.col("node").alias("of_node"), F.col("n_shingles").cast("int").alias("size"),
+        *[f"sketch{size}" for size in SKETCHES],
     )
-    dearest = Window.partitionBy("node", F.shiftright("place", 32)).orderBy(
-        F.desc(F.col("cost") / F.col("weight")), "place"
-    ).rowsBetween(Window.unboundedPreceding, 0)
-    dropped = stored(
-        costs.withColumn("given", F.sum("weight").over(dearest))
-        .where("given <= spare")
-        .select(F.col("node").alias("off_node"), F.col("place").alias("off_place")),
-        "jaccard-dropped",
-    )
-    active = met.join(
-        dropped,
-        (F.col("node") == F.col("off_node")) & (F.col("place") == F.col("off_place")),
-        "left_anti",
-    )
-    # Two entries that both lack an element tell nothing.
-    first = stored(
-        active.groupBy(F.col("key").alias("first_key"))
-        .agg(F.min("node").alias("first_node")),
-        "jaccard-first",
+    # One shuffle by set serves its sketch and the choice of what it drops.
+    place = Window.partitionBy("node", "band", "place")
+    dearest = Window.partitionBy("node", "band").orderBy(
+        F.desc("cost"), "place", "row"
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = (
+        met.join(sketched, F.col("node") == F.col("of_node"))
+        .withColumn("band", F.shiftright("place", 32).cast("int"))
+        .withColumn("cost", F.sum(F.col("n") - 1).over(place) / F.col("weight"))
+        .withColumn("row", F.row_number().over(place.orderBy("deleted", "key")))
+        .withColumn("given", F.sum(F.when(F.col("row") == 1, F.col("weight")).otherwise(0)).over(dearest))
+        .withColumn("active", F.col("given") > F.col("spare"))
     )
-    whole = met.groupBy(F.col("key").alias("whole_key")).agg(F.min("deleted").alias("least"))
-    first = first.join(
-        whole.where("least = 0"), F.col("first_key") == F.col("whole_key"), "left_semi"
-    )
-    # A set is a node of its own in each band, so that bands don't hang together.
-    member = lambda node: F.xxhash64(node, F.shiftright("place", 32))
+    limits = [int(schemes.edges[b + 1]) for b in range(len(schemes.schemes))]
+    sizes = F.array(*[F.lit(_sketch_size(x)) for x in limits] or [F.lit(0)])
+    sketch = F.lit(None)
+    for size in SKETCHES:
+        sketch = F.when(F.get(sizes, F.col("band")) == size, F.col(f"sketch{size}")).otherwise(sketch)
+    parts = F.ceil(F.col("n") / part).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    meetings = chosen.select(
+        "key", "node", "band", "size",
+        (F.col("deleted") + 2 * F.col("active").cast("int")).cast("int").alias("flags"),
+        sketch.alias("sketch"), own.alias("p"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"),
+    ).select(
+        "key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"),
+        "node", "band", "size", "flags", "sketch",
+    )
+    dealt = meetings.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    percent = schemes.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ready = pa.Table.from_batches(held).combine_chunks()
+            # The last key of a batch may go on in the next one.
+            last = [ready.column(c)[-1].as_py() for c in range(3)]
+            keys = [ready.column(c).to_numpy() for c in range(3)]
+            open_from = ready.num_rows - int(
+                np.argmin(np.append(np.all([k[::-1] == x for k, x in zip(keys, last, strict=True)], axis=0), False))
+            )
+            if open_from:
+                yield _close_entries(ready.slice(0, open_from), percent)
+            rest = ready.slice(open_from).to_batches()
+            held = rest
+        if held:
+            yield _close_entries(pa.Table.from_batches(held), percent)
+
     links = stored(
-        met.join(first, F.col("key") == F.col("first_key"))
-        .where("node <> first_node")
-        .select(
-            "node", "first_node", member("node").alias("a"), member("first_node").alias("b")
-        )
-        .distinct(),
+        mapped(dealt, run, "a_node long, b_node long, band int")
+        .distinct()
+        # A set is a node of its own in each band, so that bands don't hang together.
+        .select("a_node", "b_node", F.xxhash64("a_node", "band").alias("a"),
+                F.xxhash64("b_node", "band").alias("b")),
         "jaccard-links",
-    )
+    )
     found = connected_components(links.select("a", "b"))
-    names = links.select("node", F.col("a").alias("member")).union(
-        links.select("first_node", "b")
+    names = links.select(F.col("a_node").alias("node"), F.col("a").alias("member")).union(
+        links.select("b_node", "b")
     ).distinct()
     found = found.withColumnRenamed("node", "of_member")
     return names.join(found, F.col("member") == F.col("of_member")).select(
@@ -342,23 +390,101 @@ def candidate_groups(
     ).distinct()
 
 
-def shingles_of(
-    texts: DataFrame, width: int, seed: int, wanted: np.ndarray
-) -> DataFrame:
-    """set_node, hashes (binary) of the texts whose set's name is in a bitmap."""
-    held = texts.sparkSession.sparkContext.broadcast(wanted)
+def _sketch_size(largest: int) -> int:
+    return next(size for size, most in SKETCHES.items() if largest <= most)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements similar sets of such sizes differ by, at most."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def _close_entries(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Links between the entries of each key whose sketches allow it, without repeats.
+
+    For a few entries all pairs, for more a spanning forest of them.
+    """
+    keys = [rows.column(c).to_numpy() for c in range(3)]
+    node, band, size, flags = (rows.column(c).to_numpy() for c in range(3, 7))
+    size = size.astype(np.int64)
+    data = rows.column(7).combine_chunks()
+    lengths = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1])
+    new = np.ones(len(node), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(node)))
+    group = np.repeat(np.arange(len(starts)), counts)
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    for length in np.unique(lengths).tolist():
+        here = np.flatnonzero(lengths == length)
+        held = b"".join(data.take(pa.array(here)).to_pylist())
+        sketch = np.frombuffer(held, np.uint64).reshape(len(here), length // 8)
+        few = counts[group[here]] <= FEW
+        for step in range(1, FEW):
+            i = np.flatnonzero(few[: len(here) - step] & (group[here[step:]] == group[here[: len(here) - step]]))
+            if not len(i):
+                break
+            close = _close(sketch, size[here], flags[here], i, i + step, percent)
+            left.append(here[i[close]])
+            right.append(here[i[close] + step])
+        begin = np.flatnonzero(~few & np.append(True, group[here[1:]] != group[here[:-1]]))
+        for at in begin.tolist():
+            free = np.arange(at, at + counts[group[here[at]]])
+            while len(free) > 1:
+                layer, free = free[:1], free[1:]
+                while len(layer) and len(free):
+                    reached = []
+                    for now in layer.tolist():
+                        close = _close(sketch, size[here], flags[here], now, free, percent)
+                        if close.any():
+                            left.append(np.full(close.sum(), here[now]))
+                            right.append(here[free[close]])
+                            reached.append(free[close])
+                            free = free[~close]
+                            if not len(free):
+                                break
+                    layer = np.concatenate(reached) if reached else free[:0]
+    i = np.concatenate(left) if left else np.zeros(0, np.int64)
+    j = np.concatenate(right) if right else np.zeros(0, np.int64)
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    order = np.lexsort((b, a, band[i]))
+    a, b, of = a[order], b[order], band[i][order]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (of[1:] != of[:-1])
+    once &= a != b
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a[once], pa.int64()), pa.array(b[once], pa.int64()), pa.array(of[once], pa.int32())],
+        ["a_node", "b_node", "band"],
+    )
+
+
+def _close(sketch, size, flags, i, j, percent) -> np.ndarray:  # noqa: ANN001
+    """Whether entries i and j may be of similar sets: by flags, sizes and sketches."""
+    either, both = flags[i] | flags[j], flags[i] & flags[j]
+    apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+    return (
+        ((either & 2) > 0)
+        & ((both & 1) == 0)
+        & (apart <= _apart(size[i], size[j], percent))
+        & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+    )
+
+
+def shingles_of(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """set_node, hashes (binary) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(0), width)
-            nodes = set_nodes(sets, seed)
-            at = np.flatnonzero(may_hold(held.value, nodes) & (sets.sizes > 0)).tolist()
             cuts = sets.edges.tolist()
+            held = [
+                sets.hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [_as_longs(nodes[at]),
-                 pa.array([sets.hashes[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary())],
+                [_as_longs(set_nodes(sets, seed)), pa.array(held, pa.binary())],
                 ["set_node", "hashes"],
-            )
+            )
 
     return mapped(texts.select("text"), run, "set_node long, hashes binary")
 
@@ -486,7 +612,8 @@ def _linked(sets: dict[int, np.ndarray], percent: int) -> pa.RecordBatch:
 
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    width: int = SHINGLE_WORDS, percent: int = PERCENT, part_shingles: int = PART_SHINGLES,
+    width: int = SHINGLE_WORDS, percent: int = PERCENT, part: int = PART,
+    part_shingles: int = PART_SHINGLES,
 ) -> DataFrame:
     """Group the documents whose shingle sets are linked, directly or through others.
 
@@ -513,6 +640,7 @@ def jaccard_components(
                 F.min(F.struct("doc_id", "text_hash")).alias("kept"),
                 F.max("n_shingles").alias("n_shingles"),
                 (F.min("proof") != F.max("proof")).alias("clash"),
+                *[F.first(f"sketch{size}").alias(f"sketch{size}") for size in SKETCHES],
             ),
             "jaccard-sets",
         )
@@ -532,9 +660,15 @@ def jaccard_components(
         .select("doc_id", "text_hash")
     )
     texts = without_rows(docs, copies, "doc_id", "text")
-    groups = stored(candidate_groups(texts, schemes, width, seed), "jaccard-members")
-    bitmap = hash_bitmap(groups, F.col("node"), _filter_bits(groups.count()))
-    sets = shingles_of(texts, width, seed, bitmap)
+    groups = stored(
+        candidate_groups(texts, distinct, schemes, width, seed, part), "jaccard-members"
+    )
+    grouped = groups.select(F.col("node").alias("of_node")).distinct()
+    others = distinct.join(grouped, F.col("node") == F.col("of_node"), "left_semi")
+    sets = shingles_of(
+        only_rows(texts, others.select("kept.doc_id", "kept.text_hash"), "doc_id", "text"),
+        width, seed,
+    )
     found = connected_components(verified_links(sets, groups, percent, part_shingles))
     found = found.withColumnRenamed("node", "of_node")
     joined = distinct.join(found, F.col("node") == F.col("of_node"), "left").select(

@@ -86,8 +86,10 @@ def changed(rng, words, changes):
     return words
 
 
-@pytest.mark.parametrize("seed, percent, part", [(1, 85, 1 << 19), (2, 60, 500), (3, 95, 40)])
-def test_copies_at_the_limit(spark, seed, percent, part):
+@pytest.mark.parametrize(
+    "seed, percent, part, shingles", [(1, 85, 1024, 1 << 19), (2, 60, 7, 500), (3, 95, 1024, 40)]
+)
+def test_copies_at_the_limit(spark, seed, percent, part, shingles):
     rng = random.Random(seed)
     rows = []
     for size in (4, 5, 7, 9, 12, 20, 33, 50, 51, 80, 130, 250, 400):
@@ -98,7 +100,7 @@ def test_copies_at_the_limit(spark, seed, percent, part):
     # A passage that many short texts share, and repeated words.
     line = " ".join(f"p{i}" for i in range(12))
     rows += [(1000 + i, f"{line} own{i} {i} " + "ha " * (i % 9), "x") for i in range(60)]
-    assert checked(spark, rows, percent=percent, part_shingles=part) > 30
+    assert checked(spark, rows, percent=percent, part=part, part_shingles=shingles) > 30
 
 
 def test_edge_rows(spark):
@@ -155,6 +157,17 @@ def test_weights_tell_all_similar_pairs(size, seed, percent):
         assert sum(weights[p] for p in met) > spare
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (3, 100, 900):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        two = [np.unique(base), np.unique(base[size // 5 :])]
+        sets = J.Sets(np.concatenate(two), np.cumsum([0, *map(len, two)]))
+        for width in J.SKETCHES:
+            a, b = (np.frombuffer(x, np.uint8) for x in J.parities(sets, width))
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(*two))
+
+
 def test_forest_of_a_chain():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
