@@ -38,13 +38,13 @@ SEED = 42
 DOUBLES = 4
 SMALL_SET = 48
 # Sizes of sketches in bytes, and the largest set that each is meant for.
-SKETCHES = {32: 128, 64: 512, 128: 1 << 62}
+SKETCHES = {16: 64, 32: 256, 64: 768, 128: 1 << 62}
 # Entries of one key that are compared in one step; more are compared part by part.
 PART = 1024
 # Entries of one key that are compared pair by pair, for all keys at once.
 FEW = 12
 # Shingles of the sets that a task verifies against one another.
-PART_SHINGLES = 1 << 19
+PART_SHINGLES = 3 << 19
 # Bits of a filter for each of its hashes, and its largest size.
 BITS_EACH = 16
 MOST_BITS = 28
@@ -497,11 +497,11 @@ def similar_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     Each pair looked up is verified by the whole sets.
     """
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # Ids by rarity, so that a sorted set begins with its rarest.
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    rank = np.empty(len(count), np.int32)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
     ids = rank[ids]
     alone = int((count == 1).sum())
     shared = ids >= alone
@@ -574,10 +574,12 @@ def verified_links(
         "jaccard-groups",
     )
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    # Two parts that meet also compare what is within each: no part meets itself.
     meetings = (
         weighed.join(weight, F.col("cc") == F.col("of_cc"))
         .withColumn("p", own)
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .where("parts = 1 or p <> q")
         .select("cc", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"),
                 "node", "hashes")
     )
