@@ -17,10 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import mapped
+
 # Words tokenized together: their distinct ones share one inverted index.
 UNIT_WORDS = 200_000
 # Encoded words that a Python worker remembers from earlier units.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 # Entries of the index of at least this size are merged by whole columns.
 BULK = 64
 # Token ids fit this many bits; the two largest numbers mark ends of words, and tokens
@@ -31,24 +33,22 @@ GONE = END - 1
 
 
 class Joins(dict):
-    """For two neighbours, as one number, the token they merge to, or -1."""
+    """For two neighbours, as one number, the token they merge to; -1 for all others.
 
-    LIMIT = 4_000_000
+    Holds the pairs that join, which are as many as the ways to cut the tokens of the
+    vocabulary in two tokens, and nothing of the corpus.
+    """
 
-    def __init__(self, tokens: list[bytes], ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.tokens = tokens
-        self.ranks = ranks
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self[left << _BITS | right] = rank
 
     def __missing__(self, pair: int) -> int:
-        left, right = pair >> _BITS, pair & END
-        found = -1
-        if max(left, right) < len(self.tokens):
-            found = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[pair] = found
-        return found
+        return -1
 
 
 class Vocabulary:
@@ -64,7 +64,7 @@ class Vocabulary:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
-        self.joins = Joins(self.tokens, ranks)
+        self.joins = Joins(ranks)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)])
         self.of_bytes = np.array(
             [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
@@ -197,29 +197,29 @@ class _Tokens:
         return False
 
     def merge_at_once(self, rank: int, places: np.ndarray) -> None:
-        """Merge the pairs that neither overlap nor touch together, the others before."""
+        """Merge the pairs that neither overlap nor touch together, the others before.
+
+        If any of the merges may make a pair of lower rank, all go in order: that pair
+        comes before the merges to the right of it, and only before these.
+        """
         after, made = self.after, self.made
         places = places[made[places] == rank]
         following = after[places]
         beyond = after[following]
         clash = (made[following] == rank) | (made[beyond] == rank)
+        new = self._joined(places, beyond, rank)
+        if ((new >= 0) & (new < rank)).any() or (
+            clash.any() and 0 <= self.joins[rank << _BITS | rank] < rank
+        ):
+            self.merge_in_order(rank, places.tolist())
+            return
         if clash.any():
             partners = np.concatenate((following[clash], beyond[clash]))
             clash |= np.isin(places, partners)
-            if self.merge_in_order(rank, places[clash].tolist()):
-                rest = places[~clash]
-                self.add(rest, np.full(len(rest), rank))
-                return
+            self.merge_in_order(rank, places[clash].tolist())
             places, following, beyond = places[~clash], following[~clash], beyond[~clash]
+            new = self._joined(places, beyond, rank)
         previous = self.before[places]
-        pairs = np.concatenate(
-            (self.token[previous] << _BITS | rank, rank << _BITS | self.token[beyond])
-        )
-        kinds, which = np.unique(pairs, return_inverse=True)
-        new = np.array([self.joins[k] for k in kinds.tolist()], int)[which]
-        if ((new >= 0) & (new < rank)).any():
-            self.merge_in_order(rank, places.tolist())
-            return
         self.token[places] = rank
         self.token[following] = GONE
         made[following] = -1
@@ -229,6 +229,14 @@ class _Tokens:
         made[places] = new[len(places) :]
         self.add(np.concatenate((previous, places)), new)
 
+    def _joined(self, places: np.ndarray, beyond: np.ndarray, rank: int) -> np.ndarray:
+        """What the token before and the one after would make with a merged pair."""
+        pairs = np.concatenate(
+            (self.token[self.before[places]] << _BITS | rank, rank << _BITS | self.token[beyond])
+        )
+        kinds, which = np.unique(pairs, return_inverse=True)
+        return np.array([self.joins[k] for k in kinds.tolist()], int)[which]
+
     def words(self) -> list[list[int]]:
         left = np.flatnonzero(self.token != GONE)
         ids = self.token[left].tolist()
@@ -329,7 +337,7 @@ def with_tokens(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
     )
-    return picked.mapInArrow(run, kind + (", ids array<int>" if ids else ""))
+    return mapped(picked, run, kind + (", ids array<int>" if ids else ""))
 
 
 def _described(

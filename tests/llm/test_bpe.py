@@ -48,7 +48,18 @@ def test_any_text(texts):
     assert [VOCABULARY.decode(x) for x in got] == [t.encode() for t in texts]
 
 
-@settings(max_examples=300, deadline=None)
+def test_a_merge_that_makes_a_lower_rank_goes_before_those_to_its_right():
+    ranks = {bytes([b]): b for b in range(256)}
+    for token in ("bab", "abab", "ba", "ab", "bb", "abb"):
+        ranks[token.encode()] = len(ranks)
+    for word in (b"abbabab", b"bababab", b"abababb", b"ababbabab"):
+        for bulk in (0, 1, 2, bpe.BULK):
+            assert bpe.replay_merges([word, b"ab"], bpe.Vocabulary(ranks), bulk) == [
+                alone(word, ranks), alone(b"ab", ranks)
+            ]
+
+
+@settings(max_examples=1000, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=14).map(
     lambda b: bytes(97 + x % 3 for x in b)), max_size=5, unique=True),
     st.permutations([a + b for a in ("a", "b", "c", "ab", "bc", "aa", "ca")
