@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from millrace.session import scratch_dir
 
 
+# Bytes of texts that a Python worker gets at once, instead of Spark's own 64 MB.
+BATCH_BYTES = 4 << 20
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_OWN = "67108864b"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again.
 
@@ -17,6 +23,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     computing the rows once more, and is computed once however often it is read.
     """
     path = scratch_dir(df.sparkSession, purpose)
+    _bound_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -25,17 +32,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-# Bytes of texts that a Python worker gets at once, instead of Spark's own 64 MB.
-BATCH_BYTES = 4 << 20
-_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_SPARKS_OWN = "67108864b"
+def _bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BYTES_PER_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BYTES_PER_BATCH, BATCH_BYTES)
 
 
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` over batches of a bounded size, unless the user chose one."""
-    conf = df.sparkSession.conf
-    if conf.get(_BYTES_PER_BATCH) == _SPARKS_OWN:
-        conf.set(_BYTES_PER_BATCH, BATCH_BYTES)
+    _bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -113,4 +117,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ GRAM = 64
 BLOCK_GAPS = 24
 # Bytes whose buckets are computed at once, and the share of them kept for positions
 # when a window's least identifier is sought.
-UNIT_BYTES = 1 << 21
+UNIT_BYTES = 1 << 20
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 # Odd multipliers of the rounds; any odd numbers without pattern do.
