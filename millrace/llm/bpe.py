@@ -22,7 +22,7 @@ from millrace.llm.common import mapped
 # Words tokenized together: their distinct ones share one inverted index.
 UNIT_WORDS = 200_000
 # Encoded words that a Python worker remembers from earlier units.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 # Entries of the index of at least this size are merged by whole columns.
 BULK = 64
 # Token ids fit this many bits; the two largest numbers mark ends of words, and tokens
@@ -32,23 +32,19 @@ END = (1 << _BITS) - 1
 GONE = END - 1
 
 
-class Joins(dict):
-    """For two neighbours, as one number, the token they merge to; -1 for all others.
+def joining_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """For two neighbours, as one number, the token they merge to.
 
-    Holds the pairs that join, which are as many as the ways to cut the tokens of the
-    vocabulary in two tokens, and nothing of the corpus.
+    As many pairs as there are ways to cut the tokens in two tokens: they follow the
+    vocabulary, not the corpus.
     """
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    self[left << _BITS | right] = rank
-
-    def __missing__(self, pair: int) -> int:
-        return -1
+    found = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                found[left << _BITS | right] = rank
+    return found
 
 
 class Vocabulary:
@@ -64,7 +60,7 @@ class Vocabulary:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
-        self.joins = Joins(ranks)
+        self.joins = joining_pairs(ranks)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)])
         self.of_bytes = np.array(
             [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
@@ -164,7 +160,7 @@ class _Tokens:
     def merge_in_order(self, rank: int, places: list[int]) -> bool:
         """Merge one by one; true if a pair of lower rank made the others wait."""
         token, after, before, made = self.views
-        joins, single, waiting = self.joins, self.single, self.waiting
+        made_by, single, waiting = self.joins.get, self.single, self.waiting
         for done, at in enumerate(places):
             if made[at] != rank:
                 continue
@@ -177,14 +173,14 @@ class _Tokens:
             before[beyond] = at
             # Before the first token of all stands the last one, an end.
             previous = before[at]
-            left = made[previous] = joins[token[previous] << _BITS | rank]
+            left = made[previous] = made_by(token[previous] << _BITS | rank, -1)
             if left >= 0:
                 if left in single:
                     single[left].append(previous)
                 else:
                     single[left] = [previous]
                     heapq.heappush(waiting, left)
-            right = made[at] = joins[rank << _BITS | token[beyond]]
+            right = made[at] = made_by(rank << _BITS | token[beyond], -1)
             if right >= 0:
                 if right in single:
                     single[right].append(at)
@@ -209,7 +205,7 @@ class _Tokens:
         clash = (made[following] == rank) | (made[beyond] == rank)
         new = self._joined(places, beyond, rank)
         if ((new >= 0) & (new < rank)).any() or (
-            clash.any() and 0 <= self.joins[rank << _BITS | rank] < rank
+            clash.any() and 0 <= self.joins.get(rank << _BITS | rank, -1) < rank
         ):
             self.merge_in_order(rank, places.tolist())
             return
@@ -235,7 +231,8 @@ class _Tokens:
             (self.token[self.before[places]] << _BITS | rank, rank << _BITS | self.token[beyond])
         )
         kinds, which = np.unique(pairs, return_inverse=True)
-        return np.array([self.joins[k] for k in kinds.tolist()], int)[which]
+        made_by = self.joins.get
+        return np.array([made_by(k, -1) for k in kinds.tolist()], int)[which]
 
     def words(self) -> list[list[int]]:
         left = np.flatnonzero(self.token != GONE)
