@@ -141,18 +141,30 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def message_files(spark: SparkSession, sf_dir: str, path: str, days: int = 5) -> None:
-    """The messages as files of ``days`` days each, written in order of time.
+SLICES = 7
+ROWS_PER_FILE = 2_000_000
 
-    Every fifth message or so is up to 40 minutes late, so that it may stand in the
-    file after its own; and each file has a message of the year 2055.
+
+def message_files(
+    spark: SparkSession, sf_dir: str, path: str, backwards: bool = False
+) -> int:
+    """The messages as files of a slice of time each, written in order of time.
+
+    The slices share the table's own range of times; each is as many files as its
+    rows need, the same number for all, which is returned.  Every fifth message or so is
+    up to 40 minutes late, so that it may stand in the slice after its own; and each
+    slice has a message of the year 2055.  ``backwards`` writes the latest slice first.
     """
     events = table(spark, sf_dir, "events")
     late = F.unix_seconds(F.col("timestamp")) + (F.col("offset") % 5) * 600
-    part = F.floor((late - 1_704_067_200) / (days * 86_400))
-    messages = as_messages(events).withColumn("_part", part)
+    messages = as_messages(events).withColumn("_late", late)
+    first, last, rows = messages.agg(F.min("_late"), F.max("_late"), F.count("*")).first()
+    step = (last - first) // SLICES + 1
     far = F.regexp_replace("value", '"timestamp":[0-9]+', '"timestamp":2711000000')
-    for i in range(-(-31 // days)):
-        mine = messages.where(F.col("_part") == i).drop("_part")
+    files = -(-rows // SLICES // ROWS_PER_FILE) or 1
+    for i in sorted(range(SLICES), reverse=backwards):
+        begin = first + i * step
+        mine = messages.where((F.col("_late") >= begin) & (F.col("_late") < begin + step))
         ahead = mine.where("topic = 'order-events'").limit(1).withColumn("value", far)
-        mine.union(ahead).coalesce(1).write.mode("append").parquet(path)
+        mine.union(ahead).drop("_late").repartition(files).write.mode("append").parquet(path)
+    return files

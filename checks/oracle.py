@@ -337,6 +337,11 @@ def _series(metric_name: str) -> str:
     )
 
 
+_STORED_ONCE = _select(
+    f"conformed AS ({_ALL_CONFORMED})",
+    """SELECT *, strftime("timestamp", '%Y%m') AS event_month FROM conformed""",
+)
+
 ORACLE: dict[str, str] = {
     "conform_views": _VIEWS,
     "conform_carts": _CARTS,
@@ -654,4 +659,54 @@ FROM metrics""",
   strftime("timestamp", '%Y%m') AS event_month
 FROM judged WHERE status = 'anomaly' AND {_DECODED_CLOSED}""",
     ),
+    "stream_open_buckets": _select(HOURLY, f"SELECT {_POINTS} FROM metrics"),
+    "late_repair": _select(HOURLY, f"SELECT {_POINTS} FROM metrics"),
+    "redelivered_messages": _STORED_ONCE,
+    "redelivered_stream": _STORED_ONCE,
+    "offset_gaps": _select(
+        RAW
+        + """,
+following AS (
+  SELECT _topic AS topic, _offset,
+    lead(_offset) OVER (PARTITION BY _topic ORDER BY _offset) AS later FROM raw
+)""",
+        """SELECT topic, CAST(0 AS INTEGER) AS "partition", _offset + 1 AS gap_start,
+  later - 1 AS gap_end, later - _offset - 1 AS missing
+FROM following WHERE later > _offset + 1""",
+    ),
+    "next_offsets": _select(
+        RAW,
+        """SELECT _topic AS topic, CAST(0 AS INTEGER) AS "partition",
+  max(_offset) + 1 AS next_offset FROM raw GROUP BY 1""",
+    ),
+    "session_rollup": _select(
+        ENRICHED,
+        " UNION ALL ".join(
+            f"""SELECT {bucket} AS bucket, '{unit}' AS unit,
+  count(DISTINCT session_id) FILTER (WHERE service_source = 'view_service')
+    AS viewing_sessions,
+  count(DISTINCT session_id) FILTER (WHERE service_source = 'cart_service')
+    AS cart_sessions,
+  count(DISTINCT session_id) FILTER (WHERE service_source = 'order_service')
+    AS order_sessions
+FROM enriched WHERE service_source <> 'unknown' GROUP BY 1"""
+            for unit, bucket in (
+                ("hour", "date_trunc('hour', \"timestamp\")"),
+                ("day", "CAST(date_trunc('day', \"timestamp\") AS TIMESTAMP)"),
+                ("all", "CAST(NULL AS TIMESTAMP)"),
+            )
+        ),
+    ),
+    "delivery_retries": _select(
+        HOURLY,
+        """SELECT metric_name, count(*) AS points,
+  count(*) FILTER (WHERE metric_value > -1) AS delivered,
+  CAST(0 AS BIGINT) AS waiting,
+  count(*) FILTER (WHERE metric_value <= -1) AS parked,
+  CAST(0 AS BIGINT) AS queued,
+  CAST(sum(CASE WHEN metric_value < 0 THEN 3 ELSE 1 END) AS BIGINT) AS attempts
+FROM metrics GROUP BY 1""",
+    ),
 }
+# Three loads and a repeated one come to the same totals as one.
+ORACLE["product_totals_incremental"] = ORACLE["product_metrics"]

@@ -6,6 +6,7 @@ of decimals, and the label text instead of the label map.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -395,11 +396,15 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shared_types(m.read_anomalies(spark, anomalies)), *_STATS)
 
 
-def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _message_stream(
+    spark: SparkSession, sf_dir: str, backwards: bool = False
+) -> DataFrame:
     """Events decoded from a stream of several micro-batches, some rows late."""
     path = m.scratch_dir(spark, "wire")
-    A.message_files(spark, sf_dir, path)
-    records = m.read_events(spark, fmt="parquet", path=path, maxFilesPerTrigger="1")
+    files = A.message_files(spark, sf_dir, path, backwards)
+    records = m.read_events(
+        spark, fmt="parquet", path=path, maxFilesPerTrigger=str(files)
+    )
     return m.enrich(m.conform_records(records)[0])
 
 
@@ -424,6 +429,121 @@ def stream_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shared_types(m.read_anomalies(spark, anomalies)), *_STATS)
 
 
+def _open_buckets(spark: SparkSession, sf_dir: str, backwards: bool) -> DataFrame:
+    sessions, history = (m.scratch_dir(spark, n) for n in ("sessions", "history"))
+    m.open_bucket_stream(
+        _message_stream(spark, sf_dir, backwards),
+        sessions,
+        history,
+        m.scratch_dir(spark, "open-checkpoint"),
+        bucket="1 hour",
+        trigger=None,
+    ).awaitTermination()
+    stored = m.read_history(spark, history).select(*S.METRIC_SCHEMA.fieldNames())
+    return rounded(shared_types(stored), "metric_value")
+
+
+def stream_open_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history that every micro-batch brings up to date, open hours included."""
+    return _open_buckets(spark, sf_dir, backwards=False)
+
+
+def late_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, the newest messages first: all others are days late."""
+    return _open_buckets(spark, sf_dir, backwards=True)
+
+
+def product_totals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-time totals after three loads, a repeated one and a compaction."""
+    raw_path, state, product = (m.scratch_dir(spark, n) for n in ("raw", "state", "product"))
+    raw = A.raw_events(spark, sf_dir)
+    for load in (0, 1, 0):
+        m.write_raw_events(raw.where(F.col("_offset") % 3 == load), raw_path, f"load-{load}")
+        m.totals_job(spark, raw_path, state, product, AS_OF, buckets=8)
+    m.compact_raw_events(spark, raw_path)
+    m.write_raw_events(raw.where(F.col("_offset") % 3 == 2), raw_path, "load-2")
+    m.totals_job(spark, raw_path, state, product, AS_OF, buckets=8)
+    stored = m.read_history(spark, product)
+    return rounded(shared_types(stored.drop(S.MONTH)), "metric_value")
+
+
+def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sessions of hours, days and all time, from stored bitmaps of minutes."""
+    path = m.scratch_dir(spark, "minutes")
+    events = _enriched(spark, sf_dir)
+    numbers = m.number_sessions(events, m.scratch_dir(spark, "numbers"))
+    m.session_bitmaps(events, numbers, "minute").write.parquet(path)
+    minutes = spark.read.parquet(path)
+    units = [
+        m.roll_up_bitmaps(minutes, bucket).withColumn("unit", F.lit(bucket or "all"))
+        for bucket in ("hour", "day", None)
+    ]
+    return shared_types(m.union_events(*units))
+
+
+def redelivered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping loads, one of them repeated: each message is stored once."""
+    raw, offsets = m.scratch_dir(spark, "raw"), m.scratch_dir(spark, "offsets")
+    records = A.messages(spark, sf_dir)
+    for load, taken in (
+        ("a", "offset % 3 <> 2"), ("b", "offset % 3 <> 0"), ("a", "offset % 3 <> 2"), ("c", "true")
+    ):
+        given = records.where(taken)
+        m.load_job(given.union(given), raw, load=load, offsets_path=offsets)
+    return shared_types(m.read_raw_events(spark, raw))
+
+
+def redelivered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that a stream gets twice."""
+    path = m.scratch_dir(spark, "ingest")
+    once = A.as_messages(A.event_stream(spark, sf_dir))
+    m.ingest_stream(
+        once.union(A.as_messages(A.event_stream(spark, sf_dir))),
+        path,
+        m.scratch_dir(spark, "ingest-checkpoint"),
+        trigger=None,
+        redelivery="1 day",
+    ).awaitTermination()
+    return shared_types(m.read_raw_events(spark, path))
+
+
+def offset_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes in the offsets of each topic, which the topics share between them."""
+    return m.offset_gaps(A.messages(spark, sf_dir))
+
+
+def next_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = m.scratch_dir(spark, "offsets")
+    records = A.messages(spark, sf_dir)
+    m.write_offsets(records.where("offset % 2 = 0"), path, "even")
+    m.write_offsets(records.where("offset % 2 = 1"), path, "odd")
+    return m.next_offsets(m.read_offsets(spark, path))
+
+
+def no_negatives(documents):
+    return ["negative" if '"values":[-' in d else None for d in documents]
+
+
+def not_far_below(documents):
+    return [
+        "too small" if json.loads(d)["values"][0] <= -1 else None for d in documents
+    ]
+
+
+def delivery_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that fail in part, one between them too early for a retry, and a last."""
+    outbox, attempts = m.scratch_dir(spark, "outbox"), m.scratch_dir(spark, "attempts")
+    m.enqueue(_hourly(spark, sf_dir), outbox)
+    m.enqueue(_hourly(spark, sf_dir), outbox)
+    limits = {"max_attempts": 3, "backoff": "1 minute"}
+    for minute, sender in (
+        ("00:00", no_negatives), ("00:30", not_far_below), ("01:00", no_negatives),
+        ("09:00", not_far_below),
+    ):
+        m.delivery_job(spark, outbox, attempts, sender, f"2024-01-31 00:{minute}", **limits)
+    return m.ledger_report(m.read_outbox(spark, outbox, attempts, **limits))
+
+
 def _series(metric_name: str) -> Query:
     return lambda spark, sf: rounded(
         shared_types(
@@ -530,6 +650,15 @@ QUERIES: dict[str, Query] = {
     "stream_buckets": stream_buckets,
     "stream_kpi_hour": stream_kpi_hour,
     "stream_kpi_batches": stream_kpi_batches,
+    "stream_open_buckets": stream_open_buckets,
+    "late_repair": late_repair,
+    "redelivered_messages": redelivered_messages,
+    "redelivered_stream": redelivered_stream,
+    "offset_gaps": offset_gaps,
+    "next_offsets": next_offsets,
+    "product_totals_incremental": product_totals_incremental,
+    "session_rollup": session_rollup,
+    "delivery_retries": delivery_retries,
     "stream_detect": stream_detect,
     "stream_detect_all": stream_detect_all,
 }

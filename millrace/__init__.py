@@ -7,6 +7,7 @@ from millrace.operators.conform import (
     conform_views,
     with_event_month,
 )
+from millrace.operators.delivery import delivery_job, enqueue, ledger_report, read_outbox
 from millrace.operators.enrich import enrich
 from millrace.operators.export import (
     delivery_report,
@@ -26,6 +27,15 @@ from millrace.operators.history import (
     write_history,
 )
 from millrace.operators.kpis import bucket_sessions, metric_series, to_metric_rows
+from millrace.operators.offsets import (
+    fresh_records,
+    next_offsets,
+    offset_gaps,
+    offset_repeats,
+    read_offsets,
+    starting_offsets,
+    write_offsets,
+)
 from millrace.operators.outliers import (
     backfill_anomalies,
     detect_anomalies,
@@ -50,6 +60,19 @@ from millrace.operators.reports import (
     session_funnel,
     topic_counts,
 )
+from millrace.operators.rollups import (
+    number_sessions,
+    roll_up_bitmaps,
+    roll_up_sketches,
+    session_bitmaps,
+    session_sketches,
+)
+from millrace.operators.sessions import (
+    merge_sessions,
+    read_session_state,
+    totals_job,
+    update_session_state,
+)
 from millrace.plans.jobs import (
     detection_job,
     kpi_job,
@@ -84,6 +107,7 @@ from millrace.streaming.kpi import (
     kpi_stream,
     not_ahead,
 )
+from millrace.streaming.open_buckets import compact_bucket_sessions, open_bucket_stream
 
 __all__ = [
     "backfill_anomalies",
@@ -93,6 +117,7 @@ __all__ = [
     "cart_abandonment_literal",
     "cart_abandonment_sessions",
     "classify",
+    "compact_bucket_sessions",
     "compact_history",
     "compact_raw_events",
     "configure",
@@ -103,15 +128,18 @@ __all__ = [
     "conversion_rate_total",
     "current_points",
     "decoded_records",
+    "delivery_job",
     "delivery_report",
     "detect_anomalies",
     "detect_stream",
     "detection_job",
     "dropped_rows",
+    "enqueue",
     "enrich",
     "ensure_shared_folder",
     "event_source_counts",
     "events_by_month",
+    "fresh_records",
     "gmv_total",
     "http_sender",
     "import_payload",
@@ -120,13 +148,20 @@ __all__ = [
     "kpi_metrics",
     "kpi_stream",
     "latest_points",
+    "ledger_report",
     "load_job",
     "mark_recorded",
+    "merge_sessions",
     "metric_series",
     "metric_span",
     "metric_summary",
     "new_only",
+    "next_offsets",
     "not_ahead",
+    "number_sessions",
+    "offset_gaps",
+    "offset_repeats",
+    "open_bucket_stream",
     "panel_series",
     "parse_json",
     "product_job",
@@ -137,26 +172,37 @@ __all__ = [
     "read_anomalies",
     "read_events",
     "read_history",
+    "read_offsets",
+    "read_outbox",
     "read_quarantine",
     "read_raw_events",
+    "read_session_state",
     "read_table",
     "recent_points",
     "register_views",
+    "roll_up_bitmaps",
+    "roll_up_sketches",
     "scratch_dir",
     "series_range",
+    "session_bitmaps",
     "session_funnel",
+    "session_sketches",
     "since",
     "split_records",
     "stamp",
+    "starting_offsets",
     "to_kafka_records",
     "to_metric_rows",
     "topic_counts",
+    "totals_job",
     "union_events",
+    "update_session_state",
     "upsert_history",
     "with_event_month",
     "write_anomalies",
     "write_history",
     "write_import_lines",
+    "write_offsets",
     "write_quarantine",
     "write_raw_events",
 ]

@@ -52,7 +52,7 @@ def event_source_counts(enriched: DataFrame) -> DataFrame:
     )
 
 
-def _sessions(enriched: DataFrame, *services: str) -> DataFrame:
+def sessions_of(enriched: DataFrame, *services: str) -> DataFrame:
     """One row per session with the services it touched and its order value."""
     if services:
         enriched = of_services(enriched, *services)
@@ -67,7 +67,12 @@ def session_funnel(enriched: DataFrame) -> DataFrame:
 
     Rates are 0 where their base is empty.
     """
-    totals = _sessions(enriched).agg(F.count("*").alias("total_sessions"), *count_sessions())
+    return funnel(sessions_of(enriched))
+
+
+def funnel(sessions: DataFrame) -> DataFrame:
+    """The funnel of rows of one session each."""
+    totals = sessions.agg(F.count("*").alias("total_sessions"), *count_sessions())
     views, carts, orders = (
         F.col(c) for c in ("viewing_sessions", "cart_sessions", "order_sessions")
     )
@@ -88,7 +93,7 @@ def session_funnel(enriched: DataFrame) -> DataFrame:
 
 def conversion_rate_total(enriched: DataFrame) -> DataFrame:
     """Ordering sessions per viewing session over all time; NULL without views."""
-    counts = _sessions(enriched, S.VIEW_SERVICE, S.ORDER_SERVICE).agg(*count_sessions())
+    counts = sessions_of(enriched, S.VIEW_SERVICE, S.ORDER_SERVICE).agg(*count_sessions())
     return counts.select(
         F.lit(TOTAL_CONVERSION).alias("metric_name"),
         safe_ratio(F.col("order_sessions"), F.col("viewing_sessions")).alias(
@@ -122,7 +127,7 @@ def cart_abandonment_sessions(enriched: DataFrame) -> DataFrame:
     An anti join of cart sessions with ordering sessions, done as one grouping:
     the events are read and shuffled once instead of twice.
     """
-    touched = _sessions(enriched, S.CART_SERVICE, S.ORDER_SERVICE)
+    touched = sessions_of(enriched, S.CART_SERVICE, S.ORDER_SERVICE)
     in_cart = has_bit("touched", CARTED)
     counts = touched.agg(
         F.count_if(in_cart).alias("cart_sessions"),
@@ -147,8 +152,13 @@ def product_metrics(enriched: DataFrame, as_of: str | datetime | Column) -> Data
     definition's constant is stored under its own name.  A total that is undefined (no
     views, or no carts) has no row.
     """
+    return total_metrics(sessions_of(enriched), as_of)
+
+
+def total_metrics(sessions: DataFrame, as_of: str | datetime | Column) -> DataFrame:
+    """The all-time totals of rows of one session each, as stored metric rows."""
     lost = has_bit("touched", CARTED) & ~has_bit("touched", ORDERED)
-    counts = _sessions(enriched).agg(
+    counts = sessions.agg(
         *count_sessions(), F.count_if(lost).alias("abandoned_sessions")
     )
     carts = F.col("cart_sessions")

@@ -14,6 +14,7 @@ from millrace.operators.enrich import enrich, of_services
 from millrace.operators.export import Sender, publish, write_import_lines
 from millrace.operators.history import read_history, stamp, write_history
 from millrace.operators.kpis import bucket_sessions, to_metric_rows
+from millrace.operators.offsets import fresh_records, read_offsets, write_offsets
 from millrace.operators.outliers import (
     ANOMALY,
     detect_anomalies,
@@ -54,13 +55,27 @@ def load_job(
     raw_path: str,
     quarantine_path: str | None = None,
     load: str | None = None,
+    offsets_path: str | None = None,
 ) -> None:
     """Conform a batch of messages into the raw table, rejects into quarantine.
 
     Both targets are filled from one pass over the messages.  A job that names its
-    ``load`` can be repeated.
+    ``load`` can be repeated.  With ``offsets_path`` messages that another load brought
+    are left out, by topic, partition and offset, and this load's offsets are stored;
+    such a load needs a name, so that a job cut short between the two can be repeated.
     """
-    store_records(records, raw_path, quarantine_path, load)
+    if offsets_path is not None:
+        if load is None:
+            raise ValueError("name the load: its offsets are stored under that name")
+        records = fresh_records(records, read_offsets(records.sparkSession, offsets_path, load))
+        records = records.persist()
+    try:
+        store_records(records, raw_path, quarantine_path, load)
+        if offsets_path is not None:
+            write_offsets(records, offsets_path, load)
+    finally:
+        if offsets_path is not None:
+            records.unpersist()
 
 
 def product_job(

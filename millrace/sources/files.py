@@ -41,6 +41,20 @@ class Folder:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def commit_text(self, name: str, text: str) -> None:
+        """Write a new file that others see whole or not at all."""
+        self.write_text(f"{name}.part", text)
+        if not self.files.rename(self._at(f"{name}.part"), self._at(name)):
+            raise OSError(f"{self.path}/{name} exists or can't be made")
+
+    def names(self, name: str = "") -> list[str]:
+        """Names of the files in this folder or in a folder of it."""
+        at = self._at(name) if name else self.root
+        if not self.files.exists(at):
+            return []
+        found = self.files.listStatus(at)
+        return sorted(f.getPath().getName() for f in found if f.isFile())
+
     def read_text(self, name: str) -> str:
         jvm = self.spark.sparkContext._jvm
         source = self.files.open(self._at(name))

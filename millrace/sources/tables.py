@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,12 @@ from millrace.operators.conform import with_event_month
 from millrace.sources.files import Folder
 
 
+# What a compaction is about to do, and the mark that its merged load is whole.
 _PENDING = "_compactions"
+_INTENT = f"{_PENDING}/intent"
+_MERGED = f"{_PENDING}/merged"
+# Which loads each merged load was made of.
+_PARTS_OF = "_parts"
 
 
 def read_table(
@@ -39,8 +45,39 @@ def read_table(
 
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
     """The raw event table, whoever wrote its rows."""
-    Folder(spark, path).refuse_commit_log()
-    return read_table(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH, S.LOAD).drop(S.LOAD)
+    return read_loads(spark, path).drop(S.LOAD)
+
+
+def read_loads(spark: SparkSession, path: str, loads: Sequence[str] | None = None) -> DataFrame:
+    """Raw events with the load of each; of the named loads only, if any are named.
+
+    Of a compaction that was cut short, or still runs, one side is left out: the merged
+    load until it is whole, from then on the loads it was made of.
+    """
+    folder = Folder(spark, path)
+    folder.refuse_commit_log()
+    rows = read_table(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH, S.LOAD)
+    if loads is not None:
+        rows = rows.where(F.col(S.LOAD).isin(*loads))
+    if (pending := _pending(folder)) is not None:
+        month, name, parts = pending
+        hidden = parts if folder.exists(_MERGED) else [name]
+        rows = rows.where((F.col(S.MONTH) != month) | ~F.col(S.LOAD).isin(*hidden))
+    return rows
+
+
+def raw_loads(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The raw table's loads, and of merged ones the loads they were made of."""
+    folder = Folder(spark, path)
+    found: dict[str, list[str]] = {}
+    for month in folder.folders():
+        if month.startswith(f"{S.MONTH}="):
+            for load in folder.folders(month):
+                found.setdefault(load.partition("=")[2], [])
+    for name in folder.names(_PARTS_OF):
+        if name in found:
+            found[name] = json.loads(folder.read_text(f"{_PARTS_OF}/{name}"))
+    return found
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +107,7 @@ def stored_layout(
     return df.hint("rebalance", *together).sortWithinPartitions(S.MONTH, *sort)
 
 
-def _write_load(df: DataFrame, path: str, load: str | None, *parts: str) -> None:
+def write_load(df: DataFrame, path: str, load: str | None, *parts: str) -> None:
     """Add rows as a load of their own; a named load replaces itself when repeated."""
     Folder(df.sparkSession, path).refuse_commit_log()
     rows = df.withColumn(S.LOAD, F.lit(load or f"batch-{uuid.uuid4().hex}"))
@@ -92,46 +129,75 @@ def write_raw_events(df: DataFrame, path: str, load: str | None = None) -> None:
         ["_hour"],
         ["timestamp", "session_id", "user_id", "event_type"],
     ).drop("_hour")
-    _write_load(rows, path, load, S.MONTH)
+    write_load(rows, path, load, S.MONTH)
 
 
 def write_quarantine(df: DataFrame, path: str, load: str | None = None) -> None:
     """Append rejected envelopes; ``load`` as for the raw table."""
-    _write_load(df.select(*S.RECORD_SCHEMA.fieldNames(), S.REASON), path, load)
+    write_load(df.select(*S.RECORD_SCHEMA.fieldNames(), S.REASON), path, load)
+
+
+def _pending(folder: Folder) -> tuple[str, str, list[str]] | None:
+    """Month, merged load and parts of a compaction that hasn't ended."""
+    if not folder.exists(_INTENT):
+        return None
+    intent = json.loads(folder.read_text(_INTENT))
+    return intent["month"], intent["name"], intent["parts"]
+
+
+def _load_folder(month: str, load: str) -> str:
+    return f"{S.MONTH}={month}/{S.LOAD}={load}"
+
+
+def _finish(folder: Folder) -> None:
+    """Bring a compaction to an end that was cut short, from wherever it stands.
+
+    Without the mark the merged load may be half written, and goes; with it, its parts
+    go.  The intent goes before the mark: a mark alone means that nothing is left to do.
+    """
+    if (pending := _pending(folder)) is not None:
+        month, name, parts = pending
+        if folder.exists(_MERGED):
+            for part in parts:
+                folder.delete(_load_folder(month, part))
+        else:
+            folder.delete(_load_folder(month, name))
+        folder.delete(_INTENT)
+    if folder.exists(_PENDING):
+        folder.delete(_PENDING)
 
 
 def compact_raw_events(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> int:
     """Merge the loads of each month into one; returns how many were merged.
 
     ``keep`` names loads to leave alone, such as a stream's latest, which may still be
-    repeated.  One job at a time, and no readers while it runs: between writing the
-    merged load and dropping its parts, rows are there twice.  What is to be dropped
-    is noted first, and a job after a failure finishes that before anything else.
+    repeated, or those that a job over new loads hasn't read yet.  One job at a time.
+    The job may be killed at any point: ``read_raw_events`` gives each row once at all
+    times, and the next compaction ends what this one began.
     """
     folder = Folder(spark, path)
     folder.refuse_commit_log()
-    if folder.exists(_PENDING):
-        for name in json.loads(folder.read_text(f"{_PENDING}/drop")):
-            folder.delete(name)
-        folder.delete(_PENDING)
+    _finish(folder)
     merged = 0
     for month in folder.folders():
         if not month.startswith(f"{S.MONTH}="):
             continue
-        loads = [x.partition("=")[2] for x in folder.folders(month)]
+        month = month.partition("=")[2]
+        loads = [x.partition("=")[2] for x in folder.folders(f"{S.MONTH}={month}")]
         loads = [x for x in loads if x not in keep]
         if len(loads) < 2:
             continue
-        name = "merged-" + hashlib.md5("\n".join(loads).encode()).hexdigest()
+        name = "merged-" + hashlib.md5("\n".join([month, *loads]).encode()).hexdigest()
+        known = raw_loads(spark, path)
+        made_of = sorted({p for x in loads for p in known.get(x) or [x]})
+        folder.write_text(f"{_PARTS_OF}/{name}", json.dumps(made_of))
+        folder.commit_text(_INTENT, json.dumps({"month": month, "name": name, "parts": loads}))
         stored = read_table(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH, S.LOAD).where(
-            (F.col(S.MONTH) == month.partition("=")[2]) & F.col(S.LOAD).isin(*loads)
+            (F.col(S.MONTH) == month) & F.col(S.LOAD).isin(*loads)
         )
         write_raw_events(stored.drop(S.MONTH, S.LOAD), path, name)
-        drop = [f"{month}/{S.LOAD}={x}" for x in loads]
-        folder.write_text(f"{_PENDING}/drop", json.dumps(drop))
-        for part in drop:
-            folder.delete(part)
-        folder.delete(_PENDING)
+        folder.write_text(_MERGED, "")
+        _finish(folder)
         merged += len(loads)
     return merged
 

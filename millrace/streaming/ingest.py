@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from millrace.session import use_rocksdb
 from millrace.sources.tables import write_quarantine, write_raw_events
 from millrace.sources.wire import decoded_records, split_records
 
@@ -72,6 +73,7 @@ def ingest_stream(
     trigger: str | None = "10 seconds",
     session_from_user: bool = True,
     quarantine_path: str | None = None,
+    redelivery: str | None = None,
 ) -> StreamingQuery:
     """Append every message that can be conformed to the raw event table.
 
@@ -80,7 +82,14 @@ def ingest_stream(
     rejected messages are stored from the same pass; without, they are dropped here,
     and ``quarantine_stream`` can store them.  Offsets live in ``checkpoint``, whose
     path names the loads: two streams into one table need two.
+
+    ``redelivery`` is how long after a message it may come again: within that time a
+    topic, partition and offset counts once.  State holds one row per message of it.
     """
+    if redelivery is not None:
+        use_rocksdb(records.sparkSession)
+        records = records.withWatermark("timestamp", redelivery)
+        records = records.dropDuplicatesWithinWatermark(["topic", "partition", "offset"])
     return _stored_stream(
         records, path, quarantine_path, checkpoint, trigger, session_from_user
     )
