@@ -708,5 +708,44 @@ FROM enriched WHERE service_source <> 'unknown' GROUP BY 1"""
 FROM metrics GROUP BY 1""",
     ),
 }
+ORACLE["funnel_by_session"] = ORACLE["session_funnel"]
+ORACLE["panel_steps"] = _select(
+    HOURLY
+    + """,
+grid AS (
+  SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00',
+    TIMESTAMP '2024-01-31 00:00:00', INTERVAL 20 MINUTE)) AS step
+)""",
+    """SELECT metric_name, label_type, step AS "timestamp",
+  round(arg_max(metric_value, m."timestamp"), 6) AS metric_value
+FROM grid JOIN metrics m
+  ON m."timestamp" <= step AND m."timestamp" > step - INTERVAL 100 MINUTE
+GROUP BY 1, 2, 3""",
+)
+ORACLE["wire_field_profile"] = _select(
+    RAW
+    + """,
+sent AS (SELECT *, _offset % 11 = 0 AS campaign,
+  _offset % 11 <> 0 AND _offset % 13 = 0 AS debug
+  FROM raw WHERE event_type <> 'error'),
+fields AS (
+  SELECT _topic AS topic, unnest(
+    CASE _topic
+      WHEN 'page-views' THEN ['event_type', 'user_id', 'session_id', 'timestamp', 'page']
+        || CASE WHEN product_id <> 0 THEN ['product_id'] ELSE [] END
+      WHEN 'cart-events' THEN ['type', 'user_id', 'product_id', 'quantity']
+      ELSE ['event_type', 'user_id', 'order_id', 'session_id', 'timestamp', 'amount',
+        'status'] END
+    || CASE WHEN campaign THEN ['campaign'] ELSE [] END
+    || CASE WHEN debug THEN ['debug', 'tags'] ELSE [] END) AS field
+  FROM sent
+)""",
+    """SELECT topic, field, CASE WHEN field = 'debug' THEN 'boolean'
+    WHEN field = 'tags' THEN 'array'
+    WHEN field IN ('user_id', 'timestamp', 'product_id', 'quantity', 'amount')
+      THEN 'number' ELSE 'string' END AS type,
+  field NOT IN ('campaign', 'debug', 'tags') AS known, count(*) AS messages
+FROM fields GROUP BY 1, 2, 3, 4""",
+)
 # Three loads and a repeated one come to the same totals as one.
 ORACLE["product_totals_incremental"] = ORACLE["product_metrics"]

@@ -544,6 +544,36 @@ def delivery_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.ledger_report(m.read_outbox(spark, outbox, attempts, **limits))
 
 
+def wire_field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of all messages, some of which say more than their schema knows."""
+    value, offset = F.col("value"), F.col("offset")
+    rest = F.substring("value", F.lit(2), F.length("value") - 1)
+    more = (
+        F.when(offset % 11 == 0, F.concat(F.lit('{"campaign":"spring",'), rest))
+        .when(offset % 13 == 0, F.concat(F.lit('{"debug":true,"tags":[1],'), rest))
+        .otherwise(value)
+    )
+    return m.field_profile(A.messages(spark, sf_dir).withColumn("value", more))
+
+
+def panel_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hourly series on a grid of 20 minutes, points shown for 100 minutes."""
+    shown = m.panel_steps(
+        _hourly(spark, sf_dir), "2024-01-01 00:10:00", AS_OF, "20 minutes", "100 minutes"
+    )
+    return rounded(shared_types(shown), "metric_value")
+
+
+def funnel_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel of a table hashed by session."""
+    path = m.scratch_dir(spark, "by-session")
+    name = "events_" + path.rpartition("-")[2]
+    funnel = m.session_funnel(m.write_by_session(_enriched(spark, sf_dir), name, path, 8))
+    return rounded(
+        shared_types(funnel), "view_to_cart_rate", "cart_to_order_rate", "conversion_rate"
+    )
+
+
 def _series(metric_name: str) -> Query:
     return lambda spark, sf: rounded(
         shared_types(
@@ -623,6 +653,9 @@ QUERIES: dict[str, Query] = {
             h, S.CONVERSION, "2024-01-10 00:00:00", "2024-01-12 00:00:00"
         )
     ),
+    "panel_steps": panel_steps,
+    "funnel_by_session": funnel_by_session,
+    "wire_field_profile": wire_field_profile,
     "panel_series": _on_hourly(lambda h: m.panel_series(h, AS_OF, "12 hours")),
     # History
     "history_upsert": history_upsert,

@@ -54,6 +54,7 @@ from millrace.operators.reports import (
     metric_span,
     metric_summary,
     panel_series,
+    panel_steps,
     product_metrics,
     recent_points,
     series_range,
@@ -88,12 +89,14 @@ from millrace.sources.tables import (
     read_quarantine,
     read_raw_events,
     read_table,
+    write_by_session,
     write_quarantine,
     write_raw_events,
 )
 from millrace.sources.wire import (
     conform_records,
     decoded_records,
+    field_profile,
     parse_json,
     read_events,
     split_records,
@@ -139,6 +142,7 @@ __all__ = [
     "ensure_shared_folder",
     "event_source_counts",
     "events_by_month",
+    "field_profile",
     "fresh_records",
     "gmv_total",
     "http_sender",
@@ -163,6 +167,7 @@ __all__ = [
     "offset_repeats",
     "open_bucket_stream",
     "panel_series",
+    "panel_steps",
     "parse_json",
     "product_job",
     "product_metrics",
@@ -200,6 +205,7 @@ __all__ = [
     "upsert_history",
     "with_event_month",
     "write_anomalies",
+    "write_by_session",
     "write_history",
     "write_import_lines",
     "write_offsets",

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import schemas as S
-from millrace.functions import instant, labels_key, month_of, safe_ratio, since
+from millrace.functions import (
+    bucket_start,
+    instant,
+    labels_key,
+    month_of,
+    safe_ratio,
+    seconds_in,
+    since,
+)
 from millrace.functions.time import until
 from millrace.operators.enrich import of_services
 from millrace.operators.kpis import (
@@ -249,3 +257,47 @@ def panel_series(
     return shown.where(F.col("metric_name").isin(*names)).orderBy(
         "metric_name", "timestamp", labels_key("labels")
     )
+
+
+def panel_steps(
+    metrics: DataFrame,
+    start: str | datetime | Column,
+    end: str | datetime | Column,
+    step: str = "1 minute",
+    staleness: str = "5 minutes",
+    names: tuple[str, ...] = tuple(S.METRIC_LABELS),
+) -> DataFrame:
+    """Every series on a grid of steps, as a time-series server answers a range.
+
+    The grid holds the multiples of ``step`` from ``start``, floored, to ``end``.  A step
+    shows the newest point at or before it, unless that is ``staleness`` old or older;
+    a step without such a point has no row.
+
+    Each point is laid on the steps it may show at, and of a step's points the newest
+    wins: grouping by series and step, so that no task orders a whole series.
+    """
+    lower, upper = bucket_start(instant(start), step), instant(end)
+    step_us, stale_us = (seconds_in(x) * 1_000_000 for x in (step, staleness))
+    kept = metrics.where(
+        F.col("metric_name").isin(*names)
+        & (F.col("timestamp") > lower - F.make_dt_interval(secs=F.lit(seconds_in(staleness))))
+        & (F.col("timestamp") <= upper)
+    )
+    if S.MONTH in metrics.columns:
+        oldest = lower - F.make_dt_interval(secs=F.lit(seconds_in(staleness)))
+        kept = kept.where(F.col(S.MONTH).between(month_of(oldest), month_of(upper)))
+    us, low, high = F.unix_micros("timestamp"), F.unix_micros(lower), F.unix_micros(upper)
+    first = F.greatest(us + F.pmod(-us, F.lit(step_us)), low)
+    last = F.least(us + stale_us - 1, high)
+    steps = F.when(first <= last, F.sequence(first, last, F.lit(step_us).cast("long")))
+    laid = kept.select(
+        "metric_name", "labels", labels_key("labels").alias("_key"), "metric_value",
+        "timestamp", F.explode(steps).alias("_step"),
+    )
+    newest = laid.groupBy("metric_name", "_key", "_step").agg(
+        F.max_by("metric_value", "timestamp").alias("metric_value"),
+        F.first("labels").alias("labels"),
+    )
+    return newest.select(
+        "metric_name", "labels", F.timestamp_micros("_step").alias("timestamp"), "metric_value"
+    )

@@ -208,3 +208,16 @@ def metric_layout(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", *together).sortWithinPartitions(
         *together, "metric_name", "timestamp", labels_key("labels")
     )
+
+
+def write_by_session(events: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """Store events as a table hashed by session, and return it.
+
+    What groups or joins by session then needs no shuffle: a session's rows are in one
+    bucket already.  ``buckets`` is fixed for the life of the table; a bucket should fit
+    a task.
+    """
+    events.repartition(buckets, "session_id").write.mode("overwrite").bucketBy(
+        buckets, "session_id"
+    ).sortBy("session_id").option("path", path).saveAsTable(name)
+    return events.sparkSession.table(name)

@@ -240,3 +240,34 @@ def conform_records(
 def union_events(*frames: DataFrame) -> DataFrame:
     """All rows of all frames, duplicates kept."""
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def field_profile(records: DataFrame) -> DataFrame:
+    """What the objects of each topic hold: fields, in and outside the wire schema.
+
+    Every object is parsed once, to a variant, and its fields come from that, whatever
+    their number and type.  Messages that hold no object are left out.
+    Result: topic, field, type (of the value in JSON), known, messages.
+    """
+    topic = F.col("topic")
+    objects = _one_object_each(records).select(
+        "topic", F.try_parse_json(F.col("value").cast("string")).alias("_object")
+    )
+    whole = objects.where(F.schema_of_variant("_object").startswith("OBJECT"))
+    explode = records.sparkSession.tvf.variant_explode
+    fields = whole.lateralJoin(explode(F.col("_object").outer())).select("topic", "key", "value")
+    kind = F.schema_of_variant("value")
+    kind = (
+        F.when(kind == "STRING", "string")
+        .when(kind == "BOOLEAN", "boolean")
+        .when(kind == "VOID", "null")
+        .when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .otherwise("number")
+    )
+    known = F.lit(False)
+    for name, schema in S.WIRE_SCHEMAS.items():
+        known = F.when(topic == name, F.col("key").isin(*schema.fieldNames())).otherwise(known)
+    return fields.groupBy("topic", F.col("key").alias("field"), kind.alias("type")).agg(
+        F.first(known).alias("known"), F.count("*").alias("messages")
+    )
