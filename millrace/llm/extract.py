@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import mapped
+
 # Elements that end the block before them and the one within them.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset"
@@ -43,6 +45,8 @@ ASIDE_WORDS = frozenset(
     " share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription"
     " teaser toolbar topbar widget widgets".split()
 )
+# Of these words, those that name what readers wrote.
+READER_WORDS = frozenset("comment comments disqus replies respond".split())
 ARTICLE_TAGS = frozenset("article main".split())
 ARTICLE_WORDS = frozenset("article content entry main post story text".split())
 # A start tag closes what stands open of these, up to the nearest of the others.
@@ -69,47 +73,84 @@ SMOOTHING = 0.5
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int
+    element: int
     text: str
     links: int  # characters within links
-    aside: bool
-    article: bool
 
 
 @dataclass
 class _Open:
     tag: str
-    name: str  # as it stands in paths, empty for inline elements
+    path: int
+    element: int
     silent: bool
-    aside: bool
     article: bool
     heading: bool = False
 
 
+@dataclass
+class _Element:
+    """What counts of an element once the page is read to its end."""
+
+    parent: int
+    tag: str
+    # Marked by its tag, role or style; by words of its name; by such words alone.
+    aside: bool
+    named: frozenset[str]
+    pure: bool
+    # A title within the header of an article.
+    title: bool
+
+
+class Paths:
+    """Paths of block elements, each a number with its parent's: none is kept twice."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.parent = [0]
+        self.name = [""]
+        self.article = [False]
+
+    def below(self, path: int, name: str) -> int:
+        key = (path, name)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.parent)
+            self.parent.append(path)
+            self.name.append(name)
+            self.article.append(False)
+        return self.numbers[key]
+
+
 class _Blocks(HTMLParser):
     """Cuts a page into blocks of text, each with its path of block elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open = [_Open("", "", False, False, False)]
+        self.open = [_Open("", 0, 0, False, False)]
+        self.elements = [_Element(0, "", False, frozenset(), False, False)]
+        self.paths = Paths()
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.links = 0
         self.in_link = 0
+        self.standing: dict[str, int] = defaultdict(int)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
                 top = self.open[-1]
-                path = tuple(o.name for o in self.open if o.name)
-                self.blocks.append(Block(path, text, self.links, top.aside, top.article))
+                self.blocks.append(Block(top.path, top.element, text, self.links))
+                if top.article:
+                    self.paths.article[top.path] = True
         self.parts = []
         self.links = 0
 
     def pop_to(self, depth: int) -> None:
         for closed in self.open[depth:]:
             self.in_link -= closed.tag == "a"
+            self.standing[closed.tag] -= 1
         del self.open[depth:]
 
     def close_implied(self, tag: str) -> None:
@@ -139,29 +180,37 @@ class _Blocks(HTMLParser):
         self.close_implied(tag)
         above = self.open[-1]
         values = {k: v or "" for k, v in attrs} if attrs else {}
-        named = values.get("class", "") + " " + values.get("id", "")
-        words = {w.lower() for w in _NAME_PARTS.findall(named)} if attrs else set()
+        named_as = values.get("class", "") + " " + values.get("id", "")
+        words = {w.lower() for w in _NAME_PARTS.findall(named_as)} if attrs else set()
         article = above.article or tag in ARTICLE_TAGS or bool(words & ARTICLE_WORDS)
-        marked = (
+        page = tag in ("html", "body")
+        aside = not page and (
             tag in ASIDE_TAGS
             or values.get("role", "").lower() in ASIDE_ROLES
-            or bool(words & ASIDE_WORDS)
             or "hidden" in values
             or values.get("aria-hidden") == "true"
             or "display:none" in values.get("style", "").replace(" ", "").lower()
-        ) and tag not in ("html", "body")
+        )
         # The title in the header of an article is part of it.
-        heading = above.heading or (tag == "header" and above.article and not above.aside)
-        aside = above.aside or marked
-        if tag in HEADINGS and above.heading and not (words & ASIDE_WORDS):
-            aside = False
-        name = ""
+        heading = above.heading or (tag == "header" and above.article)
+        title = tag in HEADINGS and above.heading and not (words & ASIDE_WORDS)
+        path = above.path
         if tag in BLOCK_TAGS:
             first = (values.get("class") or values.get("id") or "").split()[:1]
-            name = f"{tag}.{first[0]}" if first else tag
+            path = self.paths.below(path, f"{tag}.{first[0]}" if first else tag)
+        element = above.element
+        named = frozenset() if page or not words & ASIDE_WORDS else frozenset(words)
+        if aside or named or title or tag in BLOCK_TAGS:
+            pure = any(
+                parts and parts <= ASIDE_WORDS
+                for parts in ({w.lower() for w in _NAME_PARTS.findall(n)} for n in named_as.split())
+            ) if named else False
+            self.elements.append(_Element(element, tag, aside, named, pure, title))
+            element = len(self.elements) - 1
         self.in_link += tag == "a"
+        self.standing[tag] += 1
         self.open.append(
-            _Open(tag, name, above.silent or tag in SILENT_TAGS, aside, article, heading)
+            _Open(tag, path, element, above.silent or tag in SILENT_TAGS, article, heading)
         )
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -171,6 +220,8 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
+        if not self.standing[tag]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag == tag:
                 self.pop_to(depth)
@@ -183,12 +234,61 @@ class _Blocks(HTMLParser):
                 self.links += len(data.strip())
 
 
-def blocks_of(html: str | None) -> list[Block]:
+def blocks_of(html: str | None) -> tuple[list[Block], Paths]:
+    """The blocks of a page that may be its article, and the paths they stand at."""
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    return parser.blocks
+    gone = _asides(parser.elements, parser.blocks)
+    return [b for b in parser.blocks if not gone[b.element]], parser.paths
+
+
+def _asides(elements: list[_Element], blocks: list[Block]) -> list[bool]:
+    """Whether each element, or one around it, isn't the article.
+
+    A tag, role or style that says so counts.  A name counts as long as nothing speaks
+    against it: it doesn't on what is or holds ``main`` or the longest ``article``, nor,
+    on a page without these, on what holds most of the text outside links, unless the
+    name is made of such words alone or speaks of readers.
+    """
+    free = [0] * len(elements)
+    for block in blocks:
+        free[block.element] += max(0, len(block.text) - block.links)
+    readers = [False] * len(elements)
+    for i, e in enumerate(elements):
+        if i:
+            readers[i] = readers[e.parent] or bool(e.named & READER_WORDS and e.tag not in ARTICLE_TAGS)
+    for i in range(len(elements) - 1, 0, -1):
+        if not elements[i].aside:
+            free[elements[i].parent] += free[i]
+    protected = {i for i, e in enumerate(elements) if e.tag == "main"}
+    articles = [i for i, e in enumerate(elements) if e.tag == "article" and not readers[i]]
+    if articles:
+        protected.add(max(articles, key=lambda i: (free[i], -i)))
+    marked = bool(protected)
+    for i in list(protected):
+        while i and (i := elements[i].parent) not in protected:
+            protected.add(i)
+    gone = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        spared = i in protected or (
+            not marked
+            and 2 * free[i] > free[0]
+            and not e.pure
+            and bool(e.named & ARTICLE_WORDS or not e.named & READER_WORDS)
+        )
+        gone[i] = (gone[e.parent] or e.aside or bool(e.named and not spared)) and not (
+            e.title and not gone[_header_around(elements, i)]
+        )
+    return gone
+
+
+def _header_around(elements: list[_Element], at: int) -> int:
+    """What stands around the nearest header of an element."""
+    while at and elements[at].tag != "header":
+        at = elements[at].parent
+    return elements[at].parent
 
 
 def _ratio(chars: int, nodes: int, marks: int, links: int) -> float:
@@ -197,7 +297,7 @@ def _ratio(chars: int, nodes: int, marks: int, links: int) -> float:
     return chars / nodes * (1 + math.log1p(marks / nodes)) * free * free if nodes else 0.0
 
 
-def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
+def content_paths(blocks: list[Block], paths: Paths) -> set[int]:
     """The paths whose ratio marks them as content.
 
     Text length, punctuation and link text are summed over all blocks of a path, so a
@@ -207,25 +307,23 @@ def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
     page's text.  Where the page marks its article, paths within it only have to be
     more text than links, and the rest of the page has to reach the mean itself.
     """
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    around: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    article: set[tuple[str, ...]] = set()
+    sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    around: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for block in blocks:
         marks = len(_PUNCTUATION.findall(block.text))
-        for total in (sums[block.path], around[block.path[:-1]]):
+        for total in (sums[block.path], around[paths.parent[block.path]]):
             for k, v in enumerate((len(block.text), 1, marks, block.links)):
                 total[k] += v
-        if block.article:
-            article.add(block.path)
-    fused: dict[tuple[str, ...], float] = {}
-    best: dict[tuple[str, ...], float] = defaultdict(float)
+    article = {p for p in sums if paths.article[p]}
+    fused: dict[int, float] = {}
+    best: dict[int, float] = defaultdict(float)
     for path, own in sums.items():
-        beside = path[:-1]
+        beside = paths.parent[path]
         fused[path] = (1 - SMOOTHING) * _ratio(*own) + SMOOTHING * _ratio(*around[beside])
         best[beside] = max(best[beside], fused[path])
     for path in fused:
-        if path and path[-1].partition(".")[0] in HEADINGS:
-            fused[path] = best[path[:-1]]
+        if paths.name[path].partition(".")[0] in HEADINGS:
+            fused[path] = best[paths.parent[path]]
     chars = sum(own[0] for own in sums.values())
     mean = sum(fused[p] * own[0] for p, own in sums.items()) / max(1, chars)
     least = mean if article else MIN_SHARE * mean
@@ -239,9 +337,9 @@ def main_text(html: str | None) -> str:
 
     White space within a block, a line break included, becomes one space.
     """
-    blocks = [b for b in blocks_of(html) if not b.aside]
-    paths = content_paths(blocks)
-    return "\n".join(b.text for b in blocks if b.path in paths)
+    blocks, paths = blocks_of(html)
+    content = content_paths(blocks, paths)
+    return "\n".join(b.text for b in blocks if b.path in content)
 
 
 def with_main_text(
@@ -268,4 +366,4 @@ def with_main_text(
         F.col(url_col).cast("string").alias("url"),
         F.col(html_col).cast("string").alias("html"),
     )
-    return picked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(picked, run, "page_id long, url string, text string, n_chars long")

@@ -58,6 +58,85 @@ def test_pages(page):
     assert X.main_text(page) == PAGES[page]
 
 
+WRAPPERS = [
+    "<article class='post comments-open'>{}</article>",
+    "<div class='content-sidebar-wrap'><main>{}</main><div class=sidebar>Side.</div></div>",
+    "<div class='has-sidebar'><main class='site'>{}</main></div>",
+    "<div id=page class='header-fixed'><article>{}</article></div>",
+    "<div class='social-science post'>{}</div>",
+    "<div class='story-notice-of-change'>{}</div>",
+    "<div class='has-widget-area'><div class=inner>{}</div></div><ul><li><a href=1>x</a></ul>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_word_in_a_name_loses_no_article(wrapper):
+    story = f"<h1>A title</h1><p>{LONG}</p><div class=ad>Buy now, buy more.</div><p>{SHORT}</p>"
+    want = f"A title\n{LONG.strip()}\n{SHORT}"
+    assert X.main_text(f"<body>{wrapper.format(story)}</body>") == want
+    # What readers wrote isn't the article, though each comment be one, and longer.
+    readers = f"<section class='comments'><article><p>{LONG * 3}</p></article></section>"
+    if "<main" in wrapper or "<article" in wrapper:
+        assert X.main_text(f"<body>{wrapper.format(story)}{readers}</body>") == want
+
+
+def test_names_still_count_where_nothing_speaks_against_them():
+    page = f"<div class='reader-comments'><p>{LONG}</div><div class=story><p>{SHORT}</div>"
+    assert X.main_text(page) == SHORT
+    page = f"<article><div class='related-posts'><p>{LONG}</div><p>{SHORT}</article>"
+    assert X.main_text(page) == SHORT
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    page = "".join(f"<div>text {i}" for i in range(20_000))
+    tracemalloc.start()
+    blocks, _ = X.blocks_of(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == 20_000
+    assert peak < 100 << 20
+
+
+def test_ratios_decide_without_an_article():
+    """A plain computation of the same ratios over pages of unmarked blocks."""
+    import random
+
+    rng = random.Random(7)
+    for _ in range(60):
+        groups = []
+        for g in range(rng.randrange(1, 6)):
+            words = lambda n: " ".join(rng.choice(["a", "bc", "def.", "gh,"]) for _ in range(n))
+            groups.append([(f"g{g}", tag, words(rng.randrange(1, 40)), rng.random() < 0.3)
+                           for tag in rng.choices(["p", "li", "h2"], k=rng.randrange(1, 6))])
+        page = "".join(
+            f"<div class={g[0][0]}>" + "".join(
+                f"<{t}>" + (f"<a href=x>{x}</a>" if link else x) + f"</{t}>" for _, t, x, link in g
+            ) + "</div>" for g in groups
+        )
+        flat = [row for g in groups for row in g]
+
+        def ratio(rows):
+            chars = sum(len(x) for _, _, x, _ in rows)
+            marks = sum(x.count(".") + x.count(",") for _, _, x, _ in rows)
+            links = sum(len(x) for _, _, x, link in rows if link)
+            import math
+
+            free = 1 - links / chars
+            return chars / len(rows) * (1 + math.log1p(marks / len(rows))) * free * free
+
+        fused = {}
+        for c, t in {(c, t) for c, t, _, _ in flat}:
+            own = [r for r in flat if r[:2] == (c, t)]
+            fused[c, t] = (ratio(own) + ratio([r for r in flat if r[0] == c])) / 2
+        best = {c: max(v for (k, _), v in fused.items() if k == c) for c, _ in fused}
+        value = {(c, t): best[c] if t == "h2" else v for (c, t), v in fused.items()}
+        mean = sum(value[c, t] * len(x) for c, t, x, _ in flat) / sum(len(x) for _, _, x, _ in flat)
+        want = [x for c, t, x, _ in flat if value[c, t] > 0 and value[c, t] >= 0.25 * mean - 1e-9]
+        assert X.main_text(page) == "\n".join(want)
+
+
 def test_ratios():
     assert X._ratio(0, 0, 0, 0) == 0
     assert X._ratio(100, 1, 0, 100) == 0
