@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
 from millrace.llm.extract import main_text
+from millrace.llm.quality import base_language
 
 # The text model is fitted on about so many labelled documents, chosen by a hash of the
 # id, and on about so many of each language, or all if there are fewer.  It keeps at most
@@ -39,8 +40,8 @@ NONE = "none"
 OTHER = "other"
 _HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE)
 _META_LANG = re.compile(
-    r"<meta\b[^>]*http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?\s*"
-    r"([A-Za-z]{2,8})",
+    r"<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?content-language\b)[^>]*?"
+    r"\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,8})",
     re.IGNORECASE,
 )
 _WORD = re.compile(r"[^\W\d_]+")
@@ -103,12 +104,13 @@ def learn(
     """N-gram probabilities of the languages of the labelled documents.
 
     About ``limit`` documents are drawn, and more of the languages that would have fewer
-    than ``each`` among them.  The n-grams kept are those with the greatest share of any
+    than ``each`` among them.  Tags such as en-US or EN are their primary language; und
+    and the like name none, and their documents are left out.  The n-grams kept are those with the greatest share of any
     language's, so that no language is left without.
     """
     labelled = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.lower(F.col(lang_col).cast("string")).alias("lang"),
+        base_language(F.col(lang_col)).alias("lang"),
         F.col(text_col).cast("string").alias("text"),
     )
     train = _drawn_by_language(labelled.dropna(), limit, each)
@@ -133,23 +135,27 @@ def learn(
         counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams"
     )
     # A row for each language.
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    names = list(totals)
-    share = F.lit(0.0)
-    if totals:
-        of = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])
-        share = F.col("n") / F.element_at(of, F.col("lang"))
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = {r.lang: float(r.n) for r in sums.collect()}
+    of = sums.select(F.col("lang").alias("of_lang"), F.col("n").alias("all_n"))
     common = (
-        counts.groupBy("gram").agg(F.max(share).alias("most"))
+        counts.join(F.broadcast(of), F.col("lang") == F.col("of_lang"))
+        .groupBy("gram").agg(F.max(F.col("n") / F.col("all_n")).alias("most"))
         .orderBy(F.desc("most"), "gram").limit(MAX_GRAMS).select("gram")
     )
-    # At most MAX_GRAMS times the languages.
-    kept = counts.join(F.broadcast(common), "gram").collect()
-    languages = tuple(sorted(names))
-    rows = {g: i for i, g in enumerate(sorted({r.gram for r in kept}))}
+    # In columns: some 20 bytes for each n-gram that is kept and each of its languages,
+    # of which there are MAX_GRAMS times the languages at most.
+    kept = counts.join(F.broadcast(common), "gram").select("gram", "lang", "n").toArrow()
+    languages = tuple(sorted(totals))
+    grams = kept.column("gram").combine_chunks().dictionary_encode()
+    named = kept.column("lang").combine_chunks().dictionary_encode()
+    rows = {g: i for i, g in enumerate(sorted(grams.dictionary.to_pylist()))}
+    place = {x: i for i, x in enumerate(languages)}
+    row_of = np.array([rows[g] for g in grams.dictionary.to_pylist()], int)
+    column_of = np.array([place[x] for x in named.dictionary.to_pylist()], int)
     table = np.full((len(rows), len(languages)), GRAM_PRIOR)
-    for r in kept:
-        table[rows[r.gram], languages.index(r.lang)] += r.n
+    if rows:
+        table[row_of[grams.indices], column_of[named.indices]] += kept.column("n").to_numpy()
     return TextModel(languages, rows, np.log(table / table.sum(axis=0)) if rows else table)
 
 

@@ -134,3 +134,34 @@ def test_evidence_decides_where_there_is_no_text(spark):
     assert all(by_id[i].lang == ["en", "de"][i % 2] for i in range(40))
     assert L.page_languages(frame.limit(0), docs).collect() == []
     assert all(r.lang is None for r in L.page_languages(frame, docs.limit(0)).collect())
+
+
+@pytest.mark.parametrize("head, want", [
+    ("<meta http-equiv=content-language content=de-AT>", "de"),
+    ("<meta content='fr-CA' http-equiv='Content-Language'>", "fr"),
+    ("<meta name=x content=es><html lang=en-US>", "en"),
+    ("<meta content=es name=language>", "none"),
+])
+def test_declared_in_either_order(head, want):
+    assert L.declared_language(head + "</head><body>") == want
+
+
+def test_tags_are_primary_languages_and_und_is_none(spark):
+    rows = [(i, "the cat and the dog", tag) for i, tag in enumerate(["en", "EN", "en-US", "en_GB"])]
+    rows += [(9, "der hund und die katze", "de"), (10, "zzz", "und"), (11, "zzz", None), (12, "zzz", "")]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("de", "en")
+    pages = spark.createDataFrame(
+        [(1, "http://a.org/x", "<html lang=en-US><p>the cat and the dog</p>")], "page_id long, url string, html string"
+    )
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.page_languages(pages, docs).first().lang == "en"
+
+
+def test_many_languages(spark):
+    rows = [(i, f"word{i % 200:03d} x{i % 200:03d}y", f"q{chr(97 + i % 200 // 26)}{chr(97 + i % 200 % 26)}")
+            for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(frame)
+    assert len(model.languages) == len({r[2] for r in rows})
+    assert int(np.argmax(model.log_likelihood("x007y"))) == model.languages.index(rows[7][2])
