@@ -54,8 +54,9 @@ class Automaton:
 
     A state is a set of (trie node, edits so far), with the greatest weight of the
     stems read in full.  A letter moves along the trie; with an edit left it may also
-    be an extra one (the node stays), stand for another one (to any child), or follow
-    a missing one (through any child).  Transitions are kept, so most words cost a few
+    be an extra one (the node stays), stand for another one (to any child), follow a
+    missing one (through any child), or begin two that changed places: that waits for the
+    other one.  Transitions are kept, so most words cost a few
     look-ups until no node is left.
     """
 
@@ -89,15 +90,15 @@ class Automaton:
         self.states: list[tuple] = []
         self.moves: list[dict[str, int]] = []
         self.results: list[tuple[float, float]] = []
-        self._number((frozenset(), 0.0))
-        self.start = self._number((self._closed({(0, 0)}), 0.0))
+        self._number((frozenset(), frozenset(), 0.0))
+        self.start = self._number((self._closed({(0, 0)}), frozenset(), 0.0))
 
     def _number(self, state: tuple) -> int:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
-            nodes, stem = state
+            nodes, _, stem = state
             exact = max([stem, *(self.words[n] for n, e in nodes if e == 0)])
             near = [self.words[n] for n, e in nodes if e and self.fuzzy[n]]
             self.results.append((exact, 0.0 if exact else max(near, default=0.0)))
@@ -116,8 +117,9 @@ class Automaton:
         return frozenset(least.items())
 
     def _move(self, number: int, letter: str) -> int:
-        nodes, stem = self.states[number]
-        reached: set[tuple[int, int]] = set()
+        nodes, swaps, stem = self.states[number]
+        reached = {(node, edits) for node, wanted, edits in swaps if wanted == letter}
+        begun: set[tuple[int, str, int]] = set()
         for node, edits in nodes:
             child = self.children[node].get(letter)
             if child is not None:
@@ -126,8 +128,13 @@ class Automaton:
                     stem = max(stem, self.stems[child])
             if edits < self.edits:
                 reached.add((node, edits + 1))
-                reached.update((c, edits + 1) for c in self.children[node].values())
-        return self._number((self._closed(reached), stem))
+                for other, c in self.children[node].items():
+                    reached.add((c, edits + 1))
+                    # The trie has this letter and the next one the other way round.
+                    swapped = self.children[c].get(letter)
+                    if other != letter and swapped is not None:
+                        begun.add((swapped, other, edits + 1))
+        return self._number((self._closed(reached), frozenset(begun), stem))
 
     def match(self, word: str) -> tuple[float, float]:
         """(weight of a word or stem read exactly, else weight of a word near it)."""
@@ -139,7 +146,7 @@ class Automaton:
             if to is None:
                 to = moves[state][letter] = self._move(state, letter)
             state = to
-            if not self.states[state][0]:
+            if not self.states[state][0] and not self.states[state][1]:
                 break
         return self.results[state]
 
@@ -161,6 +168,36 @@ class _Matches(dict):
         return value
 
 
+# Where a quotation of each mark may end; the straight mark opens and closes.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹"}
+# Tokens that a quotation has at most; a mark without its other end opens none.
+QUOTE_SPAN = 60
+
+
+def quotations(tokens: list[str]) -> np.ndarray:
+    """Which tokens stand within a pair of quote marks.
+
+    Read from left to right: a mark opens a quotation if one that closes it follows
+    within ``QUOTE_SPAN`` tokens, and reading goes on behind that; else it opens none.
+    What stands between two quotations is in neither.
+    """
+    inside = np.zeros(len(tokens), bool)
+    marks = [i for i, t in enumerate(tokens) if t in QUOTE_MARKS]
+    k = 0
+    while k < len(marks):
+        begin = marks[k]
+        ends = CLOSING.get(tokens[begin], "")
+        close = next(
+            (j for j in range(k + 1, len(marks))
+             if tokens[marks[j]] in ends or marks[j] - begin > QUOTE_SPAN), None
+        )
+        if close is not None and marks[close] - begin <= QUOTE_SPAN:
+            inside[begin + 1 : marks[close]] = True
+            k = close
+        k += 1
+    return inside
+
+
 FEATURES = ("bias", "exact", "near", "quoted", "density", "window", "distinct", "length")
 
 
@@ -168,7 +205,7 @@ def features(text: str | None, matches: _Matches) -> list[float]:
     """What the classifier sees of a text.
 
     Sums of the weights of terms read exactly, of terms one edit away, and of terms in
-    a quotation (quote marks around, or a quoting word just before); all weights by
+    a quotation (between a pair of marks, or a quoting word just before); all weights by
     the root of the length; the greatest sum within a context window; the number of
     distinct terms; the length.
     """
@@ -177,16 +214,13 @@ def features(text: str | None, matches: _Matches) -> list[float]:
     if not hits:
         return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, math.log1p(len(tokens))]
     exact = near = quoted = window = 0.0
-    marks: np.ndarray | None = None
+    inside: np.ndarray | None = None
     recent: list[tuple[int, float]] = []
     for i, (strict, loose) in hits:
         weight = strict + loose
-        around = tokens[max(0, i - CONTEXT) : i]
-        if marks is None:
-            marks = np.cumsum([t in QUOTE_MARKS for t in tokens])
-        open_before = marks[i] - marks[max(0, i - CONTEXT) - 1 if i > CONTEXT else 0]
-        closed_after = marks[min(len(tokens) - 1, i + CONTEXT)] - marks[i]
-        if (open_before and closed_after) or not QUOTING.isdisjoint(around[-3:]):
+        if inside is None:
+            inside = quotations(tokens)
+        if inside[i] or not QUOTING.isdisjoint(tokens[max(0, i - 3) : i]):
             quoted += weight
             continue
         exact += strict

@@ -12,12 +12,17 @@ from tests.conftest import SF
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    """Levenshtein distance in which two neighbours that changed places are one edit."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        row = [i]
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            least = min(rows[-1][j] + 1, row[j - 1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                least = min(least, rows[-2][j - 2] + 1)
+            row.append(least)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 @pytest.mark.parametrize("limit", [1, 2])
@@ -74,6 +79,54 @@ def test_misspelled_toxic_words_are_near_the_learned_lexicon(spark):
     assert score(text("you")) < T.THRESHOLD
 
 
+def plain_quotations(text):
+    """Words within quote marks, character by character."""
+    pairs = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹"}
+    pieces = T._TOKEN.findall(text)
+    quoted, i = [], 0
+    while i < len(pieces):
+        if pieces[i] in pairs:
+            for j in range(i + 1, min(len(pieces), i + 61)):
+                if pieces[j] in pairs[pieces[i]]:
+                    quoted += pieces[i + 1 : j]
+                    i = j
+                    break
+        i += 1
+    return quoted
+
+
+def test_quotations_equal_a_plain_reader():
+    rng = random.Random(3)
+    for _ in range(3000):
+        marks = rng.choice(['"', "“”", "„“", "«»", '"“”', "»«"])
+        text = " ".join(
+            rng.choice(marks) if rng.random() < 0.25 else f"w{i}" for i in range(rng.randrange(90))
+        )
+        tokens = T._TOKEN.findall(text)
+        inside = T.quotations(tokens)
+        assert [t for t, q in zip(tokens, inside) if q] == plain_quotations(text), text
+
+
+@pytest.mark.parametrize("text, quoted", [
+    ('"you idiot"', True), ('x "you idiot"', True), ('"a b" you idiot "c d"', False),
+    ("“you idiot” x", True), ('6" idiot', False), ("idiot", False), ("he said idiot", True),
+    ('"a" "b" idiot', False), ("„du idiot“", True),
+])
+def test_quoted_abuse_is_told_from_abuse(text, quoted):
+    matches = T._Matches(T.Automaton([T.Term("idiot", False, 3.0)]))
+    row = dict(zip(T.FEATURES, T.features(text, matches)))
+    assert (row["quoted"] > 0, row["exact"] > 0) == (quoted, not quoted)
+
+
+def test_two_letters_that_changed_places_are_one_edit():
+    automaton = T.Automaton([T.Term("idiot", False, 3.0), T.Term("moron", False, 2.0)])
+    for bad in ("idoit", "diiot", "idito", "ditio"[:0] or "iidot"):
+        assert automaton.match(bad)[1] == 3.0, bad
+    assert automaton.match("omron") == (0.0, 2.0)
+    for far in ("ditoi", "dioti", "omorn", "idoits"):
+        assert automaton.match(far) == (0.0, 0.0), far
+
+
 # The smaller tables have too few toxic rows in each language to learn from.
 SF_LABELS = "/root/testdata/sf0.1"
 
