@@ -6,8 +6,6 @@ next batch starts, which offsets are missing, and which messages came before.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,11 +91,14 @@ def next_offsets(loaded: DataFrame) -> DataFrame:
 
 
 def starting_offsets(loaded: DataFrame) -> str:
-    """``next_offsets`` as the option that a Kafka batch read takes."""
-    found: dict[str, dict[str, int]] = {}
-    for topic, partition, following in next_offsets(loaded).collect():  # a row per partition
-        found.setdefault(topic, {})[str(partition)] = following
-    return json.dumps(found, sort_keys=True)
+    """``next_offsets`` as the option that a Kafka batch read takes: a number a partition."""
+    parts = next_offsets(loaded).groupBy("topic").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct(F.col("partition").cast("string"), "next_offset"))
+        ).alias("parts")
+    )
+    whole = F.map_from_entries(F.collect_list(F.struct("topic", "parts")))
+    return parts.agg(F.to_json(whole)).first()[0]
 
 
 def offset_gaps(records: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def update_session_state(
     found = sessions_of(enrich(read_loads(spark, raw_path, fresh))).persist()
     try:
         # As many as there are buckets, at most.
-        touched = [r[0] for r in found.select(bucket).distinct().collect()]
+        touched = found.agg(F.collect_set(bucket)).first()[0]
         before = [last["buckets"][str(b)] for b in touched if str(b) in last["buckets"]]
         merged = merge_sessions(found, _read(spark, state_path, before))
         merged.withColumn(_BUCKET, bucket).hint("rebalance", _BUCKET).write.mode(

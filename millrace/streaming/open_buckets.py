@@ -58,7 +58,7 @@ def touched_metrics(spark: SparkSession, path: str, load: str) -> DataFrame:
     """
     rows = read_bucket_sessions(spark, path)
     mine = rows.where(F.col(S.LOAD) == load).select(S.DAY, "bucket").distinct()
-    days = [r[0] for r in mine.select(S.DAY).distinct().collect()]  # of one micro-batch
+    days = mine.agg(F.collect_set(S.DAY)).first()[0]  # of one micro-batch
     of_days = rows.where(F.col(S.DAY).isin(*days)) if days else rows.limit(0)
     merged = (
         of_days.join(mine.select("bucket"), "bucket", "left_semi")
