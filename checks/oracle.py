@@ -531,6 +531,7 @@ WHERE "timestamp" >= TIMESTAMP '2024-01-30 12:00:00'
     "zscore_status": _select(_LATEST, _REPORT),
     "zscore_backfill": _select(_EVERY_POINT, _FLAGGED),
     "zscore_backfill_status": _select(_EVERY_POINT, _REPORT),
+    "moments_backfill": _select(_EVERY_POINT, _REPORT),
     "new_anomalies": _select(
         _EVERY_POINT
         + f""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,6 +260,29 @@ def zscore_backfill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shared_types(every), *_STATS)
 
 
+def moments_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point judged by a backfill that resumes twice and repeats a part."""
+    history, state, anomalies, status = (
+        m.scratch_dir(spark, n) for n in ("history", "moments", "anomalies", "status")
+    )
+    m.write_history(m.stamp(_hourly(spark, sf_dir), AS_OF), history)
+    span = m.read_history(spark, history).agg(F.min("timestamp"), F.max("timestamp")).first()
+    if span[0] is None:
+        return rounded(shared_types(_backfill(spark, sf_dir, with_status=True)), *_STATS)
+    length = span[1] - span[0]
+    ends = [span[0] + length / 3, span[0] + 2 * length / 3, span[1] + timedelta(days=1)]
+    again = [None, None, span[0] + length / 2]
+    for as_of, start in zip(ends, again, strict=True):
+        m.resumed_backfill_job(
+            spark, history, state, anomalies, as_of, LOOKBACK, 6,
+            again_from=start, status_path=status,
+        )
+    runs = spark.read.parquet(status)
+    latest = runs.groupBy("series", "timestamp").agg(F.max("run").alias("run"))
+    every = runs.join(latest, ["series", "timestamp", "run"]).drop("run")
+    return rounded(shared_types(every), *_STATS)
+
+
 def new_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _backfill(spark, sf_dir)
     recorded = found.where(F.col("timestamp") < F.lit(EARLIER_RUN).cast("timestamp"))
@@ -667,6 +691,7 @@ QUERIES: dict[str, Query] = {
     "zscore_backfill": zscore_backfill,
     "zscore_backfill_minute": zscore_backfill_minute,
     "zscore_backfill_status": zscore_backfill_status,
+    "moments_backfill": moments_backfill,
     "new_anomalies": new_anomalies,
     "anomaly_table": anomaly_table,
     "anomaly_table_labels": anomaly_table_labels,

@@ -27,6 +27,14 @@ from millrace.operators.history import (
     write_history,
 )
 from millrace.operators.kpis import bucket_sessions, metric_series, to_metric_rows
+from millrace.operators.moments import (
+    backfill_by_blocks,
+    block_moments,
+    judge_by_moments,
+    merge_moments,
+    read_moments,
+    resumed_backfill_job,
+)
 from millrace.operators.offsets import (
     fresh_records,
     next_offsets,
@@ -114,6 +122,8 @@ from millrace.streaming.open_buckets import compact_bucket_sessions, open_bucket
 
 __all__ = [
     "backfill_anomalies",
+    "backfill_by_blocks",
+    "block_moments",
     "bounded",
     "bucket_sessions",
     "bucket_sessions_stream",
@@ -148,6 +158,7 @@ __all__ = [
     "http_sender",
     "import_payload",
     "ingest_stream",
+    "judge_by_moments",
     "kpi_job",
     "kpi_metrics",
     "kpi_stream",
@@ -155,6 +166,7 @@ __all__ = [
     "ledger_report",
     "load_job",
     "mark_recorded",
+    "merge_moments",
     "merge_sessions",
     "metric_series",
     "metric_span",
@@ -177,6 +189,7 @@ __all__ = [
     "read_anomalies",
     "read_events",
     "read_history",
+    "read_moments",
     "read_offsets",
     "read_outbox",
     "read_quarantine",
@@ -185,6 +198,7 @@ __all__ = [
     "read_table",
     "recent_points",
     "register_views",
+    "resumed_backfill_job",
     "roll_up_bitmaps",
     "roll_up_sketches",
     "scratch_dir",
