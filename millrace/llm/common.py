@@ -87,15 +87,31 @@ def drawn(df: DataFrame, id_col: str, limit: int) -> DataFrame:
     )
 
 
+# Rows that one window of ``numbered`` sorts.
+PART_ROWS = 1_000_000
+
+
+def placed(df: DataFrame, name: str, purpose: str) -> DataFrame:
+    """The rows stored with a number each, unlike any other's but not without gaps.
+
+    The numbers follow how the rows lie in tasks; being stored, they stay what they
+    are whatever is computed again.
+    """
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), purpose)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key from 0 without gaps, with no task holding a key.
 
     Rows are dealt by a hash of ``order`` into parts; each part numbers its own rows
     of a key, and the counts of the parts before it are added.  The order within a
-    key is by part, then by ``order``; rows equal in ``order`` are numbered in any way.
-    The number of parts follows the session's shuffle partitions.
+    key is by part, then by ``order``.  No two rows may be equal in ``order``: they
+    would share a part, however many there are (see ``placed``).  ``df`` is stored, as
+    it is counted first; there are parts enough for the session's shuffle partitions,
+    and for all rows at about ``PART_ROWS`` each.
     """
-    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4 * shuffled, -(-df.count() // PART_ROWS))
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(

@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import numbered, stored
+from millrace.llm.common import numbered, placed, stored
 
 SHARDS = 40
 ROUNDS = 8
@@ -179,7 +179,8 @@ def balanced_shards(
 
     Rows begin in shards by their number in a hashed order.  Then linked rows, those
     of equal texts, move together by balanced label propagation.  A group that fits a
-    shard ends in one unless the quotas stand against it.
+    shard ends in one unless the quotas stand against it.  Where the same files are read
+    in the same splits the result is the same.
 
     Result, one row per row of ``df``: doc_id, size (UTF-8 bytes plus 16), text_crc32
     (unsigned), law ("rows"), shard, slot (gapless from 0 in each shard), grown_shard
@@ -188,13 +189,14 @@ def balanced_shards(
     An empty table gives an empty result.
     """
     everything = with_links(df, id_col, text_col).withColumn("all", F.lit(0))
-    order = ["doc_id", *_GROUP]
-    rows = numbered(everything, ["all"], order, "row").drop("all")
+    # Rows may be equal in all but their place, a third of the table and more.
+    everything = placed(everything, "place", "shard-links")
+    rows = numbered(everything, ["all"], ["doc_id", *_GROUP, "place"], "row").drop("all", "place")
     rows = stored(
         rows.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int")), "shard-rows"
     )
-    placed = numbered(propagate(rows, shards, rounds), ["shard"], ["row"], "slot")
-    return placed.select(
+    slots = numbered(propagate(rows, shards, rounds), ["shard"], ["row"], "slot")
+    return slots.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

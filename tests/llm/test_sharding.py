@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from millrace.llm import common
 from millrace.llm import sharding as S
-from millrace.llm.common import numbered
+from millrace.llm.common import numbered, placed
 from millrace.llm.queries import QUERIES
 from tests.conftest import SF
 
@@ -105,9 +107,34 @@ def test_moves_keep_the_quotas(wanted, free):
 def test_numbers_are_gapless(spark):
     rows = [(i % 3, i // 2, None if i % 7 else "x") for i in range(500)]
     frame = spark.createDataFrame(rows, "k int, o long, v string").repartition(9)
-    got = numbered(frame, ["k", "v"], ["o"], "n").collect()
+    got = numbered(placed(frame, "at", "test"), ["k", "v"], ["o", "at"], "n").collect()
     seen = defaultdict(list)
     for r in got:
         seen[r.k, r.v].append(r.n)
     assert sum(map(len, seen.values())) == 500
     assert all(sorted(n) == list(range(len(n))) for n in seen.values())
+
+
+def test_equal_rows_are_dealt_to_many_parts(spark, monkeypatch):
+    """100,000 rows without id or text: no window holds more than a few thousand."""
+    monkeypatch.setattr(common, "PART_ROWS", 1_000)
+    frame = spark.range(100_000).selectExpr("cast(null as long) doc_id", "'' text")
+    got = S.balanced_shards(frame, 4)
+    assert [tuple(r) for r in got.groupBy("shard").agg(
+        F.count("*"), F.min("slot"), F.max("slot"), F.countDistinct("slot")
+    ).orderBy("shard").collect()] == [(s, 25_000, 0, 24_999, 25_000) for s in range(4)]
+    links = placed(S.with_links(frame).withColumn("all", F.lit(0)), "place", "test")
+    rows = numbered(links, ["all"], ["doc_id", "g0", "g1", "g2", "place"], "row")
+    assert rows.agg(F.countDistinct("row"), F.max("row")).first()[:] == (100_000, 99_999)
+    # As `numbered` deals them.
+    dealt = links.groupBy(F.expr("pmod(xxhash64(doc_id, g0, g1, g2, place), 100)")).count()
+    assert dealt.count() == 100
+    assert dealt.agg(F.max("count")).first()[0] < 1_300
+
+
+def test_very_long_texts(spark):
+    frame = spark.createDataFrame([(i, "é" * 3_000_000) for i in (1, 2)] + [(3, "x")],
+                                  "doc_id long, text string")
+    got = S.balanced_shards(frame, 1).collect()
+    assert sorted(r["size"] for r in got) == [17, 6_000_016, 6_000_016]
+    check_law(got, 1)
