@@ -212,15 +212,11 @@ def split_records(
         ),
         S.ORDER_TOPIC: order_columns(field_of("_order"), offset),
     }
-    wide = [
-        reduce(
-            lambda branch, name: branch.when(topic == name, rows[name][i]),
-            rows,
-            F,
-        ).alias(field.name)
-        for i, field in enumerate(S.RAW_EVENT_SCHEMA)
-    ]
-    good = decoded.where(F.col(S.REASON).isNull()).select(*wide)
+    # The topic is looked at once for a row, not once for each of its columns.
+    wide = reduce(
+        lambda branch, name: branch.when(topic == name, F.struct(*rows[name])), rows, F
+    )
+    good = decoded.where(F.col(S.REASON).isNull()).select(F.inline(F.array(wide)))
     rejected = decoded.where(F.col(S.REASON).isNotNull())
     return good, rejected.drop(*_TOPIC_COLUMNS.values())
 
