@@ -22,8 +22,10 @@ SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
 }
 
-# Streaming state larger than executor heap belongs in RocksDB.
+# Streaming state larger than executor heap belongs in RocksDB; a commit writes what
+# changed, not the files of the whole store.
 STREAMING_SETTINGS = {
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
