@@ -212,13 +212,15 @@ _JUDGED = """
     THEN abs((metric_value - mean_value) / stdev_value) END AS z_score"""
 
 
-def _latest(as_of: str, threshold: float = 2.0, where: str = "true") -> str:
+def _latest(
+    as_of: str, threshold: float = 2.0, where: str = "true", lookback: str = "24 HOURS"
+) -> str:
     return f""",
 recent AS (
   SELECT metric_name, metric_value, "timestamp",
     row_number() OVER (PARTITION BY metric_name ORDER BY "timestamp" DESC) AS rn
   FROM metrics
-  WHERE "timestamp" >= {as_of} - INTERVAL 24 HOURS AND "timestamp" < {as_of}
+  WHERE "timestamp" >= {as_of} - INTERVAL {lookback} AND "timestamp" < {as_of}
     AND {where}
 ),
 stats AS (
@@ -532,6 +534,9 @@ WHERE "timestamp" >= TIMESTAMP '2024-01-30 12:00:00'
     "zscore_backfill": _select(_EVERY_POINT, _FLAGGED),
     "zscore_backfill_status": _select(_EVERY_POINT, _REPORT),
     "moments_backfill": _select(_EVERY_POINT, _REPORT),
+    "moments_latest": _select(
+        HOURLY + _latest(_DETECT_AS_OF, lookback="14 DAYS"), _REPORT
+    ),
     "new_anomalies": _select(
         _EVERY_POINT
         + f""",

@@ -26,6 +26,7 @@ AS_OF = "2024-01-31 00:00:00"
 DETECT_AS_OF = "2024-01-29 03:00:00"
 EARLIER_RUN = "2024-01-20 12:30:00"
 LOOKBACK = "24 hours"
+LONG_LOOKBACK = "14 days"
 
 
 def shared_types(df: DataFrame) -> DataFrame:
@@ -283,6 +284,23 @@ def moments_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shared_types(every), *_STATS)
 
 
+def moments_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest points against two weeks, of which a backfill closed most blocks."""
+    history, state, backfilled, anomalies, status = (
+        m.scratch_dir(spark, n)
+        for n in ("history", "moments", "backfilled", "anomalies", "status")
+    )
+    m.write_history(m.stamp(_hourly(spark, sf_dir), AS_OF), history)
+    closed = "2024-01-27 05:00:00"
+    m.resumed_backfill_job(spark, history, state, backfilled, closed, LOOKBACK, 6)
+    m.detection_job(
+        spark, history, anomalies, DETECT_AS_OF, LONG_LOOKBACK,
+        status_path=status, moments_path=state,
+    )
+    found = spark.read.parquet(status).drop("as_of")
+    return rounded(shared_types(found), *_STATS)
+
+
 def new_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _backfill(spark, sf_dir)
     recorded = found.where(F.col("timestamp") < F.lit(EARLIER_RUN).cast("timestamp"))
@@ -692,6 +710,7 @@ QUERIES: dict[str, Query] = {
     "zscore_backfill_minute": zscore_backfill_minute,
     "zscore_backfill_status": zscore_backfill_status,
     "moments_backfill": moments_backfill,
+    "moments_latest": moments_latest,
     "new_anomalies": new_anomalies,
     "anomaly_table": anomaly_table,
     "anomaly_table_labels": anomaly_table_labels,

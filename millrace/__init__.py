@@ -30,6 +30,8 @@ from millrace.operators.kpis import bucket_sessions, metric_series, to_metric_ro
 from millrace.operators.moments import (
     backfill_by_blocks,
     block_moments,
+    detect_by_moments,
+    detect_from_state,
     judge_by_moments,
     merge_moments,
     read_moments,
@@ -144,6 +146,8 @@ __all__ = [
     "delivery_job",
     "delivery_report",
     "detect_anomalies",
+    "detect_by_moments",
+    "detect_from_state",
     "detect_stream",
     "detection_job",
     "dropped_rows",

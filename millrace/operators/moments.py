@@ -3,7 +3,7 @@
 What a block of time holds of a series is one row: the number of its values, their
 mean, the sum of squared distances from it, and their range.  Such rows merge, so the
 history of a point is the end of one block, whole blocks, and the beginning of its own.
-Only points of the first and the last are read.
+Only points of the first and the last are read, for backfills and for the newest points.
 """
 
 from __future__ import annotations
@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import schemas as S
-from millrace.functions import bucket_start, month_of, seconds_in
+from millrace.functions import bucket_start, instant, labels_key, month_of, seconds_in
 from millrace.operators.history import read_history
 from millrace.operators.outliers import (
     ANOMALY,
+    _counted_newest,
+    _IDENTITY,
     _judged,
+    _listed,
+    _newest_rows,
     _POINT,
     _report,
     _with_series,
+    detect_anomalies,
     write_anomalies,
 )
 from millrace.sources.files import Folder
@@ -89,6 +94,14 @@ def _all_of(moments: Column) -> Column:
     return F.aggregate(moments, none, _joined)
 
 
+def _in_order() -> Column:
+    """The moments of a group by block, so that sums don't depend on how rows arrive."""
+    return F.transform(
+        F.array_sort(F.collect_list(F.struct("block", *_MOMENTS))),
+        lambda x: F.struct(*[x[name].alias(name) for name in _MOMENTS]),
+    )
+
+
 def merge_moments(moments: DataFrame, block: str | timedelta | None = None) -> DataFrame:
     """One row per series and block, of ``block``'s length if that is given.
 
@@ -96,14 +109,7 @@ def merge_moments(moments: DataFrame, block: str | timedelta | None = None) -> D
     become coarser ones.
     """
     at = F.col("block") if block is None else bucket_start("block", block)
-    row = F.struct("block", *_MOMENTS)
-    gathered = moments.groupBy("series", at.alias("block")).agg(
-        # In order, so that the result doesn't depend on how rows arrive.
-        F.transform(
-            F.array_sort(F.collect_list(row)),
-            lambda x: F.struct(*[x[name].alias(name) for name in _MOMENTS]),
-        ).alias("_rows")
-    )
+    gathered = moments.groupBy("series", at.alias("block")).agg(_in_order().alias("_rows"))
     one = gathered.select("series", "block", _all_of(F.col("_rows")).alias("_one"))
     return one.select("series", "block", *[F.col(f"_one.{name}") for name in _MOMENTS])
 
@@ -295,6 +301,120 @@ def backfill_by_blocks(
     )
 
 
+# --- The newest points -----------------------------------------------------------
+def detect_by_moments(
+    metrics: DataFrame,
+    moments: DataFrame,
+    as_of: str | datetime,
+    lookback: str | timedelta,
+    block: str | timedelta,
+    covered: tuple[int, int],
+    min_points: int = 5,
+    threshold: float = 2.0,
+    series_key: Sequence[str] = ("metric_name",),
+    metric_names: Sequence[str] | None = None,
+    with_status: bool = False,
+) -> DataFrame:
+    """``detect_anomalies`` for long lookbacks: whole blocks come from ``moments``.
+
+    ``moments`` has one row per series and block for all blocks in ``covered``
+    (microseconds, the end left out).  Of ``metrics`` only what the lookback has
+    outside of them is read, at its two ends.  A series that is silent since has its
+    newest point in a block: of that block, for that series, the points are read
+    instead, since what is judged isn't part of its own history.
+
+    Neither ``as_of`` nor the lookback need be whole blocks.  Points changed in covered
+    blocks count as they were when their moments were taken.  When this is called it
+    asks for the newest blocks of silent series, no more than the lookback has.
+    """
+    block_us = seconds_in(block) * 1_000_000
+    high = _micros(as_of)
+    low = high - seconds_in(lookback) * 1_000_000
+    first = -(-max(low, covered[0]) // block_us) * block_us
+    last = min(high, covered[1]) // block_us * block_us
+    if metric_names is not None and "metric_name" not in series_key:
+        raise ValueError("metrics of one series can't be told apart in its moments")
+    if first >= last:
+        return detect_anomalies(
+            metrics, as_of, lookback, min_points, threshold, series_key, metric_names, with_status
+        )
+    middle = _within(moments, (first, last), ts="block")
+    if metric_names is not None:
+        metrics = metrics.where(F.col("metric_name").isin(*metric_names))
+        name = F.get_json_object("series", "$.metric_name")
+        middle = middle.where(name.isin(*metric_names))
+
+    def points_of(*spans: tuple[int, int]) -> DataFrame:
+        return _with_series(_within(metrics, *spans), series_key).select(
+            "_series", *_POINT, labels_key("labels").alias("_label")
+        )
+
+    points = points_of((low, first), (last, high))
+    active = points_of((last, high)).select(F.col("_series").alias("series"))
+    silent = (
+        middle.groupBy("series").agg(F.max("block").alias("block"))
+        .join(active, "series", "left_anti")
+    )
+    ends = [r[0] for r in silent.select(F.unix_micros("block")).distinct().collect()]
+    if ends:
+        own = silent.select(F.col("series").alias("_series"), F.col("block").alias("_block"))
+        held = points_of(*[(b, b + block_us) for b in sorted(ends)])
+        held = held.withColumn("_block", bucket_start("timestamp", block))
+        held = held.join(own, ["_series", "_block"], "left_semi").drop("_block")
+        points = points.unionByName(held)
+        middle = middle.join(silent, ["series", "block"], "left_anti")
+
+    newest = _counted_newest(_newest_rows(points))
+    is_now = F.struct(*_IDENTITY).eqNullSafe(F.struct(*[f"now.{c}" for c in _IDENTITY]))
+    edges = (
+        points.join(newest, "_series")
+        .groupBy("_series")
+        .agg(F.first("now").alias("now"), *_moments_of(F.when(~is_now, F.col("metric_value"))))
+    )
+    whole = middle.groupBy(F.col("series").alias("_series")).agg(
+        _all_of(_in_order()).alias("_whole")
+    )
+    both = F.array_compact(F.array(F.struct(*_MOMENTS), F.col("_whole")))
+    merged = edges.join(whole, "_series", "left").withColumn("_one", _all_of(both))
+    history = merged.select(
+        "_series",
+        *[F.col(f"now.{c}").alias(c) for c in _POINT],
+        F.col("_one.n").alias("n"),
+        F.col("_one.mean").alias("center"),
+        F.lit(0.0).alias("s1"),
+        F.col("_one.m2").alias("s2"),
+        F.col("_one.lo").alias("lo"),
+        F.col("_one.hi").alias("hi"),
+    )
+    report = _report(_judged(history, min_points, threshold), with_status, instant(as_of))
+    if with_status and metric_names is not None:
+        report = _listed(report, metric_names)
+    return report
+
+
+def detect_from_state(
+    spark: SparkSession,
+    metrics: DataFrame,
+    state_path: str,
+    as_of: str | datetime,
+    lookback: str | timedelta,
+    series_key: Sequence[str] = ("metric_name",),
+    **options,
+) -> DataFrame:
+    """``detect_by_moments`` with what ``resumed_backfill_job`` has stored so far."""
+    last = _last_commit(Folder(spark, state_path))
+    if last is None:
+        return detect_anomalies(metrics, as_of, lookback, series_key=series_key, **options)
+    if last["series_key"] != list(series_key):
+        raise ValueError(f"{state_path} holds other series")
+    covered = (min(p["low"] for p in last["parts"]), last["until"])
+    block = timedelta(microseconds=last["block_us"])
+    moments = _read_parts(spark, state_path, last["parts"])
+    return detect_by_moments(
+        metrics, moments, as_of, lookback, block, covered, series_key=series_key, **options
+    )
+
+
 # --- A backfill that resumes -----------------------------------------------------
 def _micros(moment: str | datetime) -> int:
     if isinstance(moment, str):

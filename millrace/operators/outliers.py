@@ -26,6 +26,8 @@ ANOMALY = "anomaly"
 RECORDED = "already recorded"
 
 _POINT = ("timestamp", "metric_name", "metric_value")
+# What tells a row from the others of its series, the time first.
+_IDENTITY = ("timestamp", "_label", "metric_name")
 _STATS = ("z_score", "mean_value", "stdev_value", "history_count", "status")
 
 
@@ -94,6 +96,18 @@ def _report(df: DataFrame, with_status: bool, detected_at: Column) -> DataFrame:
     )
 
 
+def _newest_rows(points: DataFrame, *more: Column) -> DataFrame:
+    """Each series' newest row as ``now``."""
+    now = F.max(F.struct(*_IDENTITY, "metric_value")).alias("now")
+    return points.groupBy("_series").agg(now, *more)
+
+
+def _counted_newest(newest: DataFrame) -> DataFrame:
+    """The newest rows, to be broadcast if they are counted to be few."""
+    few = newest.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES
+    return F.broadcast(newest) if few else newest
+
+
 def detect_anomalies(
     metrics: DataFrame,
     as_of: str | datetime | Column,
@@ -121,15 +135,11 @@ def detect_anomalies(
     recent = _with_series(until(since(metrics, as_of, lookback), as_of), series_key)
     recent = recent.select("_series", *_POINT, labels_key("labels").alias("_label"))
 
-    identity = ("timestamp", "_label", "metric_name")
-    newest = recent.groupBy("_series").agg(
-        F.max(F.struct(*identity, "metric_value")).alias("now"),
+    newest = _counted_newest(
         # The median is never further from the mean than one deviation.
-        F.percentile_approx("metric_value", 0.5).alias("center"),
+        _newest_rows(recent, F.percentile_approx("metric_value", 0.5).alias("center"))
     )
-    if newest.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES:
-        newest = F.broadcast(newest)
-    is_now = F.struct(*identity).eqNullSafe(F.struct(*[f"now.{c}" for c in identity]))
+    is_now = F.struct(*_IDENTITY).eqNullSafe(F.struct(*[f"now.{c}" for c in _IDENTITY]))
     past = F.when(~is_now, F.col("metric_value"))
     away = past - F.col("center")
     stats = (

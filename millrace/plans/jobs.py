@@ -14,6 +14,7 @@ from millrace.operators.enrich import enrich, of_services
 from millrace.operators.export import Sender, publish, write_import_lines
 from millrace.operators.history import read_history, stamp, write_history
 from millrace.operators.kpis import bucket_sessions, to_metric_rows
+from millrace.operators.moments import detect_from_state
 from millrace.operators.offsets import fresh_records, read_offsets, write_offsets
 from millrace.operators.outliers import (
     ANOMALY,
@@ -131,23 +132,28 @@ def detection_job(
     deduplicate: bool = False,
     series_key: Sequence[str] = ("metric_name",),
     status_path: str | None = None,
+    moments_path: str | None = None,
 ) -> int:
     """Detect over the stored history; returns the number of new anomalies.
 
     With ``status_path`` the status of every series is stored too, one folder per
-    ``as_of``; anomalies stored by an earlier run are "already recorded" there.
+    ``as_of``; anomalies stored by an earlier run are "already recorded" there.  With
+    ``moments_path``, the state of ``resumed_backfill_job``, the blocks that it closed
+    are read as their moments instead of their points, which suits a long lookback.
     """
     history = read_history(spark, history_path, deduplicate)
-    report = detect_anomalies(
-        history,
-        as_of,
-        lookback=lookback,
-        min_points=min_points,
-        threshold=threshold,
-        series_key=series_key,
-        metric_names=metric_names,
-        with_status=True,
-    ).persist()
+    options = {
+        "min_points": min_points,
+        "threshold": threshold,
+        "series_key": series_key,
+        "metric_names": metric_names,
+        "with_status": True,
+    }
+    if moments_path is None:
+        report = detect_anomalies(history, as_of, lookback, **options)
+    else:
+        report = detect_from_state(spark, history, moments_path, as_of, lookback, **options)
+    report = report.persist()
     try:
         if status_path is not None:
             marked = mark_recorded(report, read_anomalies(spark, anomalies_path))

@@ -108,6 +108,110 @@ def test_no_points(spark):
     assert m.merge_moments(m.block_moments(none, "1 minute")).collect() == []
 
 
+NAMES = ["steady", "silent", "gone", "late", "void"]
+
+
+def of_names(spark, rows):
+    """Points from (name, minute, value)."""
+    from datetime import timedelta
+
+    start = at("2024-01-01 00:00:00")
+    schema = "timestamp timestamp, metric_name string, metric_value double, labels map<string,string>"
+    return spark.createDataFrame(
+        [(start + timedelta(minutes=t), n, v, {"type": "x"}) for n, t, v in rows], schema
+    )
+
+
+def latest(df):
+    return {
+        r["metric_name"]: (r["timestamp"], r["metric_value"], r["history_count"], r["status"],
+                           None if r["z_score"] is None else round(r["z_score"], 9))
+        for r in df.collect()
+    }
+
+
+ROWS_OF = [
+    *[("steady", t, float((t * 7919) % 13)) for t in range(95)],
+    # Newest in a stored block, and the value of it is far off.
+    *[("silent", t, float(t % 5)) for t in range(61)], ("silent", 61, 90.0),
+    # Ends within the first edge; begins after the blocks; has no value at its end.
+    *[("gone", t, float(t % 3)) for t in range(34)],
+    *[("late", t, float(t % 4)) for t in range(84, 95)],
+    *[("void", t, float(t % 6)) for t in range(70)], ("void", 70, None), ("void", 71, None),
+]
+
+
+@pytest.mark.parametrize(
+    "as_of, lookback, covered",
+    [
+        ("01:33:00", 63, (0, 90)),  # both edges within blocks
+        ("01:30:00", 60, (0, 90)),  # whole blocks, no edge
+        ("01:33:00", 63, (0, 70)),  # the last blocks not stored yet
+        ("01:33:00", 63, (50, 90)),  # nor the first
+        ("01:33:00", 63, (0, 30)),  # none of the lookback's
+        ("01:33:00", 7, (0, 90)),  # shorter than a block
+        ("01:01:30", 61, (0, 90)),  # earlier than what is stored
+    ],
+)
+@pytest.mark.parametrize("names", [None, [*NAMES, "unknown"]])
+def test_the_newest_points_from_moments(spark, as_of, lookback, covered, names):
+    df = of_names(spark, ROWS_OF)
+    us = lambda minute: M._micros("2024-01-01 00:00:00") + minute * 60_000_000
+    moments = m.block_moments(df, "10 minutes")
+    # What isn't covered must not be read from moments, nor what is from points.
+    low, high = us(covered[0]), us(covered[1])
+    moments = M._within(moments, (low, high), ts="block")
+    options = {"metric_names": names, "with_status": True}
+    at_ = f"2024-01-01 {as_of}"
+    got = m.detect_by_moments(
+        df, moments, at_, f"{lookback} minutes", "10 minutes", (low, high), **options
+    )
+    want = latest(m.detect_anomalies(df, at_, f"{lookback} minutes", **options))
+    assert latest(got) == want
+    assert names is None or len(want) == len(names)
+
+
+def test_several_labels_at_the_newest_time(spark):
+    """The others at its time are history, in an edge and in a block."""
+    df = of_names(spark, [("steady", t, float(t % 7)) for t in range(40)])
+    both = df.unionByName(
+        df.withColumns({"labels": F.expr("map('type', 'y')"), "metric_value": F.expr("metric_value + 3")})
+    )
+    span = (M._micros("2024-01-01"), M._micros("2024-01-01 00:40:00"))
+    for as_of in ("00:37:00", "00:45:00"):
+        as_of = f"2024-01-01 {as_of}"
+        moments = m.block_moments(both, "10 minutes")
+        options = {"lookback": "38 minutes", "with_status": True}
+        got = m.detect_by_moments(both, moments, as_of, block="10 minutes", covered=span, **options)
+        assert latest(got) == latest(m.detect_anomalies(both, as_of, **options))
+
+
+def test_only_the_ends_of_a_lookback_are_read(spark):
+    """Points of covered blocks don't count, but those of a silent series' last block."""
+    df = of_names(spark, ROWS_OF)
+    span = (M._micros("2024-01-01"), M._micros("2024-01-01 01:30:00"))
+    moments = m.block_moments(df, "10 minutes")
+    ends = df.where(
+        "timestamp < '2024-01-01 00:40:00' or timestamp >= '2024-01-01 01:30:00'"
+        " or timestamp between '2024-01-01 01:00:00' and '2024-01-01 01:19:59'"
+    )
+    run = lambda points: latest(
+        m.detect_by_moments(
+            points, moments, "2024-01-01 01:33:00", "60 minutes", "10 minutes", span, with_status=True
+        )
+    )
+    assert run(ends) == run(df)
+
+
+def test_series_without_a_name_have_no_named_moments(spark):
+    with pytest.raises(ValueError, match="told apart"):
+        m.detect_by_moments(
+            points(spark, [1.0]), m.block_moments(points(spark, [1.0]), "1 minute", ("labels",)),
+            "2024-01-01 01:00:00", "1 hour", "1 minute", (0, 2**60),
+            series_key=("labels",), metric_names=["a"],
+        )
+
+
 class Store:
     def __init__(self, spark, folder):
         self.spark = spark
@@ -201,6 +305,31 @@ def test_changed_points_count_again(spark, tmp_path):
     assert_same(store.judged(3), want)
 
 
+def test_detection_goes_on_from_a_backfill(spark, tmp_path):
+    """Before the first run, after it, and after parts were judged again."""
+    store = Store(spark, tmp_path)
+    store.write(VALUES)
+
+    def detect(moments_path, run):
+        status = f"{store.status}-{run}-{moments_path is None}"
+        m.detection_job(
+            spark, store.history, f"{store.anomalies}-{run}-{moments_path is None}",
+            "2024-01-01 01:25:30", "70 minutes", metric_names=None, status_path=status,
+            moments_path=moments_path,
+        )
+        return latest(spark.read.parquet(status))
+
+    for run, options in enumerate([None, {}, {"again_from": "2024-01-01 00:37:30"}]):
+        if options is not None:
+            store.run("01:05:00", **options)
+        assert detect(store.state, run) == detect(None, run)
+    with pytest.raises(ValueError, match="other series"):
+        m.detection_job(
+            spark, store.history, store.anomalies, "2024-01-01 01:25:30", "70 minutes",
+            metric_names=None, moments_path=store.state, series_key=("labels",),
+        )
+
+
 def test_a_state_of_other_blocks_is_refused(spark, tmp_path):
     store = Store(spark, tmp_path)
     store.write(VALUES)
