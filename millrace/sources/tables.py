@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,20 +49,34 @@ def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_loads(spark: SparkSession, path: str, loads: Sequence[str] | None = None) -> DataFrame:
-    """Raw events with the load of each; of the named loads only, if any are named.
+    """Raw events with the load of each; of the named loads only, if any are named."""
+    Folder(spark, path).refuse_commit_log()
+    rows = read_whole_loads(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH)
+    return rows if loads is None else rows.where(F.col(S.LOAD).isin(*loads))
+
+
+def read_whole_loads(
+    spark: SparkSession, path: str, schema: T.StructType, part: str
+) -> DataFrame:
+    """A table of loads within ``part``, each row once.
 
-    Of a compaction that was cut short, or still runs, one side is left out: the merged
-    load until it is whole, from then on the loads it was made of.
+    Of a merge that was cut short, or still runs, one side is left out: the merged
+    load until it is whole, from then on the loads it was made of.  Files are listed
+    again if a merge went on meanwhile.
     """
     folder = Folder(spark, path)
-    folder.refuse_commit_log()
-    rows = read_table(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH, S.LOAD)
-    if loads is not None:
-        rows = rows.where(F.col(S.LOAD).isin(*loads))
-    if (pending := _pending(folder)) is not None:
-        month, name, parts = pending
-        hidden = parts if folder.exists(_MERGED) else [name]
-        rows = rows.where((F.col(S.MONTH) != month) | ~F.col(S.LOAD).isin(*hidden))
+    state = _merge_state(folder)
+    while True:
+        rows = read_table(spark, path, schema, part, S.LOAD)
+        state, before = _merge_state(folder), state
+        if state == before:
+            break
+    pending, whole, _ = state
+    if pending is not None:
+        within, name, parts = pending
+        value = within.partition("=")[2]
+        hidden = parts if whole else [name]
+        rows = rows.where((F.col(part) != value) | ~F.col(S.LOAD).isin(*hidden))
     return rows
 
 
@@ -138,35 +152,56 @@ def write_quarantine(df: DataFrame, path: str, load: str | None = None) -> None:
 
 
 def _pending(folder: Folder) -> tuple[str, str, list[str]] | None:
-    """Month, merged load and parts of a compaction that hasn't ended."""
+    """The folder, merged load and parts of a merge that hasn't ended."""
     if not folder.exists(_INTENT):
         return None
     intent = json.loads(folder.read_text(_INTENT))
-    return intent["month"], intent["name"], intent["parts"]
+    return intent["within"], intent["name"], intent["parts"]
+
 
+def _merge_state(folder: Folder) -> tuple[tuple[str, str, list[str]] | None, bool, list[str]]:
+    return _pending(folder), folder.exists(_MERGED), folder.names(_PARTS_OF)
 
-def _load_folder(month: str, load: str) -> str:
-    return f"{S.MONTH}={month}/{S.LOAD}={load}"
 
+def _load_folder(within: str, load: str) -> str:
+    return f"{within}/{S.LOAD}={load}"
 
-def _finish(folder: Folder) -> None:
-    """Bring a compaction to an end that was cut short, from wherever it stands.
+
+def finish_merge(folder: Folder) -> None:
+    """Bring a merge to an end that was cut short, from wherever it stands.
 
     Without the mark the merged load may be half written, and goes; with it, its parts
     go.  The intent goes before the mark: a mark alone means that nothing is left to do.
     """
     if (pending := _pending(folder)) is not None:
-        month, name, parts = pending
+        within, name, parts = pending
         if folder.exists(_MERGED):
             for part in parts:
-                folder.delete(_load_folder(month, part))
+                folder.delete(_load_folder(within, part))
         else:
-            folder.delete(_load_folder(month, name))
+            folder.delete(_load_folder(within, name))
         folder.delete(_INTENT)
     if folder.exists(_PENDING):
         folder.delete(_PENDING)
 
 
+def merge_loads(
+    folder: Folder, within: str, loads: list[str], made_of: list[str],
+    write: Callable[[str], None],
+) -> None:
+    """Put one load in the place of others; ``write`` stores it under the name given.
+
+    The job may be killed at any point: readers of ``read_whole_loads`` see each row
+    once at all times, and ``finish_merge`` ends what this began.
+    """
+    name = "merged-" + hashlib.md5("\n".join([within, *loads]).encode()).hexdigest()
+    folder.write_text(f"{_PARTS_OF}/{name}", json.dumps(made_of))
+    folder.commit_text(_INTENT, json.dumps({"within": within, "name": name, "parts": loads}))
+    write(name)
+    folder.write_text(_MERGED, "")
+    finish_merge(folder)
+
+
 def compact_raw_events(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> int:
     """Merge the loads of each month into one; returns how many were merged.
 
@@ -177,27 +212,24 @@ def compact_raw_events(spark: SparkSession, path: str, keep: tuple[str, ...] = (
     """
     folder = Folder(spark, path)
     folder.refuse_commit_log()
-    _finish(folder)
+    finish_merge(folder)
     merged = 0
-    for month in folder.folders():
-        if not month.startswith(f"{S.MONTH}="):
+    for within in folder.folders():
+        if not within.startswith(f"{S.MONTH}="):
             continue
-        month = month.partition("=")[2]
-        loads = [x.partition("=")[2] for x in folder.folders(f"{S.MONTH}={month}")]
+        loads = [x.partition("=")[2] for x in folder.folders(within)]
         loads = [x for x in loads if x not in keep]
         if len(loads) < 2:
             continue
-        name = "merged-" + hashlib.md5("\n".join([month, *loads]).encode()).hexdigest()
         known = raw_loads(spark, path)
         made_of = sorted({p for x in loads for p in known.get(x) or [x]})
-        folder.write_text(f"{_PARTS_OF}/{name}", json.dumps(made_of))
-        folder.commit_text(_INTENT, json.dumps({"month": month, "name": name, "parts": loads}))
         stored = read_table(spark, path, S.RAW_EVENT_SCHEMA, S.MONTH, S.LOAD).where(
-            (F.col(S.MONTH) == month) & F.col(S.LOAD).isin(*loads)
+            (F.col(S.MONTH) == within.partition("=")[2]) & F.col(S.LOAD).isin(*loads)
+        )
+        rows = stored.drop(S.MONTH, S.LOAD)
+        merge_loads(
+            folder, within, loads, made_of, lambda name: write_raw_events(rows, path, name)
         )
-        write_raw_events(stored.drop(S.MONTH, S.LOAD), path, name)
-        folder.write_text(_MERGED, "")
-        _finish(folder)
         merged += len(loads)
     return merged
 

@@ -19,7 +19,7 @@ from millrace.operators.enrich import of_services
 from millrace.operators.history import stamp, write_history
 from millrace.operators.kpis import count_sessions, order_amount, to_metric_rows, touched_bits
 from millrace.sources.files import Folder
-from millrace.sources.tables import read_table, write_load
+from millrace.sources.tables import finish_merge, merge_loads, read_whole_loads, write_load
 from millrace.streaming.ingest import load_name, triggered
 
 BUCKET_SESSION_SCHEMA = T.StructType(
@@ -48,7 +48,7 @@ def add_bucket_sessions(enriched: DataFrame, path: str, load: str, bucket: str)
 
 
 def read_bucket_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, BUCKET_SESSION_SCHEMA, S.DAY, S.LOAD)
+    return read_whole_loads(spark, path, BUCKET_SESSION_SCHEMA, S.DAY)
 
 
 def touched_metrics(spark: SparkSession, path: str, load: str) -> DataFrame:
@@ -68,25 +68,36 @@ def touched_metrics(spark: SparkSession, path: str, load: str) -> DataFrame:
     return to_metric_rows(merged.groupBy("bucket").agg(*count_sessions()))
 
 
-def compact_bucket_sessions(spark: SparkSession, path: str, day: str) -> int:
-    """Merge the loads of a day that no stream will repeat; returns how many there were.
+def compact_bucket_sessions(
+    spark: SparkSession, path: str, day: str, keep: tuple[str, ...] = ()
+) -> int:
+    """Merge the loads of a day; returns how many there were.
 
-    The merged load is whole before its parts go; a reader in between, or a job killed
-    there, would see rows twice, so that the stream must not run meanwhile.
+    ``keep`` names loads to leave alone: a running stream's latest, which may still be
+    repeated.  One job at a time.  It may be killed at any point: readers see each row
+    once at all times, and the next compaction ends what this one began.
     """
     folder = Folder(spark, path)
-    loads = [x.partition("=")[2] for x in folder.folders(f"{S.DAY}={day}")]
+    finish_merge(folder)
+    within = f"{S.DAY}={day}"
+    loads = [x.partition("=")[2] for x in folder.folders(within)]
+    loads = [x for x in loads if x not in keep]
     if len(loads) < 2:
         return 0
-    rows = read_bucket_sessions(spark, path).where(F.col(S.DAY) == day)
-    merged = rows.groupBy(S.DAY, "bucket", "session_id").agg(
-        F.bit_or("touched").alias("touched"),
-        F.sum("session_gmv").cast(_VALUE).alias("session_gmv"),
+    rows = read_bucket_sessions(spark, path).where(
+        (F.col(S.DAY) == day) & F.col(S.LOAD).isin(*loads)
+    )
+    merged = (
+        rows.groupBy(S.DAY, "bucket", "session_id")
+        .agg(
+            F.bit_or("touched").alias("touched"),
+            F.sum("session_gmv").cast(_VALUE).alias("session_gmv"),
+        )
+        .select(*BUCKET_SESSION_SCHEMA.fieldNames(), S.DAY)
+    )
+    merge_loads(
+        folder, within, loads, loads, lambda name: write_load(merged, path, name, S.DAY)
     )
-    write_load(merged.select(*BUCKET_SESSION_SCHEMA.fieldNames(), S.DAY), path, f"merged-{day}", S.DAY)
-    for load in loads:
-        if load != f"merged-{day}":
-            folder.delete(f"{S.DAY}={day}/{S.LOAD}={load}")
     return len(loads)
 
 

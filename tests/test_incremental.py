@@ -222,6 +222,79 @@ def test_a_bucket_shows_while_it_fills(spark, tmp_path):
     assert m.compact_bucket_sessions(spark, partial, "20240101") == 0
 
 
+def bucket_rows(spark, path):
+    from millrace.streaming.open_buckets import read_bucket_sessions
+
+    merged = read_bucket_sessions(spark, path).groupBy("bucket", "session_id")
+    found = merged.agg(F.bit_or("touched").alias("t"), F.sum("session_gmv").alias("v"))
+    return rows_of(found)
+
+
+def test_bucket_sessions_survive_a_kill_at_any_step(spark, tmp_path, monkeypatch):
+    """A sum would double with a merged load beside its parts."""
+    from millrace.sources.files import Folder
+    from millrace.streaming import open_buckets as B
+
+    events = m.enrich(raw(spark, session_rows("s1", VIEW, ORDER) + session_rows("s2", ORDER)))
+    # Every call of a compaction, killed before it; two of them after it; and none.
+    calls = {"write_text": 3, "commit_text": 1, "delete": 4, "write_load": 1}
+    kills = [(name, call, False) for name, n in calls.items() for call in range(n)]
+    kills += [("write_load", 0, True), ("delete", 0, True), ("write_load", 1, False)]
+    ended = 0
+    path = str(tmp_path / "table")
+    for load in ("a", "b", "kept"):
+        B.add_bucket_sessions(events, path, load, "1 minute")
+    want = bucket_rows(spark, path)
+    assert len(want) == 2
+    for number, (name, call, late) in enumerate(kills):
+        where = B if name == "write_load" else Folder
+        whole, count = getattr(where, name), [0]
+
+        def killed(*args, **kwargs):
+            count[0] += 1
+            if count[0] - 1 < call:
+                return whole(*args, **kwargs)
+            if late:
+                whole(*args, **kwargs)
+            raise OSError("killed")
+
+        with monkeypatch.context() as patch:
+            patch.setattr(where, name, killed)
+            try:
+                m.compact_bucket_sessions(spark, path, "20240101", keep=("kept",))
+                ended += 1
+            except OSError:
+                pass
+        assert bucket_rows(spark, path) == want, (name, call, late)
+        m.compact_bucket_sessions(spark, path, "20240101", keep=("kept",))
+        assert bucket_rows(spark, path) == want, (name, call, late)
+        loads = Folder(spark, path).folders("event_day=20240101")
+        assert len(loads) == 2 and f"{S.LOAD}=kept" in loads
+        # An empty load, so that there is something to merge again.
+        B.add_bucket_sessions(
+            m.enrich(raw(spark, session_rows("s1", VIEW))), path, f"more-{number}", "1 minute"
+        )
+    assert ended == 1
+
+
+def test_a_reader_lists_again_what_a_merge_changed(spark, tmp_path, monkeypatch):
+    """A merge that ends between the listing of files and the look at its mark."""
+    path = str(tmp_path / "raw")
+    for user in (1, 2):
+        m.write_raw_events(raw(spark, [{"user_id": user}]), path)
+    listed, whole = [], tables.read_table
+
+    def read_table(*args):
+        rows = whole(*args)
+        if not listed:
+            listed.append(True)
+            m.compact_raw_events(spark, path)
+        return rows
+
+    monkeypatch.setattr(tables, "read_table", read_table)
+    assert sorted(r.user_id for r in m.read_raw_events(spark, path).collect()) == [1, 2]
+
+
 # --- Rollups ---------------------------------------------------------------------
 def test_rollups_equal_distinct_counts_and_sketches_come_close(spark, tmp_path):
     events = m.enrich(A.raw_events(spark, SF_SMALL)).persist()
