@@ -4,7 +4,7 @@ import millrace as m
 from checks.queries import QUERIES
 from checks.compare import connect, difference
 from checks.oracle import ORACLE
-from millrace.session import INITIAL_PARTITIONS, STREAMING_SETTINGS
+from millrace.session import INITIAL_PARTITIONS, STREAMING_SETTINGS, use_rocksdb
 from tests.conftest import SF_SMALL
 
 
@@ -33,6 +33,21 @@ def test_chosen_partition_counts_are_left_alone(restored):
     assert restored.conf.get(INITIAL_PARTITIONS, None) is None
 
 
+def test_state_takes_four_partitions_a_core(restored):
+    restored.conf.unset(INITIAL_PARTITIONS)
+    restored.conf.set("spark.sql.shuffle.partitions", "200")
+    use_rocksdb(restored)
+    wanted = 4 * restored.sparkContext.defaultParallelism
+    assert int(restored.conf.get("spark.sql.shuffle.partitions")) == wanted
+    assert int(restored.conf.get(INITIAL_PARTITIONS)) == max(wanted, 200)
+
+
+def test_state_takes_the_partitions_chosen(restored):
+    restored.conf.set("spark.sql.shuffle.partitions", "7")
+    use_rocksdb(restored)
+    assert restored.conf.get("spark.sql.shuffle.partitions") == "7"
+
+
 def test_streaming_state_in_rocksdb(restored):
     m.configure(restored, streaming=True)
     got = QUERIES["stream_buckets"](restored, SF_SMALL).toPandas()
