@@ -17,6 +17,7 @@ from millrace.operators.outliers import (
     write_anomalies,
 )
 from millrace.schemas import METRIC_LABELS
+from millrace.session import adaptive
 from millrace.streaming.ingest import triggered
 
 
@@ -45,27 +46,29 @@ def detect_stream(
     def handle(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         try:
-            after = F.col("t") + F.make_dt_interval(secs=F.lit(seconds_in(bucket)))
-            span = batch.agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("t"))
-            oldest, end = span.select(_text("s"), _text(after)).first()
-            if end is None:
-                return
-            write_history(stamp(batch, end), history_path, persisted=True)
-            history = read_history(batch.sparkSession, history_path)
-            limits = {"lookback": lookback, "min_points": min_points, "threshold": threshold}
-            if every_bucket:
-                known = history.where(F.col("metric_name").isin(*metric_names))
-                points = until(since(known, oldest, lookback), end)
-                found = backfill_anomalies(points, **limits)
-                found = since(found, oldest, "0 seconds")
-            else:
-                found = detect_anomalies(
-                    history, end, metric_names=metric_names, **limits
-                )
-            write_anomalies(found, anomalies_path)
+            with adaptive(batch.sparkSession):
+                store_and_judge(batch)
         finally:
             batch.unpersist()
 
+    def store_and_judge(batch: DataFrame) -> None:
+        after = F.col("t") + F.make_dt_interval(secs=F.lit(seconds_in(bucket)))
+        span = batch.agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("t"))
+        oldest, end = span.select(_text("s"), _text(after)).first()
+        if end is None:
+            return
+        write_history(stamp(batch, end), history_path, persisted=True)
+        history = read_history(batch.sparkSession, history_path)
+        limits = {"lookback": lookback, "min_points": min_points, "threshold": threshold}
+        if every_bucket:
+            known = history.where(F.col("metric_name").isin(*metric_names))
+            points = until(since(known, oldest, lookback), end)
+            found = backfill_anomalies(points, **limits)
+            found = since(found, oldest, "0 seconds")
+        else:
+            found = detect_anomalies(history, end, metric_names=metric_names, **limits)
+        write_anomalies(found, anomalies_path)
+
     writer = (
         metrics.writeStream.foreachBatch(handle)
         .outputMode("append")

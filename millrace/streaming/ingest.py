@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from millrace.session import use_rocksdb
+from millrace.session import adaptive, use_rocksdb
 from millrace.sources.tables import write_quarantine, write_raw_events
 from millrace.sources.wire import decoded_records, split_records
 
@@ -60,7 +60,8 @@ def _stored_stream(
 ) -> StreamingQuery:
     def handle(batch: DataFrame, batch_id: int) -> None:
         load = load_name(checkpoint, batch_id)
-        store_records(batch, raw_path, quarantine_path, load, session_from_user)
+        with adaptive(batch.sparkSession):
+            store_records(batch, raw_path, quarantine_path, load, session_from_user)
 
     writer = records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return triggered(writer, trigger).start()

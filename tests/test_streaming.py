@@ -230,3 +230,18 @@ def test_streams_keep_their_state_in_rocksdb(spark):
     events = m.enrich(A.as_raw(A.event_stream(spark, SF_SMALL)))
     m.kpi_stream(events, "1 hour")
     assert "RocksDB" in spark.conf.get(key)
+
+
+def test_detection_behind_state_plans_adaptively(spark, tmp_path, monkeypatch):
+    from checks.queries import stream_detect_all
+    from millrace.streaming import detect
+
+    seen, write = [], detect.write_history
+
+    def recorded(rows, *args, **options):
+        seen.append(rows.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        write(rows, *args, **options)
+
+    monkeypatch.setattr(detect, "write_history", recorded)
+    stream_detect_all(spark, SF_SMALL)
+    assert seen and set(seen) == {"true"}
