@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_raw(events: DataFrame) -> DataFrame:
-    """``events`` rows (batch or stream) as wide raw events."""
+def as_raw(events: DataFrame, *carry: str) -> DataFrame:
+    """``events`` rows (batch or stream) as wide raw events, ``carry`` beside them."""
     return events.selectExpr(
         """CASE event_type WHEN 'view' THEN 'page_view' WHEN 'signup' THEN 'product_click'
         WHEN 'click' THEN 'add_to_cart' WHEN 'purchase' THEN 'order_event'
@@ -43,17 +43,20 @@ def as_raw(events: DataFrame) -> DataFrame:
         """CASE event_type WHEN 'click' THEN 'cart-events'
         WHEN 'purchase' THEN 'order-events' ELSE 'page-views' END AS _topic""",
         "event_id AS _offset",
+        *carry,
     )
 
 
-def as_messages(events: DataFrame) -> DataFrame:
+def as_messages(events: DataFrame, *carry: str) -> DataFrame:
     """``events`` rows as message envelopes; ``error`` rows are cut short.
 
     The cut leaves JSON without its closing brace, which must be quarantined.
     """
-    raw = as_raw(events)
+    raw = as_raw(events, *carry)
     keyed = raw.withColumn("_arrived", F.col("timestamp"))
-    messages = to_kafka_records(keyed, carry=("_offset", "_arrived", "event_type"))
+    messages = to_kafka_records(
+        keyed, carry=("_offset", "_arrived", "event_type", *carry)
+    )
     broken = F.substring("value", F.lit(1), F.length("value") - 1)
     envelope = F.struct(
         "key",
@@ -64,6 +67,7 @@ def as_messages(events: DataFrame) -> DataFrame:
         F.lit(0).alias("partition"),
         F.col("_offset").alias("offset"),
         F.col("_arrived").alias("timestamp"),
+        *carry,
     )
     # Through a generator, so that the parser's filters see finished messages,
     # as from a real source, and do not encode the JSON again.
@@ -142,7 +146,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLICES = 7
-ROWS_PER_FILE = 2_000_000
+ROWS_PER_FILE = 100_000
 
 
 def message_files(
@@ -154,17 +158,22 @@ def message_files(
     rows need, the same number for all, which is returned.  Every fifth message or so is
     up to 40 minutes late, so that it may stand in the slice after its own; and each
     slice has a message of the year 2055.  ``backwards`` writes the latest slice first.
+    Slices are cut from the events, so that each is encoded once, by as many tasks as
+    it has files.
     """
-    events = table(spark, sf_dir, "events")
-    late = F.unix_seconds(F.col("timestamp")) + (F.col("offset") % 5) * 600
-    messages = as_messages(events).withColumn("_late", late)
-    first, last, rows = messages.agg(F.min("_late"), F.max("_late"), F.count("*")).first()
+    arrived = F.unix_seconds(F.col("ts").cast("timestamp"))
+    late = arrived + (F.col("event_id") % 5) * 600
+    events = table(spark, sf_dir, "events").withColumn("_late", late)
+    first, last, rows = events.agg(F.min("_late"), F.max("_late"), F.count("*")).first()
     step = (last - first) // SLICES + 1
     far = F.regexp_replace("value", '"timestamp":[0-9]+', '"timestamp":2711000000')
     files = -(-rows // SLICES // ROWS_PER_FILE) or 1
     for i in sorted(range(SLICES), reverse=backwards):
         begin = first + i * step
-        mine = messages.where((F.col("_late") >= begin) & (F.col("_late") < begin + step))
-        ahead = mine.where("topic = 'order-events'").limit(1).withColumn("value", far)
-        mine.union(ahead).drop("_late").repartition(files).write.mode("append").parquet(path)
+        mine = events.where((F.col("_late") >= begin) & (F.col("_late") < begin + step))
+        ahead = mine.where("event_type = 'purchase'").limit(1)
+        both = mine.withColumn("_far", F.lit(False)).union(ahead.withColumn("_far", F.lit(True)))
+        messages = as_messages(both.repartition(files, "event_id"), "_far")
+        value = F.when(F.col("_far"), far).otherwise(F.col("value"))
+        messages.withColumn("value", value).drop("_far").write.mode("append").parquet(path)
     return files

@@ -245,3 +245,24 @@ def test_detection_behind_state_plans_adaptively(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(detect, "write_history", recorded)
     stream_detect_all(spark, SF_SMALL)
     assert seen and set(seen) == {"true"}
+
+
+def test_a_slice_of_messages_is_encoded_alone(spark, tmp_path, monkeypatch):
+    from checks import adapter
+
+    taken, encode = [], adapter.as_messages
+
+    def recorded(events, *carry):
+        taken.append(events.count())
+        return encode(events, *carry)
+
+    monkeypatch.setattr(adapter, "as_messages", recorded)
+    monkeypatch.setattr(adapter, "ROWS_PER_FILE", 50)
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    path = str(tmp_path / "wire")
+    files = adapter.message_files(spark, SF_SMALL, path)
+    stored = spark.read.parquet(path)
+    assert files > 1 and len(stored.inputFiles()) == files * adapter.SLICES
+    assert len(taken) == adapter.SLICES
+    assert sum(taken) == stored.count() == events + adapter.SLICES
+    assert stored.where("value LIKE '%2711000000%'").count() == adapter.SLICES
