@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
@@ -17,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mapped
+from millrace.llm.common import mapped, remembered
 
 # Words tokenized together: their distinct ones share one inverted index.
 UNIT_WORDS = 200_000
@@ -267,9 +266,9 @@ class Encoder:
                 self.ids[word] = (ranks[b],)
 
 
-@functools.lru_cache(maxsize=1)
+@remembered
 def _encoder(rank_data: bytes) -> Encoder:
-    """One per Python worker: the words it remembers serve all its tasks."""
+    """One per Python worker: the words it remembers serve all its tasks in a row."""
     return Encoder(Vocabulary.parse(rank_data))
 
 

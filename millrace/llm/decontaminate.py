@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import mapped, stored
 
 K1 = 1.2
 B = 0.75
@@ -340,7 +340,8 @@ def indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
 
     split = items.select(
         F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")
-    ).mapInArrow(tokenised, "item_id long, text string, words array<string>")
+    )
+    split = mapped(split, tokenised, "item_id long, text string, words array<string>")
     split = stored(split.where(F.size("words") > 0), "benchmark-words")
     total, chars, mean = split.agg(
         F.count("*"), F.sum(F.length("text")), F.avg(F.size("words"))
@@ -395,7 +396,7 @@ def contaminated(
     context = docs.sparkSession.sparkContext
     for index in indexes(items, item_col, item_text_col):
         found = found.union(
-            picked.mapInArrow(_searcher(context.broadcast(index), threshold), schema)
+            mapped(picked, _searcher(context.broadcast(index), threshold), schema)
         )
     return found
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import mapped, stored
 
 # Fixed values of the base rules.
 WINDOW = 8
@@ -189,7 +189,7 @@ def common_words(
             )
 
     counts = (
-        texts.distinct().mapInArrow(run, "lang string, word string, n long")
+        mapped(texts.distinct(), run, "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     counts = stored(counts, "quality-words")
@@ -248,7 +248,8 @@ def with_measures(
         text.alias("text"),
     )
     kinds = ", ".join(f"{c} long" for c in _COUNTS)
-    return picked.mapInArrow(
+    return mapped(
+        picked,
         run,
         f"doc_id long, lang string, base_lang string, text_hash long, {kinds}, chars array<long>,"
         " words array<long>",

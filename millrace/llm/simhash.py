@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import mapped, stored
 from millrace.llm.components import connected_components
 
 BITS = 64
@@ -77,7 +77,7 @@ def with_fingerprints(
         F.xxhash64(text).alias("text_hash"),
         text.alias("text"),
     )
-    return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return mapped(picked, run, "doc_id long, text_hash long, fp long")
 
 
 def block_edges(n_blocks: int) -> list[tuple[int, int]]:
@@ -164,7 +164,7 @@ def near_links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
         if held:
             yield _forest(np.concatenate(held), distance)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return mapped(dealt, run, "a long, b long").distinct()
 
 
 def _forest(fps: np.ndarray, distance: int) -> pa.RecordBatch:

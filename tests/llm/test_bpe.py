@@ -120,3 +120,24 @@ def test_edge_rows(spark):
 def test_a_vocabulary_needs_all_bytes():
     with pytest.raises(ValueError):
         bpe.Vocabulary({b"a": 0})
+
+
+def test_a_worker_forgets_the_words_for_another_operator(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from millrace.llm import bpe
+    from millrace.llm.common import mapped
+
+    def remembered(batches):
+        for batch in batches:
+            size = bpe._encoder.cache_info().currsize
+            yield pa.RecordBatch.from_arrays([pa.array([size] * batch.num_rows)], ["size"])
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.range(0, 80, 1, 8).selectExpr("id as doc_id", "concat('a word ', id) as text")
+    tokens = bpe.with_tokens(docs, path, public_tokenizers.PATTERN)
+    assert tokens.count() == 80 and len(tokens.collect()) == 80
+    # Read in the workers that have just held an encoder each.
+    after = [r.size for r in mapped(docs, remembered, "size long").collect()]
+    assert len(after) == 80 and not any(after)
