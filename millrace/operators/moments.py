@@ -355,7 +355,7 @@ def detect_by_moments(
         middle.groupBy("series").agg(F.max("block").alias("block"))
         .join(active, "series", "left_anti")
     )
-    ends = [r[0] for r in silent.select(F.unix_micros("block")).distinct().collect()]
+    ends = silent.agg(F.collect_set(F.unix_micros("block"))).first()[0]  # no more than blocks
     if ends:
         own = silent.select(F.col("series").alias("_series"), F.col("block").alias("_block"))
         held = points_of(*[(b, b + block_us) for b in sorted(ends)])
